@@ -19,15 +19,7 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so that a worker's memory
     does not depend on how long the texts are."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        now = int(spark.conf.get(key))
-    except Exception as e:  # noqa: BLE001  a Spark without this setting
-        if "SQL_CONF_NOT_FOUND" not in str(e) and "NoSuchElement" not in str(e):
-            raise
-        return
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
