@@ -5,8 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe
-from quillon.session import table
+from quillon.llm import bpe, compression, token_counts, warc
+from quillon.session import scratch, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return n.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit", "n_chunks", "n_widened")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judged(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +27,21 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_token_counts": op2_token_counts,
+    "op7_quality_rules": op7_quality_rules,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLES: dict[str, str] = {}
+
+SQL_1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": SQL_1}
