@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, compression, token_counts, warc
+from quillon.llm import bpe, compression, licenses, line_dedup, link_graph, token_counts, warc
 from quillon.session import scratch, table
 
 
@@ -18,10 +18,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit", "n_chunks", "n_widened")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judged(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,7 +41,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op5_license_scan": op5_license_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
@@ -44,4 +59,9 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op1_warc": SQL_1}
+ORACLES: dict[str, str] = {
+    "op1_warc": SQL_1,
+    "op5_license_scan": licenses.sql(),
+    "op6_url_filter": link_graph.sql(),
+    "op8_line_dedup": line_dedup.SQL,
+}
