@@ -59,8 +59,6 @@ class ChunkEncoder:
 
     def learn(self, texts: list[str]) -> dict[str, int]:
         """Token counts of the pieces of these texts; new ones are encoded."""
-        if len(self._memo) > MEMO_ENTRIES:
-            self._memo.clear()
         cold: set[str] = set()
         for t in texts:
             cold.update(set(t.split()).difference(self._memo) if t.isascii() and not _ODD(t) else set(PIECES.findall(t)).difference(self._memo))
@@ -71,6 +69,10 @@ class ChunkEncoder:
         return found
 
     def forget(self, found: dict[str, int]) -> None:
+        """Between slices: bound the memo."""
+        if len(self._memo) > MEMO_ENTRIES:
+            self._memo.clear()
+            return
         for w in found:
             if len(w) > MEMO_CHARS:
                 self._memo.pop(w, None)
