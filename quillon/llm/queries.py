@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, compression, licenses, line_dedup, link_graph, token_counts, warc
+from quillon.llm import bpe, compression, decontamination, licenses, line_dedup, link_graph, quality, token_counts, warc
 from quillon.session import scratch, table
 
 
@@ -18,6 +18,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit", "n_chunks", "n_widened")
 
 
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_quality_gam": op3_quality_gam,
+    "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
