@@ -230,8 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Gam
     return train(np.array(got["x"].tolist()), got["quality"].to_numpy(np.float64))
 
 
-def scored(df: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns of ``keep`` and ``score`` for each row.  Null
+def scored(df: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """``id_col``, the columns of ``keep`` and ``score_col`` for each row.  Null
     texts are scored as empty; repeated rows have equal scores."""
     held = df.sparkSession.sparkContext.broadcast(model)  # bins by features, some KB
     names = list(dict.fromkeys([id_col, text_col, *keep]))
@@ -241,11 +241,11 @@ def scored(df: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "t
             for b in slices(whole, 1):
                 score = held.value.score(matrix(bytes_of(b.column(1))))
                 cols = [c for n, c in zip(names, b.columns, strict=True) if n != text_col or n in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], [*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], [*kept, score_col])
 
     kept = [n for n in names if n != text_col or n in keep]
     schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in kept)
-    return map_batches(plain(df, *names), run, schema + ", score double")
+    return map_batches(plain(df, *names), run, schema + f", `{score_col}` double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -193,9 +193,9 @@ def hot_tokens(packed: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(top["code"].to_numpy(np.int64).view(np.uint64)) if len(top) else np.zeros(0, np.uint64)
 
 
-def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int):
+def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int, most: int = GROUP):
     """Lists of members to be joined: bands of like sizes, each with the next
-    one, beyond ``GROUP`` members as pairs of blocks."""
+    one, beyond ``most`` members as pairs of blocks."""
     order = np.lexsort((keys, sizes))
     keys, sizes = keys[order], sizes[order]
     at = 0
@@ -204,10 +204,10 @@ def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int):
         end = int(np.searchsorted(sizes, sizes[at] * 100 // percent, "right"))
         reach = int(np.searchsorted(sizes, sizes[end - 1] * 100 // percent, "right"))
         if reach - at > 1:
-            if reach - at <= GROUP:
+            if reach - at <= most:
                 yield keys[at:reach], sizes[at:reach]
             else:
-                half = GROUP // 2
+                half = most // 2
                 for i in range(at, end, half):
                     own = slice(i, min(i + half, end))
                     far = int(np.searchsorted(sizes, sizes[own.stop - 1] * 100 // percent, "right"))
@@ -221,7 +221,7 @@ def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int):
         at = end
 
 
-def shared_groups(packed: DataFrame, percent: int) -> DataFrame:
+def shared_groups(packed: DataFrame, percent: int, most: int = GROUP) -> DataFrame:
     """``gid``, ``size``, ``members`` (key and size): each group of classes that
     share a prefix token, once."""
 
@@ -234,7 +234,7 @@ def shared_groups(packed: DataFrame, percent: int) -> DataFrame:
             many = ends - starts > 1
             seen: dict[int, tuple] = {}
             for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                for keys, sizes in groups_of(rows["key"][a:b], rows["n"][a:b].astype(np.int64), percent):
+                for keys, sizes in groups_of(rows["key"][a:b], rows["n"][a:b].astype(np.int64), percent, most):
                     with np.errstate(over="ignore"):
                         gid = int(mix(keys.view(np.uint64) * _MULT[3] + sizes.astype(np.uint64)).sum().view(np.int64))
                     seen.setdefault(gid, (keys, sizes))
@@ -421,7 +421,7 @@ def linked_classes(spark: SparkSession, sets: DataFrame, bits: DataFrame, docs:
     return roots(tested.unionByName(rest))
 
 
-def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """For each row: ``id_col``, ``n_shingles`` (long; the size of its set),
     ``component_id`` (the smallest id reachable by links, its own included).
 
@@ -437,7 +437,7 @@ def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(64, 1 << (int(total) // BUCKET_ROWS).bit_length())
     hot = hot_tokens(prefix_rows(docs, words, percent, buckets, None), buckets)
-    groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot), percent), "near-groups")
+    groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot), percent, group), "near-groups")
     bits = full.dropDuplicates(["key", "n"]).select("key", "n", "bits")
     found = linked_classes(spark, sets.select("key", "n", "rep"), bits, docs.filter("id IS NOT NULL"), groups, words, percent)
     named = sets.join(found, ["key", "n"], "left").withColumn("root", F.coalesce("root", F.struct("key", "n")))
