@@ -1,3 +1,8 @@
 """Queries: declared plans over the provided tables."""
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+from __future__ import annotations
+
+from quillon.plans import recommend
+from quillon.plans.recommend import flagship
+
+__all__ = ["flagship", "recommend"]
