@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import recommend
+from quillon.plans import recommend, rollouts
 from quillon.plans.recommend import flagship
 
-__all__ = ["flagship", "recommend"]
+__all__ = ["flagship", "recommend", "rollouts"]

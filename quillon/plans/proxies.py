@@ -48,14 +48,14 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     prompt), ``score``, ``len``, ``acc`` (0 or 1), ``source``."""
     at = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("uid"), F.row_number().over(at).cast("long").alias("sample"), (F.col("l_discount") + 0.0).alias("score"),
+        F.col("l_orderkey").alias("uid"), F.row_number().over(at).cast("long").alias("sample"), F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_discount")).alias("score"),
         F.col("l_quantity").cast("long").alias("len"), (F.col("l_returnflag") == "R").cast("int").alias("acc"), F.col("l_returnflag").alias("source"),
         F.col("l_linestatus").alias("status"),
     )
 
 
 RESP = """resp AS (SELECT l_orderkey AS uid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS sample,
-  l_discount + 0.0::DOUBLE AS score, l_quantity::BIGINT AS len, (l_returnflag = 'R')::INT AS acc, l_returnflag AS source, l_linestatus AS status FROM lineitem)"""
+  CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE l_discount END AS score, l_quantity::BIGINT AS len, (l_returnflag = 'R')::INT AS acc, l_returnflag AS source, l_linestatus AS status FROM lineitem)"""
 
 
 def tokens(spark: SparkSession, d: str, n: int = 24) -> DataFrame:
