@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import recommend, rollouts
+from quillon.plans import recommend, rollouts, scoring
 from quillon.plans.recommend import flagship
 
-__all__ = ["flagship", "recommend", "rollouts"]
+__all__ = ["flagship", "recommend", "rollouts", "scoring"]

@@ -125,15 +125,15 @@ def collate(spark, d):
 # Advantages over prompt groups
 
 
-def _adv(name: str, column, sql: str) -> None:
-    query(name, f"WITH {p.RESP} SELECT uid, sample, {ZERO(sql)} AS adv FROM resp")(lambda spark, d: p.responses(spark, d).select("uid", "sample", Z6(column()).alias("adv")))
+def _adv(name: str, column, sql: str, n: int = 6) -> None:
+    query(name, f"WITH {p.RESP} SELECT uid, sample, {ZERO(sql, n)} AS adv FROM resp")(lambda spark, d: p.responses(spark, d).select("uid", "sample", F.when(F.round(column(), n) == 0, 0.0).otherwise(F.round(column(), n)).alias("adv")))
 
 
 _W = "OVER (PARTITION BY uid)"
 _adv("adv_grpo", lambda: a.grpo("score", "uid"), f"CASE WHEN count(*) {_W} = 1 THEN score / (1 + 1e-6::DOUBLE) ELSE (score - avg(score) {_W}) / (stddev_samp(score) {_W} + 1e-6::DOUBLE) END")
 _adv("adv_grpo_centred", lambda: a.grpo("score", "uid", False), f"score - CASE WHEN count(*) {_W} = 1 THEN 0 ELSE avg(score) {_W} END")
 _adv("adv_rloo", lambda: a.rloo("score", "uid"), f"CASE WHEN count(*) {_W} = 1 THEN score ELSE score * count(*) {_W} / (count(*) {_W} - 1) - avg(score) {_W} * count(*) {_W} / (count(*) {_W} - 1) END")
-_adv("adv_opo", lambda: a.opo("score", "uid"), f"CASE WHEN count(*) {_W} = 1 THEN score ELSE score - sum(len * score) {_W} / sum(len) {_W} END")
+_adv("adv_opo", lambda: a.opo("score", "uid"), f"CASE WHEN count(*) {_W} = 1 THEN score ELSE score - sum(len * score) {_W} / sum(len) {_W} END", 10)
 
 
 @query("adv_passk", f"""WITH {p.RESP}, big AS (SELECT * FROM resp QUALIFY count(*) {_W} > 1), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, sample) AS k FROM big),
