@@ -80,10 +80,10 @@ def r_pass(spark, d):
     return _tagged(spark, d).select("doc_id", (r.any_hit(F.col("ps"), F.col("gs")) > 0).alias("hit"))
 
 
-_SIMPLE = """[0.0, 0.6, 0.7, 0.8, 0.9, 1.0][1 + CASE WHEN p[1] IS DISTINCT FROM g[1] OR p IS NULL THEN 0 WHEN p[2] IS DISTINCT FROM g[2] THEN 1 WHEN p[3] IS DISTINCT FROM g[3] THEN 2 WHEN p[4] IS DISTINCT FROM g[4] THEN 3 WHEN p[5] IS DISTINCT FROM g[5] THEN 4 ELSE 5 END]::DOUBLE"""
+_SIMPLE = """[0.0, 0.6, 0.7, 0.8, 0.9, 1.0][1 + CASE WHEN (p[1] = g[1]) IS NOT TRUE THEN 0 WHEN (p[2] = g[2]) IS NOT TRUE THEN 1 WHEN (p[3] = g[3]) IS NOT TRUE THEN 2 WHEN (p[4] = g[4]) IS NOT TRUE THEN 3 WHEN (p[5] = g[5]) IS NOT TRUE THEN 4 ELSE 5 END]::DOUBLE"""
 
 
-@query("r_simple", f"""WITH {p.TAGGED}, o AS (SELECT doc_id, list_transform(string_split(regexp_extract(lower(pred), '\\[(.*?)\\]', 1), ','), lambda w: trim(w)) AS p, list_transform(string_split(regexp_extract(lower(gold), '\\[(.*?)\\]', 1), ','), lambda w: trim(w)) AS g FROM tagged)
+@query("r_simple", f"""WITH {p.TAGGED}, o AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_extract(lower(pred), '\\[(.*?)\\]', 1), ','), lambda w: trim(w)), lambda w: w <> '') AS p, list_filter(list_transform(string_split(regexp_extract(lower(gold), '\\[(.*?)\\]', 1), ','), lambda w: trim(w)), lambda w: w <> '') AS g FROM tagged)
   SELECT doc_id, round(len(list_intersect(p, g)) / len(list_distinct(list_concat(p, g))), 6) AS jaccard, {_SIMPLE} AS hierarchical FROM o""")
 def r_simple(spark, d):
     x = p.tagged(spark, d).select("doc_id", r.items_ordered(F.col("pred")).alias("p"), r.items_ordered(F.col("gold")).alias("g"))
@@ -222,9 +222,9 @@ def val_metrics(spark, d):
     return u.groupBy("status").agg(F.round(F.avg("mean"), 8).alias("mean"), F.round(F.avg("std"), 8).alias("std"), F.max("n").alias("n_max"))
 
 
-@query("best_of_exact", f"WITH {p.RESP}, r AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS r, count(*) OVER (PARTITION BY uid) AS n FROM resp) SELECT uid, round(sum(score * (power(r / n, 4) - power((r - 1) / n, 4))), 12) AS best FROM r GROUP BY uid")
+@query("best_of_exact", f"WITH {p.RESP}, r AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS r, count(*) OVER (PARTITION BY uid) AS n FROM resp) SELECT uid, round(sum(score * (power(r / n, 4) - power((r - 1) / n, 4))), 14) AS best FROM r GROUP BY uid")
 def best_of_exact(spark, d):
-    return m.best_of_exact(p.responses(spark, d), ["uid"], "score", 4).withColumn("best", F.round("best", 12))
+    return m.best_of_exact(p.responses(spark, d), ["uid"], "score", 4).withColumn("best", F.round("best", 14))
 
 
 @query("bootstrap")
