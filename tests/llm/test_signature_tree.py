@@ -117,8 +117,12 @@ def test_stars(spark):
     for a, b in edges:
         ra, rb = root(a), root(b)
         up[max(ra, rb)] = min(ra, rb)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    links = spark.createDataFrame(edges, "a long, b long")
+    for local in (10**6, 60):
+        got = {r.node: r.root for r in components(links, local).collect()}
+        assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    pairs = links.selectExpr("named_struct('k', a, 'n', 1) AS a", "named_struct('k', b, 'n', 1) AS b")
+    assert {r.node.k: r.root.k for r in components(pairs).collect()} == got
 
 
 def test_empty_table(spark):
