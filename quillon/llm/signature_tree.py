@@ -29,6 +29,8 @@ reaches a threshold; the result is the components of the links.  It is exact
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,7 +45,6 @@ HOT_TOKENS, HOT_COUNT, GROUP, BUCKET_ROWS = 1 << 19, 24, 4096, 250_000
 SALTS = 16
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("key", "<i8")])
-_MEMO: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,30 +54,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tokens(data: bytes, words: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending.  A-Z are
-    lower-cased, words are cut at ASCII white space; a text with fewer words is
-    one shingle, one without words has none."""
-    cut = data.lower().split()
-    if not cut:
-        return np.zeros(0, np.uint64)
-    memo = _MEMO
-    try:
-        got = [memo[w] for w in cut]
-    except KeyError:
-        if len(memo) > 300_000:
-            memo.clear()
-        for w in set(cut).difference(memo):
-            memo[w] = xxhash.xxh64_intdigest(w)
-        got = [memo[w] for w in cut]
-    h = np.array(got, np.uint64)
-    k = min(words, len(h))
+#: For words' hashes: a number for each byte, powers of an odd base and of its inverse.
+_BYTE = np.random.default_rng(20260101).integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x5851F42D4C957F2D
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+_POWERS: list[np.ndarray] = []
+#: Texts that are hashed at once, and words whose bytes are hashed one by one.
+CHUNK_BYTES, LONG_WORD = 1 << 20, 256
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, CHUNK_BYTES + 4096)
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all texts, words before each text and after all).
+    A-Z are lower-cased, words are cut at ASCII white space.  A word's hash is a
+    polynomial of its bytes modulo 2**64, found from running sums, and mixed with
+    its length; of long words, where such polynomials can collide, xxhash."""
+    data = b" ".join([*texts, b""]).lower()
+    a = np.frombuffer(data, np.uint8)
+    up, down = _powers(len(a))
+    space = np.concatenate(([True], _IS_SPACE[a], [True]))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
     with np.errstate(over="ignore"):
-        total = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
-        for i in range(k):
-            total = mix(total + h[i : len(h) - k + 1 + i] * _MULT[i % len(_MULT)])
-    total.sort()
-    return total[np.concatenate(([True], total[1:] != total[:-1]))]
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * up[: len(a)])))
+        size = end - start
+        h = mix((run[end] - run[start]) * down[start] ^ mix(size.astype(np.uint64) * _MULT[4]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
+    return h, np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
+def token_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Of each text the distinct hashes of its word shingles, ascending.  A text
+    with fewer words is one shingle, one without words has none."""
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held + len(texts[to]) <= CHUNK_BYTES):
+            held += len(texts[to])
+            to += 1
+        h, first = word_hashes(texts[at:to])
+        with np.errstate(over="ignore"):
+            whole = _shingles(h, words)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                t = whole[a : b - words + 1] if b - a >= words else _shingles(h[a:b], b - a) if b > a else h[:0]
+                t = np.sort(t)
+                yield t[np.concatenate(([True], t[1:] != t[:-1]))] if len(t) else t
+        at = to
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    total = np.full(max(0, len(h) - k + 1), k, np.uint64)
+    for i in range(k):
+        total = mix(total + h[i : len(total) + i] * _MULT[i % len(_MULT)])
+    return total
+
+
+def tokens(data: bytes, words: int) -> np.ndarray:
+    return next(token_sets([data], words))
 
 
 def set_key(t: np.ndarray) -> int:
@@ -107,7 +148,7 @@ def set_rows(df: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole, 1):
-                sets = [tokens(d, words) for d in bytes_of(b.column(1))]
+                sets = list(token_sets(bytes_of(b.column(1)), words))
                 cols = [pa.array([len(t) for t in sets], pa.int64()), pa.array([set_key(t) for t in sets], pa.int64()), pa.array([bitmap(t) if len(t) else b"" for t in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n", "key", "bits"])
 
@@ -139,8 +180,7 @@ def prefix_rows(df: DataFrame, words: int, percent: int, buckets: int, hot: np.n
         for whole in batches:
             for b in slices(whole, 1):
                 parts, seen = [], set()
-                for d in bytes_of(b.column(1)):
-                    t = tokens(d, words)
+                for t in token_sets(bytes_of(b.column(1)), words):
                     key = set_key(t)
                     if not len(t) or (key, len(t)) in seen:
                         continue
