@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import datasets, recommend, rollouts, scoring
+from quillon.plans import datasets, recommend, rollouts, scoring, streams
 from quillon.plans.recommend import flagship
 
-__all__ = ["datasets", "flagship", "recommend", "rollouts", "scoring"]
+__all__ = ["datasets", "flagship", "recommend", "rollouts", "scoring", "streams"]
