@@ -3,6 +3,8 @@ and the training samples built from them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,3 +129,25 @@ def random_split(df: DataFrame, key: str, n_test: int, seed: int = 42) -> DataFr
     test, the others train; all are test if there are no more."""
     test = df.select(key).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n_test).withColumn("split", F.lit("test"))
     return df.join(test, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def summary_parts(title: Column, description: Column, near: Column, score: Callable[[Column], Column], cut: int = 150) -> Column:
+    """What a summariser's prompt says of an item: ``title``, ``description``,
+    ``similar_items`` (a line for each of ``near``: item_id, similarity, item).
+
+    Texts over ``cut`` characters are cut and marked.  A similar item with a
+    description that is not cut replaces the item's own description instead of
+    being quoted, and the last such counts; data built so far has it that way."""
+    short = lambda t: F.concat(F.left(t, F.lit(cut)), F.lit("..."))
+    own = F.when(F.length(description) > cut, short(description)).otherwise(description)
+    start = F.struct(own.alias("description"), F.array().cast("array<string>").alias("lines"))
+
+    def step(acc: Column, s: Column) -> Column:
+        text = s["item"]["description"]
+        line = F.concat(F.lit("Similar Item "), s["item_id"].cast("string"), score(s), F.lit(": Title: "), s["item"]["title"], F.when(F.length(text) > cut, F.concat(F.lit(" Description: "), short(text))).otherwise(""))
+        mine = F.when((text != "") & (F.length(text) <= cut), text).otherwise(acc["description"])
+        return F.struct(mine.alias("description"), F.array_append(acc["lines"], line).alias("lines"))
+
+    found = F.aggregate(near, start, step)
+    labelled = lambda name, t: F.when(t != "", F.concat(F.lit(f"{name}: "), t)).otherwise("")
+    return F.struct(labelled("Title", title).alias("title"), labelled("Description", found["description"]).alias("description"), F.array_join(found["lines"], "\n").alias("similar_items"))

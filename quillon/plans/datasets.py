@@ -270,12 +270,6 @@ def trace_to_messages(spark, d):
     return table(spark, d, "documents").select("doc_id", f(F.lit("I think <code>x=1</code>\n<interpreter>1</interpreter> <answer>1</answer>"))["role"].alias("roles"))
 
 
-@query("summary_prompt", "SELECT p_partkey AS iid, 'Title: ' || p_name || ' (' || printf('%.2f', p_retailprice) || '0)' AS prompt FROM part")
-def summary_prompt(spark, d):
-    ship(spark)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.concat(F.lit("Title: "), "p_name", F.lit(" ("), k.udf(k.python_format3, "string")(F.round("p_retailprice", 2)), F.lit(")")).alias("prompt"))
-
-
 def _batches(spark, d):
     return p.responses(spark, d).select((F.col("uid") % 16).alias("batch"), (F.col("uid") * 100 + F.col("sample")).alias("ord"), "len").filter("ord % 10 = 1")
 
