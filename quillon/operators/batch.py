@@ -104,9 +104,28 @@ def unfold(df: DataFrame, size: int, value: str) -> DataFrame:
     return df.select((F.col("block") * size).alias("base"), F.posexplode(value).alias("i", value)).select((F.col("base") + F.col("i")).alias("ord"), value)
 
 
+def numbered(df: DataFrame, by: str, *ties: str, name: str = "ord", parts: int = 64) -> DataFrame:
+    """``name``: the 0-based place of each row by a numeric column (nulls first),
+    then ``ties``.  Rows are cut at quantiles of ``by``, numbered within each
+    part, and the parts' counts, ``parts + 1`` numbers, are added up; no task
+    has to sort them all."""
+    cuts = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.1 / parts)))
+    part = F.coalesce(sum((F.col(by) > c).cast("int") for c in cuts), F.lit(-1)) if cuts else F.when(F.col(by).isNull(), -1).otherwise(0)
+    cut = df.withColumn("_part", part)
+    counts = dict(cut.groupBy("_part").count().collect())  # parts + 1 numbers
+    before, total = {}, 0
+    for k in sorted(counts):
+        before[k], total = total, total + counts[k]
+    base = F.lit(0)
+    for k, n in before.items():
+        base = F.when(F.col("_part") == k, n).otherwise(base)
+    at = F.row_number().over(W.partitionBy("_part").orderBy(by, *ties))
+    return cut.withColumn(name, (at - 1 + base).cast("long")).drop("_part")
+
+
 def restore(df: DataFrame, pos: str) -> DataFrame:
     """Inverse permutation: ``back`` says where each place went."""
-    return df.withColumn("back", F.row_number().over(W.orderBy(pos)) - 1)
+    return numbered(df, pos, name="back")
 
 
 def concat(*parts: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quillon.session import ship
 
-#: Vectors that are broadcast at once: their bytes are bounded, however many there are.
-BLOCK_BYTES = 64 << 20
+#: Rows of a block; a task holds two blocks and their products.
+BLOCK_ROWS = 4096
 
 
 def unit(c: Column) -> Column:
@@ -23,55 +23,43 @@ def unit(c: Column) -> Column:
     return F.transform(v, lambda x: F.try_divide(x, norm))
 
 
-def vector_blocks(df: DataFrame, id_col: str, vec_col: str, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of all rows, a bounded block after the other."""
-    ids, rows, size = [], [], 0
-    for r in df.select(id_col, vec_col).toLocalIterator():
-        ids.append(r[0])
-        rows.append(np.array(r[1], np.float64))
-        size += rows[-1].nbytes
-        if size >= block_bytes:
-            yield np.array(ids), np.stack(rows)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.stack(rows)
+def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int) -> DataFrame:
+    """``ids`` and ``flat`` (their vectors, one after the other): a row for each
+    block of about ``rows`` rows."""
+    n = max(1, -(-df.count() // rows))
+    dealt = df.select(id_col, vec_col).groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"))
+    x = dealt.agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v")))).alias("x"))
+    return x.select(F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"))
 
 
-def inner_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vec_col: str, skip_self: bool, first: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def inner_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vec_col: str, skip_self: bool, first: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id_col``, ``rank`` (1..k), ``item_id``, ``similarity``: for each query
     the corpus rows of ranks ``first`` to ``first + k - 1`` by inner product, ties
-    by id.  Corpus blocks of bounded size are broadcast in turn; each task keeps
-    the best of a block for its queries, and a window merges the blocks."""
-    spark = queries.sparkSession
-    ship(spark)
+    by id.  Every block of queries meets every block of the corpus in a task of
+    its own, as one matrix product that keeps the best of each query; a window
+    merges what the blocks kept.  Nothing passes through the driver."""
+    ship(queries.sparkSession)
     keep = first + k - 1
-    parts = None
-    for ids, m in vector_blocks(corpus, id_col, vec_col, block_bytes):
-        order = np.argsort(ids, kind="stable")
-        held = spark.sparkContext.broadcast((ids[order], m[order]))
-
-        def run(batches, held=held):
-            ids, m = held.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                scores = np.stack([np.asarray(x, np.float64) for x in b.column(1).to_numpy(zero_copy_only=False)]) @ m.T
+    kind = queries.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                own, q, ids, c = (b.column(i)[at].values.to_numpy(zero_copy_only=False) for i in range(4))
+                scores = q.reshape(len(own), -1).astype(np.float64) @ c.reshape(len(ids), -1).astype(np.float64).T
                 if skip_self:
-                    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                    hit = ids[at] == own
-                    scores[np.flatnonzero(hit), at[hit]] = -np.inf
+                    near = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                    hit = ids[near] == own
+                    scores[np.flatnonzero(hit), near[hit]] = -np.inf
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
                 best = np.take_along_axis(scores, top, 1)
                 real = np.isfinite(best)
                 row, col = np.nonzero(real)
                 yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[top[row, col]]), pa.array(best[real])], [id_col, "item_id", "similarity"])
 
-        kind = queries.schema[id_col].dataType.simpleString()
-        part = queries.select(id_col, vec_col).mapInArrow(run, f"{id_col} {kind}, item_id {kind}, similarity double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return queries.select(id_col, F.lit(0).alias("rank"), F.col(id_col).alias("item_id"), F.lit(0.0).alias("similarity")).limit(0)
+    left = blocks(queries, id_col, vec_col, block_rows).toDF("own", "q")
+    pairs = left.crossJoin(blocks(corpus, id_col, vec_col, block_rows)).repartition("own", "ids")
+    parts = pairs.mapInArrow(run, f"`{id_col}` {kind}, item_id {kind}, similarity double")
     at = W.partitionBy(id_col).orderBy(F.desc("similarity"), "item_id")
     ranked = parts.withColumn("rank", F.row_number().over(at)).filter(F.col("rank").between(first, keep))
     return ranked.select(id_col, (F.col("rank") - (first - 1)).alias("rank"), "item_id", "similarity")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import kernels as k
 from quillon.operators import advantages as a
 from quillon.operators import ranking
+from quillon.operators.batch import numbered
 from quillon.plans import proxies as p
 from quillon.registry import query
 from quillon.session import scratch, ship, table
@@ -20,7 +21,7 @@ CHATS = "chats AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY
 
 @query("chat_rows", "SELECT item_id, 'bench' AS data_source, 'user' AS role, text || chr(10) || 'Answer:' AS content, 'math' AS ability, 'rule' AS style, split_part(text, '.', 1) AS ground_truth, 'train' AS split, row_number() OVER (ORDER BY item_id) - 1 AS index FROM benchmark")
 def chat_rows(spark, d):
-    b = table(spark, d, "benchmark").withColumn("i", F.row_number().over(W.orderBy("item_id")).cast("long") - 1)
+    b = numbered(table(spark, d, "benchmark"), "item_id", name="i")
     rows = b.select(
         "item_id", F.lit("bench").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.concat("text", F.lit("\nAnswer:")).alias("content"))).alias("prompt"), F.lit("math").alias("ability"),
         F.struct(F.lit("rule").alias("style"), F.get(F.split("text", r"\."), 0).alias("ground_truth")).alias("reward_model"), F.struct(F.lit("train").alias("split"), F.col("i").alias("index")).alias("extra_info"),
@@ -86,9 +87,8 @@ def date_str_range(spark, d):
 @query("percent_slice", "SELECT doc_id, CASE WHEN rn <= floor(0.75 * n) THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents)")
 def percent_slice(spark, d):
     t = table(spark, d, "documents").select("doc_id")
-    n = t.agg(F.count("*").alias("n"))
-    r = t.withColumn("rn", F.row_number().over(W.orderBy("doc_id")))  # over ids only
-    return r.crossJoin(F.broadcast(n)).select("doc_id", F.when(F.col("rn") <= F.floor(0.75 * F.col("n")), "train").otherwise("test").alias("split"))  # one row
+    first = int(0.75 * t.count())
+    return numbered(t, "doc_id").select("doc_id", F.when(F.col("ord") < first, "train").otherwise("test").alias("split"))
 
 
 @query("dedup_adjacent", "SELECT conv_id, turn FROM conversations QUALIFY NOT (role = 'user' AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT DISTINCT FROM 'user')")

@@ -115,12 +115,22 @@ def test_top_k_skips_the_best(spark):
     std = {(x.vec_id, x.rank): x.item_id for x in ranking.cosine_topk(df, 3, skip_best=False).collect()}
     own = {(x.vec_id, x.rank): x.item_id for x in ranking.cosine_topk(df, 3).collect()}
     assert std[0, 1] == 1 and own[0, 1] == 2 and own[4, 1] == std[4, 2]
-    blocks = ranking.inner_topk(df, df, 3, "vec_id", "embedding", True, block_bytes=32)
+    blocks = ranking.inner_topk(df, df, 3, "vec_id", "embedding", True, block_rows=4)
     assert {(x.vec_id, x.rank): x.item_id for x in blocks.collect()} == std
     with pytest.raises(NotImplementedError):
         ranking.metric("mrr@3", F.lit(1), F.lit(1))
 
 
+def test_row_numbers_without_one_big_task(spark):
+    rng = random.Random(4)
+    values = [rng.randrange(50) for _ in range(300)] + [None]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long")
+    got = b.numbered(df, "v", "i", parts=7).collect()
+    want = {i: n for n, (_, i) in enumerate(sorted(((-1 if v is None else v), i) for i, v in enumerate(values)))}
+    assert {x.i: x.ord for x in got} == want
+    assert b.numbered(df.limit(0), "v", "i").collect() == []
+
+
 def test_words_of_answers(spark):
     def words(text):
         return one(spark, c.parse_words(F.col("t")), t=text)
