@@ -229,8 +229,18 @@ def hot_tokens(packed: DataFrame, buckets: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count[many], pa.int64())], ["code", "n"])
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    top = map_batches(dealt, run, "code long, n long").orderBy(F.desc("n"), "code").limit(HOT_TOKENS).select("code").toPandas()
-    return np.sort(top["code"].to_numpy(np.int64).view(np.uint64)) if len(top) else np.zeros(0, np.uint64)
+    counted = materialised(packed.sparkSession, map_batches(dealt, run, "code long, n long"), "near-counts")
+    level = F.floor(F.log2("n") * 8)
+    sizes = dict(counted.groupBy(level.alias("level")).count().collect())  # at most 512 levels
+    total, least = 0, None
+    for x in sorted(sizes, reverse=True):
+        total += sizes[x]
+        if total > HOT_TOKENS:
+            break
+        least = x
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counted.filter(level >= least).select("code").toPandas()["code"].to_numpy(np.int64).view(np.uint64))
 
 
 def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int, most: int = GROUP):
