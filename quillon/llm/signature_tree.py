@@ -432,7 +432,16 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     ``rep``, whose text in ``docs`` (``id``, ``text``) has the set."""
     ends = pairs.select(F.col("a").alias("key"), F.col("an").alias("n")).unionByName(pairs.select(F.col("b").alias("key"), F.col("bn").alias("n"))).distinct()
     wanted = ends.join(sets, ["key", "n"])
-    texts = docs.join(wanted, docs["id"] == wanted["rep"]).select("key", "n", "text").dropDuplicates(["key", "n"])
+    found = docs.join(wanted, docs["id"] == wanted["rep"]).select("key", "n", "text")
+
+    def matching(batches):
+        """An id may have several texts: only that with the set counts."""
+        for whole in batches:
+            for b in slices(whole, 2):
+                own = [set_key(t) == k and len(t) == n for t, k, n in zip(token_sets(bytes_of(b.column(2)), words), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                yield b.filter(pa.array(own))
+
+    texts = map_batches(found, matching, "key long, n long, text string").dropDuplicates(["key", "n"])
     texts = materialised(pairs.sparkSession, texts, "near-texts")
     both = pairs.join(texts.toDF("a", "an", "ta"), ["a", "an"]).join(texts.toDF("b", "bn", "tb"), ["b", "bn"])
 
@@ -476,8 +485,10 @@ def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     ``component_id`` (the smallest id reachable by links, its own included).
 
     Null, empty and blank texts have the empty set and link with nothing.  Equal
-    sets link, so repeated rows are in one component.  A null id stays null; it
-    is no component's smallest id unless all are null.  Further columns are left
+    sets link, so repeated rows are in one component, and rows of one id with
+    different texts are judged by their own.  A null id stays null and is no
+    component's smallest id unless all are null; a set that only rows without an
+    id have links with equal sets alone.  Further columns are left
     out."""
     spark = df.sparkSession
     docs = plain(df, id_col, text_col).toDF("id", "text")

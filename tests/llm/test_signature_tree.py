@@ -125,5 +125,13 @@ def test_stars(spark):
     assert {r.node.k: r.root.k for r in components(pairs).collect()} == got
 
 
+def test_one_id_with_several_texts(spark):
+    own = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"x{i}" for i in range(100))
+    rows = [(1, other), (1, own), (2, own + " end"), (3, other + " end"), (4, "alone it is")]
+    got = s.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 96, 1), (1, 96, 1), (2, 97, 1), (3, 97, 1), (4, 1, 4)]
+
+
 def test_empty_table(spark):
     assert s.joined(spark.createDataFrame([], "doc_id long, text string")).collect() == []
