@@ -89,3 +89,9 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the shared folder.  Results that still
+    read them must have been written elsewhere."""
+    removed(spark, f"{shared_dir(spark)}/quillon")
