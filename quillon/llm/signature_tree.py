@@ -29,6 +29,7 @@ reaches a threshold; the result is the components of the links.  It is exact
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,7 @@ _IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _POWERS: list[np.ndarray] = []
 #: Texts that are hashed at once, and words whose bytes are hashed one by one.
 CHUNK_BYTES, LONG_WORD = 1 << 20, 256
+_SPACES = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def _powers(n: int) -> list[np.ndarray]:
@@ -90,6 +92,27 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
 
 
+def _long_text(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a text that is too long to be hashed at once: by parts that
+    end before white space."""
+    parts, at = [], 0
+    while at < len(text):
+        m = _SPACES.search(text, at + CHUNK_BYTES)
+        to = m.start() if m else len(text)
+        part = text[at:to]
+        own = part.split(None, 1)
+        if len(part) > 2 * CHUNK_BYTES and len(own) == 1:  # one endless word
+            parts.append(np.array([xxhash.xxh64_intdigest(own[0].lower())], np.uint64))
+        elif len(part) > 2 * CHUNK_BYTES and own:
+            head = part.rindex(part.split()[-1])
+            parts += [word_hashes([part[:head]])[0], np.array([xxhash.xxh64_intdigest(part[head:].lower())], np.uint64)]
+        else:
+            parts.append(word_hashes([part])[0])
+        at = to
+    h = np.concatenate(parts)
+    return h, np.array([0, len(h)])
+
+
 def token_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     """Of each text the distinct hashes of its word shingles, ascending.  A text
     with fewer words is one shingle, one without words has none."""
@@ -99,7 +122,7 @@ def token_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         while to < len(texts) and (to == at or held + len(texts[to]) <= CHUNK_BYTES):
             held += len(texts[to])
             to += 1
-        h, first = word_hashes(texts[at:to])
+        h, first = word_hashes(texts[at:to]) if held <= CHUNK_BYTES else _long_text(texts[at])
         with np.errstate(over="ignore"):
             whole = _shingles(h, words)
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -104,6 +104,17 @@ def test_trees_lose_no_candidate():
                     assert frozenset((i, j)) in got
 
 
+def test_long_texts_hash_as_short_ones(monkeypatch):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["a", "Bc", "d" * 40, "e" * 300, "\t"]) for _ in range(rng.randrange(200))).encode() for _ in range(30)]
+    texts += [b"", b" \n", b"x" * 900, b"y z " * 100 + b"w" * 700 + b" v"]
+    whole = [t.tolist() for t in s.token_sets(texts, 5)]
+    monkeypatch.setattr(s, "CHUNK_BYTES", 64)
+    assert [t.tolist() for t in s.token_sets(texts, 5)] == whole
+    split = [words_of(t.decode()) for t in texts]
+    assert [len(t) for t in whole] == [len({tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)}) if w else 0 for w in split]
+
+
 def test_stars(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(100)] + [(5000, 5000 + i) for i in range(1, 60)]
