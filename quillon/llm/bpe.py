@@ -30,7 +30,7 @@ from quillon.llm.common import map_batches, plain, slices, texts_of
 #: Fixed value: the byte-level pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker's memo is emptied when it holds so many pre-tokens, and takes none of more characters than that.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 _NONE, _LOW = 1 << 62, (1 << 32) - 1
 #: Text of a slice that is encoded at once; its pieces live in memory meanwhile.
 SLICE_BYTES = 2 << 20

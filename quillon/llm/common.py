@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from quillon.session import ship
 
 #: Arrow batches to and from Python workers hold at most about so many bytes;
 #: a single longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -26,7 +27,23 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[
     """``mapInArrow`` with bounded batches and this package on the workers."""
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
+def released() -> None:
+    """Give freed memory back: workers live on between tasks, and what their
+    allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

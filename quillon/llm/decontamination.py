@@ -37,7 +37,7 @@ from quillon.llm.common import bytes_of, map_batches, plain, slices
 
 K1, B, BLOCK = 1.2, 0.75, 4
 #: Block maxima that are added up at once, for bounded memory.
-ADD_AT_ONCE = 1 << 20
+ADD_AT_ONCE = 1 << 19
 INDEX_ITEMS, INDEX_BYTES = 20_000, 16 << 20
 #: Fixed value: A-Z lower-cased, ASCII punctuation and white space as spaces.
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c"
