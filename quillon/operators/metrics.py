@@ -41,7 +41,7 @@ def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int
     ship(df.sparkSession)
     names = [*group, "best_mean", "best_std", "worst_mean", "worst_std"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[value].to_numpy(np.float64)
         rng = np.random.RandomState(seed)
         draws = np.stack([x[rng.choice(len(x), size, replace=True)] for _ in range(times)])
