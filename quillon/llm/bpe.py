@@ -300,7 +300,27 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return map_batches(plain(df, *names, ids_col), run, schema + ", decoded string")
 
 
+def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` in one pass: ``id_col``, ``n_tokens``,
+    ``ids`` and ``decoded``.  A row's ids do not leave the worker in between, and
+    a task needs one worker."""
+    spec = _spec(df, path)
+
+    def run(batches):
+        codec = _held(spec)
+        for whole in batches:
+            for b in slices(whole, 1, SLICE_BYTES):
+                coded = [np.frombuffer(x, np.int32) for x in codec.encode_many(texts_of(b.column(1)))]
+                ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)))
+                texts = pa.array([codec.decode(x.tolist()) for x in coded], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), ids, texts], [id_col, "n_tokens", "ids", "decoded"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_batches(plain(df, id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """The digest of an encoding and of what it decodes to, for each row."""
-    coded = bpe_encode(docs, path).withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256))
-    return bpe_decode(coded, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe_round_trip(docs, path).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

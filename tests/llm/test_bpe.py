@@ -55,6 +55,13 @@ def test_rows(spark):
     assert bpe.digests(docs.limit(0), PATH).collect() == []
 
 
+def test_both_ways_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "<|endoftext|> é")], "doc_id long, text string")
+    apart = bpe.bpe_decode(bpe.bpe_encode(docs, PATH).withColumnRenamed("n_tokens", "n"), PATH, keep=("n", "ids")).collect()
+    at_once = bpe.bpe_round_trip(docs, PATH).collect()
+    assert sorted((r.doc_id, r.n, r.ids, r.decoded) for r in apart) == sorted((r.doc_id, r.n_tokens, r.ids, r.decoded) for r in at_once)
+
+
 def test_whole_table_against_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     lib = Tokenizer.from_file(PATH)
