@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import datasets, extra, recommend, rollouts, scoring, streams
+from quillon.plans import datasets, extra, recommend, rollouts, scoring, streams, whole
 from quillon.plans.recommend import flagship
 
-__all__ = ["datasets", "extra", "flagship", "recommend", "rollouts", "scoring", "streams"]
+__all__ = ["datasets", "extra", "flagship", "recommend", "rollouts", "scoring", "streams", "whole"]

@@ -148,7 +148,7 @@ def prime_dpo(spark, d):
     w = W.partitionBy("uid")
     q, acc = F.col("score") * 5, F.col("acc")
     mean = lambda v: F.coalesce(F.avg(F.when(acc == v, q)).over(w), F.lit(0.0))
-    rows = p.responses(spark, d).filter("uid % 20 = 0").select(((q - F.when(acc == 1, mean(0)).otherwise(mean(1))) * (acc * 2 - 1)).alias("m"))
+    rows = p.taken(p.responses(spark, d)).select(((q - F.when(acc == 1, mean(0)).otherwise(mean(1))) * (acc * 2 - 1)).alias("m"))
     return rows.agg(R6(F.avg(-F.log(1 / (1 + F.exp(-F.col("m")))))).alias("loss"))
 
 

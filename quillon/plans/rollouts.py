@@ -334,8 +334,9 @@ def sppo_loss(spark, d):
 
 @query("eos_mask", f"WITH {p.RESP} SELECT uid, sample, list_transform(range(24), lambda i: (i <= least(len, 23))::INT) AS mask FROM resp WHERE uid % 20 = 0")
 def eos_mask(spark, d):
-    ids = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.when(i == F.least("len", F.lit(23)), 1).otherwise(0))
-    t = p.responses(spark, d).filter("uid % 20 = 0").withColumn("ids", ids)
+    last = F.lit(p.width(spark, d) - 1)
+    ids = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i == F.least("len", last), 1).otherwise(0))
+    t = p.taken(p.responses(spark, d)).withColumn("ids", ids)
     return t.select("uid", "sample", F.transform("ids", lambda _x, i: ((F.array_position("ids", 1) == 0) | (i < F.array_position("ids", 1))).cast("int")).alias("mask"))
 
 
@@ -354,7 +355,7 @@ def token_reward(spark, d):
 @query("rm_token_level", f"WITH {p.RESP}, {p.TOK}, l AS (SELECT uid, sample, max(i * mask) AS last FROM tok GROUP BY ALL) SELECT uid, sample, list(CASE WHEN i = last THEN score ELSE 0 END ORDER BY i) AS scores FROM tok JOIN l USING (uid, sample) WHERE i >= 8 GROUP BY uid, sample")
 def rm_token_level(spark, d):
     t = p.tokens(spark, d).withColumn("last", F.array_max(F.transform("mask", lambda m, i: m * i)))
-    return t.select("uid", "sample", F.slice(F.transform("mask", lambda _m, i: F.when(i == F.col("last"), F.col("score")).otherwise(0.0)), 9, 16).alias("scores"))
+    return t.select("uid", "sample", F.slice(F.transform("mask", lambda _m, i: F.when(i == F.col("last"), F.col("score")).otherwise(0.0)), 9, max(0, p.width(spark, d) - 8)).alias("scores"))
 
 
 @query("overlong", f"WITH {p.RESP} SELECT uid, sample, round(score + least(-(len - (40 - 10)) / 10 * 0.5, 0), 6) AS reward FROM resp")
@@ -364,7 +365,7 @@ def overlong(spark, d):
 
 @query("pad_trunc", f"WITH {p.RESP}, x AS (SELECT uid, sample, range(len) AS ids FROM resp WHERE uid % 20 = 0) SELECT uid, sample, list_concat(list_transform(range(greatest(0, 16 - len(ids))), lambda i: -1::BIGINT), ids[-16:]) AS left_pad, list_concat(ids[:16], list_transform(range(greatest(0, 16 - len(ids))), lambda i: -1::BIGINT)) AS right_pad FROM x")
 def pad_trunc(spark, d):
-    x = p.responses(spark, d).filter("uid % 20 = 0").withColumn("ids", F.sequence(F.lit(0).cast("long"), F.col("len") - 1))
+    x = p.taken(p.responses(spark, d)).withColumn("ids", F.sequence(F.lit(0).cast("long"), F.col("len") - 1))
     pad = F.array_repeat(F.lit(-1).cast("long"), F.greatest(F.lit(0), 16 - F.size("ids")))
     tail = F.slice("ids", F.greatest(F.lit(1), F.size("ids") - 15), F.lit(16))
     return x.select("uid", "sample", F.concat(pad, tail).alias("left_pad"), F.concat(F.slice("ids", 1, 16), pad).alias("right_pad"))
@@ -373,14 +374,15 @@ def pad_trunc(spark, d):
 @query("loss_mask", f"WITH {p.RESP} SELECT uid, sample, list_transform(range(24), lambda i: (i >= 5 AND i < least(len, 24) - 1)::INT) AS mask FROM resp WHERE uid % 20 = 0")
 def loss_mask(spark, d):
     # a prompt of six tokens: its last one predicts the first of the response
-    return p.responses(spark, d).filter("uid % 20 = 0").select("uid", "sample", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: ((i >= 5) & (i < F.least("len", F.lit(24)) - 1)).cast("int")).alias("mask"))
+    n = F.lit(p.width(spark, d))
+    return p.taken(p.responses(spark, d)).select("uid", "sample", F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i >= 5) & (i < F.least("len", n) - 1)).cast("int")).alias("mask"))
 
 
 @query("assemble_rollout", f"""WITH {p.RESP}, x AS (SELECT uid, sample, list_concat(list_transform(range(greatest(0, 8 - sample)), lambda i: 0::BIGINT), range(1, least(sample, 8) + 1)) AS pr, list_concat(range(1, least(len, 16) + 1), list_transform(range(greatest(0, 16 - len)), lambda i: 0::BIGINT)) AS re FROM resp WHERE uid % 20 = 0)
   SELECT uid, sample, list_concat(pr, re) AS input_ids, list_transform(list_concat(pr, re), lambda t: (t <> 0)::INT) AS attention_mask FROM x""")
 def assemble_rollout(spark, d):
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    x = p.responses(spark, d).filter("uid % 20 = 0")
+    x = p.taken(p.responses(spark, d))
     pr = F.concat(F.array_repeat(zero, F.greatest(F.lit(0), 8 - F.col("sample").cast("int"))), F.sequence(one, F.least("sample", F.lit(8).cast("long"))))
     re = F.concat(F.sequence(one, F.least("len", F.lit(16).cast("long"))), F.array_repeat(zero, F.greatest(F.lit(0), 16 - F.col("len").cast("int"))))
     return x.select("uid", "sample", F.concat(pr, re).alias("input_ids")).withColumn("attention_mask", F.transform("input_ids", lambda t: (t != 0).cast("int")))

@@ -50,7 +50,7 @@ def stream_session(spark, d):
 
 @query("stream_kept_groups", f"""WITH {p.RESP}, r AS (SELECT * FROM resp WHERE uid % 20 = 0), g AS (SELECT uid FROM r GROUP BY uid HAVING max(acc) <> min(acc) OR count(*) = 1) SELECT count(*) >= 100 AS enough FROM g""")
 def stream_kept_groups(spark, d):
-    r = p.responses(spark, d).filter("uid % 20 = 0").withColumn("bucket", (F.col("uid") / 20).cast("long"))
+    r = p.taken(p.responses(spark, d)).withColumn("bucket", (F.col("uid") / 20).cast("long"))
     keep = s.KeptGroups(scratch(spark, "kept"), "uid", "acc", 100, 10)
     s.drained(_stream(spark, r, by="bucket"), keep, scratch(spark, "checkpoint"))
     return keep.rows(spark).agg((F.count_distinct("uid") >= 100).alias("enough"))
@@ -72,7 +72,7 @@ def stream_kl(spark, d):
         now = batch.agg(F.avg("score")).first()[0] or 0.0
         out.append((i, float(control.update(now, batch.count()))))
 
-    s.drained(_stream(spark, p.responses(spark, d).filter("uid % 20 < 3")), step, scratch(spark, "checkpoint"))
+    s.drained(_stream(spark, p.responses(spark, d)), step, scratch(spark, "checkpoint"))
     return spark.createDataFrame(sorted(out), "step long, coefficient double")
 
 

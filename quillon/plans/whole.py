@@ -1,0 +1,37 @@
+"""Queries that take one prompt in 20, as their SQL does, over all of them.
+
+``NAME_whole`` is the query NAME over all rollouts, its arrays as long as the
+longest response.  The SQL of NAME stays as it is; that of ``NAME_whole`` is
+made of it, without the filter and with arrays of 50 tokens, the greatest
+``l_quantity`` of the provided tables.
+"""
+
+from __future__ import annotations
+
+import re
+
+from quillon.plans import extra, proxies, rollouts, scoring, streams  # noqa: F401  registers the queries
+from quillon.registry import ORACLES, QUERIES, Query, query
+
+FILTER = "uid % 20 = 0"
+LONGEST = 50
+#: The array length where it stands alone or as its last place; not the divisors
+#: of ``_sql_col`` nor the step count of ``kl_reward``.
+_LENGTH = re.compile(r"(?<!% )(?<!/ )(?<!\* )\b(23|24)\b|(?<=/ )24\b")
+
+
+def _sql(text: str) -> str:
+    return _LENGTH.sub(lambda m: str(LONGEST - 24 + int(m[0])), text.replace(FILTER, "true"))
+
+
+def _whole(f: Query) -> Query:
+    def run(spark, d):
+        with proxies.whole():
+            return f(spark, d)
+
+    return run
+
+
+NAMES = sorted(name for name, text in ORACLES.items() if FILTER in text)
+for _name in NAMES:
+    query(f"{_name}_whole", _sql(ORACLES[_name]))(_whole(QUERIES[_name]))
