@@ -3,7 +3,10 @@
 Zstandard ratios (bytes / compressed bytes) are taken of the whole text and of
 its fixed chunks.  Text that repeats itself compresses too well, random or
 encoded text hardly at all, and how well prose compresses depends on its
-length, so each class of lengths has its own limits.  A text is rejected if its
+length, so each class of lengths has its own limits.  Base64 and words of random
+letters and digits are below them from 256 bytes on, hexadecimal digits, which
+have half a byte of content each, from 8 KiB on only: shorter ones compress as
+well as short prose does.  A text is rejected if its
 own ratio is outside its band, or if the chunks outside theirs hold more than a
 given share of the bytes of all measured chunks.
 """
@@ -30,10 +33,10 @@ _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 class Bands:
     """``limits``: (bytes from, least ratio, greatest ratio), ascending."""
 
-    limits: tuple[tuple[int, float, float], ...] = ((0, 0.0, 3.0), (256, 1.1, 3.5), (1024, 1.2, 4.0), (4096, 1.3, 5.0), (16384, 1.3, 6.0))
+    limits: tuple[tuple[int, float, float], ...] = ((0, 0.0, 3.0), (256, 1.25, 3.5), (512, 1.35, 3.5), (1024, 1.5, 4.0), (2048, 1.7, 4.0), (4096, 1.9, 5.0), (8192, 2.0, 5.0), (16384, 2.1, 6.0))
     chunk_bytes: int = 4096
     least_chunk_bytes: int = 1024
-    chunk_limits: tuple[float, float] = (1.2, 5.0)
+    chunk_limits: tuple[float, float] = (1.5, 5.0)
     bad_chunk_share: float = 0.25
     level: int = 3
 

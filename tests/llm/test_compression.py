@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 
@@ -33,6 +34,30 @@ def test_bands():
     assert bands.verdict(b"", z) == (0.0, 0.0, True)
 
 
+def encoded(rng, kind, n):
+    if kind == "words":
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+        return " ".join("".join(rng.choices(letters, k=rng.randrange(3, 10))) for _ in range(n // 3)).encode()[:n]
+    data = base64.b64encode(rng.randbytes(n)) if kind == "base64" else rng.randbytes(n).hex().encode()
+    return b"\n".join(data[i : i + 76] for i in range(0, len(data), 76))[:n]
+
+
+def test_encoded_texts_are_out_of_band():
+    rng = random.Random(3)
+    z = c.zstandard.ZstdCompressor(level=3).compress
+    for n in (300, 500, 900, 1024, 2000, 3000, 4096, 12158, 30000, 100000):
+        for kind in ("base64", "words"):
+            assert not c.Bands().verdict(encoded(rng, kind, n), z)[2], (kind, n)
+    for n in (8192, 12158, 30000, 100000):
+        assert not c.Bands().verdict(encoded(rng, "hex", n), z)[2], n
+
+
+def test_encoded_document_is_not_kept(spark):
+    text = encoded(random.Random(4), "base64", 12158).decode()
+    got = c.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_words > 50 and not got.base_failed and not got.kept
+
+
 def test_rows(spark):
     text = "alpha beta gamma\nalpha beta gamma\n\t\n" + " ".join(f"w{i}" for i in range(60)) + " é# <|>"
     rows = [(1, text, 5), (1, text, 5), (2, None, 1), (3, "", 1), (None, "x", None), (4, "same words here " * 40, 2)]
