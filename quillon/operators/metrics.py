@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,14 @@ def explained_variance(returns: Column, values: Column) -> Column:
     return 1 - F.var_samp(returns - values) / (F.var_samp(returns) + 1e-5)
 
 
+@lru_cache(maxsize=256)
+def resamples(n: int, size: int, times: int, seed: int) -> np.ndarray:
+    """``times`` seeded draws of ``size`` places out of ``n``; they hang on nothing
+    else, so groups of one size share them."""
+    rng = np.random.RandomState(seed)
+    return np.stack([rng.choice(n, size, replace=True) for _ in range(times)])
+
+
 def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int, times: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and population std of the best and worst of ``size`` draws with
     replacement, over ``times`` seeded resamples of each group.  A group is the
@@ -43,8 +53,7 @@ def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[value].to_numpy(np.float64)
-        rng = np.random.RandomState(seed)
-        draws = np.stack([x[rng.choice(len(x), size, replace=True)] for _ in range(times)])
+        draws = x[resamples(len(x), size, times, seed)]
         best, worst = draws.max(1), draws.min(1)
         return pd.DataFrame([[*key, best.mean(), best.std(), worst.mean(), worst.std()]], columns=names)
 

@@ -169,7 +169,15 @@ def scan_sims(spark, d):
 
 @query("scan_keyed_json", "SELECT p_partkey::VARCHAR AS id, p_name AS title, '' AS description, p_type AS categories FROM part WHERE p_partkey < 500")
 def scan_keyed_json(spark, d):
-    part = table(spark, d, "part").filter("p_partkey < 500")
+    return _keyed_json(spark, table(spark, d, "part").filter("p_partkey < 500"))
+
+
+@query("scan_keyed_json_whole", "SELECT p_partkey::VARCHAR AS id, p_name AS title, '' AS description, p_type AS categories FROM part")
+def scan_keyed_json_whole(spark, d):
+    return _keyed_json(spark, table(spark, d, "part"))
+
+
+def _keyed_json(spark, part):
     obj = part.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("categories")))))).alias("value"))  # the format is one object
     return files.keyed_json(spark, _written(spark, obj, "text"))
 
@@ -271,7 +279,8 @@ def trace_to_messages(spark, d):
 
 
 def _batches(spark, d):
-    return p.responses(spark, d).select((F.col("uid") % 16).alias("batch"), (F.col("uid") * 100 + F.col("sample")).alias("ord"), "len").filter("ord % 10 = 1")
+    # all rollouts of 1,024 neighbouring prompt ids: a batch stays as large on any table
+    return p.responses(spark, d).select(F.floor(F.col("uid") / 1024).alias("batch"), (F.col("uid") * 100 + F.col("sample")).alias("ord"), "len")
 
 
 for _name, _kernel, _options in (("balance_kk", k.karmarkar_karp, {"k": 4}), ("balance_greedy", k.greedy_partition, {"k": 4}), ("microbatch", k.micro_batches, {"most_tokens": 2000})):

@@ -229,7 +229,7 @@ def best_of_exact(spark, d):
 
 @query("bootstrap")
 def bootstrap(spark, d):
-    return m.bootstrap(p.responses(spark, d).filter("uid % 50 = 0"), ["uid"], "score", "sample", 4)
+    return m.bootstrap(p.responses(spark, d), ["uid"], "score", "sample", 4)
 
 
 @query("val_route", f"""WITH {p.RESP}, x AS (SELECT status AS source, v.var, v.metric, n FROM (SELECT DISTINCT status, sample AS n FROM resp WHERE sample IN (2, 4)), (VALUES ('reward', 'mean@'), ('reward', 'std@'), ('acc', 'best@'), ('acc', 'maj@')) v(var, metric))

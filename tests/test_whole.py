@@ -1,7 +1,9 @@
 """Nothing is left out: the queries over all rows."""
 
 import math
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.plans import proxies, whole
@@ -39,3 +41,22 @@ def test_token_sum_by_brute_force(spark):
             total, mask = total - logp * (value - 0.5), mask + 1
     got = QUERIES["policy_loss_gpg_whole"](spark, D).first()[0]
     assert math.isclose(got, total / mask, abs_tol=2e-6)
+
+
+def test_batches_are_whole(spark):
+    rows = spark.read.parquet(f"{D}/lineitem.parquet").agg(F.count("*"), F.sum("l_quantity")).first()
+    for name in ("balance_kk", "balance_greedy", "microbatch"):
+        assert tuple(QUERIES[name](spark, D).agg(F.sum("n"), F.sum("tokens")).first()) == tuple(rows)
+
+
+def test_bootstrap_of_every_prompt(spark):
+    by = defaultdict(list)
+    for r in sorted(proxies.responses(spark, D).select("uid", "sample", "score").collect()):
+        by[r.uid].append(r.score)
+    got = {r.uid: r for r in QUERIES["bootstrap"](spark, D).collect()}
+    assert set(got) == set(by)
+    for uid in sorted(by)[:40]:
+        x, rng = np.array(by[uid]), np.random.RandomState(42)
+        draws = [x[rng.choice(len(x), 4, replace=True)] for _ in range(1000)]
+        want = [np.mean([max(v) for v in draws]), np.std([max(v) for v in draws]), np.mean([min(v) for v in draws]), np.std([min(v) for v in draws])]
+        assert np.allclose(got[uid][1:], want, atol=1e-12)
