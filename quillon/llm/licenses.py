@@ -3,6 +3,8 @@
 Text is cut into sentences, each is normalised, and known licence sentences are
 mapped to identifiers.  The identifiers of a document, in order, are then
 matched against licence rules, which are ordered sequences of identifiers.
+A sentence wrapped over lines of a paragraph is one sentence (the SQL knows
+sentences on one line only; they agree where none is wrapped).
 Other sentences between them do not matter, other identifiers do.
 
 All of it is narrow: a row never leaves its task, so a frequent licence line
@@ -87,8 +89,13 @@ _END = r"([.!?;:])[ \t\x0b\x0c\r]+"
 assert all(any(a in s for a in ANCHORS) for s in SENTENCES)
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, _END, "$1\n"), "\n", -1)
+#: Of the lines so cut, those before a blank line or after a full stop end what may be one wrapped sentence.
+_STOP, _PART = r"(?<=[.!?])\n|\n(?=[ \t\x0b\x0c\r]*(?:\n|$))", r"(?<=[;:])\n"
+
+
+def cut(text: Column) -> Column:
+    """A line for each sentence or line of the text."""
+    return F.regexp_replace(text, _END, "$1\n")
 
 
 def normalised(sentence: Column) -> Column:
@@ -105,24 +112,46 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     Rows with a null or empty text or without a known sentence have no result;
     repeated rows have one each; further columns are left out."""
-    known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
     text = F.col("text")
-    found = F.transform(
-        sentences(text),
-        lambda s, i: F.struct(F.when(s.rlike("(?i)" + "|".join(ANCHORS)), F.try_element_at(known, normalised(s))).alias("sid"), i.cast("long").alias("pos")),
-    )
     docs = plain(df, id_col, text_col).toDF("id", "text").filter(text.rlike("(?i)" + "|".join(ANCHORS)))
-    hits = docs.select("id", F.explode(F.array(F.filter(found, lambda x: x["sid"].isNotNull()))).alias("hits")).filter(F.size("hits") > 0)
-    ids = F.array_join(F.col("hits.sid"), ",")
+    hits = docs.select("id", F.explode(F.array(_found(cut(text), (_STOP, _PART, "\n")))).alias("hits")).filter(F.size("hits.sids") > 0)
+    ids = F.array_join(F.col("hits.sids"), ",")
     return hits.select(
         F.col("id").alias(id_col),
-        F.size("hits").cast("long").alias("n_sentences"),
+        F.size("hits.sids").cast("long").alias("n_sentences"),
         ids.alias("sentence_ids"),
-        F.get("hits", 0)["pos"].alias("first_sentence"),
+        F.col("hits.first").alias("first_sentence"),
         _licenses(ids).alias("licenses"),
     )
 
 
+def _found(text: Column, cuts: tuple[str, ...]) -> Column:
+    """``sids`` of the known sentences of ``text``, the line of the ``first`` and
+    the number ``n`` of lines.  The text is cut at the first of ``cuts``; a piece
+    that is a known sentence as a whole counts once, other pieces are cut at the
+    next."""
+    known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
+    none = F.array().cast("array<string>")
+
+    def piece(s: Column) -> Column:
+        lines = (F.length(s) - F.length(F.replace(s, F.lit("\n"))) + 1).cast("long")
+        blank = F.regexp_extract(s, r"^(?:[^A-Za-z0-9\n]*\n)*", 0)
+        sid = F.try_element_at(known, normalised(s))
+        one = F.struct(F.array(sid).alias("sids"), (F.length(blank) - F.length(F.replace(blank, F.lit("\n")))).cast("long").alias("first"), lines.alias("n"))
+        nothing = F.struct(none.alias("sids"), F.lit(0).cast("long").alias("first"), lines.alias("n"))
+        rest = F.when(lines > 1, _found(s, cuts[1:])).otherwise(nothing) if cuts[1:] else nothing
+        return F.when(~s.rlike("(?i)" + "|".join(ANCHORS)), nothing).when(sid.isNotNull(), one).otherwise(rest)
+
+    def whole(parts: Column) -> Column:
+        with_any = F.transform(parts, lambda x: F.size(x["sids"]) > 0)
+        at = F.array_position(with_any, True).cast("int")  # from 1; 0 if there is none
+        total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y["n"])
+        first = F.when(at > 0, total(F.slice(parts, 1, F.greatest(at - 1, F.lit(0)))) + F.get(parts, at - 1)["first"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(F.flatten(F.transform(parts, lambda x: x["sids"])).alias("sids"), first.alias("first"), total(parts).alias("n"))
+
+    return F.get(F.transform(F.array(F.transform(F.split(text, cuts[0], -1), piece)), whole), 0)
+
+
 def _licenses(ids: Column) -> Column:
     in_marks = F.concat(F.lit(","), ids, F.lit(","))
     by_name: dict[str, Column] = {}

@@ -112,6 +112,52 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+WRAPPED = {
+    "Apache-2.0,Apache-2.0-header": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+
+#     http://www.apache.org/licenses/LICENSE-2.0
+
+# See the License for the specific language governing permissions and
+# limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_licenses(spark, end):
+    texts = [f"Title\n\n\n{t}\n\nMore text.".replace("\n", end) for t in WRAPPED.values()]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.licenses for r in sorted(got)] == list(WRAPPED)
+    assert {r.first_sentence for r in got} == {3}
+    marks = spark.createDataFrame([(1, "x. |\nAll rights reserved.")], "doc_id long, text string")
+    assert licenses.scan(marks).first().first_sentence == 2
+
+
 def test_no_python_in_the_plans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for df in (licenses.scan(docs), line_dedup.digests(docs)):
