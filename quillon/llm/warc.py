@@ -212,20 +212,20 @@ def write_warc(df: DataFrame, path: str, id_col: str, url_col: str, payload_col:
     responses.  Null urls are empty, further columns are ignored.  A file holds at
     most ``records_per_file * segment_bytes`` bytes and their headers.
 
-    Rows are numbered in a written table of ids, urls and hashes.  Payloads are
-    reduced to one row for each task and payload before they are dealt by hash, so
-    a payload that any share of the rows has is moved once for each task."""
+    Rows are numbered in a written table, and payloads meet their record's name by
+    that number: it is unique, so no id or payload that many rows have makes a
+    large task.  Of equal payloads only hashes are compared."""
     spark = df.sparkSession
     rows = payload_rows(df, id_col, url_col, payload_col)
     same = ["sha", "xx", "size"]
     large = rows.filter(F.col("size") >= least_bytes)
-    known = materialised(spark, large.select("id", "url", *same).withColumn("number", F.monotonically_increasing_id()), "warc-rows")
+    known = materialised(spark, large.withColumn("number", F.monotonically_increasing_id()), "warc-rows")
     groups = known.groupBy(*same).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
     groups = materialised(spark, groups, "warc-groups")
-    again = known.withColumn("salt", F.pmod(F.col("number"), F.lit(SALTS))).join(groups.filter("n > 1").select(*same, "first", _salts().alias("salt")), [*same, "salt"])
+    again = known.drop("payload").withColumn("salt", F.pmod(F.col("number"), F.lit(SALTS))).join(groups.filter("n > 1").select(*same, "first", _salts().alias("salt")), [*same, "salt"])
     again = again.filter(F.col("number") != F.col("first.number")).select(_urn("id", "number").alias("name"), "url", "size", "sha", _urn("first.id", "first.number").alias("first"))
-    firsts = groups.select(*same, _urn("first.id", "first.number").alias("name"), "first.url")
-    once = large.select("payload", *same).dropDuplicates(same).join(firsts, same).select("name", "url", "payload")
+    firsts = groups.select("first.number", _urn("first.id", "first.number").alias("name"), "first.url")
+    once = known.select("number", "payload").join(firsts, "number").select("name", "url", "payload")
     if least_bytes > 0:
         small = rows.filter(F.col("size") < least_bytes).withColumn("number", F.monotonically_increasing_id())
         once = once.unionByName(small.select(F.concat(_urn("id", "number"), F.lit("s")).alias("name"), "url", "payload"))
