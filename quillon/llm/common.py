@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.session import ship
 
@@ -19,11 +20,15 @@ BATCH_BYTES = 4 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so that a worker's memory
-    does not depend on how long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    does not depend on how long the texts are.  The setting is the session's, as
+    plans run after this returns; a lower bound of the user's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with bounded batches and this package on the workers."""
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
@@ -52,7 +57,9 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = BATCH_BYTES) -> Iterat
     n = batch.num_rows
     if not n:
         return
-    ends = np.frombuffer(batch.column(text).buffers()[1], np.int32)[batch.column(text).offset :][: n + 1].astype(np.int64)
+    column = batch.column(text)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset :][: n + 1].astype(np.int64)
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
@@ -67,7 +74,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of texts, with null as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
 def plain(df: DataFrame, *names: str) -> DataFrame:

@@ -6,9 +6,11 @@ has all the words of an item, whatever their weights, and one threshold serves
 all items.  Postings are in blocks of ``BLOCK`` items with the greatest impact
 of each block.
 
-A document is cut into passages of ``2 s`` words, one every ``s`` words, so each
-run of up to ``s + 1`` words lies wholly in one.  For all passages of a batch at
-once the block maxima of their words are added up; where no block reaches the
+Items are dealt to classes by length, and each class has an index and a stride
+``s`` of its own, a power of two above its lengths, so what is found of an item
+does not hang on how long others are.  A document is cut into passages of ``2 s``
+words, one every ``s`` words, so each run of up to ``s + 1`` words lies wholly in
+one.  For all passages of a batch at once the block maxima of their words are added up; where no block reaches the
 threshold, no item can.  The other passages are queried by block-max WAND:
 cursors over the postings, a pivot from the words' maxima, blocks skipped by
 their maxima, full scores only where both allow it.
@@ -16,17 +18,20 @@ their maxima, full scores only where both allow it.
 What is retrieved is verified: the shares of the question's and of the answer's
 word trigrams that the passage has must both reach a limit.
 
-Only the index is shipped.  An index holds at most ``INDEX_ITEMS`` items and
-``INDEX_BYTES`` of text; a larger benchmark is handled in several, with word
-statistics of all items.  Documents are never shuffled.
+Only indexes are shipped.  A bundle of them, one for each class, holds at most
+``INDEX_ITEMS`` items and ``INDEX_BYTES`` of text, with word statistics of all
+items; a scan of the documents takes up to ``SCAN_BUNDLES``, and only a larger
+benchmark needs a further scan.  Documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,8 @@ from quillon.llm.common import bytes_of, map_batches, plain, slices
 K1, B, BLOCK = 1.2, 0.75, 4
 #: Block maxima that are added up at once, for bounded memory.
 ADD_AT_ONCE = 1 << 19
-INDEX_ITEMS, INDEX_BYTES = 20_000, 16 << 20
+INDEX_ITEMS, INDEX_BYTES, SCAN_BUNDLES = 20_000, 16 << 20, 4
+LEAST_STRIDE = 64
 #: Fixed value: A-Z lower-cased, ASCII punctuation and white space as spaces.
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _PUNCT, bytes(range(97, 123)) + b" " * len(_PUNCT))
@@ -80,15 +86,16 @@ class Index:
     stride: int
     vocab: dict[bytes, int] = field(default_factory=dict)
     #: By term: items, impacts, greatest impact, blocks, block maxima.
-    items: list[list[int]] = field(default_factory=list)
-    impacts: list[list[float]] = field(default_factory=list)
+    items: list[array] = field(default_factory=list)
+    impacts: list[array] = field(default_factory=list)
     most: list[float] = field(default_factory=list)
-    blocks: list[list[int]] = field(default_factory=list)
-    block_most: list[list[float]] = field(default_factory=list)
+    blocks: list[array] = field(default_factory=list)
+    block_most: list[array] = field(default_factory=list)
 
 
 def build(rows: list[tuple[int, str]], n_items: int, mean_words: float, doc_freq: dict[bytes, int], stride: int) -> Index:
-    both = [parts(t) for _, t in rows]
+    one: dict[bytes, bytes] = {}  # a word is held once
+    both = [tuple([one.setdefault(w, w) for w in part] for part in parts(t)) for _, t in rows]
     index = Index([i for i, _ in rows], [q for q, _ in both], [a for _, a in both], stride)
     postings: dict[bytes, list[tuple[int, float]]] = {}
     for at, (q, a) in enumerate(both):
@@ -105,11 +112,11 @@ def build(rows: list[tuple[int, str]], n_items: int, mean_words: float, doc_freq
         items = np.array([i for i, _ in postings[w]], np.int64)
         impacts = np.array([x for _, x in postings[w]])
         starts = np.flatnonzero(np.diff(items // BLOCK, prepend=-1))
-        index.items.append(items.tolist())
-        index.impacts.append(impacts.tolist())
+        index.items.append(array("l", items.tolist()))
+        index.impacts.append(array("d", impacts.tolist()))
         index.most.append(float(impacts.max()))
-        index.blocks.append((items[starts] // BLOCK).tolist())
-        index.block_most.append(np.maximum.reduceat(impacts, starts).tolist())
+        index.blocks.append(array("l", (items[starts] // BLOCK).tolist()))
+        index.block_most.append(array("d", np.maximum.reduceat(impacts, starts).tolist()))
     return index
 
 
@@ -216,9 +223,13 @@ def matches(index: Index, texts: list[bytes], threshold: float, question_share:
         yield t, item, score, q, a, p
 
 
-def indexes(benchmark: DataFrame, item_col: str, text_col: str, index_items: int, index_bytes: int) -> Iterator[Index]:
-    """Indexes of all items with text, each of bounded size, with statistics of
-    all items."""
+def stride_of(n_words: int) -> int:
+    return max(LEAST_STRIDE, 1 << int(n_words).bit_length())
+
+
+def bundles(benchmark: DataFrame, item_col: str, text_col: str, index_items: int, index_bytes: int) -> Iterator[list[Index]]:
+    """Indexes of all items with text, by class of length, in bundles of bounded
+    size, with statistics of all items."""
     spark = benchmark.sparkSession
     items = plain(benchmark, item_col, text_col).toDF("item", "text").filter("item IS NOT NULL AND text IS NOT NULL").distinct()
 
@@ -229,16 +240,21 @@ def indexes(benchmark: DataFrame, item_col: str, text_col: str, index_items: int
                 yield pa.RecordBatch.from_arrays([pa.array([sorted(set(w)) for w in found], pa.list_(pa.binary())), pa.array([len(w) for w in found], pa.int64())], ["words", "n"])
 
     words = map_batches(items, counted, "words array<binary>, n long").filter("n > 0")
-    n, mean, longest = words.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n, mean = words.agg(F.count("*"), F.avg("n")).first()
     if not n:
         return
-    stride = max(64, int(longest) + 1)
     freq = words.select(F.explode("words").alias("w")).groupBy("w").count()
 
-    def made(rows: list[tuple[int, str]]) -> Index:
-        vocab = {w for _, t in rows for p in parts(t) for w in p}
-        own = spark.createDataFrame([(w,) for w in sorted(vocab)], "w binary")
-        return build(rows, n, mean, {bytes(r.w): r["count"] for r in freq.join(own, "w").collect()}, stride)  # as many as one index has
+    def made(rows: list[tuple[int, str]]) -> list[Index]:
+        classes: dict[int, list[tuple[int, str]]] = {}
+        vocab: set[bytes] = set()
+        for row in rows:
+            own = [w for p in parts(row[1]) for w in p]
+            vocab.update(own)
+            classes.setdefault(stride_of(len(own)), []).append(row)
+        known = spark.createDataFrame([(w,) for w in sorted(vocab)], "w binary")
+        doc_freq = {bytes(r.w): r["count"] for r in freq.join(known, "w").collect()}  # as many as one bundle has
+        return [build(own, n, mean, doc_freq, stride) for stride, own in sorted(classes.items())]
 
     held, size = [], 0
     for r in items.sort("item", "text").toLocalIterator():
@@ -253,13 +269,20 @@ def indexes(benchmark: DataFrame, item_col: str, text_col: str, index_items: int
         yield made(held)
 
 
+def scans(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, index_items: int, index_bytes: int):
+    """A broadcast of indexes for each scan of the documents."""
+    found = bundles(benchmark, item_col, text_col, index_items, index_bytes)
+    while group := [i for bundle in islice(found, SCAN_BUNDLES) for i in bundle]:
+        yield docs.sparkSession.sparkContext.broadcast(group)  # bounded by index_items, index_bytes and SCAN_BUNDLES
+
+
 SCHEMA = "item_id {}, score double, question_share double, answer_share double, passage long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, question_share: float = 0.6, answer_share: float = 0.6, index_items: int = INDEX_ITEMS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``id_col``, ``item_id``, ``score``, ``question_share``, ``answer_share`` and
-    ``passage`` (number of the best one) for each row of ``docs`` and item of
-    which a passage is retrieved and verified.
+    ``passage`` (number of the best one, among those of the item's class) for each
+    row of ``docs`` and item of which a passage is retrieved and verified.
 
     Null and empty texts have no passage; items with a null id or text or without
     words match nothing; equal items are one; repeated rows have a result each;
@@ -267,16 +290,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {SCHEMA.format(item_kind)}"
     out = None
-    for index in indexes(benchmark, item_col, item_text_col, index_items, index_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by index_items and index_bytes
+    for held in scans(docs, benchmark, item_col, item_text_col, index_items, index_bytes):
 
         def run(batches, held=held):
             for whole in batches:
                 for b in slices(whole, 1):
-                    rows = list(matches(held.value, bytes_of(b.column(1)), threshold, question_share, answer_share))
+                    texts = bytes_of(b.column(1))
+                    rows = [(t, index.ids[i], *rest) for index in held.value for t, i, *rest in matches(index, texts, threshold, question_share, answer_share)]
                     if rows:
                         t, item, *rest = zip(*rows, strict=True)
-                        cols = [b.column(0).take(pa.array(t)), pa.array([held.value.ids[i] for i in item]), *(pa.array(c) for c in rest)]
+                        cols = [b.column(0).take(pa.array(t)), pa.array(item), *(pa.array(c) for c in rest)]
                         yield pa.RecordBatch.from_arrays(cols, [id_col, "item_id", "score", "question_share", "answer_share", "passage"])
 
         found = map_batches(plain(docs, id_col, text_col), run, schema)
@@ -284,8 +307,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, of which no passage is contaminated.
-    Rows whose id is null are judged by it like any other."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(f"`{id_col}`").alias("quillon_id")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("quillon_id")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, question_share: float = 0.6, answer_share: float = 0.6, index_items: int = INDEX_ITEMS, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that have no contaminated passage.  Each
+    row is judged by its own text where it is read, whatever its id; null and
+    empty texts stay."""
+    out, at = docs, docs.columns.index(text_col)
+    for held in scans(docs, benchmark, item_col, item_text_col, index_items, index_bytes):
+
+        def run(batches, held=held):
+            for whole in batches:
+                for b in slices(whole, at):
+                    texts = bytes_of(b.column(at))
+                    keep = np.ones(len(texts), bool)
+                    for index in held.value:
+                        keep[[t for t, *_ in matches(index, texts, threshold, question_share, answer_share)]] = False
+                    yield b.filter(pa.array(keep))
+
+        out = map_batches(out, run, docs.schema)
+    return out

@@ -96,3 +96,39 @@ def test_rows(spark):
     left = d.clean(docs, items)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
     assert d.contaminated(docs.limit(0), items).collect() == [] and d.contaminated(docs, items.limit(0)).collect() == []
+
+
+def test_verdicts_hang_on_no_other_item(spark):
+    rng = random.Random(13)
+    item = [f"word{i}" for i in range(21)]
+    far = []
+    for w in item:  # the item's words, scattered over about a thousand
+        far += [w, *(f"filler{rng.randrange(10**6)}" for _ in range(50))]
+    near = [f"pad{i}" for i in range(500)] + item + [f"pad{i}" for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(far)), (2, " ".join(near))], "doc_id long, text string")
+    huge = " ".join(f"long{rng.randrange(10**6)}" for _ in range(5000))
+    short = (1, " ".join(item[:14]) + ". " + " ".join(item[14:]) + ".")
+    for items in ([short], [short, (2, huge)]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        assert sorted((r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()) == [(2, 1)]
+        assert [r.doc_id for r in d.clean(docs, bench).collect()] == [1]
+
+
+def test_long_items_are_found_whole(spark):
+    rng = random.Random(14)
+    items = [(k, " ".join(f"v{rng.randrange(400)}" for _ in range(n - 9)) + ". " + " ".join(f"a{rng.randrange(400)}" for _ in range(9)) + ".") for k, n in enumerate((20, 63, 64, 65, 127, 128, 300, 2000))]
+    pad = lambda n: " ".join(f"p{rng.randrange(10**6)}" for _ in range(n))
+    docs = [(k, f"{pad(rng.randrange(700))} {t} {pad(rng.randrange(700))}") for k, t in items]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = d.contaminated(frame, bench, index_items=3)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(k, k) for k, _ in items}
+    assert d.clean(frame, bench, index_items=1).collect() == []
+
+
+def test_all_indexes_in_one_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for index_items, n in ((20_000, 1), (items.count() // 3, 1)):
+        plan = d.contaminated(docs, items, index_items=index_items)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == n and "Join" not in plan
+    assert "Join" not in d.clean(docs, items)._jdf.queryExecution().optimizedPlan().toString()
