@@ -80,7 +80,7 @@ def materialised(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it
     back, so that a lost executor costs no recomputation upstream."""
     to = scratch(spark, what)
-    df.write.mode("overwrite").parquet(to)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
