@@ -1,11 +1,18 @@
 """License scans by sentence rules.
 
-Text is cut into sentences, each is normalised, and known licence sentences are
-mapped to identifiers.  The identifiers of a document, in order, are then
-matched against licence rules, which are ordered sequences of identifiers.
-A sentence wrapped over lines of a paragraph is one sentence (the SQL knows
-sentences on one line only; they agree where none is wrapped).
-Other sentences between them do not matter, other identifiers do.
+A text is normalised and cut into segments: at each line's end, and after each of
+``. ! ? ; :`` with white space.  A normalised segment is its words of a-z and
+digits, so comment marks, bullets, quotes and indentation vanish, and a line
+without words is an empty segment.  A sentence is a run of segments between which
+no segment is empty: a known sentence may thus be wrapped over the lines of a
+paragraph in any way, hold an abbreviation or a colon, or be one line of it, but
+it never reaches over a blank line.
+
+Known sentences are found from the left, the longest first where several begin,
+and mapped to identifiers.  The identifiers of a document, in order, are then
+matched against licence rules, which are ordered sequences of identifiers: other
+sentences between them do not matter, other identifiers do.  A sequence with which
+a longer one of another licence begins counts only where that one is not.
 
 All of it is narrow: a row never leaves its task, so a frequent licence line
 costs no shuffle.  Texts without any word that each known sentence has one of
@@ -18,62 +25,116 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import plain
-from quillon.llm.native import ascii_lower
+from quillon.llm.native import LOWER, UPPER, ascii_lower
 
-#: Known sentences (normalised) and their identifiers.
+#: Known sentences (normalised) and their identifiers, by licence.
 SENTENCES = {
+    # Apache 2.0
     "licensed under the apache license version 2 0": "apache-licensed",
     "licensed under the apache license version 2 0 the license": "apache-licensed",
+    "this project is licensed under the apache license version 2 0": "apache-licensed",
+    "this file is licensed to you under the apache license version 2 0 the license": "apache-licensed",
+    "licensed to the apache software foundation asf under one or more contributor license agreements": "apache-foundation",
+    "see the notice file distributed with this work for additional information regarding copyright ownership": "apache-notice",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache-licensed",
     "you may not use this file except in compliance with the license": "apache-compliance",
     "you may obtain a copy of the license at": "apache-copy",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-unless",
     "see the license for the specific language governing permissions and limitations under the license": "apache-see",
+    # MIT
     "released under the mit license": "mit-released",
     "licensed under the mit license": "mit-released",
     "this software is released under the mit license": "mit-released",
+    "this project is licensed under the mit license": "mit-released",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-as-is",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liable",
+    # ISC
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc-liable",
+    # BSD
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liable",
     "licensed under the bsd 3 clause license": "bsd3-licensed",
     "licensed under the bsd 2 clause license": "bsd2-licensed",
+    # GNU
     "this work is licensed under the gnu general public license version 3": "gpl3-work",
     "this work is licensed under the gnu general public license version 2": "gpl2-work",
+    "licensed under the gnu general public license version 3": "gpl3-work",
+    "licensed under the gnu general public license version 2": "gpl2-work",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-free",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "gpl3-only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope",
     "see the gnu general public license for more details": "gpl-see",
     "you should have received a copy of the gnu general public license along with this program": "gpl-received",
     "licensed under the gnu lesser general public license version 3": "lgpl3-licensed",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-free",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-free",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-hope",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl-received",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-free",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "you should have received a copy of the gnu affero general public license along with this program": "agpl-received",
+    # Mozilla
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-subject",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-obtain",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-obtain",
+    # Creative Commons and others
     "licensed under cc by 4 0": "cc-by-4",
     "licensed under cc by sa 4 0": "cc-by-sa-4",
     "licensed under cc by nc 4 0": "cc-by-nc-4",
     "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4",
     "licensed under cc by nd 4 0": "cc-by-nd-4",
+    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4",
     "this is free and unencumbered software released into the public domain": "unlicense-free",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-anyone",
     "all rights reserved": "all-rights-reserved",
 }
 #: Fixed values: (licence, identifiers in order).
 RULES = (
     ("Apache-2.0", ("apache-licensed",)),
+    ("Apache-2.0-header", ("apache-licensed", "apache-compliance", "apache-copy", "apache-unless", "apache-see")),
     ("Apache-2.0-header", ("apache-licensed", "apache-compliance", "apache-copy", "apache-see")),
     ("MIT", ("mit-released",)),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("MIT-text", ("mit-grant", "mit-notice", "mit-as-is", "mit-liable")),
     ("ISC", ("isc-grant",)),
+    ("ISC-text", ("isc-grant", "isc-as-is", "isc-liable")),
     ("BSD-2-Clause", ("bsd2-licensed",)),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd3-licensed",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising")),
     ("GPL-2.0", ("gpl2-work",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
     ("GPL-2.0-or-later", ("gpl2-free",)),
-    ("GPL-2.0-or-later-header", ("gpl2-free", "gpl-see", "gpl-received")),
+    ("GPL-2.0-or-later-header", ("gpl2-free", "gpl-hope", "gpl-see", "gpl-received")),
     ("GPL-3.0", ("gpl3-work",)),
+    ("GPL-3.0-only", ("gpl3-only",)),
     ("GPL-3.0-or-later", ("gpl3-free",)),
-    ("GPL-3.0-or-later-header", ("gpl3-free", "gpl-see", "gpl-received")),
+    ("GPL-3.0-or-later-header", ("gpl3-free", "gpl-hope", "gpl-see", "gpl-received")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
     ("LGPL-3.0", ("lgpl3-licensed",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
     ("MPL-2.0", ("mpl2-subject",)),
+    ("MPL-2.0-header", ("mpl2-subject", "mpl2-obtain")),
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
@@ -83,98 +144,85 @@ RULES = (
     ("Proprietary", ("all-rights-reserved",)),
 )
 #: Each known sentence has one of these words (checked below).
-ANCHORS = ("licen", "copyright", "permission", "rights", "redistribution", "software")
-#: A sentence ends at a line's end, or after one of these marks and white space.
-_END = r"([.!?;:])[ \t\x0b\x0c\r]+"
+ANCHORS = ("licen", "copyright", "permission", "rights", "redistribution", "software", "liable", "advertising", "hope", "mpl")
 assert all(any(a in s for a in ANCHORS) for s in SENTENCES)
+#: A line's end with the white space before it, and what begins the next line before its first word.
+_LINE = r"[ \t\x0b\x0c\r]*\n[^A-Za-z0-9\n]*"
+#: A segment ends at a line's end, or after one of these marks and white space.
+_END = r"([.!?;:])[ \t\x0b\x0c\r]+"
+#: The known sentences, longest first, as one pattern over segments in ``<>``.
+_KNOWN = "<(?:" + "|".join(s.replace(" ", "(?: |><)") for s in sorted(SENTENCES, key=lambda s: (-len(s), s))) + ")>"
 
 
-#: Of the lines so cut, those before a blank line or after a full stop end what may be one wrapped sentence.
-_STOP, _PART = r"(?<=[.!?])\n|\n(?=[ \t\x0b\x0c\r]*(?:\n|$))", r"(?<=[;:])\n"
-
-
-def cut(text: Column) -> Column:
-    """A line for each sentence or line of the text."""
-    return F.regexp_replace(text, _END, "$1\n")
-
-
-def normalised(sentence: Column) -> Column:
-    """A-Z lower-cased, runs of anything but a-z and digits as one space."""
-    return F.btrim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "), F.lit(" "))
+def segments(text: Column) -> Column:
+    """The normalised segments of a text, each in ``<>``, in one string."""
+    cut = F.regexp_replace(F.regexp_replace(text, _LINE, "\n"), _END, "$1\n")
+    words = F.regexp_replace(ascii_lower(cut), "[^a-z0-9\n]+", " ")
+    return F.concat(F.lit("<"), F.btrim(F.regexp_replace(words, " ?\n ?", "><"), F.lit(" ")), F.lit(">"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row in which a known sentence occurs: ``id_col``, ``n_sentences``
     (known ones, long), ``sentence_ids`` (their identifiers in order, joined by
-    commas), ``first_sentence`` (position of the first, from 0, long) and
-    ``licenses`` (names of the rules found, sorted, joined by commas; empty if no
-    rule's sequence is there).
+    commas), ``first_sentence`` (segments before the first, long) and ``licenses``
+    (names of the rules found, sorted, joined by commas; empty if no rule's sequence
+    is there).
 
     Rows with a null or empty text or without a known sentence have no result;
     repeated rows have one each; further columns are left out."""
     text = F.col("text")
     docs = plain(df, id_col, text_col).toDF("id", "text").filter(text.rlike("(?i)" + "|".join(ANCHORS)))
-    hits = docs.select("id", F.explode(F.array(_found(cut(text), (_STOP, _PART, "\n")))).alias("hits")).filter(F.size("hits.sids") > 0)
-    ids = F.array_join(F.col("hits.sids"), ",")
+    cut = docs.select("id", segments(text).alias("cut")).select("id", "cut", F.regexp_extract_all("cut", F.lit(_KNOWN), 0).alias("found"))
+    known = F.create_map(*(F.lit(x) for s, i in SENTENCES.items() for x in (f"<{s}>", i)))
+    hits = cut.filter(F.size("found") > 0).select(
+        "id",
+        F.transform("found", lambda s: F.try_element_at(known, F.replace(s, F.lit("><"), F.lit(" ")))).alias("sids"),
+        F.expr("substring_index(cut, found[0], 1) AS before"),
+    )
+    ids = F.array_join("sids", ",")
     return hits.select(
         F.col("id").alias(id_col),
-        F.size("hits.sids").cast("long").alias("n_sentences"),
+        F.size("sids").cast("long").alias("n_sentences"),
         ids.alias("sentence_ids"),
-        F.col("hits.first").alias("first_sentence"),
+        (F.length("before") - F.length(F.replace(F.col("before"), F.lit("<")))).cast("long").alias("first_sentence"),
         _licenses(ids).alias("licenses"),
     )
 
 
-def _found(text: Column, cuts: tuple[str, ...]) -> Column:
-    """``sids`` of the known sentences of ``text``, the line of the ``first`` and
-    the number ``n`` of lines.  The text is cut at the first of ``cuts``; a piece
-    that is a known sentence as a whole counts once, other pieces are cut at the
-    next."""
-    known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    none = F.array().cast("array<string>")
-
-    def piece(s: Column) -> Column:
-        lines = (F.length(s) - F.length(F.replace(s, F.lit("\n"))) + 1).cast("long")
-        blank = F.regexp_extract(s, r"^(?:[^A-Za-z0-9\n]*\n)*", 0)
-        sid = F.try_element_at(known, normalised(s))
-        one = F.struct(F.array(sid).alias("sids"), (F.length(blank) - F.length(F.replace(blank, F.lit("\n")))).cast("long").alias("first"), lines.alias("n"))
-        nothing = F.struct(none.alias("sids"), F.lit(0).cast("long").alias("first"), lines.alias("n"))
-        rest = F.when(lines > 1, _found(s, cuts[1:])).otherwise(nothing) if cuts[1:] else nothing
-        return F.when(~s.rlike("(?i)" + "|".join(ANCHORS)), nothing).when(sid.isNotNull(), one).otherwise(rest)
-
-    def whole(parts: Column) -> Column:
-        with_any = F.transform(parts, lambda x: F.size(x["sids"]) > 0)
-        at = F.array_position(with_any, True).cast("int")  # from 1; 0 if there is none
-        total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y["n"])
-        first = F.when(at > 0, total(F.slice(parts, 1, F.greatest(at - 1, F.lit(0)))) + F.get(parts, at - 1)["first"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(F.flatten(F.transform(parts, lambda x: x["sids"])).alias("sids"), first.alias("first"), total(parts).alias("n"))
-
-    return F.get(F.transform(F.array(F.transform(F.split(text, cuts[0], -1), piece)), whole), 0)
+def _longer(name: str, sequence: tuple[str, ...]) -> list[str]:
+    """Sequences of other licences that begin with this one: where they are, this
+    one does not count.  A name that goes on (``MIT-text``) is no other licence."""
+    return [f",{','.join(q)}," for n, q in RULES if not n.startswith(name) and len(q) > len(sequence) and q[: len(sequence)] == sequence]
 
 
 def _licenses(ids: Column) -> Column:
-    in_marks = F.concat(F.lit(","), ids, F.lit(","))
     by_name: dict[str, Column] = {}
     for name, sequence in sorted(RULES):
-        fits = in_marks.contains("," + ",".join(sequence) + ",")
+        left = F.concat(F.lit(","), ids, F.lit(","))
+        for q in _longer(name, sequence):
+            left = F.replace(left, F.lit(q), F.lit(","))
+        fits = left.contains("," + ",".join(sequence) + ",")
         by_name[name] = by_name[name] | fits if name in by_name else fits
     return F.concat_ws(",", *(F.when(fits, F.lit(name)) for name, fits in by_name.items()))
 
 
 def sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    known = ", ".join(f"('<{s}>', '{i}')" for s, i in SENTENCES.items())
     names: dict[str, list[str]] = {}
     for name, sequence in sorted(RULES):
-        names.setdefault(name, []).append(f"contains(',' || sentence_ids || ',', ',{','.join(sequence)},')")
+        left = "',' || sentence_ids || ','"
+        for q in _longer(name, sequence):
+            left = f"replace({left}, '{q}', ',')"
+        names.setdefault(name, []).append(f"contains({left}, ',{','.join(sequence)},')")
     licenses = ", ".join(f"CASE WHEN {' OR '.join(fits)} THEN '{name}' END" for name, fits in names.items())
-    low = "translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low = f"translate(regexp_replace(regexp_replace(text, '{_LINE}', chr(10), 'g'), '{_END}', '\\1' || chr(10), 'g'), '{UPPER}', '{LOWER}')"
+    cut = f"'<' || trim(regexp_replace(regexp_replace({low}, '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?', '><', 'g'), ' ') || '>'"
     return f"""
 WITH k(s, sid) AS (VALUES {known}),
-t AS (SELECT doc_id, string_split(regexp_replace(text, '{_END}', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM documents),
-u AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS pos FROM t),
-n AS (SELECT doc_id, pos, trim(regexp_replace({low}, '[^a-z0-9]+', ' ', 'g'), ' ') AS s FROM u),
-g AS (SELECT doc_id, count(*) AS n_sentences, string_agg(sid, ',' ORDER BY pos) AS sentence_ids, min(pos) AS first_sentence FROM n JOIN k USING (s) GROUP BY doc_id)
-SELECT doc_id, n_sentences, sentence_ids, first_sentence, concat_ws(',', {licenses}) AS licenses FROM g
+c AS (SELECT row_number() OVER () AS r, doc_id, {cut} AS cut FROM documents),
+f AS (SELECT r, doc_id, cut, regexp_extract_all(cut, '{_KNOWN}') AS found FROM c),
+u AS (SELECT r, unnest(found) AS s, generate_subscripts(found, 1) AS pos FROM f),
+g AS (SELECT r, count(*) AS n_sentences, string_agg(sid, ',' ORDER BY pos) AS sentence_ids FROM u JOIN k ON k.s = replace(u.s, '><', ' ') GROUP BY r),
+h AS (SELECT doc_id, n_sentences, sentence_ids, string_split(cut, found[1])[1] AS before FROM g JOIN f USING (r))
+SELECT doc_id, n_sentences, sentence_ids, length(before) - length(replace(before, '<', '')) AS first_sentence, concat_ws(',', {licenses}) AS licenses FROM h
 """
-
-
