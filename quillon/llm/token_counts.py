@@ -1,139 +1,130 @@
 """Token counts of whole texts, huge ones by overlapping chunks.
 
 A text longer than ``chunk_chars`` is cut into chunks that overlap by
-``overlap_chars``.  Each chunk is encoded with offsets.  In the overlap of two
-chunks a boundary is stable if it is proven that both encodings go on alike
-from there:
-
-* in both encodings a pre-token begins there, so the scanner of the later
-  chunk, which has no look-behind, stands where that of the earlier one stood;
-* the character before is white space, which no pre-token, no added string and
-  no Unicode composition spans.  What follows then depends on nothing before;
-* it is no later than the overlap's end, so the earlier chunk has encoded all
-  that lies before it.
-
-The earlier chunk's tokens before the boundary and the later one's from it are
-spliced.  If an overlap has no such boundary it is widened, twofold each time,
-until it has one or reaches the end of the text; a text without white space is
-thus encoded at once, as the library does.
-
-Encoding goes through the library.  White-space-delimited pieces of a chunk are
-independent by the same proof, so a worker keeps a bounded memo of the
-library's result for short pieces and encodes only new ones, all of a slice in
-one call.
+``overlap_chars``, and the library encodes each chunk with offsets.  Two chunks
+are spliced at a place in their overlap where a token begins in both and that is
+proven to be stable, so that what follows depends on nothing before it, and what
+is before it on nothing that follows:
+
+* No added string holds the place, so none is cut there.
+* The character before it is white space of ASCII, which no pre-token, added
+  string or Unicode composition spans; or the characters on both sides are of
+  those of which none composes with a neighbour, and every scanner cuts between
+  them whatever stands around: after or before a digit, between a letter and a
+  mark (but for what may be an English contraction).  The scanner of the
+  pre-tokenizer has no look-behind, so both encodings go on alike from there.
+* It is before the earlier chunk's end, so that its scanner has seen the character
+  at which the pre-token before the place ended.
+
+The earlier chunk's tokens before the place and the later one's from it on are
+counted; one chunk's offsets are held at a time.  If an overlap has no such place
+it is widened, twofold each time, to the left as far as the last splice and then
+to the right, until it has one or the text ends: only a single endless word is
+thus encoded at once, as it is one pre-token for the library too.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillon.llm.common import map_batches, plain, slices, texts_of
 
-#: White space of ASCII that every tokenizer here drops and splits at.
-PIECES = re.compile(r"[^ \t\n\r]+")
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
+SPACE = " \t\n\r"
+#: Fixed value: the pre-tokenizer's pattern for which the classes below are proven.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Ranges of letters, digits and marks that compose with no neighbour.
+LETTERS = (("A", "Z"), ("a", "z"), ("А", "я"), ("一", "龥"))
+DIGITS = (("0", "9"),)
+MARKS = (("!", "/"), (":", "@"), ("[", "`"), ("{", "~"), ("、", "〃"), ("〈", "】"), ("！", "／"), ("：", "＠"))
 SLICE_BYTES = 2 << 20
 
 
-class ChunkEncoder:
-    """Encodes chunks to (start of each pre-token, tokens up to and with it).
+def _class(ranges) -> str:
+    return "".join(f"{re.escape(a)}-{re.escape(b)}" for a, b in ranges)
+
+
+_L, _N, _M = (_class(x) for x in (LETTERS, DIGITS, MARKS))
+_AFTER_SPACE = re.compile(rf"(?<=[{SPACE}])[^{SPACE}]")
+_PLACE = re.compile(rf"(?<=[{SPACE}])[^{SPACE}]|(?<=[{_N}])[{_L}{_N}{_M}]|(?<=[{_L}{_M}])[{_N}]|(?<=[{_L}])[{_M}]|(?<=[{_M}])(?<!')[{_L}]")
 
-    ``tokenizer``: of the ``tokenizers`` library.  It must drop white space
-    and split at it, as files with a white-space normaliser and a removing
-    split do."""
+
+class ChunkEncoder:
+    """Counts tokens through a tokenizer of the ``tokenizers`` library.  It must
+    drop white space and split at it."""
 
     def __init__(self, tokenizer) -> None:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self._tok = tokenizer
-        self._memo: dict[str, int] = {}
-        self._empty: dict[str, int] = {}
         probe = tokenizer.encode_batch(["a b", "a\nb", "a \t\r b", "a", "b"], add_special_tokens=False)
         if any(e.ids != probe[3].ids + probe[4].ids for e in probe[:3]):
             raise ValueError("this tokenizer does not drop and split at white space")
-
-    def learn(self, texts: list[str]) -> dict[str, int]:
-        """Token counts of the pieces of these texts; new ones are encoded."""
-        cold: set[str] = set()
-        for t in texts:
-            cold.update(set(t.split()).difference(self._memo) if t.isascii() and not _ODD(t) else set(PIECES.findall(t)).difference(self._memo))
-        cold.discard("")
-        words = list(cold)
-        found = dict(zip(words, (len(e) for e in self._tok.encode_batch_fast(words, add_special_tokens=False)), strict=True))
-        self._memo |= found
-        return found
-
-    def forget(self, found: dict[str, int]) -> None:
-        """Between slices: bound the memo."""
-        if len(self._memo) > MEMO_ENTRIES:
-            self._memo.clear()
-            return
-        for w in found:
-            if len(w) > MEMO_CHARS:
-                self._memo.pop(w, None)
-
-    def count(self, text: str) -> int:
-        """Tokens of a text whose pieces are learnt."""
-        memo = self._memo
-        return sum([memo[w] for w in (text.split() if text.isascii() and not _ODD(text) else PIECES.findall(text))])
-
-    def encode(self, chunk: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of pre-token runs in the chunk, and tokens before each (one
-        more: all of them)."""
-        found = [(m.start(), self._memo[m[0]]) for m in PIECES.finditer(chunk)]
-        return np.array([s for s, _ in found], np.int64), np.cumsum([0, *(n for _, n in found)])
-
-
-#: ASCII separators that Python, but not the library, takes for white space, and those that only the library's \s has.
-_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f]").search
-
-
-def resynchronised(text: str, encode, chunk_chars: int, overlap_chars: int) -> tuple[int, int, int]:
-    """(tokens, chunks, widened overlaps) of a text.  ``encode(chunk)`` gives
-    the starts of its pre-token runs and the tokens before each."""
+        added = list(tokenizer.get_added_tokens_decoder().values())
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or set(t.content) & set(SPACE) for t in added):
+            raise ValueError("added strings must be matched as they stand and hold no white space")
+        self._added = [t.content for t in added]
+        steps = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+        found = [s.get("pattern", {}).get("Regex") for s in steps.get("pretokenizers", [steps])]
+        self._place = _PLACE if PATTERN in found else _AFTER_SPACE
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts."""
+        return [len(e) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def starts(self, chunk: str) -> np.ndarray:
+        """Where each token of a chunk begins."""
+        return np.array([a for a, _ in self._tok.encode(chunk, add_special_tokens=False).offsets], np.int64)
+
+    def stable(self, text: str, low: int, high: int) -> list[int]:
+        """The stable places of ``text`` in ``(low, high)``, the last one first."""
+        part, base = text[low:high], low
+        return [base + m.start() for m in reversed(list(self._place.finditer(part))) if m.start() and not self._held(text, base + m.start())]
+
+    def _held(self, text: str, at: int) -> bool:
+        """Whether an added string begins before ``at`` and ends after it."""
+        return any(text.find(s, max(0, at - len(s) + 1), at + len(s) - 1) >= 0 for s in self._added)
+
+
+def resynchronised(text: str, starts: Callable[[str], np.ndarray], stable: Callable[[str, int, int], list[int]], chunk_chars: int, overlap_chars: int) -> tuple[int, int, int]:
+    """(tokens, chunks, widened overlaps) of a text.  ``starts(chunk)`` gives the
+    places where its tokens begin, ``stable(text, low, high)`` the stable places
+    between two places, from the right."""
     n = len(text)
-    at, total, chunks, widened = 0, 0, 0, 0
-    start, before = encode(text[:chunk_chars])
+    total, chunks, widened = 0, 1, 0
+    last = at = 0  # the last splice; where the current chunk begins
     end = min(n, chunk_chars)
-    skip = 0  # tokens of the current chunk that precede the last splice
+    now = starts(text[:end])
     while end < n:
-        chunks += 1
-        wide = overlap_chars
+        wide, size = overlap_chars, chunk_chars
         while True:
-            left = max(at, end - wide)  # the overlap is [left, end); the next chunk begins at left
-            to = min(n, left + max(chunk_chars, 2 * wide))
-            start2, before2 = encode(text[left:to])
-            common = np.intersect1d(start[start + at > left] + at, start2[start2 > 0] + left, assume_unique=True)
-            common = common[common < end]
-            proven = [int(c) for c in common if text[c - 1] in " \t\n\r"]
-            if proven:
+            left = max(last, end - wide)
+            to = min(n, max(left + size, end + 1))
+            then = starts(text[left:to])
+            here, there = set((now + at).tolist()), set((then + left).tolist())
+            splice = next((c for c in stable(text, left, end) if c in here and c in there and c > last), None)
+            if splice is not None:
                 break
             widened += 1
-            if to >= n and left <= at:  # nothing to splice: the rest at once
-                proven = []
-                break
-            if left <= at:  # widen to the right: take the chunk itself larger
-                end = min(n, end + wide)
-                start, before = encode(text[at:end])
-                if end >= n:
-                    break
-            wide *= 2
-        if end >= n:
-            break
-        if not proven:
-            start, before = encode(text[at:])
-            end = n
-            break
-        c = proven[-1]
-        total += int(before[np.searchsorted(start, c - at)]) - skip
-        skip = int(before2[np.searchsorted(start2, c - left)])
-        at, start, before, end = left, start2, before2, to
-    return total + int(before[-1]) - skip, chunks + 1, widened
+            wide, size = 2 * wide, max(size, 4 * wide)
+            if left == last:  # nothing more to the left: the chunk itself is widened
+                at, end = last, min(n, last + 2 * (end - last))
+                skipped = text[last:end]
+                now = starts(skipped)
+                if end == n:
+                    return total + len(now), chunks, widened
+        before = int(np.searchsorted(now, splice - at)) - int(np.searchsorted(now, last - at))
+        total += before
+        last, at, end, now = splice, left, to, then
+        chunks += 1
+    return total + len(now) - int(np.searchsorted(now, last - at)), chunks, widened
 
 
 @lru_cache(maxsize=4)
@@ -164,40 +155,14 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for whole in batches:
             for b in slices(whole, 1, SLICE_BYTES):
                 texts = texts_of(b.column(1))
-                found = encoder.learn(texts)
-                rows = []
-                for t in texts:
+                rows = np.ones((len(texts), 3), np.int64)
+                short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
+                rows[short, 0], rows[short, 2] = encoder.counts([texts[i] for i in short]), 0
+                for i, t in enumerate(texts):
                     if len(t) > chunk_chars:
-                        rows.append(resynchronised(t, lambda chunk: _cut(encoder, chunk), chunk_chars, overlap_chars))
-                    else:
-                        rows.append((encoder.count(t), 1, 0))
-                encoder.forget(found)
-                cols = np.array(rows, np.int64)
-                sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), sizes, *(pa.array(cols[:, i]) for i in range(3))], [id_col, "n_bytes", "n_tokens", "n_chunks", "n_widened"])
+                        rows[i] = resynchronised(t, encoder.starts, encoder.stable, chunk_chars, overlap_chars)
+                sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), sizes, *(pa.array(rows[:, i]) for i in range(3))], [id_col, "n_bytes", "n_tokens", "n_chunks", "n_widened"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_batches(plain(df, id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, n_chunks long, n_widened long")
-
-
-def _cut(encoder: ChunkEncoder, chunk: str) -> tuple[np.ndarray, np.ndarray]:
-    """Encode a chunk; the pieces that its edges cut are new and learnt first.
-    Their counts are not kept: no splice uses them."""
-    edges = [w for w in (chunk[: _lead(chunk)], chunk[len(chunk) - _tail(chunk) :]) if w]
-    found = encoder.learn(edges)
-    out = encoder.encode(chunk)
-    for w in found:
-        encoder._memo.pop(w, None)
-    return out
-
-
-_HEAD, _LAST = re.compile(r"[^ \t\n\r]*"), re.compile(r"[ \t\n\r]")
-
-
-def _lead(chunk: str) -> int:
-    return _HEAD.match(chunk).end()
-
-
-def _tail(chunk: str) -> int:
-    k = max(chunk.rfind(c) for c in " \t\n\r")
-    return len(chunk) - k - 1
