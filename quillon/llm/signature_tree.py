@@ -13,18 +13,22 @@ reaches a threshold; the result is the components of the links.  It is exact
    documents share from bringing those documents together.
 3. Prefixes.  Of two linked sets, the first ``n - ceil(t n) + 1`` tokens have
    one in common.  These tokens are dealt by bucket as packed arrays; classes
-   that share one are a group, cut by size as linked sets are of like sizes,
-   and beyond ``GROUP`` members into pairs of blocks.  Equal groups are one.
+   that share one are a group, cut by size as linked sets are of like sizes.
+   Equal groups are one.  A group of more than ``GROUP`` members is kept in
+   blocks of half as many, and a task has two of them.
 4. Trees.  A group becomes a binary tree whose nodes hold the OR of their
    members' bitmaps, the range of their sizes and their component.  The tree is
    traversed against itself, level by level: a pair of nodes is pruned if the
    bits in common allow too small an overlap, or if all members of both are in
    one component.  What is left at the leaves are candidates.
-5. Links.  The first round asks for a spanning forest of the candidates only:
-   if each of its pairs is a link, the components are those of all candidates,
-   so copies need not be expanded into all pairs.  Pairs are verified on the
-   whole sets.  If any fails, a second round verifies every candidate pair
-   between different components, and nothing is left undecided.
+5. Links.  The first round asks for a spanning forest of the candidates only, in
+   large groups of those within two blocks that follow each other: linear in the
+   members.  Pairs are verified on the whole sets.  The second round takes the
+   groups that have more than one component then.  Large ones are dealt to blocks
+   anew, by component, and every two blocks are traversed against each other but
+   those that lie in one component or whose sizes are too unlike; every candidate
+   pair between different components is verified.  So a group of copies costs its
+   number of members, and only members outside its main component meet all blocks.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ from quillon.llm.common import bytes_of, map_batches, plain, slices
 from quillon.llm.components import components
 from quillon.session import materialised
 
-HOT_TOKENS, HOT_COUNT, GROUP, BUCKET_ROWS = 1 << 19, 24, 4096, 250_000
+HOT_TOKENS, HOT_COUNT, GROUP, BUCKET_ROWS = 1 << 19, 24, 1024, 250_000
+#: Bits of a bitmap at most; longer sets have fewer bits a token, and so more candidates.
+MOST_BITS = 1 << 17
 SALTS = 16
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("key", "<i8")])
@@ -149,8 +155,9 @@ def set_key(t: np.ndarray) -> int:
 
 
 def bitmap(t: np.ndarray) -> bytes:
-    """A power of two of at least four bits a token, one set for each token."""
-    width = max(64, 1 << max(0, 4 * len(t) - 1).bit_length())
+    """A power of two of at least four bits a token, up to ``MOST_BITS``, one set
+    for each token."""
+    width = min(MOST_BITS, max(64, 1 << max(0, 4 * len(t) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(mix(t ^ _MULT[2]) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -166,16 +173,16 @@ def prefix_size(n, percent: int):
 
 
 def set_rows(df: DataFrame, words: int) -> DataFrame:
-    """``id``, ``n``, ``key``, ``bits`` of each row."""
+    """``id``, ``th`` (hash of the text), ``n``, ``key``, ``bits`` of each row."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, 1):
                 sets = list(token_sets(bytes_of(b.column(1)), words))
                 cols = [pa.array([len(t) for t in sets], pa.int64()), pa.array([set_key(t) for t in sets], pa.int64()), pa.array([bitmap(t) if len(t) else b"" for t in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n", "key", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["id", "th", "n", "key", "bits"])
 
-    return map_batches(df, run, f"id {df.schema['id'].dataType.simpleString()}, n long, key long, bits binary")
+    return map_batches(df.select("id", "text", "th"), run, f"id {df.schema['id'].dataType.simpleString()}, th long, n long, key long, bits binary")
 
 
 def _short(t: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +230,7 @@ def prefix_rows(df: DataFrame, words: int, percent: int, buckets: int, hot: np.n
                 out = np.split(rows, ends[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["bucket", "rows"])
 
-    return map_batches(df, run, "bucket long, rows binary")
+    return map_batches(df.select("id", "text"), run, "bucket long, rows binary")
 
 
 def _by_bucket(batches, kind):
@@ -266,9 +273,8 @@ def hot_tokens(packed: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(counted.filter(level >= least).select("code").toPandas()["code"].to_numpy(np.int64).view(np.uint64))
 
 
-def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int, most: int = GROUP):
-    """Lists of members to be joined: bands of like sizes, each with the next
-    one, beyond ``most`` members as pairs of blocks."""
+def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int):
+    """Members that may link, by size: bands of like sizes, each with the next."""
     order = np.lexsort((keys, sizes))
     keys, sizes = keys[order], sizes[order]
     at = 0
@@ -277,26 +283,16 @@ def groups_of(keys: np.ndarray, sizes: np.ndarray, percent: int, most: int = GRO
         end = int(np.searchsorted(sizes, sizes[at] * 100 // percent, "right"))
         reach = int(np.searchsorted(sizes, sizes[end - 1] * 100 // percent, "right"))
         if reach - at > 1:
-            if reach - at <= most:
-                yield keys[at:reach], sizes[at:reach]
-            else:
-                half = most // 2
-                for i in range(at, end, half):
-                    own = slice(i, min(i + half, end))
-                    far = int(np.searchsorted(sizes, sizes[own.stop - 1] * 100 // percent, "right"))
-                    if own.stop >= far and own.stop - i > 1:
-                        yield keys[own], sizes[own]
-                    for j in range(own.stop, far, half):
-                        other = slice(j, min(j + half, far))
-                        yield np.concatenate((keys[own], keys[other])), np.concatenate((sizes[own], sizes[other]))
+            yield keys[at:reach], sizes[at:reach]
         if reach == len(keys) and end == len(keys):
             break
         at = end
 
 
 def shared_groups(packed: DataFrame, percent: int, most: int = GROUP) -> DataFrame:
-    """``gid``, ``size``, ``members`` (key and size): each group of classes that
-    share a prefix token, once."""
+    """``gid``, ``size``, ``block``, ``keys``, ``sizes``: each group of classes that
+    share a prefix token, once, in one block or, of more than ``most`` members, in
+    blocks of half as many, by size."""
 
     def run(batches):
         for _, rows in _by_bucket(batches, _ROW):
@@ -306,26 +302,33 @@ def shared_groups(packed: DataFrame, percent: int, most: int = GROUP) -> DataFra
             starts = np.concatenate(([0], ends[:-1]))
             many = ends - starts > 1
             seen: dict[int, tuple] = {}
+            held = 0
             for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                for keys, sizes in groups_of(rows["key"][a:b], rows["n"][a:b].astype(np.int64), percent, most):
+                for keys, sizes in groups_of(rows["key"][a:b], rows["n"][a:b].astype(np.int64), percent):
                     with np.errstate(over="ignore"):
                         gid = int(mix(keys.view(np.uint64) * _MULT[3] + sizes.astype(np.uint64)).sum().view(np.int64))
+                    held += 0 if gid in seen else len(keys)
                     seen.setdefault(gid, (keys, sizes))
-                if len(seen) > 20_000:
-                    yield _groups(seen)
+                if held > 200_000:
+                    yield _groups(seen, most)
                     seen.clear()
+                    held = 0
             if seen:
-                yield _groups(seen)
+                yield _groups(seen, most)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = map_batches(dealt, run, "gid long, keys array<long>, sizes array<long>")
-    return found.groupBy("gid", F.size("keys").alias("size")).agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"))
+    found = map_batches(dealt, run, "gid long, size long, block long, keys array<long>, sizes array<long>")
+    return found.groupBy("gid", "size", "block").agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"))
 
 
-def _groups(seen: dict) -> pa.RecordBatch:
-    ends = pa.array(np.cumsum([0, *(len(k) for k, _ in seen.values())]).astype(np.int32))
-    cols = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in seen.values()]))) for i in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), *cols], ["gid", "keys", "sizes"])
+def _groups(seen: dict, most: int) -> pa.RecordBatch:
+    rows = []
+    for gid, (keys, sizes) in seen.items():
+        step = len(keys) if len(keys) <= most else max(1, most // 2)
+        rows += [(gid, len(keys), i // step, keys[i : i + step], sizes[i : i + step]) for i in range(0, len(keys), step)]
+    ends = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32))
+    cols = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[i] for r in rows]))) for i in (3, 4)]
+    return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), *cols], ["gid", "size", "block", "keys", "sizes"])
 
 
 class Forest:
@@ -418,8 +421,9 @@ def candidates(sizes: np.ndarray, bits: list[bytes], label: np.ndarray, percent:
 
 
 def candidate_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """``a``, ``an``, ``b``, ``bn``: distinct candidates of all groups.
-    ``members``: ``gid``, ``size``, ``key``, ``n``, ``bits``, ``label``."""
+    """``a``, ``an``, ``b``, ``bn``: distinct candidates.  ``members``: ``gid``,
+    ``size``, ``task`` (those with the same three meet), ``key``, ``n``, ``bits``,
+    ``label``."""
 
     def run(batches):
         held, at = [], None
@@ -431,11 +435,11 @@ def candidate_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
 
         waiting = []
         for b in batches:
-            for gid, size, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (gid, size) != at:
+            for gid, size, task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (gid, size, task) != at:
                     if held:
                         waiting.append(close())
-                    held, at = [], (gid, size)
+                    held, at = [], (gid, size, task)
                     if len(waiting) > 500:
                         yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0] if sum(x.num_rows for x in waiting) else waiting[0]
                         waiting = []
@@ -446,19 +450,20 @@ def candidate_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
             if x.num_rows:
                 yield x
 
-    dealt = members.select("gid", "size", "key", "n", "bits", "label").repartition("gid", "size").sortWithinPartitions("gid", "size", "n", "key")
+    dealt = members.select("gid", "size", "task", "key", "n", "bits", "label").repartition("gid", "size", "task").sortWithinPartitions("gid", "size", "task", "n", "key")
     return map_batches(dealt, run, "a long, an long, b long, bn long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs with ``linked``, by their whole sets.  ``sets``: ``key``, ``n``,
-    ``rep``, whose text in ``docs`` (``id``, ``text``) has the set."""
+    ``rep``: id (which may be null) and hash of a text in ``docs`` (``id``,
+    ``text``, ``th``) that has the set."""
     ends = pairs.select(F.col("a").alias("key"), F.col("an").alias("n")).unionByName(pairs.select(F.col("b").alias("key"), F.col("bn").alias("n"))).distinct()
-    wanted = ends.join(sets, ["key", "n"])
-    found = docs.join(wanted, docs["id"] == wanted["rep"]).select("key", "n", "text")
+    wanted = ends.join(sets, ["key", "n"]).select("key", "n", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    found = docs.join(wanted, docs["id"].eqNullSafe(F.col("rep_id")) & (docs["th"] == F.col("rep_th"))).select("key", "n", "text")
 
     def matching(batches):
-        """An id may have several texts: only that with the set counts."""
+        """Texts of one hash may differ: only that with the set counts."""
         for whole in batches:
             for b in slices(whole, 2):
                 own = [set_key(t) == k and len(t) == n for t, k, n in zip(token_sets(bytes_of(b.column(2)), words), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
@@ -481,24 +486,51 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     return map_batches(both.select("a", "an", "b", "bn", "ta", "tb"), run, "a long, an long, b long, bn long, linked boolean")
 
 
-def linked_classes(spark: SparkSession, sets: DataFrame, bits: DataFrame, docs: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+def open_blocks(members: DataFrame, percent: int, half: int) -> DataFrame:
+    """``gid``, ``size``, ``key``, ``n``, ``label``, ``task``: of groups with several
+    labels, blocks of about ``half`` members, and for each two of them that may hold
+    a link between labels the members of both.  A label of many members has blocks
+    of its own, dealt by hash, and other labels share blocks; only counts are
+    needed for that, so no task sees a whole group."""
+    names, most = ["gid", "size"], F.lit(max(1, half // 4))
+    count = members.groupBy(*names, "label").agg(F.count(F.lit(1)).alias("c"))
+    few = count.filter(F.col("c") < most).groupBy(*names).agg(F.ceil(F.sum("c") / half).alias("shared"))
+    count = count.join(few, names, "left")
+    own = F.xxhash64("label", F.pmod(F.xxhash64("key", "n"), F.ceil(F.col("c") / half)))
+    blocks = members.join(count, [*names, "label"]).withColumn("block", F.when(F.col("c") >= most, own).otherwise(F.pmod(F.xxhash64("label"), F.col("shared")))).drop("c", "shared")
+    ends = blocks.groupBy(*names, "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
+    a, b = ends.toDF(*names, "i", "lo", "hi", "first", "last"), ends.toDF(*names, "j", "lo2", "hi2", "first2", "last2")
+    apart = ~((F.col("first") == F.col("last2")) & (F.col("last") == F.col("first2")))
+    like = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
+    both = a.join(b, names).filter((F.col("i") <= F.col("j")) & apart & like).select(*names, "i", "j", F.xxhash64("i", "j").alias("task"))
+    either = both.select(*names, F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "task")
+    return blocks.join(either, [*names, "block"]).drop("block")
+
+
+def linked_classes(spark: SparkSession, sets: DataFrame, bits: DataFrame, docs: DataFrame, groups: DataFrame, words: int, percent: int, most: int = GROUP) -> DataFrame:
     """``key``, ``n``, ``root``: the linked classes and their components."""
     names = F.struct("key", "n")
-    flat = groups.select("gid", "size", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("sizes").alias("n"))))
+    large = F.col("size") > most
+    flat = groups.select("gid", "size", "block", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("sizes").alias("n"))))
     members = materialised(spark, flat.join(bits, ["key", "n"]), "near-members")
-    pairs = materialised(spark, candidate_pairs(members.withColumn("label", F.xxhash64(names)), percent, False), "near-pairs")
+    # a large group's block meets the one before and the one after it
+    windows = members.select("*", F.explode(F.when(large & (F.col("block") > 0), F.array("block", F.col("block") - 1)).otherwise(F.array("block"))).alias("task"))
+    pairs = materialised(spark, candidate_pairs(windows.withColumn("label", F.xxhash64(names)), percent, False), "near-pairs")
     tested = materialised(spark, verified(pairs, sets, docs, words, percent), "near-links")
 
     def roots(links: DataFrame) -> DataFrame:
         found = components(links.filter("linked").select(F.struct(F.col("a").alias("key"), F.col("an").alias("n")).alias("a"), F.struct(F.col("b").alias("key"), F.col("bn").alias("n")).alias("b")))
         return found.select("node.key", "node.n", "root")
 
-    if tested.filter("NOT linked").isEmpty():
+    if tested.filter("NOT linked").isEmpty() and members.filter(large).isEmpty():
         return roots(tested)
     known = materialised(spark, roots(tested), "near-roots")
-    label = members.join(known, ["key", "n"], "left").withColumn("label", F.xxhash64(F.coalesce("root", names))).drop("root")
-    open_groups = label.groupBy("gid", "size").agg(F.count_distinct("label").alias("labels")).filter("labels > 1").drop("labels")
-    more = candidate_pairs(label.join(open_groups, ["gid", "size"]), percent, True).join(tested, ["a", "an", "b", "bn"], "left_anti")
+    label = members.select("gid", "size", "key", "n").join(known, ["key", "n"], "left").withColumn("label", F.xxhash64(F.coalesce("root", names))).drop("root")
+    open_groups = label.groupBy("gid", "size").agg((F.min("label") != F.max("label")).alias("open")).filter("open").drop("open")
+    left = materialised(spark, label.join(open_groups, ["gid", "size"]), "near-open")
+    small = left.filter(~large).withColumn("task", F.lit(0).cast("long"))
+    meeting = small.unionByName(open_blocks(left.filter(large), percent, max(1, most // 2))).join(bits, ["key", "n"])
+    more = candidate_pairs(meeting, percent, True).join(tested, ["a", "an", "b", "bn"], "left_anti")
     rest = materialised(spark, verified(materialised(spark, more, "near-pairs"), sets, docs, words, percent), "near-links")
     return roots(tested.unionByName(rest))
 
@@ -510,22 +542,21 @@ def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     Null, empty and blank texts have the empty set and link with nothing.  Equal
     sets link, so repeated rows are in one component, and rows of one id with
     different texts are judged by their own.  A null id stays null and is no
-    component's smallest id unless all are null; a set that only rows without an
-    id have links with equal sets alone.  Further columns are left
-    out."""
+    component's smallest id unless all are null; rows without an id link as others
+    do.  Further columns are left out."""
     spark = df.sparkSession
-    docs = plain(df, id_col, text_col).toDF("id", "text")
+    docs = plain(df, id_col, text_col).toDF("id", "text").withColumn("th", F.xxhash64("text"))
     rows = materialised(spark, set_rows(docs, words), "near-sets")
     full = rows.filter("n > 0")
-    sets = materialised(spark, full.groupBy("key", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
+    sets = materialised(spark, full.groupBy("key", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(64, 1 << (int(total) // BUCKET_ROWS).bit_length())
     hot = hot_tokens(prefix_rows(docs, words, percent, buckets, None), buckets)
     groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot), percent, group), "near-groups")
     bits = full.dropDuplicates(["key", "n"]).select("key", "n", "bits")
-    found = linked_classes(spark, sets.select("key", "n", "rep"), bits, docs.filter("id IS NOT NULL"), groups, words, percent)
+    found = linked_classes(spark, sets.select("key", "n", "rep"), bits, docs, groups, words, percent, group)
     named = sets.join(found, ["key", "n"], "left").withColumn("root", F.coalesce("root", F.struct("key", "n")))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = named.groupBy("root").agg(F.min("rep.id").alias("component_id"))
     shared = named.withColumn("alone", (F.col("copies") == 1) & (F.col("root") == F.struct("key", "n")))
     sizes = shared.groupBy("root").agg(F.count(F.lit(1)).alias("classes"))
     # only classes that are not alone are looked up, by key and salt: one may have any share of the rows

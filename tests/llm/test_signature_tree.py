@@ -84,11 +84,67 @@ def test_groups_keep_every_pair_of_like_sizes():
     for n in (2, 9, 40, 130):
         sizes = np.sort(rng.integers(1, 60, n))
         keys = np.arange(n)
-        got = {frozenset((a, b)) for k, _ in s.groups_of(keys, sizes, 80, 10) for a in k.tolist() for b in k.tolist() if a < b}
+        got = {frozenset((a, b)) for k, _ in s.groups_of(keys, sizes, 80) for a in k.tolist() for b in k.tolist() if a < b}
         want = {frozenset((a, b)) for a in range(n) for b in range(a + 1, n) if 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])}
         assert want <= got
 
 
+def test_null_ids_are_bridges(spark):
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join(base[k : k + 90]) for k in range(0, 40, 4)]  # each links with the next ones only
+    rows = [(7, chain[0]), *((None, t) for t in chain[1:-1]), (3, chain[-1]), (None, "nothing like it at all here"), (None, None)]
+    want = brute(rows, 5, 80)
+    assert (7, 86, 3) in want
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, th string")
+    for group in (1024, 4):
+        assert sorted(map(tuple, s.joined(df, group=group).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("group", [6, 40])
+def test_large_groups_of_near_copies(spark, monkeypatch, group):
+    """One large group of near copies, with outsiders that share its tokens."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+
+    def changed(words, k):
+        words = list(words)
+        for _ in range(k):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    rows = [(i, changed(base, rng.choice([1, 1, 2]))) for i in range(160)]
+    rows += [(1000 + i, changed(base, rng.choice([3, 4, 6]))) for i in range(40)]
+    rows += [(2000 + i, changed(base[:30] + [f"own{i}x{j}" for j in range(25)], 0)) for i in range(20)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, s.joined(df, group=group).collect()), key=repr) == brute(rows, 5, 80)
+
+
+def test_blocks_of_open_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, 100, k, int(n), int(lab)) for g, labels in ((1, 1), (2, 3), (3, 100)) for k, (n, lab) in enumerate(zip(rng.integers(20, 30, 100), rng.integers(0, labels, 100), strict=True))]
+    members = spark.createDataFrame(rows, "gid long, size long, key long, n long, label long")
+    got = s.open_blocks(members, 80, 10).collect()
+    by_task = {}
+    for r in got:
+        by_task.setdefault((r.gid, r.task), set()).add(r.key)
+    assert max(map(len, by_task.values())) <= 50 and sum(map(len, by_task.values())) / len(by_task) <= 25
+    assert not any(g == 1 for g, _ in by_task)  # one component: nothing left to do
+    meet = {(g, frozenset(p)) for (g, _), keys in by_task.items() for a in keys for b in keys if a < b for p in [(a, b)]}
+    of = {(r[0], r[2]): r for r in rows}
+    for g in (2, 3):
+        for a in range(100):
+            for b in range(a):
+                x, y = of[g, a], of[g, b]
+                if x[4] != y[4] and 100 * min(x[3], y[3]) >= 80 * max(x[3], y[3]):
+                    assert (g, frozenset((a, b))) in meet
+
+
+def test_long_sets_have_bounded_bitmaps(monkeypatch):
+    monkeypatch.setattr(s, "MOST_BITS", 128)
+    test_trees_lose_no_candidate()
+
+
 def test_trees_lose_no_candidate():
     rng = random.Random(6)
     for _ in range(20):
