@@ -17,15 +17,20 @@ is before it on nothing that follows:
   at which the pre-token before the place ended.
 
 The earlier chunk's tokens before the place and the later one's from it on are
-counted; one chunk's offsets are held at a time.  If an overlap has no such place
+counted; two chunks are held at a time.  If an overlap has no such place
 it is widened, twofold each time, to the left as far as the last splice and then
 to the right, until it has one or the text ends: only a single endless word is
 thus encoded at once, as it is one pre-token for the library too.
+
+Shorter texts need no chunks.  Their pieces between white space are independent
+by the same proof, so a worker keeps a bounded memo of the library's counts for
+short pieces and encodes only new ones, all of a slice in one call.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -45,6 +50,7 @@ LETTERS = (("A", "Z"), ("a", "z"), ("А", "я"), ("一", "龥"))
 DIGITS = (("0", "9"),)
 MARKS = (("!", "/"), (":", "@"), ("[", "`"), ("{", "~"), ("、", "〃"), ("〈", "】"), ("！", "／"), ("：", "＠"))
 SLICE_BYTES = 2 << 20
+MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
 
 
 def _class(ranges) -> str:
@@ -52,6 +58,9 @@ def _class(ranges) -> str:
 
 
 _L, _N, _M = (_class(x) for x in (LETTERS, DIGITS, MARKS))
+_PIECES = re.compile(rf"[^{SPACE}]+")
+#: ASCII separators that Python, but not the library, takes for white space, and those that only the library's \s has.
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f]").search
 _AFTER_SPACE = re.compile(rf"(?<=[{SPACE}])[^{SPACE}]")
 _PLACE = re.compile(rf"(?<=[{SPACE}])[^{SPACE}]|(?<=[{_N}])[{_L}{_N}{_M}]|(?<=[{_L}{_M}])[{_N}]|(?<=[{_L}])[{_M}]|(?<=[{_M}])(?<!')[{_L}]")
 
@@ -71,17 +80,29 @@ class ChunkEncoder:
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word or set(t.content) & set(SPACE) for t in added):
             raise ValueError("added strings must be matched as they stand and hold no white space")
         self._added = [t.content for t in added]
+        self._memo: dict[str, int] = {}
         steps = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
         found = [s.get("pattern", {}).get("Regex") for s in steps.get("pretokenizers", [steps])]
         self._place = _PLACE if PATTERN in found else _AFTER_SPACE
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of whole texts."""
-        return [len(e) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def starts(self, chunk: str) -> np.ndarray:
-        """Where each token of a chunk begins."""
-        return np.array([a for a, _ in self._tok.encode(chunk, add_special_tokens=False).offsets], np.int64)
+        """Tokens of whole texts, from those of their pieces."""
+        memo = self._memo
+        pieces = [t.split() if t.isascii() and not _ODD(t) else _PIECES.findall(t) for t in texts]
+        new = list({w for p in pieces for w in p if w not in memo})
+        memo |= zip(new, map(len, self._tok.encode_batch_fast(new, add_special_tokens=False)), strict=True)
+        out = [sum([memo[w] for w in p]) for p in pieces]
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
+        else:
+            for w in new:
+                if len(w) > MEMO_CHARS:
+                    del memo[w]
+        return out
+
+    def encode(self, chunk: str):
+        """The library's encoding of a chunk, with offsets."""
+        return self._tok.encode(chunk, add_special_tokens=False)
 
     def stable(self, text: str, low: int, high: int) -> list[int]:
         """The stable places of ``text`` in ``(low, high)``, the last one first."""
@@ -93,42 +114,48 @@ class ChunkEncoder:
         return any(text.find(s, max(0, at - len(s) + 1), at + len(s) - 1) >= 0 for s in self._added)
 
 
-def resynchronised(text: str, starts: Callable[[str], np.ndarray], stable: Callable[[str, int, int], list[int]], chunk_chars: int, overlap_chars: int) -> tuple[int, int, int]:
-    """(tokens, chunks, widened overlaps) of a text.  ``starts(chunk)`` gives the
-    places where its tokens begin, ``stable(text, low, high)`` the stable places
-    between two places, from the right."""
+def before(encoding, place: int) -> int | None:
+    """The tokens before ``place``, if one begins there."""
+    k = encoding.char_to_token(place)
+    return k if k is not None and encoding.token_to_chars(k)[0] == place else None
+
+
+def resynchronised(text: str, encode: Callable, stable: Callable[[str, int, int], list[int]], chunk_chars: int, overlap_chars: int) -> tuple[int, int, int]:
+    """(tokens, chunks, widened overlaps) of a text.  ``encode(chunk)`` gives the
+    library's encoding, ``stable(text, low, high)`` the stable places between two
+    places, from the right."""
     n = len(text)
     total, chunks, widened = 0, 1, 0
     last = at = 0  # the last splice; where the current chunk begins
+    skip = 0  # tokens of the current chunk before the last splice
     end = min(n, chunk_chars)
-    now = starts(text[:end])
+    now = encode(text[:end])
     while end < n:
-        wide, size = overlap_chars, chunk_chars
-        while True:
+        wide, size, found = overlap_chars, chunk_chars, None
+        while found is None:
             left = max(last, end - wide)
             to = min(n, max(left + size, end + 1))
-            then = starts(text[left:to])
-            here, there = set((now + at).tolist()), set((then + left).tolist())
-            splice = next((c for c in stable(text, left, end) if c in here and c in there and c > last), None)
-            if splice is not None:
-                break
-            widened += 1
-            wide, size = 2 * wide, max(size, 4 * wide)
-            if left == last:  # nothing more to the left: the chunk itself is widened
-                at, end = last, min(n, last + 2 * (end - last))
-                skipped = text[last:end]
-                now = starts(skipped)
-                if end == n:
-                    return total + len(now), chunks, widened
-        before = int(np.searchsorted(now, splice - at)) - int(np.searchsorted(now, last - at))
-        total += before
-        last, at, end, now = splice, left, to, then
+            then = encode(text[left:to])
+            places = ((c, before(now, c - at), before(then, c - left)) for c in stable(text, left, end) if c > last)
+            found = next((x for x in places if x[1] is not None and x[2] is not None), None)
+            if found is None:
+                widened += 1
+                wide, size = 2 * wide, max(size, 4 * wide)
+                if left == last:  # nothing more to the left: the chunk itself is widened
+                    at, end, skip = last, min(n, last + 2 * (end - last)), 0
+                    now = encode(text[at:end])
+                    if end == n:
+                        return total + len(now), chunks, widened
+        last, first, again = found
+        total += first - skip
+        at, end, now, skip = left, to, then, again
         chunks += 1
-    return total + len(now) - int(np.searchsorted(now, last - at)), chunks, widened
+    return total + len(now) - skip, chunks, widened
 
 
 @lru_cache(maxsize=4)
 def _encoder(spec: str) -> ChunkEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return ChunkEncoder(Tokenizer.from_str(spec))
@@ -160,7 +187,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 rows[short, 0], rows[short, 2] = encoder.counts([texts[i] for i in short]), 0
                 for i, t in enumerate(texts):
                     if len(t) > chunk_chars:
-                        rows[i] = resynchronised(t, encoder.starts, encoder.stable, chunk_chars, overlap_chars)
+                        rows[i] = resynchronised(t, encoder.encode, encoder.stable, chunk_chars, overlap_chars)
                 sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), sizes, *(pa.array(rows[:, i]) for i in range(3))], [id_col, "n_bytes", "n_tokens", "n_chunks", "n_widened"])
 

@@ -19,13 +19,13 @@ class Watched(tc.ChunkEncoder):
         super().__init__(lib())
         self.got = []
 
-    def starts(self, chunk):
+    def encode(self, chunk):
         self.got.append(len(chunk))
-        return super().starts(chunk)
+        return super().encode(chunk)
 
 
 def spliced(encoder, text, chunk, overlap):
-    return tc.resynchronised(text, encoder.starts, encoder.stable, chunk, overlap)
+    return tc.resynchronised(text, encoder.encode, encoder.stable, chunk, overlap)
 
 
 def random_texts(rng, n, size):
@@ -40,7 +40,9 @@ def test_spliced_counts_are_the_librarys():
     rng, encoder = random.Random(2), Watched()
     made = list(random_texts(rng, 1500, 300))
     made += ["x" * 900, "<|endoftext|><|startoftext|>a", "", "   ", "no-space" * 100 + " end", "1" * 300, "<|endoftext|>" * 30]
-    for text, want in zip(made, lib().encode_batch(made, add_special_tokens=False), strict=True):
+    wanted = lib().encode_batch(made, add_special_tokens=False)
+    assert encoder.counts(made) == encoder.counts(made) == [len(w.ids) for w in wanted]
+    for text, want in zip(made, wanted, strict=True):
         for chunk, overlap in ((40, 8), (17, 3), (100, 50)):
             encoder.got.clear()
             tokens, chunks, widened = spliced(encoder, text, chunk, overlap)
