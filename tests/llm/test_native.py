@@ -24,7 +24,7 @@ def brute_lines(rows, least_docs, least_chars, keep_first):
         for pos, line in enumerate(lines):
             key = low(line.strip(SPACE))
             at = where[key]
-            gone = len(key) >= least_chars and len({x[:2] for x in at}) >= least_docs
+            gone = len(key) >= least_chars and len({x[0] for x in at}) >= least_docs
             if gone and keep_first:
                 gone = (i, pos) != min((x[0], x[2]) for x in at)
             if not gone:
@@ -54,6 +54,42 @@ def test_lines_null_ids_and_empty_table(spark):
     assert line_dedup.digests(df.limit(0)).collect() == []
 
 
+def test_one_id_with_several_texts_is_one_document(spark):
+    rows = [(1, "same\na"), (1, "same\nb"), (1, "same\na"), (2, "x\nsame"), (2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dropped(df, 3, 1).collect()) == sorted(t for _, t in rows)
+    assert sorted(r.text for r in line_dedup.dropped(df, 2, 1).collect()) == ["a", "a", "b", "x", "y"]
+
+
+def test_lines_of_long_texts_and_clashing_names(spark):
+    rng = random.Random(7)
+    common = [f"common {i}" for i in range(20)]
+    rows = [(i, "\n".join([rng.choice(common) if rng.random() < 0.01 else f"own {i} {j}" for j in range(20_000)]) + "\n" + "z" * 300_000) for i in range(3)]
+    rows += [(9, "z" * 300_000), (10, "common 1"), (11, "common 1\n" * 700), (12, "a")]
+    df = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "doc_id long, text string, quillon_keep string, quillon_dropped int, id int, th int")
+    got = line_dedup.dropped(df, 2, 1)
+    assert got.columns == ["doc_id", "text", "id", "th", "quillon_lines", "quillon_dropped"]
+    rowed = sorted(((r.doc_id, r.quillon_lines, r.quillon_dropped, r.text) for r in got.collect()), key=repr)
+    assert rowed == brute_lines(rows, 2, 1, False)
+
+
+def test_bitmaps_hold_only_words_that_lose_a_line(spark):
+    text = "\n".join(f"line {i}" if i not in (70, 71, 9_000) else "gone" for i in range(10_000))
+    got = line_dedup.keep_bitmaps(spark.createDataFrame([(1, text), (2, "gone"), (3, "kept")], "doc_id long, text string"), 2).collect()
+    assert {r.id: (r.n_dropped, [tuple(e) for e in r.keep]) for r in got} == {1: (3, [(1, ~(3 << 6)), (140, ~(1 << 40))]), 2: (1, [(0, ~1)])}
+
+
+def test_lines_agree_with_sql(spark):
+    rng = random.Random(11)
+    pool = ["", " ", "Same", "same ", "\u00e9", "\t", "x y"] + [f"line {i}" for i in range(60)]
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, "\n".join(rng.choice(pool) for _ in range(rng.randrange(12)))])) for _ in range(120)]
+    df = spark.createDataFrame(rows + rows[:10], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("arrow_documents", df.toArrow())
+    con.sql("CREATE VIEW documents AS SELECT * FROM arrow_documents")
+    assert sorted(map(tuple, line_dedup.digests(df).collect()), key=repr) == sorted(con.sql(line_dedup.SQL).fetchall(), key=repr)
+
+
 def test_url_rules(spark):
     urls = [None, "no scheme", "HTTP://A.Example.NET/en/x?y", "x://example.net/de/", "x://net", "x://notnet/", "x://a.net/?q", "x://b.example.com/de/", "x://b.example.com/d", "x://w.org/fr/1#f", "a://b://c.net/d"]
     df = spark.createDataFrame([(i, u, None, "z") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
