@@ -106,6 +106,15 @@ def test_url_rules(spark):
     assert link_graph.judged(df.limit(0)).collect() == []
 
 
+def sql_agrees(df, **options):
+    con = duckdb.connect()
+    con.register("arrow_pages", df.toArrow())
+    con.sql("CREATE VIEW pages AS SELECT * FROM arrow_pages")
+    got = sorted(map(tuple, link_graph.judged(df, **options).collect()), key=repr)
+    assert got == sorted(con.sql(link_graph.sql(**options)).fetchall(), key=repr)
+    return got
+
+
 def test_link_scores(spark):
     rng = random.Random(4)
     hosts = [f"h{i}.net" if i < 4 else f"h{i}.org" if i < 8 else f"h{i}.info" for i in range(16)]
@@ -113,13 +122,42 @@ def test_link_scores(spark):
     for i in range(120):
         links = "".join(f'<a HREF="http://{rng.choice(hosts)}/p">' for _ in range(rng.randrange(4))) + '<a href="/local"><a href=//H9.info/x>'
         pages.append((i, f"https://{rng.choice(hosts)}{rng.choice(['/fr/a', '/b'])}", links))
+    pages += pages[:5] + [(None, "http://h9.info/", "<a href='http://h0.net/'>"), (200, "http://h10.info/x", "<p>" * 200_000 + "<a href='http://h0.net/'>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = sorted(map(tuple, link_graph.judged(df, margin=0.05).collect()))
-    con = duckdb.connect()
-    con.register("arrow_pages", df.toArrow())
-    con.sql("CREATE VIEW pages AS SELECT * FROM arrow_pages")
-    assert got == sorted(con.sql(link_graph.sql(margin=0.05)).fetchall())
-    assert len({r[4] for r in got if r[3] is None}) == 2
+    got = sql_agrees(df, least_distrust=0.2)
+    assert len(got) == len(pages) and len({r[4] for r in got if r[3] is None}) == 2
+
+
+def test_scores_by_plain_sums(spark):
+    """Both fixed points, computed host by host."""
+    rng = random.Random(5)
+    names = [f"h{i}" for i in range(30)]
+    trust, distrust = ({h: round(rng.random(), 2) for h in rng.sample(names, 8)} for _ in range(2))
+    links = {(a, b): rng.randrange(1, 5) for a in names for b in rng.sample(names, 4) if a != b}
+    links |= {("h0", b): 1 for b in names[1:]} | {(a, "h1"): 2 for a in names if a != "h1"}
+    seeds = spark.createDataFrame([(h, trust.get(h, 0.0), distrust.get(h, 0.0)) for h in names], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([(*k, n) for k, n in links.items()], "src string, dst string, n long")
+    out = {a: sum(n for (x, _), n in links.items() if x == a) for a in names}
+    good, bad = {h: 0.15 * s for h, s in trust.items()}, dict(distrust)
+    for _ in range(12):
+        good = {h: 0.15 * trust.get(h, 0) + 0.85 * sum(good.get(a, 0) * n / out[a] for (a, b), n in links.items() if b == h) for h in names}
+        bad = {h: distrust.get(h, 0) + 0.85 * (1 - distrust.get(h, 0)) * sum(bad.get(b, 0) * n / out[a] for (a, b), n in links.items() if a == h) for h in names}
+    for frame, want in zip(link_graph.scores(seeds, edges, 12, 0.85), (good, bad), strict=True):
+        got = {r.host: r.score for r in frame.collect()}
+        assert all(abs(got.get(h, 0.0) - x) < 1e-12 for h, x in want.items())
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 40])
+def test_verdict_hangs_on_the_hosts_own_links(spark, linkers):
+    """Hosts that link to a blocked host only are blocked however many there are,
+    and one that a hub of trust links to, or with few bad links, is not."""
+    pages = [(0, "http://bad.net/", "")]
+    pages += [(1 + i, f"http://farm{i}.info/", "<a href='http://bad.net/x'>") for i in range(linkers)]
+    pages += [(900, "http://far.info/", "<a href='http://farm0.info/'>"), (901, "http://mixed.info/", "<a href='http://bad.net/'>" + "".join(f"<a href='http://ok{i}.info/'>" for i in range(3)))]
+    pages += [(910 + i, f"http://t{i}.org/fr/", "<a href='http://seen.info/'>") for i in range(3)] + [(920, "http://seen.info/", "<a href='http://bad.net/'>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdict = {r[1]: r[4] for r in sql_agrees(df)}
+    assert {h for h, v in verdict.items() if v == "block"} == {"bad.net", "far.info", *(f"farm{i}.info" for i in range(linkers))}
 
 
 def test_licenses(spark):
