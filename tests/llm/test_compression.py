@@ -22,6 +22,51 @@ def test_repeated_words_and_lines():
     assert c.duplicate_lines(b"a\n\n\n \na\na \n") == 1
 
 
+def test_long_texts_are_counted_as_short_ones():
+    rng = random.Random(5)
+    pool = [b"a", b"bb", "\u00e9".encode(), b"#x", b"\x1c", b"word"]
+    for _ in range(200):
+        data = b"".join(rng.choice(pool) + rng.choice([b" ", b"\n", b"\t ", b"\r\n", b"\n\n", b"\x0b"]) for _ in range(rng.randrange(120)))
+        words = data.split()
+        want = (len(words), len(b"".join(words).decode()), len(c._SYMBOLS.findall(data)), c.duplicate_lines(data), c.repeated_words(words))
+        for piece in (1, 7, 50, 10**6):
+            assert c.long_counts(data, piece) == want
+
+
+def test_long_text_needs_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(6)
+    data = " ".join(f"w{rng.randrange(20_000)}" for _ in range(1_000_000)).encode()
+    tracemalloc.start()
+    got = c.long_counts(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == 1_000_000 and peak < 100 << 20
+
+
+def planted(rng, kind, n):
+    """At least ``n`` bytes and 50 words, none of three words in a row repeated."""
+    words, size = [], 0
+    while size <= n or len(words) < 50:
+        if kind == "repetitive":
+            w = "abcabcabc" * (1 + (n >= 1024)) + str(len(words))
+        else:
+            w = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randrange(2, 8)))
+        words.append(w)
+        size += len(w) + 1
+    return " ".join(words)
+
+
+def test_bands_reject_what_the_base_rules_pass(spark):
+    rng = random.Random(7)
+    rows = [(n, kind, planted(rng, kind, n)) for n in (256, 384, 500, 512, 1024, 2048, 4096, 8192, 16384, 60000, 2 << 20) for kind in ("repetitive", "incompressible")]
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in c.judged(docs).collect()}
+    for i, (n, kind, _) in enumerate(rows):
+        assert not got[i].base_failed and got[i].n_repeat_words == 0 and not got[i].kept, (n, kind, got[i])
+
+
 def test_bands():
     rng = random.Random(2)
     z = c.zstandard.ZstdCompressor(level=3).compress
