@@ -219,11 +219,14 @@ def feature_rows(df: DataFrame, id_col: str, text_col: str, keep: str) -> DataFr
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Gam:
     """Train on at most ``train_rows`` labelled documents that are not held out,
     those with the smallest hashes of their id.  Null ids and labels are left
-    out; an id with several labels counts with the smallest."""
+    out; an id with several labels counts with the smallest, and one with several
+    rows with the smallest features, so no more than ``train_rows`` rows of
+    features come to the driver."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "doc_id", "text", "quality")  # the sample is bounded
+    rows = rows.groupBy("id", "quality").agg(F.min("x").alias("x"))
     got = rows.toPandas().sort_values(["id", "x"], key=lambda c: c.map(tuple) if c.name == "x" else c) if train_rows else None
     if got is None or got.empty:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0))

@@ -60,3 +60,88 @@ def test_rows(spark):
     assert len({r.score for r in got if r.doc_id == 1}) == 1
     assert quality.judged(docs.limit(0), labels).collect() == []
     assert len(quality.judged(docs, labels.limit(0)).collect()) == 6
+
+
+def plain_tree(g, h, depth, smooth, least):
+    """The best tree over ordered bins, by trying every cut."""
+    if depth:
+        found = []
+        for cut in range(1, len(g)):
+            left, right = (sum(g[:cut]), sum(h[:cut])), (sum(g[cut:]), sum(h[cut:]))
+            if left[1] >= least and right[1] >= least:
+                gain = sum(a * a / (b + smooth) for a, b in (left, right)) - sum(g) ** 2 / (sum(h) + smooth)
+                found.append((gain, -cut))
+        if found and max(found)[0] > 1e-9:
+            cut = -max(found)[1]
+            return plain_tree(g[:cut], h[:cut], depth - 1, smooth, least) + plain_tree(g[cut:], h[cut:], depth - 1, smooth, least)
+    return [sum(g) / (sum(h) + smooth)] * len(g)
+
+
+def plain_cells(cells, smooth, shape):
+    """Values by cell of the best cut of both axes, by trying every one."""
+    best = None
+    for i in range(1, shape[0]):
+        for j in range(1, shape[1]):
+            sums = {}
+            for (a, b), (g, h) in cells.items():
+                s = sums.setdefault((a >= i, b >= j), [0.0, 0.0])
+                s[0] += g
+                s[1] += h
+            gain = sum(g * g / (h + smooth) for g, h in sums.values())
+            if best is None or gain > best[0] + 1e-12:
+                best = gain, i, j, sums
+    gain, i, j, sums = best
+    value = {k: g / (h + smooth) for k, (g, h) in sums.items()}
+    total = [sum(v[k] for v in cells.values()) for k in (0, 1)]
+    return gain - total[0] ** 2 / (total[1] + smooth), lambda a, b: value.get((a >= i, b >= j), 0.0)
+
+
+def test_boosting_by_plain_sums():
+    """The whole training once more, row by row, without tables."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(70, 4)), 1)
+    x[:, 3] = 1.0  # one value: a feature that cannot be cut
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3) | (rng.random(70) < 0.1)).astype(float)
+    options = {"bins": 8, "pair_bins": 4, "rounds": 5, "pair_rounds": 4, "n_pairs": 2}
+    model = quality.train(x, y, **options)
+    rows, rate, smooth = range(len(y)), 0.1, 1.0
+    bin_of = {(f, n): [sum(v >= c for c in quality.edges(x[:, f], n)) for v in x[:, f]] for f in range(4) for n in (8, 4)}
+    mean = (y.sum() + 1) / (len(y) + 2)
+    raw = [float(np.log(mean / (1 - mean)))] * len(y)
+
+    def slopes():
+        p = [1 / (1 + np.exp(-r)) for r in raw]
+        return [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p]
+
+    for _ in range(5):
+        for f in range(3):
+            g, h = slopes()
+            n = len(quality.edges(x[:, f], 8)) + 1
+            at = bin_of[f, 8]
+            tree = plain_tree([sum(g[r] for r in rows if at[r] == k) for k in range(n)], [sum(h[r] for r in rows if at[r] == k) for k in range(n)], 2, smooth, 1.0)
+            raw = [raw[r] + rate * tree[at[r]] for r in rows]
+
+    def cells(i, j):
+        g, h = slopes()
+        out = {}
+        for r in rows:
+            c = out.setdefault((bin_of[i, 4][r], bin_of[j, 4][r]), [0.0, 0.0])
+            c[0] += g[r]
+            c[1] += h[r]
+        return plain_cells(out, smooth, (len(quality.edges(x[:, i], 4)) + 1, len(quality.edges(x[:, j], 4)) + 1))
+
+    pairs = sorted(((-cells(i, j)[0], i, j) for i in range(3) for j in range(i + 1, 3)))[:2]
+    assert [p[:2] for p in model.pairs] == [(i, j) for _, i, j in pairs]
+    for _ in range(4):
+        for _, i, j in pairs:
+            value = cells(i, j)[1]
+            raw = [raw[r] + rate * value(bin_of[i, 4][r], bin_of[j, 4][r]) for r in rows]
+    assert np.allclose(model.raw(x), raw, atol=1e-9)
+
+
+def test_score_at_the_cut_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)] + [(4, "another")] * 5 + [(None, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {(r.score, r.predicted) for r in quality.judged(docs, none).collect()} == {(0.5, 1)}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert quality.judged(docs, labels).count() == 36
