@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +62,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``
-    as the cluster sets it.  Only where it is unset (tests, one machine) is a
-    local folder taken and set."""
+    as the cluster sets it.  Only on one machine, where it may be unset, a local
+    folder is taken and set; a cluster without it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
@@ -71,15 +75,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quillon/{what}-{uuid.uuid4().hex}"
+#: Paths of the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
 
 
-def materialised(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, what: str, outer: bool = False) -> str:
+    """A new path in the shared folder.  It goes with the innermost open scope, or
+    with ``outer`` with the one around it; without a scope it stays until
+    ``clear_scratch``."""
+    to = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if len(_SCOPES) > outer:
+        _SCOPES[-1 - outer].append(to)
+    return to
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made inside are deleted at the end: what still
+    reads them must have been written by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for path in made:
+            removed(spark, path)
+
+
+def materialised(spark: SparkSession, df: DataFrame, what: str, outer: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it
     back, so that a lost executor costs no recomputation upstream."""
-    to = scratch(spark, what)
+    to = scratch(spark, what, outer)
     df.write.mode("overwrite").option("compression", "zstd").parquet(to)
     return spark.read.schema(df.schema).parquet(to)
 
@@ -92,6 +123,6 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all intermediate tables of the shared folder.  Results that still
+    """Delete all intermediate tables of this application.  Results that still
     read them must have been written elsewhere."""
-    removed(spark, f"{shared_dir(spark)}/quillon")
+    removed(spark, _own_dir(spark))
