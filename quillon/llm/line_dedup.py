@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import plain
 from quillon.llm.native import ascii_lower, lines, stripped
-from quillon.session import materialised
+from quillon.session import materialised, scope
 
 SALTS = 32
 KEEP = "array<struct<word:int,bits:bigint>>"
@@ -95,8 +95,9 @@ def dropped(df: DataFrame, least_docs: int = 10, least_chars: int = 1, keep_firs
 
     Bitmaps are written first: below Spark's broadcast limit no text is moved,
     else texts meet them by id and hash."""
-    maps = keep_bitmaps(df, least_docs, least_chars, keep_first, id_col, text_col)
-    maps = materialised(df.sparkSession, maps, "line-bitmaps").select(F.col("id").alias("quillon_id"), F.col("th").alias("quillon_th"), F.col("n_dropped").alias("quillon_n"), F.col("keep").alias("quillon_keep"))
+    with scope(df.sparkSession):
+        maps = materialised(df.sparkSession, keep_bitmaps(df, least_docs, least_chars, keep_first, id_col, text_col), "line-bitmaps", outer=True)
+    maps = maps.select(F.col("id").alias("quillon_id"), F.col("th").alias("quillon_th"), F.col("n_dropped").alias("quillon_n"), F.col("keep").alias("quillon_keep"))
     names = [c for c in df.columns if c not in OWN]
     text, all_lines = F.col(f"`{text_col}`"), lines(F.col(f"`{text_col}`"))
     both = df.select(*(F.col(f"`{c}`") for c in names)).join(maps, F.col(f"`{id_col}`").eqNullSafe(F.col("quillon_id")) & (F.xxhash64(text) == F.col("quillon_th")), "left")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bytes_of, map_batches, plain, slices
 from quillon.llm.components import components
-from quillon.session import materialised
+from quillon.session import materialised, scope
 
 HOT_TOKENS, HOT_COUNT, GROUP, BUCKET_ROWS = 1 << 19, 24, 1024, 250_000
 #: Bits of a bitmap at most; longer sets have fewer bits a token, and so more candidates.
@@ -551,10 +551,11 @@ def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     sets = materialised(spark, full.groupBy("key", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(64, 1 << (int(total) // BUCKET_ROWS).bit_length())
-    hot = hot_tokens(prefix_rows(docs, words, percent, buckets, None), buckets)
-    groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot), percent, group), "near-groups")
-    bits = full.dropDuplicates(["key", "n"]).select("key", "n", "bits")
-    found = linked_classes(spark, sets.select("key", "n", "rep"), bits, docs, groups, words, percent, group)
+    with scope(spark):  # only the components stay
+        hot = hot_tokens(prefix_rows(docs, words, percent, buckets, None), buckets)
+        groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot), percent, group), "near-groups")
+        bits = full.dropDuplicates(["key", "n"]).select("key", "n", "bits")
+        found = materialised(spark, linked_classes(spark, sets.select("key", "n", "rep"), bits, docs, groups, words, percent, group), "near-components", outer=True)
     named = sets.join(found, ["key", "n"], "left").withColumn("root", F.coalesce("root", F.struct("key", "n")))
     least = named.groupBy("root").agg(F.min("rep.id").alias("component_id"))
     shared = named.withColumn("alone", (F.col("copies") == 1) & (F.col("root") == F.struct("key", "n")))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import BATCH_BYTES, map_batches, slices
-from quillon.session import materialised
+from quillon.session import materialised, scope
 
 #: Fixed values of the format.
 VERSION, EOL, END = b"WARC/1.1", b"\r\n", "\r\n\r\n"
@@ -215,6 +215,11 @@ def write_warc(df: DataFrame, path: str, id_col: str, url_col: str, payload_col:
     Rows are numbered in a written table, and payloads meet their record's name by
     that number: it is unique, so no id or payload that many rows have makes a
     large task.  Of equal payloads only hashes are compared."""
+    with scope(df.sparkSession):
+        _records_of(df, id_col, url_col, payload_col, least_bytes, segment_bytes, chunk_bytes).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _records_of(df: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int, segment_bytes: int, chunk_bytes: int) -> DataFrame:
     spark = df.sparkSession
     rows = payload_rows(df, id_col, url_col, payload_col)
     same = ["sha", "xx", "size"]
@@ -241,8 +246,7 @@ def write_warc(df: DataFrame, path: str, id_col: str, url_col: str, payload_col:
             out = [revisit(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    made = map_batches(once, responses, "value binary").unionByName(map_batches(again, revisits, "value binary")).select(F.col("value").cast("string"))
-    made.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    return map_batches(once, responses, "value binary").unionByName(map_batches(again, revisits, "value binary")).select(F.col("value").cast("string"))
 
 
 def _urn(id_col: str, number: str) -> Column:

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from quillon.llm import decontamination, quality
+from quillon.session import materialised
 from tests.llm.test_native import brute_lines
 from tests.llm.test_signature_tree import brute
 
@@ -17,7 +18,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     out = [docs.toPandas()]
     for name, f in cp.STAGES:
-        docs = cp.materialised(spark, f(spark, docs, D), "test")
+        docs = materialised(spark, f(spark, docs, D), "test")
         out.append(docs.toPandas())
     return out
 
