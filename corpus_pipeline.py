@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontamination, line_dedup, quality, signature_tree
-from quillon.session import materialised, table
+from quillon.session import removed, scope, scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = signature_tree.joined(docs)
     first = joined.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    again = docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])  # texts are only moved again if a row may repeat
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +62,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared
-    folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialised(spark, docs, "stage")
-    return docs
+    folder and read again, and what it needed meanwhile is deleted then.  Only the
+    last stage's input stays, until its result has been read
+    (``session.clear_scratch``)."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        to = scratch(spark, "stage")
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(to)
+        docs = spark.read.schema(out.schema).parquet(to)
+        if before:
+            removed(spark, before)
+        before = to
+    return STAGES[-1][1](spark, docs, sf_dir)
