@@ -46,7 +46,7 @@ from quillon.llm.common import bytes_of, map_batches, plain, slices
 from quillon.llm.components import components
 from quillon.session import materialised, scope
 
-HOT_TOKENS, HOT_COUNT, GROUP, BUCKET_ROWS = 1 << 19, 24, 1024, 250_000
+HOT_TOKENS, HOT_COUNT, GROUP, BUCKET_ROWS = 1 << 19, 24, 1024, 60_000
 #: Bits of a bitmap at most; longer sets have fewer bits a token, and so more candidates.
 MOST_BITS = 1 << 17
 SALTS = 16
