@@ -7,11 +7,9 @@ counts that document once.  A key may have any share of the lines, so ranges
 are of (key, salt of the document): a frequent key is spread over ``SALTS``
 ranges, and each yields one row to be added up.
 
-Keys that go are few beside the lines; they are written, so that Spark knows their
-size and broadcasts them only below its limit, else joins by key and salt.  The
-decision comes back as a compressed bitmap for each document: pairs of a word's
-number and its 64 bits, and only for words that lose a line.  A document that
-loses none has no bitmap.
+Keys that go meet their lines by key and salt.  The decision comes back as a
+compressed bitmap for each document: pairs of a word's number and its 64 bits, and
+only for words that lose a line.  A document that loses none has no bitmap.
 """
 
 from __future__ import annotations
@@ -52,8 +50,7 @@ def dropped_lines(rows: DataFrame, least_docs: int, keep_first: bool) -> DataFra
     first = dealt.withColumn("n", F.row_number().over(at)).withColumn("last", F.lag("id").over(at))
     firsts = first.filter((F.col("n") == 1) | ~F.col("id").eqNullSafe(F.col("last"))).groupBy("h1", "h2")
     gone = firsts.agg(F.count(F.lit(1)).alias("n_docs"), *([F.min(F.struct("id", "pos", "th")).alias("first")] if keep_first else [])).filter(F.col("n_docs") >= least_docs).drop("n_docs")
-    gone = materialised(rows.sparkSession, gone, "line-keys").withColumn("salt", _salts())
-    hit = salted.join(gone, ["h1", "h2", "salt"])
+    hit = salted.join(gone.withColumn("salt", _salts()), ["h1", "h2", "salt"])
     if keep_first:
         hit = hit.filter(~F.struct("id", "pos", "th").eqNullSafe(F.col("first")))
     return hit.select("id", "th", "pos")
@@ -93,14 +90,14 @@ def dropped(df: DataFrame, least_docs: int = 10, least_chars: int = 1, keep_firs
     text stays null unless its line goes.  Columns of ``df`` with these names are
     replaced.
 
-    Bitmaps are written first: below Spark's broadcast limit no text is moved,
-    else texts meet them by id and hash."""
+    Texts meet their bitmaps by id and hash, whatever their number: a plan that
+    broadcast few bitmaps would be another one at each size."""
     with scope(df.sparkSession):
         maps = materialised(df.sparkSession, keep_bitmaps(df, least_docs, least_chars, keep_first, id_col, text_col), "line-bitmaps", outer=True)
     maps = maps.select(F.col("id").alias("quillon_id"), F.col("th").alias("quillon_th"), F.col("n_dropped").alias("quillon_n"), F.col("keep").alias("quillon_keep"))
     names = [c for c in df.columns if c not in OWN]
     text, all_lines = F.col(f"`{text_col}`"), lines(F.col(f"`{text_col}`"))
-    both = df.select(*(F.col(f"`{c}`") for c in names)).join(maps, F.col(f"`{id_col}`").eqNullSafe(F.col("quillon_id")) & (F.xxhash64(text) == F.col("quillon_th")), "left")
+    both = df.select(*(F.col(f"`{c}`") for c in names)).join(maps.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("quillon_id")) & (F.xxhash64(text) == F.col("quillon_th")), "left")
     both = both.withColumn("quillon_words", dense(F.col("quillon_keep")))
 
     def stays(_x: Column, i: Column) -> Column:
