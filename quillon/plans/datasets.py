@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import answers
 from quillon.functions import kernels as k
 from quillon.operators import advantages as a
 from quillon.operators import ranking
@@ -220,42 +221,129 @@ def interleave(spark, d):
 # Kernels
 
 
-@query("last_boxed", "SELECT p_partkey AS iid, 'a{' || p_size || '}' AS boxed FROM part")
+def _case(*rows: tuple[str, str, str]) -> str:
+    """SQL for ``iid`` and the value of the spelling that a part has."""
+    whens = " ".join(f"WHEN {i} THEN {want}" for i, (_, _, want) in enumerate(rows))
+    return f"CASE p_partkey % {len(rows)} {whens} END"
+
+
+def _spelt(spark, d, rows: tuple[tuple[str, str, str], ...]):
+    """``iid``, ``text``, ``gold``: each part has one of the spellings in turn, with
+    its size as N, its size and one as M, and twice its size as D."""
+    n = F.col("p_size")
+
+    def filled(k: int):
+        out = F.get(F.array(*(F.lit(r[k]) for r in rows)), F.col("p_partkey") % len(rows))
+        for mark, x in (("N", n), ("M", n + 1), ("D", 2 * n)):
+            out = F.replace(out, F.lit(f"@{mark}"), x.cast("string"))
+        return out
+
+    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), filled(0).alias("text"), filled(1).alias("gold"))
+
+
+_BOXED = (
+    ("so \\boxed{1} then \\boxed{a{@N}} end", "", "'a{' || p_size || '}'"),
+    ("\\boxed @N$ then \\boxed{2}", "", "p_size::VARCHAR"),
+    ("\\fbox{@N} only", "", "p_size::VARCHAR"),
+    ("\\boxed{@N} and \\boxed{open", "", "NULL"),
+    ("no box of @N", "", "NULL"),
+)
+
+
+@query("last_boxed", f"SELECT p_partkey AS iid, {_case(*_BOXED)} AS boxed FROM part")
 def last_boxed(spark, d):
     ship(spark)
-    text = F.concat(F.lit("so \\boxed{1} then \\boxed{a{"), F.col("p_size").cast("string"), F.lit("}} end"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), k.udf(k.last_boxed, "string")(text).alias("boxed"))
+    return _spelt(spark, d, _BOXED).select("iid", k.udf(k.last_boxed, "string")(F.col("text")).alias("boxed"))
+
+
+_LATEX = (
+    ("\\dfrac{@N}{3}", "@N/3", "true"),
+    ("\\tfrac@N\\frac12", "x", "false"),
+    ("x = @N", "@N", "true"),
+    ("xyz = @N", "@N", "false"),
+    ("@N\\%", "@N", "true"),
+    ("@N%", "@N", "false"),
+    ("@N\\text{ cm}", "@N", "true"),
+    ("\\left(@N, @M\\right)", "(@N,@M)", "true"),
+    ("@N", "@M", "false"),
+    ("\\sqrt", "\\sqrt", "true"),
+    ("@N/@M", "\\frac{@N}{@M}", "true"),
+    ("\\frac{@D}{2}", "@N", "false"),
+)
+
+
+@query("s_math", f"SELECT p_partkey AS iid, {_case(*_LATEX)} AS equal FROM part")
+def s_math(spark, d):
+    return _spelt(spark, d, _LATEX).select("iid", answers.latex_equal(F.col("text"), F.col("gold")).alias("equal"))
 
 
-@query("s_math", "SELECT p_partkey AS iid, p_size % 2 = 0 AS equal FROM part")
-def s_math(spark, d):
-    ship(spark)
-    n = F.col("p_size").cast("string")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), k.udf(k.math_equal, "boolean")(F.concat(F.lit("\\dfrac{"), n, F.lit("}{3}")), F.when(F.col("p_size") % 2 == 0, F.concat(n, F.lit("/3"))).otherwise("x")).alias("equal"))
+_FINAL = (
+    ("Answer: 1\nAnswer: $@N$ dollars", "@N", "1.0"),
+    ("answer : $@N$ and $@M$", "@N", "1.0"),
+    ("Answer: \\boxed{\\frac{@N}{7}}", "\\frac{@N}{7}", "1.0"),
+    ("Answer: 1,000,0@N", "10000@N", "1.0"),
+    ("Answer: x = @N students", "@N", "1.0"),
+    ("Answer: @N.0", "@N", "-1.0"),
+    ("Answer: @N\nAnswer: @M", "@N", "-1.0"),
+    ("It is @N", "@N", "-1.0"),
+    ("Answer: @N" + " and so on" * 40, "@N", "-1.0"),
+)
 
 
-@query("s_minerva", "SELECT p_partkey AS iid, CASE WHEN p_size % 3 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS score FROM part")
+@query("s_minerva", f"SELECT p_partkey AS iid, ({_case(*_FINAL)})::DOUBLE AS score FROM part")
 def s_minerva(spark, d):
-    ship(spark)
-    n = F.col("p_size").cast("string")
-    gold = F.when(F.col("p_size") % 3 == 0, n).otherwise("none")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), k.udf(k.minerva, "double")(F.concat(F.lit("Answer: 1\nAnswer: $"), n, F.lit("$ dollars")), gold).alias("score"))
+    return _spelt(spark, d, _FINAL).select("iid", answers.minerva(F.col("text"), F.col("gold")).alias("score"))
+
+
+_STRICT = (("so \\boxed{a{@N}}", "a{@N}", "1.0"), ("\\boxed{ @N}", "@N", "-1.0"), ("\\boxed{@N}" + " " * 100, "@N", "-1.0"), ("\\fbox{@N}", "@N", "-1.0"), ("\\boxed{@N} \\boxed{@M}", "@M", "1.0"))
 
 
-@query("s_prime_math", "SELECT p_partkey AS iid, true AS equal FROM part")
+@query("s_strict_box", f"SELECT p_partkey AS iid, ({_case(*_STRICT)})::DOUBLE AS score FROM part")
+def s_strict_box(spark, d):
+    ship(spark)
+    return _spelt(spark, d, _STRICT).select("iid", answers.strict_box(F.col("text"), F.col("gold")).alias("score"))
+
+
+_PRIME = (
+    ("The answer is @N.0", "@N", "true"),
+    ("So \\boxed{\\frac{@N}{3}}", "@N/3", "true"),
+    ("So \\boxed{@N(x+1)}", "@Nx+@N", "true"),
+    ("So \\boxed{@N(x+1)}", "@Nx+@M", "false"),
+    ("Answer: @N cm", "@N", "true"),
+    ("@N is the answer", "@M", "false"),
+    ("So \\boxed{(@N, @M)}", "(@N,@M)", "true"),
+    ("So \\boxed{(@N, @M)}", "(@M,@N)", "false"),
+    ("So \\boxed{@N00}", "@N", "true"),
+    ("So \\boxed{@N\\pi}", "@N \\cdot 3.14159265", "true"),
+    ("So \\boxed{\\sqrt{@N}\\sqrt{@N}y}", "@Ny", "true"),
+    ("no number is there", "@N", "false"),
+)
+
+
+@query("s_prime_math", f"SELECT p_partkey AS iid, {_case(*_PRIME)} AS equal FROM part")
 def s_prime_math(spark, d):
     ship(spark)
-    n = F.col("p_size").cast("string")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), k.udf(k.numbers_equal, "boolean")(F.concat(n, F.lit(".0")), F.concat(n, F.lit("00%"))).alias("equal"))
+    return _spelt(spark, d, _PRIME).select("iid", k.udf(answers.right_answer, "boolean")(F.col("text"), F.col("gold")).alias("equal"))
+
+
+_COUNT = (("\\boxed{@N}", "@N", "1.0"), ("\\boxed{@N}", "@M", "0.0"), ("\\boxed{@N.0}", "@N", "0.0"), ("@N", "@N", "0.0"), ("\\fbox{@N}", "@N", "0.0"))
+
+
+@query("s_char_count", f"SELECT p_partkey AS iid, ({_case(*_COUNT)})::DOUBLE AS score FROM part")
+def s_char_count(spark, d):
+    ship(spark)
+    said = k.udf(answers.boxed, "string")(F.col("text"))
+    return _spelt(spark, d, _COUNT).select("iid", F.coalesce((said == F.col("gold")).cast("double"), F.lit(0.0)).alias("score"))
+
+
+_ANY = (("\\boxed{@N}", "none|@N", "1"), ("\\boxed{\\dfrac{@N}{2}}", "@N/2|x", "1"), ("\\boxed{@N}", "@M|0", "2"), ("@N", "@N|@N", "3"))
 
 
-@query("s_boxed_any", "SELECT p_partkey AS iid, (p_size % 2 = 0)::INT::DOUBLE AS acc FROM part")
+@query("s_boxed_any", f"SELECT p_partkey AS iid, (c = 1)::INT::DOUBLE AS score, (c < 3)::INT::DOUBLE AS format_score, (c = 1)::INT::DOUBLE AS acc FROM (SELECT p_partkey, {_case(*_ANY)} AS c FROM part)")
 def s_boxed_any(spark, d):
     ship(spark)
-    boxed = k.udf(k.last_boxed, "string")(F.concat(F.lit("\\boxed{"), F.col("p_size").cast("string"), F.lit("}")))
-    gold = F.array(F.lit("none"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("0"))
-    hits = F.array(*(k.udf(k.math_equal, "boolean")(boxed, F.get(gold, i)) for i in (0, 1)))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.exists(hits, lambda x: x).cast("double").alias("acc"))
+    said = _spelt(spark, d, _ANY).select("iid", k.udf(k.last_boxed, "string")(F.col("text")).alias("said"), F.split("gold", r"\|").alias("golds"))
+    return said.select("iid", F.inline(F.array(answers.box_bundle(F.col("said"), F.col("golds")))))
 
 
 @query("repeatness", """WITH t AS (SELECT p_partkey AS iid, p_name || p_name AS s, length(p_name) * 2 AS n FROM part), x AS (SELECT iid, n, s, unnest(range(1, n + 1)) AS i FROM t), y AS (SELECT iid, n, substr(s, i) AS a, lag(substr(s, i)) OVER (PARTITION BY iid ORDER BY substr(s, i) COLLATE "C") AS b FROM x),

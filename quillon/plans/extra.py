@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import answers
 from quillon.functions import kernels as k
 from quillon.functions import plugins
 from quillon.operators import advantages as a
@@ -123,7 +124,7 @@ def s_geo3k(spark, d):
     ship(spark)
     text = F.concat(F.lit("<think>\nx</think> \\boxed{"), F.col("p_size").cast("string"), F.lit("}"))
     gold = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("0")
-    right = k.udf(k.math_equal, "boolean")(k.udf(k.last_boxed, "string")(text), gold).cast("double")
+    right = answers.boxed_score(text, gold)
     form = text.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$").cast("double")
     return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.round(0.9 * right + 0.1 * form, 6).alias("score"))
 

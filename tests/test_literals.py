@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon import streaming
+from quillon.functions import answers as x
 from quillon.functions import kernels as k
 from quillon.functions import rewards as r
 from quillon.operators import advantages as a
@@ -172,12 +173,14 @@ def test_boxes():
     assert k.last_boxed("none") is None and k.last_boxed(None) is None
 
 
-def test_math_spelling():
-    for x, y in (("\\frac12", "\\frac{1}{2}"), ("0.5", "1/2"), ("x = 3", "3"), ("\\dfrac{3}{4}", "3/4"), ("\\sqrt3", "\\sqrt{3}"), ("50\\%", "50")):
-        assert k.math_equal(x, y), (x, y)
-    assert not k.math_equal("1", "2") and not k.math_equal(None, "1")
-    assert k.numbers_equal("0.5", "50") and k.numbers_equal("3.0", "3") and not k.numbers_equal("3.1", "3")
-    assert k.minerva("Answer: $1,234$ dollars", "1234") == 1.0 and k.minerva("nothing", "1") == -1.0
+def test_math_spelling(spark):
+    equal = lambda a, b: one(spark, x.latex_equal(F.col("a"), F.col("b")), a=a, b=b)
+    for a, b in (("\\frac12", "\\frac{1}{2}"), ("0.5", "1/2"), ("x = 3", "3"), ("\\dfrac{3}{4}", "3/4"), ("\\sqrt3", "\\sqrt{3}"), ("50\\%", "50")):
+        assert equal(a, b), (a, b)
+    assert not equal("1", "2") and not equal("", "1")
+    assert x.close("0.5", "50") and x.close("3.0", "3") and not x.close("3.1", "3")
+    minerva = lambda t, g: one(spark, x.minerva(F.col("t"), F.col("g")), t=t, g=g)
+    assert minerva("Answer: $1,234$ dollars", "1234") == 1.0 and minerva("nothing", "1") == -1.0
 
 
 def test_infix():
