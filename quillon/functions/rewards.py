@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 END = "</think>"
 
 
+def bound(f: Callable[..., Column], *values: Column) -> Column:
+    """``f`` of values that are computed once.  Inside a lambda a column that is
+    itself an expression may be computed anew for each element; a field of an
+    element is not."""
+    held = F.array(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return F.get(F.transform(held, lambda s: f(*(s[f"v{i}"] for i in range(len(values))))), 0)
+
+
 def _groups(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?d)\[(.*?)\]"), 1)
 
@@ -52,14 +60,14 @@ def partial_hit(pred: Column, gold: Column) -> Column:
     """Mean over predicted items of the best of 100 for an equal item and 50
     times the shared words over the larger word count."""
     one = lambda p, g: F.when(p == g, 100.0).otherwise(F.coalesce(F.try_divide(50.0 * F.size(F.array_intersect(p, g)), F.greatest(F.size(p), F.size(g))), F.lit(0.0)))
-    return _mean(F.transform(pred, lambda p: F.coalesce(F.array_max(F.transform(gold, lambda g: one(p, g))), F.lit(0.0))))
+    return bound(lambda ps, gs: _mean(F.transform(ps, lambda p: F.coalesce(F.array_max(F.transform(gs, lambda g: one(p, g))), F.lit(0.0)))), pred, gold)
 
 
 def partial_sid(pred: Column, gold: Column) -> Column:
     """Mean of 100, 10, 1 or 0 by how long a prefix of the triple is right."""
     head = lambda x, k: F.substring_index(x, ">", k)
-    best = lambda p: F.when(F.array_contains(gold, p), 100.0).when(F.exists(gold, lambda g: head(g, 2) == head(p, 2)), 10.0).when(F.exists(gold, lambda g: head(g, 1) == head(p, 1)), 1.0).otherwise(0.0)
-    return _mean(F.transform(pred, best))
+    best = lambda gs: lambda p: F.when(F.array_contains(gs, p), 100.0).when(F.exists(gs, lambda g: head(g, 2) == head(p, 2)), 10.0).when(F.exists(gs, lambda g: head(g, 1) == head(p, 1)), 1.0).otherwise(0.0)
+    return bound(lambda ps, gs: _mean(F.transform(ps, best(gs))), pred, gold)
 
 
 def tagged_only(text: Column, score: Column) -> Column:
@@ -83,8 +91,7 @@ PREFIX = (0.0, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
 def hierarchical(pred: Column, gold: Column) -> Column:
-    p, g = F.get(pred, 0), F.get(gold, 0)
-    run = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(0), lambda a, i: F.when((a == i) & F.coalesce(F.get(p, i) == F.get(g, i), F.lit(False)), a + 1).otherwise(a))
+    run = bound(lambda p, g: F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(0), lambda a, i: F.when((a == i) & F.coalesce(F.get(p, i) == F.get(g, i), F.lit(False)), a + 1).otherwise(a)), F.get(pred, 0), F.get(gold, 0))
     return F.coalesce(F.get(F.array(*map(F.lit, PREFIX)), run), F.lit(0.0))
 
 
@@ -124,7 +131,7 @@ def qa_em(text: Column, gold: Column, sub: bool = False) -> Column:
     """Exact match (or containment) with any gold answer; with more than ten
     closing or opening tags a quarter of it."""
     answer = normalise_answer(answer_tag(text))
-    right = F.exists(gold, lambda g: answer.contains(normalise_answer(g)) if sub else normalise_answer(g) == answer)
+    right = bound(lambda said, golds: F.exists(golds, lambda g: said.contains(normalise_answer(g)) if sub else normalise_answer(g) == said), answer, gold)
     tags = lambda t: F.size(F.split(text, t)) - 1
     full = F.when((tags("<answer>") > 10) | (tags("</answer>") > 10), 0.25).otherwise(1.0)
     return F.when(F.coalesce(right, F.lit(False)), full).otherwise(0.0)

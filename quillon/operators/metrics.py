@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,21 +45,98 @@ def resamples(n: int, size: int, times: int, seed: int) -> np.ndarray:
     return np.stack([rng.choice(n, size, replace=True) for _ in range(times)])
 
 
+#: Numbers that a block of groups draws at once.
+DRAWN = 1 << 21
+
+
+def grouped_values(df: DataFrame, group: list[str], order: str, *values: str) -> DataFrame:
+    """``group`` and an array of each of ``values`` in order.  A group is the
+    answers to one prompt."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))))
+    return df.groupBy(*group).agg(rows.alias("rows")).select(*group, *(F.col(f"rows.v{i}").alias(f"v{i}") for i in range(len(values))))
+
+
+def _stacked(lists: list, width: int = 1):
+    """(places, matrix) of the lists of each length, in blocks of which each draws
+    at most ``DRAWN`` numbers, ``width`` for each list."""
+    by_size: dict[int, list[int]] = {}
+    for i, x in enumerate(lists):
+        by_size.setdefault(len(x), []).append(i)
+    for n, places in sorted(by_size.items()):
+        step = max(1, DRAWN // width)
+        for k in range(0, len(places), step):
+            part = places[k : k + step]
+            yield n, part, np.array([lists[i] for i in part])
+
+
 def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int, times: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and population std of the best and worst of ``size`` draws with
-    replacement, over ``times`` seeded resamples of each group.  A group is the
-    answers to one prompt and fits in a task."""
+    replacement, over ``times`` seeded resamples of each group.  Groups of one size
+    have the same draws, so they are drawn and reduced together."""
     ship(df.sparkSession)
-    names = [*group, "best_mean", "best_std", "worst_mean", "worst_std"]
+    names = ["best_mean", "best_std", "worst_mean", "worst_std"]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(np.float64)
-        draws = x[resamples(len(x), size, times, seed)]
-        best, worst = draws.max(1), draws.min(1)
-        return pd.DataFrame([[*key, best.mean(), best.std(), worst.mean(), worst.std()]], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.empty((b.num_rows, 4))
+            for n, places, x in _stacked(b.column(len(group)).to_pylist(), times * size):
+                drawn = x.astype(np.float64)[:, resamples(n, size, times, seed)]
+                best, worst = drawn.max(2), drawn.min(2)
+                out[places] = np.stack([best.mean(1), best.std(1), worst.mean(1), worst.std(1)], 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(out[:, i]) for i in range(4))], [*group, *names])
 
     kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
-    return df.groupBy(*group).applyInPandas(run, kinds + ", best_mean double, best_std double, worst_mean double, worst_std double")
+    rows = grouped_values(df.filter(F.col(value).isNotNull()), group, order, value).withColumnRenamed("v0", "x").select(*group, "x")
+    return rows.mapInArrow(run, kinds + "".join(f", {n} double" for n in names))
+
+
+def ladder(n: int) -> list[int]:
+    """2, 4, 8, ... below ``n``, and ``n``; nothing for a single answer."""
+    return [] if n < 2 else [*(2**k for k in range(1, n.bit_length()) if 2**k < n), n]
+
+
+def _majority_values(votes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Value of the first of the most frequent votes along the last axis."""
+    often = (votes[..., :, None] == votes[..., None, :]).sum(-1)
+    return np.take_along_axis(values, often.argmax(-1)[..., None], -1)[..., 0]
+
+
+def validation_metrics(df: DataFrame, source: str, prompt: str, order: str, value: str, vote: str | None = None, times: int = 1000, seed: int = 42) -> DataFrame:
+    """``source``, ``metric``, ``value``: ``mean@n``, ``std@n`` (population) of each
+    prompt's n answers, and of seeded resamples of 2, 4, .., n of them
+    ``best@k/mean``, ``best@k/std``, ``worst@k/..`` and, with a ``vote`` column,
+    ``maj@k/..`` (value of the most frequent vote, the first seen on a tie), all
+    averaged over the prompts of a source.  Null values are left out."""
+    ship(df.sparkSession)
+
+    def reduced_draws(name: str, k: int, drawn: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        return [(f"{name}@{k}/mean", drawn.mean(1)), (f"{name}@{k}/std", drawn.std(1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            where = np.asarray(b.column(0).to_pylist(), object)
+            values = b.column(1).to_pylist()
+            codes = [[seen.setdefault(v, len(seen)) for v in row] for row in b.column(2).to_pylist() for seen in ({},)] if vote else None
+            names, sources, found = [], [], []
+            for n, places, x in _stacked(values, times * max(map(len, values), default=1) ** (2 if vote else 1)):
+                x = x.astype(np.float64)
+                rows = [(f"mean@{n}", x.mean(1)), (f"std@{n}", x.std(1))]
+                for k in ladder(n):
+                    at = resamples(n, k, times, seed)
+                    drawn = x[:, at]
+                    rows += reduced_draws("best", k, drawn.max(2)) + reduced_draws("worst", k, drawn.min(2))
+                    if vote:
+                        rows += reduced_draws("maj", k, _majority_values(np.array([codes[i] for i in places])[:, at], drawn))
+                for name, v in rows:
+                    names += [name] * len(places)
+                    sources.append(where[places])
+                    found.append(v)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sources).tolist(), b.column(0).type), pa.array(names), pa.array(np.concatenate(found))], [source, "metric", "value"])
+
+    rows = grouped_values(df.filter(F.col(value).isNotNull()), [source, prompt], order, value, *([vote] if vote else [])).drop(prompt)
+    each = rows.mapInArrow(run, f"`{source}` {df.schema[source].dataType.simpleString()}, metric string, value double")
+    return each.groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 
 def best_of_exact(df: DataFrame, group: list[str], value: str, k: int) -> DataFrame:

@@ -222,6 +222,12 @@ def val_metrics(spark, d):
     return u.groupBy("status").agg(F.round(F.avg("mean"), 8).alias("mean"), F.round(F.avg("std"), 8).alias("std"), F.max("n").alias("n_max"))
 
 
+@query("val_ladder")
+def val_ladder(spark, d):
+    """Best, worst and majority at every size, over all prompts."""
+    return m.validation_metrics(p.responses(spark, d), "status", "uid", "sample", "score", "source")
+
+
 @query("best_of_exact", f"WITH {p.RESP}, r AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS r, count(*) OVER (PARTITION BY uid) AS n FROM resp) SELECT uid, round(sum(score * (power(r / n, 4) - power((r - 1) / n, 4))), 14) AS best FROM r GROUP BY uid")
 def best_of_exact(spark, d):
     return m.best_of_exact(p.responses(spark, d), ["uid"], "score", 4).withColumn("best", F.round("best", 14))
