@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.session import materialised
+
 
 def item_text(title: Column, description: Column, categories: Column) -> Column:
     """The non-empty parts, labelled, joined by `` | ``."""
@@ -79,19 +81,66 @@ def word_index(df: DataFrame, key: Column) -> DataFrame:
     return df.select(key.alias("tid")).distinct().select("tid", F.explode(F.split(F.lower("tid"), ",")).alias("word"))
 
 
+#: Words meet by their substrings of up to so many characters.
+GRAM = 3
+
+
+def _substrings(word: Column) -> Column:
+    """Distinct substrings of 1 to ``GRAM`` characters, and the empty one."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (k - 1), F.lit(1))), lambda i: F.substring(word, i, F.lit(k)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(of(k) for k in range(1, GRAM + 1))))
+
+
+def containing(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``q``, ``word``, ``sim``: distinct query words (``q``) and words of which one
+    holds the other; equal ones have 1, others 0.8.  The held word's first
+    characters are a substring of the other one, so both meet by that as a key,
+    and only such pairs are compared."""
+    q, w = queries.select("q").distinct(), vocabulary.select("word").distinct()
+
+    def held(short: DataFrame, a: str, long: DataFrame, b: str) -> DataFrame:
+        keyed = short.withColumn("key", F.left(a, F.lit(GRAM)))
+        return keyed.join(long.select(b, F.explode(_substrings(F.col(b))).alias("key")), "key").filter(F.col(b).contains(F.col(a))).select("q", "word")
+
+    # the second half leaves out equal words, which the first has
+    both = held(q, "q", w, "word").unionByName(held(w, "word", q, "q").filter("q <> word"))
+    return both.select("q", "word", F.when(F.col("q") == F.col("word"), 1.0).otherwise(0.8).alias("sim"))
+
+
 def fuzzy_lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
     """``query``, ``tid``, ``score``: the key with the largest sum over query
     words of similarity / (position + 1); equal words count 1, containment 0.8.
-    The vocabulary meets the queries' distinct words in a nested loop, then keys
-    are joined by word.  Ties go to the smallest key."""
+    Ties go to the smallest key.
+
+    First each query's weight of each word is added up.  Keys with the same matched
+    words score alike for all queries, so of these only the smallest goes on.  The
+    keys with a query's heaviest word give a score that the best key reaches at
+    least.  A key of ``m`` matched words can only reach it with a word of at least
+    an ``m``-th of it, so only keys with such a word are scored in full."""
+    spark = queries.sparkSession
     words = queries.select("query", F.posexplode(F.split("query", ",")).alias("pos", "q"))
-    vocabulary = index.select("word").distinct()
-    distinct = words.select("q").distinct()
-    near = distinct.join(vocabulary, F.col("word").contains(F.col("q")) | F.col("q").contains(F.col("word")))
-    near = near.withColumn("sim", F.when(F.col("q") == F.col("word"), 1.0).otherwise(0.8))
-    scored = words.join(near, "q").join(index, "word").groupBy("query", "tid").agg(F.round(F.sum(F.col("sim") / (F.col("pos") + 1)), 9).alias("score"))
+    weight = words.join(containing(words, index), "q").groupBy("query", "word").agg(F.sum(F.col("sim") / (F.col("pos") + 1)).alias("weight"))
+    weight = materialised(spark, weight, "fuzzy-weights")
+    known = index.join(weight.select("word").distinct(), "word").groupBy("tid", "word").agg(F.count(F.lit(1)).alias("times"))
+    alike = known.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("word", "times"))).alias("words")).groupBy("words").agg(F.min("tid").alias("tid"))
+    keys = materialised(spark, alike.withColumn("m", F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w["times"])), "fuzzy-keys")
+    postings = keys.select("tid", F.explode("words.word").alias("word"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        """Scores of the keys that have one of the (query, word) pairs."""
+        pairs = some.join(postings, "word").select("query", "tid").distinct()
+        full = pairs.join(keys, "tid").select("query", "tid", F.inline("words")).join(weight, ["query", "word"])
+        return full.groupBy("query", "tid").agg(F.round(F.sum(F.col("weight") * F.col("times")), 9).alias("score"))
+
+    # of words of equal weight the rarest is the heaviest
+    rare = postings.groupBy("word").agg(F.count(F.lit(1)).alias("keys"))
+    heaviest = weight.join(rare, "word").groupBy("query").agg(F.max_by("word", F.struct("weight", -F.col("keys"), "word")).alias("word"))
+    reached = scored(heaviest).groupBy("query").agg(F.max("score").alias("least"))
+    most = keys.agg(F.max("m").alias("most"))
+    least = reached.crossJoin(F.broadcast(most)).select("query", (F.col("least") / F.col("most") - 1e-6).alias("least"))  # one row
+    found = scored(weight.join(least, "query").filter(F.col("weight") >= F.col("least")).select("query", "word"))
     at = W.partitionBy("query").orderBy(F.desc("score"), "tid")
-    return scored.withColumn("r", F.row_number().over(at)).filter("r = 1").drop("r")
+    return found.withColumn("r", F.row_number().over(at)).filter("r = 1").drop("r")
 
 
 def rank_list(groups: Column, most: int = 20) -> Column:

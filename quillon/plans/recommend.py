@@ -189,9 +189,7 @@ def tid_exact(spark, d):
 def tid_theta(spark, d):
     items = p.items(spark, d)
     q = _tid_queries(items).select(F.explode(F.split("query", ",")).alias("q")).distinct()
-    v = c.word_index(items, c.tid_key(F.col("words"))).select("word").distinct()
-    near = q.join(v, F.col("word").contains(F.col("q")) | F.col("q").contains(F.col("word")))
-    return near.select("q", "word", F.when(F.col("q") == F.col("word"), 1.0).otherwise(0.8).alias("sim"))
+    return c.containing(q, c.word_index(items, c.tid_key(F.col("words"))))
 
 
 @query("tid_fuzzy", f"""WITH {TIDQ}, qw AS (SELECT query, unnest(string_split(query, ',')) AS q, generate_subscripts(string_split(query, ','), 1) - 1 AS pos FROM q),
