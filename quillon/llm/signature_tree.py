@@ -525,9 +525,12 @@ def linked_classes(spark: SparkSession, sets: DataFrame, bits: DataFrame, docs:
     if tested.filter("NOT linked").isEmpty() and members.filter(large).isEmpty():
         return roots(tested)
     known = materialised(spark, roots(tested), "near-roots")
-    label = members.select("gid", "size", "key", "n").join(known, ["key", "n"], "left").withColumn("label", F.xxhash64(F.coalesce("root", names))).drop("root")
+    label = members.select("gid", "size", "block", "key", "n").join(known, ["key", "n"], "left").withColumn("label", F.xxhash64(F.coalesce("root", names))).drop("root")
     open_groups = label.groupBy("gid", "size").agg((F.min("label") != F.max("label")).alias("open")).filter("open").drop("open")
-    left = materialised(spark, label.join(open_groups, ["gid", "size"]), "near-open")
+    # a row for each block, so that members meet it by block and no task has all of a large group
+    last = F.when(large, F.ceil(F.col("size") / max(1, most // 2)) - 1).otherwise(F.lit(0).cast("long"))
+    each = open_groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    left = materialised(spark, label.join(each, ["gid", "size", "block"]).drop("block"), "near-open")
     small = left.filter(~large).withColumn("task", F.lit(0).cast("long"))
     meeting = small.unionByName(open_blocks(left.filter(large), percent, max(1, most // 2))).join(bits, ["key", "n"])
     more = candidate_pairs(meeting, percent, True).join(tested, ["a", "an", "b", "bn"], "left_anti")
