@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def select(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -104,23 +105,100 @@ def unfold(df: DataFrame, size: int, value: str) -> DataFrame:
     return df.select((F.col("block") * size).alias("base"), F.posexplode(value).alias("i", value)).select((F.col("base") + F.col("i")).alias("ord"), value)
 
 
-def numbered(df: DataFrame, by: str, *ties: str, name: str = "ord", parts: int = 64) -> DataFrame:
+#: Rows that one task sorts, about; and places at which a column is cut, at most.
+PART_ROWS, MOST_PARTS = 1_000_000, 4096
+
+
+def _cuts(df: DataFrame, by: str, parts: int) -> list[float]:
+    return sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+
+
+def _place(by: str, cuts: list[float]) -> Column:
+    """2 i between the cuts, 2 i + 1 at a cut; -1 for null."""
+    at = F.array(*(F.lit(float(c)) for c in cuts))
+    below = F.size(F.filter(at, lambda c: c < F.col(by))) + F.size(F.filter(at, lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    return F.when(F.col(by).isNull(), -1).otherwise(below)
+
+
+def numbered(df: DataFrame, by: str, *ties: str, name: str = "ord", part_rows: int = PART_ROWS) -> DataFrame:
     """``name``: the 0-based place of each row by a numeric column (nulls first),
-    then ``ties``.  Rows are cut at quantiles of ``by``, numbered within each
-    part, and the parts' counts, ``parts + 1`` numbers, are added up; no task
-    has to sort them all."""
-    cuts = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.1 / parts)))
-    part = F.coalesce(sum((F.col(by) > c).cast("int") for c in cuts), F.lit(-1)) if cuts else F.when(F.col(by).isNull(), -1).otherwise(0)
-    cut = df.withColumn("_part", part)
-    counts = dict(cut.groupBy("_part").count().collect())  # parts + 1 numbers
-    before, total = {}, 0
-    for k in sorted(counts):
-        before[k], total = total, total + counts[k]
-    base = F.lit(0)
-    for k, n in before.items():
-        base = F.when(F.col("_part") == k, n).otherwise(base)
-    at = F.row_number().over(W.partitionBy("_part").orderBy(by, *ties))
-    return cut.withColumn(name, (at - 1 + base).cast("long")).drop("_part")
+    then ``ties``.  Rows are cut at quantiles of ``by``, as many as the rows need; a
+    value that many rows share is a part of its own, and is cut again at quantiles
+    of the first tie, if that is numeric.  Rows are numbered within each part and
+    the parts' counts are added up; no task has to sort them all."""
+    spark, numeric = df.sparkSession, T.NumericType
+    parts = min(MOST_PARTS, max(1, -(-df.count() // part_rows)))
+    cut = df.withColumn("_part", _place(by, _cuts(df, by, parts))).withColumn("_sub", F.lit(0))
+    counts = {(r._part, 0): r["count"] for r in cut.groupBy("_part").count().collect()}  # at most 2 MOST_PARTS numbers
+    if ties and isinstance(df.schema[ties[0]].dataType, numeric):
+        for part in sorted(k for (k, _), n in counts.items() if n > 4 * part_rows and (k % 2 or k < 0)):
+            cuts = _cuts(cut.filter(F.col("_part") == part), ties[0], min(MOST_PARTS, -(-counts[part, 0] // part_rows)))
+            cut = cut.withColumn("_sub", F.when(F.col("_part") == part, _place(ties[0], cuts)).otherwise(F.col("_sub")))
+        if len(counts) and any(n > 4 * part_rows for n in counts.values()):
+            counts = {(r._part, r._sub): r["count"] for r in cut.groupBy("_part", "_sub").count().collect()}
+    base, total = [], 0
+    for part, sub in sorted(counts):
+        base.append((part, sub, total))
+        total += counts[part, sub]
+    before = F.broadcast(spark.createDataFrame(base, "_part int, _sub int, _base long"))  # as many as there are parts
+    at = F.row_number().over(W.partitionBy("_part", "_sub").orderBy(by, *ties))
+    placed = cut.withColumn("_at", at).join(before, ["_part", "_sub"])
+    return placed.withColumn(name, F.col("_at") - 1 + F.col("_base")).drop("_part", "_sub", "_at", "_base")
+
+
+def seeded(seed: int, *keys: str | Column) -> Column:
+    """A number below 2**52 that hangs on the seed and the keys only: an order that
+    it gives is a shuffle that can be repeated anywhere."""
+    text = F.concat_ws(":", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.left(F.md5(text), F.lit(13)), 16, 10).cast("long")
+
+
+def uniform(seed: int, *keys: str | Column) -> Column:
+    """In (0, 1), of ``seeded``."""
+    return (seeded(seed, *keys) + 0.5) / float(1 << 52)
+
+
+def sampled_order(df: DataFrame, key: str, kind: str = "shuffle", seed: int = 42, difficulty: str | None = None, name: str = "place") -> DataFrame:
+    """The order in which a sampler gives out rows: ``sequential`` by ``key``,
+    ``shuffle`` by a seeded draw, ``curriculum`` by ``difficulty``."""
+    if kind == "sequential":
+        return numbered(df, key, name=name)
+    if kind == "curriculum" and difficulty:
+        return numbered(df, difficulty, key, name=name)
+    if kind != "shuffle":
+        raise ValueError(kind)
+    return numbered(df.withColumn("_draw", seeded(seed, key)), "_draw", key, name=name).drop("_draw")
+
+
+def first_or_drawn(df: DataFrame, key: str, n: int, seed: int | None = None) -> DataFrame:
+    """The first ``n`` rows by ``key``, or with a seed ``n`` drawn without
+    replacement."""
+    return df.orderBy(*([] if seed is None else [seeded(seed, key)]), key).limit(n)
+
+
+def select_mask(df: DataFrame, mask: Column) -> DataFrame:
+    """Rows for which a boolean mask holds, in their order; null does not hold."""
+    return df.filter(F.coalesce(mask, F.lit(False)))
+
+
+def drawn(df: DataFrame, weight: str, key: str, seed: int = 42, buckets: int = 64) -> DataFrame:
+    """As many draws as rows, with replacement and by weight: ``times``, how often
+    each row is drawn.  One seeded number for each row falls on the share of one
+    row.  Shares lie one after the other by bucket of ``key`` and by ``key``; a draw
+    is looked up in its bucket only.  ``key``: a unique long."""
+    x = df.withColumn("_b", F.pmod(F.col(key), F.lit(buckets)))
+    share = x.groupBy("_b").agg(F.sum(weight).alias("bw"))
+    share = share.withColumn("before", F.coalesce(F.sum("bw").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))  # one row a bucket
+    total = share.agg(F.sum("bw").alias("total"))
+    spans = x.join(F.broadcast(share), "_b").withColumn("_lo", F.col("before") + F.sum(weight).over(W.partitionBy("_b").orderBy(key)) - F.col(weight))
+    u = df.select(uniform(seed, key).alias("u")).crossJoin(F.broadcast(total)).select((F.col("u") * F.col("total")).alias("_at"))  # one row
+    dealt = u.join(F.broadcast(share), (F.col("_at") >= F.col("before")) & (F.col("_at") < F.col("before") + F.col("bw"))).select("_b", "_at")
+    # both sides of a bucket in one order: a draw belongs to the share that began last
+    none = F.lit(None).cast(df.schema[key].dataType)
+    mixed = dealt.select("_b", "_at", F.lit(1).alias("_draw"), none.alias(key)).unionByName(spans.select("_b", F.col("_lo").alias("_at"), F.lit(0).alias("_draw"), key))
+    hit = mixed.withColumn(key, F.last(key, True).over(W.partitionBy("_b").orderBy("_at", "_draw", key))).filter("_draw = 1")
+    times = hit.groupBy(key).agg(F.count(F.lit(1)).alias("times"))
+    return df.join(times, key, "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
 
 def restore(df: DataFrame, pos: str) -> DataFrame:

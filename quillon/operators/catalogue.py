@@ -143,9 +143,12 @@ def fuzzy_lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
     return found.withColumn("r", F.row_number().over(at)).filter("r = 1").drop("r")
 
 
-def rank_list(groups: Column, most: int = 20) -> Column:
-    """Item lists of the answers, in order, each item once, cut."""
-    return F.slice(F.array_distinct(F.flatten(groups)), 1, most)
+def rank_list(groups: Column, most: int = 20, near: Column | None = None) -> Column:
+    """Item lists of the answers, in order, each item once, cut to ``most``.  A list
+    that is shorter is filled up from ``near``, the item lists of the answers' best
+    fuzzy matches; further rounds over them would add nothing."""
+    own = F.slice(F.array_distinct(F.flatten(groups)), 1, most)
+    return own if near is None else F.slice(F.array_distinct(F.concat(own, F.flatten(near))), 1, most)
 
 
 def last_n(items: Column, n: int) -> Column:

@@ -10,7 +10,8 @@ from quillon.functions import answers
 from quillon.functions import kernels as k
 from quillon.operators import advantages as a
 from quillon.operators import ranking
-from quillon.operators.batch import numbered
+from quillon.operators.retrieval import merged_passages, pooled
+from quillon.operators.batch import first_or_drawn, numbered, sampled_order
 from quillon.plans import proxies as p
 from quillon.registry import query
 from quillon.session import scratch, ship, table
@@ -71,7 +72,12 @@ def filter_overlong(spark, d):
 
 @query("max_samples", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 64")
 def max_samples(spark, d):
-    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(64)
+    return first_or_drawn(table(spark, d, "documents").select("doc_id"), "doc_id", 64)
+
+
+@query("max_samples_seeded", f"SELECT doc_id FROM documents ORDER BY {p.seeded_sql(5, 'doc_id')}, doc_id LIMIT 64")
+def max_samples_seeded(spark, d):
+    return first_or_drawn(table(spark, d, "documents").select("doc_id"), "doc_id", 64, seed=5)
 
 
 @query("label_present", "SELECT doc_id FROM documents WHERE length(lang) > 0 AND lang <> 'en'")
@@ -81,8 +87,7 @@ def label_present(spark, d):
 
 @query("date_str_range", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1998-06-01' AND strftime(o_orderdate, '%Y-%m-%d') < '1999-01-00'")
 def date_str_range(spark, d):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return table(spark, d, "orders").filter((day >= "1998-06-01") & (day < "1999-01-00")).select("o_orderkey")
+    return table(spark, d, "orders").filter(files.days_between(F.col("o_orderdate"), "1998-06-01", "1999-01-00")).select("o_orderkey")
 
 
 @query("percent_slice", "SELECT doc_id, CASE WHEN rn <= floor(0.75 * n) THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents)")
@@ -168,13 +173,8 @@ def scan_sims(spark, d):
     return files.neighbours(spark, _written(spark, rows.coalesce(1).sortWithinPartitions("o", "p_partkey").select("value"), "text"), 5)
 
 
-@query("scan_keyed_json", "SELECT p_partkey::VARCHAR AS id, p_name AS title, '' AS description, p_type AS categories FROM part WHERE p_partkey < 500")
+@query("scan_keyed_json", "SELECT p_partkey::VARCHAR AS id, p_name AS title, '' AS description, p_type AS categories FROM part")
 def scan_keyed_json(spark, d):
-    return _keyed_json(spark, table(spark, d, "part").filter("p_partkey < 500"))
-
-
-@query("scan_keyed_json_whole", "SELECT p_partkey::VARCHAR AS id, p_name AS title, '' AS description, p_type AS categories FROM part")
-def scan_keyed_json_whole(spark, d):
     return _keyed_json(spark, table(spark, d, "part"))
 
 
@@ -191,11 +191,15 @@ def scan_step_dumps(spark, d):
     return files.step_dumps(spark, to, "doc_id long, secret string").select("step", "doc_id", F.regexp_replace("secret", ".", "*").alias("masked"))
 
 
-@query("generation_dump", "SELECT uid, count(*) AS n FROM (SELECT l_orderkey % 4 AS uid FROM lineitem) GROUP BY uid")
+@query("generation_dump", f"WITH {p.RESP}, o AS (SELECT uid % 4 AS step, uid * 100 + sample AS ord, score, len FROM resp) SELECT step, ord, score, len AS kept, CASE WHEN step <> 2 THEN len END AS dropped FROM o")
 def generation_dump(spark, d):
+    """Of two further columns one lacks a value in step 2, and is left out there."""
     to = scratch(spark, "generations")
-    files.dump_generations(p.responses(spark, d).select((F.col("uid") % 4).alias("step"), "sample", "score"), to)
-    return spark.read.schema("sample long, score double, step long").json(to).groupBy(F.col("step").alias("uid")).agg(F.count("*").alias("n"))
+    rows = p.responses(spark, d).select((F.col("uid") % 4).alias("step"), (F.col("uid") * 100 + F.col("sample")).alias("ord"), "score", "len")
+    first = rows.filter("step = 2").agg(F.min("ord")).first()[0]  # one number
+    extras = {"kept": rows.select("step", "ord", F.col("len").alias("kept")), "dropped": rows.filter(F.col("ord") != F.lit(first)).select("step", "ord", F.col("len").alias("dropped"))}
+    files.dump_generations(rows.drop("len"), to, extras=extras)
+    return spark.read.schema("ord long, score double, kept long, dropped long, step long").json(to)
 
 
 @query("metric_nest", "SELECT event_type, '{\"val\":{\"n\":' || count(*) || ',\"max\":{\"v\":' || max(user_id) || '}}}' AS nested FROM events GROUP BY event_type")
@@ -211,11 +215,10 @@ def merge_sets(spark, d):
     return files.merged(spark, [a1, f"{a1}-missing", b1], "k long")[0]
 
 
-@query("interleave", "SELECT count(*) AS n FROM customer")
+@query("interleave", f"SELECT c_custkey, part, row_number() OVER (ORDER BY clock, c_custkey) - 1 AS place FROM (SELECT c_custkey, (c_custkey % 2)::INT AS part, CASE WHEN c_custkey % 2 = 0 THEN -ln({p.uniform_sql(42, 'c_custkey')}) / 0.7::DOUBLE ELSE -ln({p.uniform_sql(43, 'c_custkey')}) / 0.3::DOUBLE END AS clock FROM customer)")
 def interleave(spark, d):
     parts = [table(spark, d, "customer").filter(F.col("c_custkey") % 2 == i).select("c_custkey") for i in (0, 1)]
-    mixed = files.interleaved(parts, [0.7, 0.3], "c_custkey")
-    return mixed.agg(F.count("*").alias("n"))
+    return files.interleaved(parts, [0.7, 0.3], "c_custkey")
 
 
 # Kernels
@@ -375,9 +378,12 @@ for _name, _kernel, _options in (("balance_kk", k.karmarkar_karp, {"k": 4}), ("b
     query(_name, None)(lambda spark, d, f=_kernel, o=_options: k.partitioned(_batches(spark, d), "batch", "ord", "len", f, **o).groupBy("batch", "part").agg(F.sum("len").alias("tokens"), F.count("*").alias("n")))
 
 
-@query("sampler", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
+@query("sampler", f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS sequential, row_number() OVER (ORDER BY {p.seeded_sql(7, 'doc_id')}, doc_id) - 1 AS shuffled, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS curriculum FROM documents")
 def sampler(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("o")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    x = table(spark, d, "documents").select("doc_id", "n_chars")
+    x = sampled_order(x, "doc_id", "sequential", name="sequential")
+    x = sampled_order(x, "doc_id", "shuffle", 7, name="shuffled")
+    return sampled_order(x, "doc_id", "curriculum", difficulty="n_chars", name="curriculum").drop("n_chars")
 
 
 # Retrieval
@@ -400,10 +406,23 @@ def retrieve_bm25(spark, d):
     return bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", "text", 3, k1=0.9, b=0.4)
 
 
-@query("retrieve_merged", "SELECT vec_id, 'success' AS status, 3 AS n FROM embeddings WHERE vec_id % 10 = 0")
+@query("retrieve_merged", """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT q.vec_id, c.vec_id AS item_id, list_inner_product(q.v, c.embedding::DOUBLE[]) AS s FROM q, embeddings c),
+  t AS (SELECT vec_id, item_id, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, item_id) AS r FROM s QUALIFY r <= 3), m AS (SELECT vec_id, string_agg('Doc ' || r || ' (Title: item ' || item_id || ')' || chr(10) || 'text ' || item_id, chr(10) || '---' || chr(10) ORDER BY r) AS text FROM t WHERE vec_id % 70 <> 0 GROUP BY vec_id)
+  SELECT q.vec_id, CASE WHEN q.vec_id % 110 = 0 THEN 'api_error' WHEN m.text IS NULL THEN 'no_results' ELSE 'success' END AS status, CASE WHEN q.vec_id % 110 <> 0 THEN m.text END AS text FROM q LEFT JOIN m USING (vec_id)""")
 def retrieve_merged(spark, d):
-    top = retrieve_dense(spark, d).groupBy("vec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"].cast("string")), "\n---\n").alias("text"))
-    return top.select("vec_id", F.when(F.col("text") == "", "no_results").otherwise("success").alias("status"), F.size(F.split("text", "\n---\n")).alias("n"))
+    """Some queries fail and some find nothing."""
+    top = retrieve_dense(spark, d).filter("vec_id % 70 <> 0").withColumn("passage", F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit("\ntext "), F.col("item_id").cast("string")))
+    asked = table(spark, d, "embeddings").filter("vec_id % 10 = 0").select("vec_id", (F.col("vec_id") % 110 == 0).alias("failed"))
+    return merged_passages(asked, top, "vec_id", "rank", "passage", F.col("failed"))
+
+
+@query("pool_kinds", """SELECT vec_id, round(1.5::DOUBLE * embedding[1], 6) AS mean, round(embedding[1]::DOUBLE, 6) AS cls, round(embedding[2]::DOUBLE, 6) AS pooler FROM embeddings""")
+def pool_kinds(spark, d):
+    """Token vectors of three tokens, the last one masked out."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    times = lambda k: F.transform(v, lambda x: x * k)
+    x = table(spark, d, "embeddings").select("vec_id", F.array(v, times(2), times(9)).alias("tokens"), F.array(*map(F.lit, (1, 1, 0))).alias("mask"), F.reverse(F.slice(v, 1, 2)).alias("own"))
+    return x.select("vec_id", *(F.round(F.get(pooled(k, F.col("tokens"), F.col("mask"), F.col("own")), 0), 6).alias(k) for k in ("mean", "cls", "pooler")))
 
 
 @query("mean_pool", """WITH g AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM g GROUP BY ALL), n AS (SELECT label, greatest(sqrt(sum(m * m)), 1e-9) AS n FROM m GROUP BY label)

@@ -11,6 +11,7 @@ from quillon.functions import kernels as k
 from quillon.functions import plugins
 from quillon.operators import advantages as a
 from quillon.operators import catalogue as c
+from quillon.operators.batch import drawn, first_or_drawn, seeded
 from quillon.plans import proxies as p
 from quillon.plans.recommend import SIMS, _sims
 from quillon.registry import query
@@ -106,10 +107,9 @@ def batch_iterator(spark, d):
     return rows.groupBy(F.col("epoch").cast("long").alias("epoch")).agg(F.count_distinct(F.floor(F.col("c_custkey") / 64)).alias("batches"), F.count("*").alias("n"))
 
 
-@query("val_sample", "SELECT least(20, count(DISTINCT text)) AS n FROM documents")
+@query("val_sample", f"SELECT doc_id, text FROM documents ORDER BY {p.seeded_sql(42, 'doc_id')}, doc_id LIMIT 20")
 def val_sample(spark, d):
-    rows = table(spark, d, "documents").select("text").distinct().orderBy(F.xxhash64(F.lit(42), "text"), "text").limit(20)
-    return rows.agg(F.count("*").alias("n"))
+    return first_or_drawn(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 20, seed=42)
 
 
 @query("gold_answer", "SELECT p_partkey AS iid, p_size::VARCHAR AS answer FROM part")
@@ -207,17 +207,19 @@ def policy_loss_kl_cov(spark, d):
     return both.agg(R6(F.avg(-F.col("adv") * F.col("ratio") + F.coalesce("pays", F.lit(0.0)) * F.abs("gap"))).alias("loss"))
 
 
-@query("policy_loss_clip_cov", f"""WITH {p.RESP}, {p.TOK}, {_COV}, l AS (SELECT *, -adv * ratio AS l1, -adv * greatest(least(ratio, 1.2), 0.8) AS l2 FROM c) SELECT count(*) FILTER (cov > 0.01 AND cov < 5 AND NOT l2 > l1) > 0 AS clips, round(avg(greatest(l1, l2)), 6) AS unclipped FROM l""")
+@query("policy_loss_clip_cov", f"""WITH {p.RESP}, {p.TOK}, {_COV}, l AS (SELECT *, -adv * ratio AS l1, -adv * greatest(least(ratio, 1.2), 0.8) AS l2 FROM c),
+  b AS (SELECT uid, sample, i, row_number() OVER (ORDER BY {p.seeded_sql(42, "uid || ':' || sample || ':' || i")}, uid, sample, i) AS k FROM l WHERE cov > 0.01 AND cov < 5 AND NOT l2 > l1)
+  SELECT round(avg(CASE WHEN b.k <= greatest(1, floor(n * 0.0002)) THEN 0 ELSE greatest(l1, l2) END), 6) AS loss, count(*) FILTER (b.k <= greatest(1, floor(n * 0.0002))) AS clipped FROM l LEFT JOIN b USING (uid, sample, i)""")
 def policy_loss_clip_cov(spark, d):
-    """A seeded share of the tokens whose covariance is in a band is taken out;
-    which ones is a draw, so only what does not depend on it is returned."""
+    """A seeded share of the tokens whose covariance is in a band loses its
+    gradient: its loss counts as zero."""
     l1 = -F.col("adv") * F.col("ratio")
     l2 = -F.col("adv") * F.greatest(F.least("ratio", F.lit(1.2)), F.lit(0.8))
     t = _flat(spark, d).withColumns({"l": F.greatest(l1, l2), "band": (F.col("cov") > 0.01) & (F.col("cov") < 5) & ~(l2 > l1)})
     n = t.select(F.greatest(F.lit(1), F.floor(F.col("n") * 0.0002)).cast("int")).first()[0]  # one number
-    out = t.filter("band").orderBy(F.xxhash64(F.lit(42), "uid", "sample", "i")).limit(n).select("uid", "sample", "i", F.lit(0.0).alias("corr"))
+    out = t.filter("band").orderBy(seeded(42, "uid", "sample", "i"), "uid", "sample", "i").limit(n).select("uid", "sample", "i", F.lit(1).alias("out"))
     both = t.join(out, ["uid", "sample", "i"], "left")
-    return both.agg((F.count_if(F.col("corr") == 0) > 0).alias("clips"), R6(F.avg("l")).alias("unclipped"))
+    return both.agg(R6(F.avg(F.when(F.col("out").isNull(), F.col("l")).otherwise(0.0))).alias("loss"), F.count("out").alias("clipped"))
 
 
 @query("reward_manager", f"WITH {p.RESP} SELECT uid, sample, round(CASE WHEN sample % 5 = 0 THEN 7 ELSE CASE WHEN source = 'R' THEN 1 ELSE 0 END + least(-(len - 30) / 10 * 0.5, 0) END, 6) AS reward FROM resp")
@@ -232,24 +234,9 @@ def reward_manager(spark, d):
     return plugins.rewarded(x, score, "len", 40, 10, 0.5).select("uid", "sample", R6("reward").alias("reward"))
 
 
-@query("pf_resample", f"WITH {p.RESP} SELECT count(*) AS n, true AS known FROM resp")
+@query("pf_resample", f"""WITH {p.RESP}, r AS (SELECT uid, sample, uid * 100 + sample AS row, greatest(power(abs(score), 2), 1e-8::DOUBLE) AS w FROM resp),
+  s AS (SELECT *, sum(w) OVER (ORDER BY row % 64, row ROWS UNBOUNDED PRECEDING) - w AS lo, sum(w) OVER () AS total FROM r), u AS (SELECT {p.uniform_sql(42, 'row')} * total AS at FROM s),
+  t AS (SELECT s.row, count(*) AS times FROM u ASOF JOIN s ON u.at >= s.lo GROUP BY s.row) SELECT uid, sample, coalesce(times, 0) AS times FROM r LEFT JOIN t USING (row)""")
 def pf_resample(spark, d):
-    """As many draws as rows, with replacement, by weight: each row is drawn as
-    often as seeded uniform numbers, one for each row, fall on its share."""
-    x = p.responses(spark, d).select("uid", "sample", a.resample_weights(F.col("score"), "pow").alias("w"))
-    parts = x.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(64)))
-    share = parts.groupBy("b").agg(F.sum("w").alias("bw"))
-    share = share.withColumn("before", F.sum("bw").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1))).fillna(0.0, ["before"])  # 64 rows
-    total = share.agg(F.sum("bw").alias("total"))
-    inner = parts.withColumn("lo", F.sum("w").over(W.partitionBy("b").orderBy("uid", "sample")) - F.col("w"))
-    spans = inner.join(F.broadcast(share), "b").select("uid", "sample", "b", (F.col("before") + F.col("lo")).alias("lo"), (F.col("before") + F.col("lo") + F.col("w")).alias("hi"))
-    u = (F.pmod(F.xxhash64(F.lit(42), "uid", "sample"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    draws = p.responses(spark, d).select(u).crossJoin(F.broadcast(total)).select((F.col("u") * F.col("total")).alias("u"))  # one row
-    edges = share.select("b", "before", (F.col("before") + F.col("bw")).alias("end"))
-    dealt = draws.join(F.broadcast(edges), (F.col("u") >= F.col("before")) & (F.col("u") < F.col("end"))).select("u", "b")
-    # both sides of a bucket in one order: a draw belongs to the span that began last
-    mixed = dealt.select("b", F.col("u").alias("at"), F.lit(1).alias("draw"), F.lit(None).cast("long").alias("uid")).unionByName(spans.select("b", F.col("lo").alias("at"), F.lit(0).alias("draw"), "uid"))
-    found = mixed.withColumn("uid", F.last("uid", True).over(W.partitionBy("b").orderBy("at", "draw"))).filter("draw = 1")
-    return found.agg(F.count("*").alias("n"), F.bool_and(F.col("uid").isNotNull()).alias("known"))
-
-
+    x = p.responses(spark, d).select("uid", "sample", (F.col("uid") * 100 + F.col("sample")).alias("row"), a.resample_weights(F.col("score"), "pow").alias("w"))
+    return drawn(x, "w", "row").select("uid", "sample", "times")

@@ -58,6 +58,15 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def seeded_sql(seed: int, key: str) -> str:
+    """``batch.seeded`` in SQL."""
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT"
+
+
+def uniform_sql(seed: int, key: str) -> str:
+    return f"(({seeded_sql(seed, key)} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
 RESP = """resp AS (SELECT l_orderkey AS uid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS sample,
   CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE l_discount END AS score, l_quantity::BIGINT AS len, (l_returnflag = 'R')::INT AS acc, l_returnflag AS source, l_linestatus AS status FROM lineitem)"""
 

@@ -206,6 +206,15 @@ def rank_list(spark, d):
     return p.sequences(spark, d).select("user_id", c.rank_list(F.transform("items", lambda x: F.array(x))).alias("ranked"))
 
 
+@query("rank_list_filled", f"""WITH {p.SEQS}, u AS (SELECT user_id, unnest(items[:6]) AS iid, generate_subscripts(items[:6], 1) AS pos FROM seqs), n AS (SELECT user_id, unnest([iid + 1, iid * 3 % 50, iid + 2]) AS iid, 100 + pos * 3 + unnest([0, 1, 2]) AS pos FROM u),
+  f AS (SELECT user_id, iid, min(pos) AS pos FROM (SELECT * FROM u UNION ALL SELECT * FROM n) GROUP BY ALL), g AS (SELECT user_id, iid, pos, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rn FROM f) SELECT user_id, list(iid ORDER BY pos) AS ranked FROM g WHERE rn <= 20 GROUP BY user_id""")
+def rank_list_filled(spark, d):
+    """The first six items, filled up from three near ones of each."""
+    own = F.transform(F.slice("items", 1, 6), lambda x: F.array(x))
+    near = F.transform(F.slice("items", 1, 6), lambda x: F.array(x + 1, x * 3 % 50, x + 2))
+    return p.sequences(spark, d).select("user_id", c.rank_list(own, 20, near).alias("ranked"))
+
+
 @query("last_n", f"WITH {p.SEQS} SELECT user_id, items[-20:] AS items FROM seqs")
 def last_n(spark, d):
     return p.sequences(spark, d).select("user_id", c.last_n(F.col("items"), 20).alias("items"))

@@ -44,6 +44,11 @@ def dp_select_idxs(spark, d):
     return b.select_idxs(_cust(spark, d).select("ord", "c_name"), "ord", [5, 3, 3, 40])
 
 
+@query("dp_select_mask", "SELECT c_custkey AS ord, c_name FROM customer WHERE c_acctbal > 0 AND c_custkey % 3 <> 1")
+def dp_select_mask(spark, d):
+    return b.select_mask(_cust(spark, d), (F.col("c_acctbal") > 0) & (F.col("ord") % 3 != 1)).select("ord", "c_name")
+
+
 @query("dp_slice", "SELECT c_custkey AS ord FROM customer WHERE c_custkey >= (SELECT count(*) FROM customer) - 90 AND c_custkey < (SELECT count(*) FROM customer) - 10 AND (c_custkey - (SELECT count(*) FROM customer) + 90) % 3 = 0")
 def dp_slice(spark, d):
     x = _cust(spark, d).select("ord")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.batch import numbered, uniform
+
 ITEM = "title string, description string, categories string"
 
 
@@ -53,8 +56,16 @@ def step_dumps(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("step", F.regexp_extract(F.input_file_name(), r"/(\d+)\.jsonl", 1).cast("int"))
 
 
-def dump_generations(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("step").json(path)
+def dump_generations(df: DataFrame, path: str, step: str = "step", extras: dict[str, DataFrame] | None = None, ord_col: str = "ord") -> None:
+    """JSON lines in a folder for each step.  ``extras``: further columns by name,
+    each a frame of ``step``, ``ord_col`` and that column; in a step in which it has
+    another number of values than there are rows, it is left out."""
+    out = df
+    for name, extra in (extras or {}).items():
+        sizes = df.groupBy(step).agg(F.count(F.lit(1)).alias("n")).join(extra.groupBy(step).agg(F.count(F.lit(1)).alias("m")), step)
+        whole = sizes.filter("n = m").select(step)  # a row for each step
+        out = out.join(extra.join(F.broadcast(whole), step).select(step, ord_col, name), [step, ord_col], "left")
+    out.write.mode("append").partitionBy(step).json(path)
 
 
 def sink(df: DataFrame, path: str, kind: str = "both") -> None:
@@ -77,14 +88,30 @@ def merged(spark: SparkSession, paths: list[str], schema: str) -> tuple[DataFram
 
 
 def interleaved(parts: list[DataFrame], weights: list[float], key: str, seed: int = 42) -> DataFrame:
-    """All rows of all parts in an order in which a part comes up in proportion
-    to its weight: sorted by a seeded exponential clock of each row."""
+    """All rows of all parts with ``part`` and ``place``, an order in which a part
+    comes up in proportion to its weight: that of a seeded exponential clock of
+    each row."""
     out = None
     for i, (x, w) in enumerate(zip(parts, weights, strict=True)):
-        u = (F.pmod(F.xxhash64(F.lit(seed + i), F.col(key)), F.lit(1 << 30)) + 1) / float(1 << 30)
-        x = x.withColumn("part", F.lit(i)).withColumn("clock", -F.log(u) / w)
+        x = x.withColumn("part", F.lit(i)).withColumn("clock", -F.log(uniform(seed + i, key)) / w)
         out = x if out is None else out.unionByName(x)
-    return out
+    return numbered(out, "clock", key, name="place").drop("clock")
+
+
+def first_day(bound: str) -> datetime.date:
+    """The first day whose ISO text is not less than ``bound``: texts of days are in
+    the order of days, so a bound on the text is one on the day."""
+    low, high = 1, datetime.date.max.toordinal()
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if datetime.date.fromordinal(mid).isoformat() >= bound else (mid + 1, high)
+    return datetime.date.fromordinal(low)
+
+
+def days_between(day: Column, start: str, end: str) -> Column:
+    """Whether the ISO text of a day is in ``[start, end)``, as a comparison of days
+    that a scan can use."""
+    return (day >= F.lit(first_day(start).isoformat()).cast("date")) & (day < F.lit(first_day(end).isoformat()).cast("date"))
 
 
 def nested(names: list[str]) -> Column:
