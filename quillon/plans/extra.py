@@ -143,13 +143,13 @@ def prime_ce(spark, d):
     return t.agg(R6(F.avg(-(F.col("acc") * F.log("q") + (1 - F.col("acc")) * F.log(1 - F.col("q"))))).alias("loss"))
 
 
-@query("prime_dpo", f"""WITH {p.RESP}, r AS (SELECT *, score * 5 AS q FROM resp WHERE uid % 20 = 0), o AS (SELECT x.uid, x.sample, any_value(x.q) AS q, any_value(x.acc) AS acc, coalesce(avg(y.q) FILTER (y.acc <> x.acc), 0) AS other FROM r x JOIN r y USING (uid) GROUP BY x.uid, x.sample)
+@query("prime_dpo", f"""WITH {p.RESP}, r AS (SELECT *, score * 5 AS q FROM resp), o AS (SELECT x.uid, x.sample, any_value(x.q) AS q, any_value(x.acc) AS acc, coalesce(avg(y.q) FILTER (y.acc <> x.acc), 0) AS other FROM r x JOIN r y USING (uid) GROUP BY x.uid, x.sample)
   SELECT round(avg(-ln(1 / (1 + exp(-(q - other) * (acc * 2 - 1))))), 6) AS loss FROM o""")
 def prime_dpo(spark, d):
     w = W.partitionBy("uid")
     q, acc = F.col("score") * 5, F.col("acc")
     mean = lambda v: F.coalesce(F.avg(F.when(acc == v, q)).over(w), F.lit(0.0))
-    rows = p.taken(p.responses(spark, d)).select(((q - F.when(acc == 1, mean(0)).otherwise(mean(1))) * (acc * 2 - 1)).alias("m"))
+    rows = p.responses(spark, d).select(((q - F.when(acc == 1, mean(0)).otherwise(mean(1))) * (acc * 2 - 1)).alias("m"))
     return rows.agg(R6(F.avg(-F.log(1 / (1 + F.exp(-F.col("m")))))).alias("loss"))
 
 

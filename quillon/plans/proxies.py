@@ -3,10 +3,6 @@ DataFrames and as DuckDB common table expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,34 +67,20 @@ RESP = """resp AS (SELECT l_orderkey AS uid, row_number() OVER (PARTITION BY l_o
   CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE l_discount END AS score, l_quantity::BIGINT AS len, (l_returnflag = 'R')::INT AS acc, l_returnflag AS source, l_linestatus AS status FROM lineitem)"""
 
 
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-@contextmanager
-def whole() -> Iterator[None]:
-    """Plans made inside take all rollouts, and arrays as long as the longest."""
-    mark = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(mark)
-
-
-def taken(r: DataFrame) -> DataFrame:
-    """One prompt in 20, as the SQL of these queries has it; inside ``whole`` all."""
-    return r if _WHOLE.get() else r.filter("uid % 20 = 0")
+#: In SQL, the greatest ``l_quantity`` of the provided tables.
+LONGEST = 50
 
 
 def width(spark: SparkSession, d: str) -> int:
-    """Length of the arrays: 24, as in the SQL; inside ``whole`` the longest ``len``."""
-    return responses(spark, d).agg(F.max("len")).first()[0] or 1 if _WHOLE.get() else 24  # one number
+    """Length of the token arrays: the longest response."""
+    return responses(spark, d).agg(F.max("len")).first()[0] or 1  # one number
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Token arrays of rollouts: ``uid``, ``sample``, ``rewards``, ``values``,
     ``logp``, ``ref`` (double), ``mask`` (int), all of length ``width``."""
     n = width(spark, d)
-    r = taken(responses(spark, d))
+    r = responses(spark, d)
     at = F.sequence(F.lit(0), F.lit(n - 1))
 
     def col(a: int, b: int, m: int):
@@ -116,9 +98,9 @@ def _sql_col(a: int, b: int, m: int, sign: str = "") -> str:
 
 
 #: The same, a row for each token: uid, sample, i, reward, value, logp, ref, mask.
-TOK = f"""tok AS (SELECT uid, sample, score, len, i, CASE WHEN i = least(len, 24) - 1 THEN score ELSE 0.0::DOUBLE END AS reward, {_sql_col(3, 5, 17)} AS value,
+TOK = f"""tok AS (SELECT uid, sample, score, len, i, CASE WHEN i = least(len, {LONGEST}) - 1 THEN score ELSE 0.0::DOUBLE END AS reward, {_sql_col(3, 5, 17)} AS value,
   {_sql_col(7, 11, 19, '-')} AS logp, {_sql_col(5, 3, 23, '-')} AS ref, (i < len)::INT AS mask
-  FROM resp, (SELECT unnest(range(24)) AS i) WHERE uid % 20 = 0)"""
+  FROM resp, (SELECT unnest(range({LONGEST})) AS i))"""
 
 
 def chats(spark: SparkSession, d: str) -> DataFrame:

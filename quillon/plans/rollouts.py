@@ -166,17 +166,17 @@ def adv_remax(spark, d):
 
 
 
-@query("adv_rpp", f"""WITH RECURSIVE {p.RESP}, {p.TOK}, run AS (SELECT uid, sample, 23 AS i, reward AS ret, reward * mask AS carry FROM tok WHERE i = 23
+@query("adv_rpp", f"""WITH RECURSIVE {p.RESP}, {p.TOK}, run AS (SELECT uid, sample, {p.LONGEST - 1} AS i, reward AS ret, reward * mask AS carry FROM tok WHERE i = {p.LONGEST - 1}
     UNION ALL SELECT t.uid, t.sample, t.i, t.reward + 0.9::DOUBLE * r.carry, (t.reward + 0.9::DOUBLE * r.carry) * t.mask FROM run r JOIN tok t ON t.uid = r.uid AND t.sample = r.sample AND t.i = r.i - 1)
   SELECT uid, sample, list(round(ret, 6) ORDER BY i) AS returns FROM run GROUP BY ALL""")
 def adv_rpp(spark, d):
     return p.tokens(spark, d).select("uid", "sample", F.transform(a.discounted(F.col("rewards"), F.col("mask"), 0.9), R6).alias("returns"))
 
 
-@query("adv_gae", f"""WITH RECURSIVE {p.RESP}, {p.TOK}, run AS (SELECT uid, sample, 24 AS i, 0.0::DOUBLE AS nv, 0.0::DOUBLE AS lg FROM (SELECT DISTINCT uid, sample FROM tok)
+@query("adv_gae", f"""WITH RECURSIVE {p.RESP}, {p.TOK}, run AS (SELECT uid, sample, {p.LONGEST} AS i, 0.0::DOUBLE AS nv, 0.0::DOUBLE AS lg FROM (SELECT DISTINCT uid, sample FROM tok)
     UNION ALL SELECT t.uid, t.sample, t.i, CASE WHEN t.mask = 1 THEN t.value ELSE r.nv END, CASE WHEN t.mask = 1 THEN t.reward + 0.99::DOUBLE * r.nv - t.value + 0.99::DOUBLE * 0.95::DOUBLE * r.lg ELSE r.lg END
     FROM run r JOIN tok t ON t.uid = r.uid AND t.sample = r.sample AND t.i = r.i - 1)
-  SELECT uid, sample, list(round(lg, 6) ORDER BY i) AS adv FROM run WHERE i < 24 GROUP BY ALL""")
+  SELECT uid, sample, list(round(lg, 6) ORDER BY i) AS adv FROM run WHERE i < {p.LONGEST} GROUP BY ALL""")
 def adv_gae(spark, d):
     return p.tokens(spark, d).select("uid", "sample", F.transform(a.gae(F.col("rewards"), F.col("values"), F.col("mask"), 0.99, 0.95), R6).alias("adv"))
 
@@ -277,7 +277,7 @@ def kl_reward(spark, d):
 _MODES = {
     "token-mean": "sum(l * mask) / (sum(mask) + 1e-8::DOUBLE)",
     "seq-mean-token-sum": "sum(l * mask) / count(DISTINCT (uid, sample))",
-    "seq-mean-token-sum-norm": "sum(l * mask) / 24",
+    "seq-mean-token-sum-norm": f"sum(l * mask) / {p.LONGEST}",
 }
 
 
@@ -337,15 +337,15 @@ def sppo_loss(spark, d):
     return p.tokens(spark, d).select((total - F.col("score") / 0.5).alias("x")).agg(R6(F.avg(F.col("x") * F.col("x"))).alias("loss"))
 
 
-@query("eos_mask", f"WITH {p.RESP} SELECT uid, sample, list_transform(range(24), lambda i: (i <= least(len, 23))::INT) AS mask FROM resp WHERE uid % 20 = 0")
+@query("eos_mask", f"WITH {p.RESP} SELECT uid, sample, list_transform(range({p.LONGEST}), lambda i: (i <= least(len, {p.LONGEST - 1}))::INT) AS mask FROM resp")
 def eos_mask(spark, d):
     last = F.lit(p.width(spark, d) - 1)
     ids = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i == F.least("len", last), 1).otherwise(0))
-    t = p.taken(p.responses(spark, d)).withColumn("ids", ids)
+    t = p.responses(spark, d).withColumn("ids", ids)
     return t.select("uid", "sample", F.transform("ids", lambda _x, i: ((F.array_position("ids", 1) == 0) | (i < F.array_position("ids", 1))).cast("int")).alias("mask"))
 
 
-@query("position_ids", f"WITH {p.RESP} SELECT uid, sample, list_transform(range(24), lambda i: (least(i + 1, len) - 1) * (i < len)::INT) AS pos FROM resp WHERE uid % 20 = 0")
+@query("position_ids", f"WITH {p.RESP} SELECT uid, sample, list_transform(range({p.LONGEST}), lambda i: (least(i + 1, len) - 1) * (i < len)::INT) AS pos FROM resp")
 def position_ids(spark, d):
     t = p.tokens(spark, d)
     run = F.aggregate("mask", F.array().cast("array<long>"), lambda s, m: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0).cast("long")) + m))
@@ -368,26 +368,26 @@ def overlong(spark, d):
     return p.responses(spark, d).select("uid", "sample", R6(F.col("score") + F.least(-(F.col("len") - 30) / 10 * 0.5, F.lit(0.0))).alias("reward"))
 
 
-@query("pad_trunc", f"WITH {p.RESP}, x AS (SELECT uid, sample, range(len) AS ids FROM resp WHERE uid % 20 = 0) SELECT uid, sample, list_concat(list_transform(range(greatest(0, 16 - len(ids))), lambda i: -1::BIGINT), ids[-16:]) AS left_pad, list_concat(ids[:16], list_transform(range(greatest(0, 16 - len(ids))), lambda i: -1::BIGINT)) AS right_pad FROM x")
+@query("pad_trunc", f"WITH {p.RESP}, x AS (SELECT uid, sample, range(len) AS ids FROM resp) SELECT uid, sample, list_concat(list_transform(range(greatest(0, 16 - len(ids))), lambda i: -1::BIGINT), ids[-16:]) AS left_pad, list_concat(ids[:16], list_transform(range(greatest(0, 16 - len(ids))), lambda i: -1::BIGINT)) AS right_pad FROM x")
 def pad_trunc(spark, d):
-    x = p.taken(p.responses(spark, d)).withColumn("ids", F.sequence(F.lit(0).cast("long"), F.col("len") - 1))
+    x = p.responses(spark, d).withColumn("ids", F.sequence(F.lit(0).cast("long"), F.col("len") - 1))
     pad = F.array_repeat(F.lit(-1).cast("long"), F.greatest(F.lit(0), 16 - F.size("ids")))
     tail = F.slice("ids", F.greatest(F.lit(1), F.size("ids") - 15), F.lit(16))
     return x.select("uid", "sample", F.concat(pad, tail).alias("left_pad"), F.concat(F.slice("ids", 1, 16), pad).alias("right_pad"))
 
 
-@query("loss_mask", f"WITH {p.RESP} SELECT uid, sample, list_transform(range(24), lambda i: (i >= 5 AND i < least(len, 24) - 1)::INT) AS mask FROM resp WHERE uid % 20 = 0")
+@query("loss_mask", f"WITH {p.RESP} SELECT uid, sample, list_transform(range({p.LONGEST}), lambda i: (i >= 5 AND i < least(len, {p.LONGEST}) - 1)::INT) AS mask FROM resp")
 def loss_mask(spark, d):
     # a prompt of six tokens: its last one predicts the first of the response
     n = F.lit(p.width(spark, d))
-    return p.taken(p.responses(spark, d)).select("uid", "sample", F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i >= 5) & (i < F.least("len", n) - 1)).cast("int")).alias("mask"))
+    return p.responses(spark, d).select("uid", "sample", F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i >= 5) & (i < F.least("len", n) - 1)).cast("int")).alias("mask"))
 
 
-@query("assemble_rollout", f"""WITH {p.RESP}, x AS (SELECT uid, sample, list_concat(list_transform(range(greatest(0, 8 - sample)), lambda i: 0::BIGINT), range(1, least(sample, 8) + 1)) AS pr, list_concat(range(1, least(len, 16) + 1), list_transform(range(greatest(0, 16 - len)), lambda i: 0::BIGINT)) AS re FROM resp WHERE uid % 20 = 0)
+@query("assemble_rollout", f"""WITH {p.RESP}, x AS (SELECT uid, sample, list_concat(list_transform(range(greatest(0, 8 - sample)), lambda i: 0::BIGINT), range(1, least(sample, 8) + 1)) AS pr, list_concat(range(1, least(len, 16) + 1), list_transform(range(greatest(0, 16 - len)), lambda i: 0::BIGINT)) AS re FROM resp)
   SELECT uid, sample, list_concat(pr, re) AS input_ids, list_transform(list_concat(pr, re), lambda t: (t <> 0)::INT) AS attention_mask FROM x""")
 def assemble_rollout(spark, d):
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    x = p.taken(p.responses(spark, d))
+    x = p.responses(spark, d)
     pr = F.concat(F.array_repeat(zero, F.greatest(F.lit(0), 8 - F.col("sample").cast("int"))), F.sequence(one, F.least("sample", F.lit(8).cast("long"))))
     re = F.concat(F.sequence(one, F.least("len", F.lit(16).cast("long"))), F.array_repeat(zero, F.greatest(F.lit(0), 16 - F.col("len").cast("int"))))
     return x.select("uid", "sample", F.concat(pr, re).alias("input_ids")).withColumn("attention_mask", F.transform("input_ids", lambda t: (t != 0).cast("int")))

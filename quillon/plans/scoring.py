@@ -286,10 +286,10 @@ def slowest(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("slowest"), R6(F.max("value")).alias("seconds"))
 
 
-@query("dpo_acc", f"""WITH {p.RESP}, r AS (SELECT * FROM resp WHERE uid % 20 = 0), j AS (SELECT abs(a.acc - b.acc) AS w, ((a.acc - b.acc) * (a.score - b.score) > 0)::INT AS ok FROM r a JOIN r b ON a.uid = b.uid AND a.sample < b.sample)
+@query("dpo_acc", f"""WITH {p.RESP}, r AS (SELECT * FROM resp), j AS (SELECT abs(a.acc - b.acc) AS w, ((a.acc - b.acc) * (a.score - b.score) > 0)::INT AS ok FROM r a JOIN r b ON a.uid = b.uid AND a.sample < b.sample)
   SELECT round(sum(w * ok) / sum(w), 8) AS accuracy, (SELECT round(avg((sign(score - 0.05) = sign(acc - 0.5))::INT), 8) FROM r) AS abs_accuracy FROM j""")
 def dpo_acc(spark, d):
-    x = p.taken(p.responses(spark, d))
+    x = p.responses(spark, d)
     a, b = x.select("uid", "sample", "acc", "score"), x.select("uid", F.col("sample").alias("s2"), F.col("acc").alias("a2"), F.col("score").alias("r2"))
     j = a.join(b, "uid").filter("sample < s2").select(F.abs(F.col("acc") - F.col("a2")).alias("w"), (((F.col("acc") - F.col("a2")) * (F.col("score") - F.col("r2"))) > 0).cast("int").alias("ok"))
     total = x.agg(F.round(F.avg((F.signum(F.col("score") - 0.05) == F.signum(F.col("acc") - 0.5)).cast("int")), 8).alias("abs_accuracy"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillon import streaming as s
@@ -29,31 +27,38 @@ def _events(spark, d):
     return s.table_stream(spark, to, e.schema)
 
 
-@query("stream_tumbling", f"SELECT event_type, epoch({_HOUR})::BIGINT AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _windows(spark, d, kind: str):
+    """What append mode has written: windows that the watermark has passed."""
+    return s.appended(s.windows(_events(spark, d), kind), scratch(spark, "windows"), scratch(spark, "checkpoint"))
+
+
+#: Where the watermark is in the end, in seconds.
+_MARK = "(SELECT epoch(max(ts)) - 600 FROM events)"
+
+
+@query("stream_tumbling", f"WITH e AS (SELECT event_type, epoch({_HOUR})::BIGINT AS start, value FROM events) SELECT event_type, start, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE start + 3600 <= {_MARK} GROUP BY event_type, start")
 def stream_tumbling(spark, d):
-    out = s.collected(spark, s.windows(_events(spark, d), "tumbling"), f"w{uuid.uuid4().hex}")
-    return out.select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
+    return _windows(spark, d, "tumbling").select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
 
 
-@query("stream_sliding", """WITH e AS (SELECT *, unnest([0, 1]) AS k FROM events), w AS (SELECT event_type, value, (epoch(ts)::BIGINT // 1800 - k) * 1800 AS start FROM (SELECT event_type, value, k, to_timestamp(floor(epoch(ts))) AS ts FROM e))
-  SELECT event_type, start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")
+@query("stream_sliding", f"""WITH e AS (SELECT *, unnest([0, 1]) AS k FROM events), w AS (SELECT event_type, value, (epoch(ts)::BIGINT // 1800 - k) * 1800 AS start FROM (SELECT event_type, value, k, to_timestamp(floor(epoch(ts))) AS ts FROM e))
+  SELECT event_type, start, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE start + 3600 <= {_MARK} GROUP BY ALL""")
 def stream_sliding(spark, d):
-    out = s.collected(spark, s.windows(_events(spark, d), "sliding"), f"w{uuid.uuid4().hex}")
-    return out.select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
+    return _windows(spark, d, "sliding").select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
 
 
-@query("stream_session", """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-  r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM r GROUP BY user_id, run""")
+@query("stream_session", f"""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM r GROUP BY user_id, run HAVING epoch(max(ts)) + 1800 <= {_MARK}""")
 def stream_session(spark, d):
-    return s.collected(spark, s.windows(_events(spark, d), "session"), f"w{uuid.uuid4().hex}").select("user_id", "n", "total")
+    return _windows(spark, d, "session").select("user_id", "n", "total")
 
 
-@query("stream_kept_groups", f"""WITH {p.RESP}, r AS (SELECT * FROM resp WHERE uid % 20 = 0), g AS (SELECT uid FROM r GROUP BY uid HAVING max(acc) <> min(acc) OR count(*) = 1) SELECT count(*) >= 100 AS enough FROM g""")
+@query("stream_kept_groups", f"""WITH {p.RESP}, g AS (SELECT uid, uid % 3 AS step FROM resp GROUP BY uid HAVING max(acc) <> min(acc) OR count(*) = 1), o AS (SELECT uid, row_number() OVER (ORDER BY step, uid) AS k FROM g)
+  SELECT uid, sample FROM resp JOIN o USING (uid) WHERE k <= 100""")
 def stream_kept_groups(spark, d):
-    r = p.taken(p.responses(spark, d)).withColumn("bucket", (F.col("uid") / 20).cast("long"))
     keep = s.KeptGroups(scratch(spark, "kept"), "uid", "acc", 100, 10)
-    s.drained(_stream(spark, r, by="bucket"), keep, scratch(spark, "checkpoint"))
-    return keep.rows(spark).agg((F.count_distinct("uid") >= 100).alias("enough"))
+    s.drained(_stream(spark, p.responses(spark, d)), keep, scratch(spark, "checkpoint"))
+    return keep.rows(spark).select("uid", "sample")
 
 
 @query("stream_metrics", f"WITH {p.RESP} SELECT sum(n)::BIGINT AS n, max(hi) AS max_score FROM (SELECT uid % 3 AS step, count(*) AS n, max(score) AS hi FROM resp GROUP BY 1)")
@@ -64,16 +69,32 @@ def stream_metrics(spark, d):
     return spark.read.schema("n long, hi double, step int").json(to).agg(F.sum("n").alias("n"), F.max("hi").alias("max_score"))
 
 
-@query("stream_kl", None)
-def stream_kl(spark, d):
-    control, out = s.AdaptiveKl(0.2, 0.1, 1000), []
+_KL = "(1 + greatest(least({x}.m / 0.1 - 1, 0.2), -0.2) * {x}.n / 1000000)"
 
-    def step(batch, i):
-        now = batch.agg(F.avg("score")).first()[0] or 0.0
-        out.append((i, float(control.update(now, batch.count()))))
 
-    s.drained(_stream(spark, p.responses(spark, d)), step, scratch(spark, "checkpoint"))
-    return spark.createDataFrame(sorted(out), "step long, coefficient double")
+@query("stream_kl", f"""WITH {p.RESP}, s AS (SELECT uid % 3 AS step, avg(score) AS m, count(*) AS n FROM resp GROUP BY 1), a AS (SELECT * FROM s WHERE step = 0), b AS (SELECT * FROM s WHERE step = 1), c AS (SELECT * FROM s WHERE step = 2)
+  SELECT 0::BIGINT AS step, round(0.2 * {_KL.format(x='a')}, 9) AS coefficient FROM a UNION ALL SELECT 1, round(0.2 * {_KL.format(x='a')} * {_KL.format(x='b')}, 9) FROM a, b UNION ALL SELECT 2, round(0.2 * {_KL.format(x='a')} * {_KL.format(x='b')} * {_KL.format(x='c')}, 9) FROM a, b, c""")
+def stream_kl(spark, d):
+    control = s.KlSteps(scratch(spark, "kl"), 0.2, 0.1, 1_000_000, F.col("score"))
+    s.drained(_stream(spark, p.responses(spark, d)), control, scratch(spark, "checkpoint"))
+    return control.values(spark).withColumn("coefficient", F.round("coefficient", 9))
+
+
+@query("loader_resume", f"WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY {p.seeded_sql(42, 'doc_id')}, doc_id) - 1 AS place FROM documents) SELECT doc_id, place // (SELECT count(*) // 3 + 1 FROM documents) AS batch FROM o")
+def loader_resume(spark, d):
+    """The first batch by one loader, the others by one that is made from its saved
+    state."""
+    docs = table(spark, d, "documents").select("doc_id")
+    size, at = docs.count() // 3 + 1, scratch(spark, "loader")
+    loader = s.Loader(docs, "doc_id", size)
+    out = [next(iter(loader))]
+    s.save_state(spark, loader.state(), at)
+    out += list(s.Loader(docs, "doc_id", size, state=s.saved_state(spark, at)))
+    rows = None
+    for i, x in enumerate(out):
+        x = x.withColumn("batch", F.lit(i).cast("long"))
+        rows = x if rows is None else rows.unionByName(x)
+    return rows
 
 
 @query("stream_curriculum", f"WITH {p.RESP} SELECT source, round(avg(score), 8) AS difficulty FROM resp GROUP BY source")

@@ -126,7 +126,7 @@ def test_row_numbers_without_one_big_task(spark):
     rng = random.Random(4)
     values = [rng.randrange(50) for _ in range(300)] + [None]
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long")
-    got = b.numbered(df, "v", "i", parts=7).collect()
+    got = b.numbered(df, "v", "i", part_rows=43).collect()
     want = {i: n for n, (_, i) in enumerate(sorted(((-1 if v is None else v), i) for i, v in enumerate(values)))}
     assert {x.i: x.ord for x in got} == want
     assert b.numbered(df.limit(0), "v", "i").collect() == []
@@ -246,12 +246,51 @@ def test_adaptive_coefficient():
 
 
 def test_kept_groups_give_up(spark, tmp_path):
-    keep = streaming.KeptGroups(str(tmp_path), "uid", "v", 5, 1)
+    keep = streaming.KeptGroups(str(tmp_path / "kept"), "uid", "v", 5, 1)
     batch = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0)], "uid int, v int")
     keep(batch, 0)
-    assert keep.have == 1
+    assert keep.have(spark) == (1, 1)
+    keep(batch, 0)  # a step that is repeated counts once
+    again = streaming.KeptGroups(str(tmp_path / "kept"), "uid", "v", 5, 1)  # after a restart
     with pytest.raises(RuntimeError):
-        keep(batch, 1)
+        again(batch, 1)
+
+
+def test_coefficient_goes_on_after_a_restart(spark, tmp_path):
+    batch = spark.createDataFrame([(0.5,)] * 10, "kl double")
+    plain = streaming.AdaptiveKl(0.2, 0.1, 100)
+    for step in range(3):
+        streaming.KlSteps(str(tmp_path / "kl"), 0.2, 0.1, 100, F.col("kl"))(batch, step)
+        plain.update(0.5, 10)
+    streaming.KlSteps(str(tmp_path / "kl"), 0.2, 0.1, 100, F.col("kl"))(batch, 2)  # repeated
+    got = streaming.KlSteps(str(tmp_path / "kl"), 0.2, 0.1, 100, F.col("kl")).values(spark).collect()
+    assert len(got) == 3 and abs(max(got).coefficient - plain.value) < 1e-12
+
+
+def test_loader_goes_on_where_it_stopped(spark, tmp_path):
+    df = spark.range(25).withColumnRenamed("id", "k")
+    ids = lambda loader: [sorted(r.k for r in b.collect()) for b in loader]
+    loader = streaming.Loader(df, "k", 10)
+    first, second = ids(loader), ids(loader)
+    assert [len(x) for x in first] == [10, 10, 5] and sorted(sum(first, [])) == list(range(25)) and first != second
+    again = streaming.Loader(df, "k", 10)
+    got = [sorted(r.k for r in next(iter(again)).collect())]
+    streaming.save_state(spark, again.state(), str(tmp_path / "s"))
+    rest = streaming.Loader(df, "k", 10, state=streaming.saved_state(spark, str(tmp_path / "s")))
+    assert got + ids(rest) == first and ids(rest) == second
+    assert streaming.saved_state(spark, str(tmp_path / "none")) is None
+    assert ids(streaming.Loader(df, "k", 10, shuffle=False))[0] == list(range(10))
+
+
+def test_windows_are_written_once_closed(spark, tmp_path):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(t0 + dt.timedelta(minutes=m), 1, "a", 1.0) for m in (0, 30, 70, 200)]
+    spark.createDataFrame(rows, "ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streaming.table_stream(spark, str(tmp_path / "in"), "ts timestamp, user_id long, event_type string, value double")
+    out = streaming.appended(streaming.windows(stream, "tumbling"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r.n for r in out.collect()) == [1, 2]  # the hour of minute 200 is still open
 
 
 def test_files(spark, tmp_path):
