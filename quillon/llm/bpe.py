@@ -30,7 +30,7 @@ from quillon.llm.common import map_batches, plain, slices, texts_of
 #: Fixed value: the byte-level pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker's memo is emptied when it holds so many pre-tokens, and takes none of more characters than that.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 _NONE, _LOW = 1 << 62, (1 << 32) - 1
 #: Text of a slice that is encoded at once; its pieces live in memory meanwhile.
 SLICE_BYTES = 2 << 20
@@ -218,9 +218,10 @@ class ByteBpe:
             parts += self._pieces_of(text[at:]) if at < len(text) else []
             cold.update(set(parts).difference(memo))
             cut.append(parts)
-        split = {p: self._words(p) for p in cold}
+        # a blank and letters, or letters only, are one pre-token
+        split = {p: (p,) if p.isascii() and p.removeprefix(" ").isalpha() else self._words(p) for p in cold}
         self._learn({w for words in split.values() for w in words}.difference(known))
-        memo |= {p: b"".join([known[w] for w in words]) for p, words in split.items()}
+        memo |= {p: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for p, words in split.items()}
         coded = [b"".join([memo[p] for p in parts]) for parts in cut]
         for p, words in split.items():
             if len(p) > MEMO_CHARS:
