@@ -521,3 +521,12 @@ def right_answer(text: str | None, gold: str | None) -> bool:
         return True
     pis = (math.pi, 3.14) if "\\pi" in given + gold else (math.pi,)
     return any(close(given, gold, pi=p) for p in pis)
+
+
+def verified(text: str | None, gold: str | None) -> float:
+    """1 if what a response boxes last, else its marked answer, is the gold answer by
+    spelling or by value, else 0; what cannot be read scores 0."""
+    said = boxed(text)
+    if said is None:
+        return float(right_answer(text, gold))
+    return float(graded(said, str(gold)) or close(said, str(gold)))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
+import json
+import pickle
+import pickletools
 import re
+import zlib
+from collections import OrderedDict
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -164,6 +170,43 @@ def micro_batches(lengths: list[int], most_tokens: int, least: int = 1, multiple
     return [rank[p] for p in part]
 
 
+def chosen_servers(keys: list, servers: int, remembered: int = 10_000) -> list[int]:
+    """Server of each request, in order: that of an earlier request with the same
+    key, if the key is among the ``remembered`` last used ones, else the one with
+    the fewest keys so far, the first on a tie."""
+    load, last, out = [(0, s) for s in range(servers)], OrderedDict(), []
+    for key in keys:
+        if key not in last:
+            n, s = load[0]
+            heapq.heapreplace(load, (n + 1, s))
+            last[key] = s
+            if len(last) > remembered:
+                last.popitem(last=False)
+        last.move_to_end(key)
+        out.append(last[key])
+    return out
+
+
+def packed_cases(text: str | None) -> str | None:
+    """Test cases as they are handed round: pickled text, zipped, in base 64."""
+    return None if text is None else base64.b64encode(zlib.compress(pickle.dumps(text))).decode()
+
+
+def case_text(code: str | None) -> str | None:
+    """Test cases as JSON text, whether packed or not; None if they are neither.
+    A pickle is only read for its one text, never executed."""
+    try:
+        json.loads(code)
+        return code
+    except (TypeError, ValueError):
+        pass
+    try:
+        found = [arg for op, arg, _ in pickletools.genops(zlib.decompress(base64.b64decode(code, validate=True))) if "UNICODE" in op.name]
+        return found[0] if len(found) == 1 else None
+    except (TypeError, ValueError, zlib.error, IndexError):
+        return None
+
+
 def segments(text: str | None) -> list[dict]:
     """Trace to messages: code blocks by the assistant, interpreter output by the
     tool, the answer last; text between is the assistant's."""

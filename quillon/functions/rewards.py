@@ -180,6 +180,21 @@ def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, 2, 1 << 30)))
 
 
+def sandbox_code(error: Column, api: Column, compiled: Column, run: Column, expected: Column) -> Column:
+    """Result of one test case from a sandbox's answer: 1 right, 0 wrong, -1 no
+    usable answer, -2 failed at run time, -3 out of time, -4 not compiled.
+    ``compiled``, ``run``: structs of ``status``, ``return_code``, ``stdout``, or
+    null."""
+
+    def failed(x: Column) -> Column:
+        return F.coalesce(x["status"].isin("Error", "TimeLimitExceeded") | ((x["status"] == "Finished") & ~x["return_code"].eqNullSafe(F.lit(0))), F.lit(False))
+
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\n+\z", "")
+    ran = F.when(F.coalesce(run["status"] == "Finished", F.lit(False)), (plain(run["stdout"]) == plain(expected)).cast("int")).otherwise(-1)
+    stopped = F.when(failed(compiled), -4).when(F.coalesce(run["status"] == "TimeLimitExceeded", F.lit(False)), -3).when(failed(run), -2).otherwise(-1)
+    return F.when(error.isNotNull(), -1).when(api == "Failed", stopped).when(api == "Success", ran).otherwise(-1)
+
+
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {
     "openai/gsm8k": gsm8k_score,
     "searchR1_nq": lambda t, g: qa_em(t, F.array(g)),

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.session import ship
+from quillon.session import materialised, ship
 
 #: Rows of a block; a task holds two blocks and their products.
 BLOCK_ROWS = 4096
+MOST_PIVOTS = 1024
 
 
 def unit(c: Column) -> Column:
@@ -23,30 +24,85 @@ def unit(c: Column) -> Column:
     return F.transform(v, lambda x: F.try_divide(x, norm))
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int) -> DataFrame:
-    """``ids`` and ``flat`` (their vectors, one after the other): a row for each
-    block of about ``rows`` rows."""
-    n = max(1, -(-df.count() // rows))
-    dealt = df.select(id_col, vec_col).groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"))
-    x = dealt.agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v")))).alias("x"))
-    return x.select(F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"))
+BLOCK = "block long, ids array<{kind}>, flat array<double>, center array<double>, radius double"
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A matrix of the vectors of a list column."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vector-blocks") -> DataFrame:
+    """``block``, ``ids``, ``flat`` (their vectors, one after the other), ``center``
+    and ``radius`` (the greatest distance from it): a row for each block of about
+    ``rows`` vectors that are near each other.  Vectors go to the nearest of at most
+    ``MOST_PIVOTS`` drawn ones, and a pivot with many is cut by hash."""
+    spark = df.sparkSession
+    kind = df.schema[id_col].dataType.simpleString()
+    x = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("v")).filter("v IS NOT NULL AND size(v) > 0")
+    parts = max(1, -(-x.count() // rows))
+    drawn = x.orderBy(F.xxhash64("id"), "id").limit(min(parts, MOST_PIVOTS)).select("v").toArrow().column("v").combine_chunks() if parts > 1 else None
+    held = spark.sparkContext.broadcast(None if drawn is None else _vectors(drawn))  # at most MOST_PIVOTS vectors
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = held.value
+            near = np.zeros(b.num_rows, np.int64) if p is None else np.argmax(_vectors(b.column(1)) @ p.T - (p * p).sum(1) / 2, 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near)], ["id", "v", "pivot"])
+
+    near = x.mapInArrow(assigned, f"id {kind}, v array<double>, pivot long")
+    if parts > 1:
+        sizes = dict(near.groupBy("pivot").count().collect())  # at most MOST_PIVOTS numbers
+        cut = F.get(F.array(*(F.lit(-(-sizes.get(i, 1) // rows)) for i in range(max(sizes) + 1))), F.col("pivot").cast("int"))
+        near = near.withColumn("block", F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id"), cut))
+    else:
+        near = near.withColumn("block", F.lit(0).cast("long"))
+    grouped = near.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("x")).select("block", F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            centers, radii = [], []
+            for i in range(b.num_rows):
+                m = b.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(b.column(1)[i]), -1)
+                centers.append(m.mean(0))
+                radii.append(float(np.sqrt(((m - centers[-1]) ** 2).sum(1).max())))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tolist() for c in centers], pa.list_(pa.float64())), pa.array(radii, pa.float64())], ["block", "ids", "flat", "center", "radius"])
+
+    return materialised(spark, grouped.mapInArrow(described, BLOCK.format(kind=kind)), what)
+
+
+def bounds(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``q``, ``c``, ``bound``: for each block of queries and of the corpus no less
+    than the product of any two of their vectors, by Cauchy and Schwarz."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    size = F.sqrt(dot(F.col("center"), F.col("center")))
+    left = queries.select(F.col("block").alias("q"), F.col("center").alias("qc"), F.col("radius").alias("qr"), size.alias("qs"))
+    right = corpus.select(F.col("block").alias("c"), F.col("center").alias("cc"), F.col("radius").alias("cr"), size.alias("cs"))
+    most = dot(F.col("qc"), F.col("cc")) + F.col("qs") * F.col("cr") + F.col("cs") * F.col("qr") + F.col("qr") * F.col("cr")
+    return left.crossJoin(right).select("q", "c", most.alias("bound"))  # a row for each two blocks, without their vectors
 
 
 def inner_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vec_col: str, skip_self: bool, first: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id_col``, ``rank`` (1..k), ``item_id``, ``similarity``: for each query
     the corpus rows of ranks ``first`` to ``first + k - 1`` by inner product, ties
-    by id.  Every block of queries meets every block of the corpus in a task of
-    its own, as one matrix product that keeps the best of each query; a window
-    merges what the blocks kept.  Nothing passes through the driver."""
-    ship(queries.sparkSession)
+    by id.  Rows without a vector are left out.
+
+    Vectors are in blocks of near ones.  Each block of queries first meets the block
+    of the corpus that may be best; what it finds is a score that the last of the
+    wanted ranks reaches at least, and of all other blocks only those whose bound is
+    not below that are met.  A meeting is a task of its own, one matrix product that
+    keeps the best of each query; a window merges what the blocks kept.  The result
+    is exact, and no vectors pass through the driver but the drawn pivots."""
+    spark = queries.sparkSession
+    ship(spark)
     keep = first + k - 1
     kind = queries.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(b.num_rows):
-                own, q, ids, c = (b.column(i)[at].values.to_numpy(zero_copy_only=False) for i in range(4))
-                scores = q.reshape(len(own), -1).astype(np.float64) @ c.reshape(len(ids), -1).astype(np.float64).T
+                own, q, ids, c = (b.column(i)[at].values.to_numpy(zero_copy_only=False) for i in range(1, 5))
+                scores = q.reshape(len(own), -1) @ c.reshape(len(ids), -1).T
                 if skip_self:
                     near = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
                     hit = ids[near] == own
@@ -55,11 +111,26 @@ def inner_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vec_c
                 best = np.take_along_axis(scores, top, 1)
                 real = np.isfinite(best)
                 row, col = np.nonzero(real)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[top[row, col]]), pa.array(best[real])], [id_col, "item_id", "similarity"])
-
-    left = blocks(queries, id_col, vec_col, block_rows).toDF("own", "q")
-    pairs = left.crossJoin(blocks(corpus, id_col, vec_col, block_rows)).repartition("own", "ids")
-    parts = pairs.mapInArrow(run, f"`{id_col}` {kind}, item_id {kind}, similarity double")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b.column(0)[at].as_py())), pa.array(own[row]), pa.array(ids[top[row, col]]), pa.array(best[real])], ["q", id_col, "item_id", "similarity"])
+
+    left = blocks(queries, id_col, vec_col, block_rows)
+    right = left if queries is corpus else blocks(corpus, id_col, vec_col, block_rows)
+
+    def met(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("q", "c").join(left.select(F.col("block").alias("q"), F.col("ids").alias("own"), F.col("flat").alias("x")), "q").join(right.select(F.col("block").alias("c"), "ids", "flat"), "c")
+        return both.select("q", "own", "x", "ids", "flat").repartition("q", "ids").mapInArrow(run, f"q long, `{id_col}` {kind}, item_id {kind}, similarity double")
+
+    pairs = materialised(spark, bounds(left, right), "vector-bounds")
+    best = pairs.groupBy("q").agg(F.max_by("c", F.struct("bound", "c")).alias("c"))
+    parts = met(best)
+    if pairs.count() > best.count():
+        parts = materialised(spark, parts, "vector-parts")
+        reached = parts.groupBy("q", id_col).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
+        asked = left.select(F.col("block").alias("q"), F.size("ids").alias("asked"))
+        least = reached.groupBy("q").agg(F.count_if(F.col("n") >= keep).alias("full"), F.min("least").alias("least")).join(asked, "q", "right")
+        least = least.select("q", F.when(F.coalesce("full", F.lit(0)) == F.col("asked"), F.col("least")).alias("least"))
+        open_pairs = pairs.join(best, ["q", "c"], "left_anti").join(least, "q").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
+        parts = parts.unionByName(met(open_pairs))
     at = W.partitionBy(id_col).orderBy(F.desc("similarity"), "item_id")
     ranked = parts.withColumn("rank", F.row_number().over(at)).filter(F.col("rank").between(first, keep))
     return ranked.select(id_col, (F.col("rank") - (first - 1)).alias("rank"), "item_id", "similarity")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import answers
 from quillon.functions import kernels as k
+from quillon.functions.rewards import sandbox_code as sandbox
 from quillon.operators import advantages as a
 from quillon.operators import ranking
 from quillon.operators.retrieval import merged_passages, pooled
@@ -202,6 +203,15 @@ def generation_dump(spark, d):
     return spark.read.schema("ord long, score double, kept long, dropped long, step long").json(to)
 
 
+@query("cached_copy", "SELECT r_regionkey, r_name, 1::BIGINT AS copies, false AS missing FROM region")
+def cached_copy(spark, d):
+    """A table read from its cached copy; a second call does not copy again."""
+    cache = scratch(spark, "cache")
+    files.make_folder(spark, cache)
+    to = {files.cached_copy(spark, f"{d}/region.parquet", cache) for _ in range(2)}
+    return spark.read.parquet(*to).select("r_regionkey", "r_name", F.lit(len(to)).cast("long").alias("copies"), F.lit(not files.exists(spark, *to)).alias("missing"))
+
+
 @query("metric_nest", "SELECT event_type, '{\"val\":{\"n\":' || count(*) || ',\"max\":{\"v\":' || max(user_id) || '}}}' AS nested FROM events GROUP BY event_type")
 def metric_nest(spark, d):
     g = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("val/n"), F.max("user_id").alias("val/max/v"))
@@ -329,6 +339,65 @@ def s_prime_math(spark, d):
     return _spelt(spark, d, _PRIME).select("iid", k.udf(answers.right_answer, "boolean")(F.col("text"), F.col("gold")).alias("equal"))
 
 
+_VERIFIED = (
+    ("So \\boxed{@N.0}", "@N", "1.0"),
+    ("So \\boxed{\\frac{@D}{2}}", "@N", "1.0"),
+    ("The answer is @N", "@N", "1.0"),
+    ("So \\boxed{@M}", "@N", "0.0"),
+    ("So \\boxed{@N} or \\boxed{@M}", "@N", "0.0"),
+    ("none", "@N", "0.0"),
+)
+
+
+@query("s_math_verify", f"SELECT p_partkey AS iid, ({_case(*_VERIFIED)})::DOUBLE AS score FROM part")
+def s_math_verify(spark, d):
+    ship(spark)
+    return _spelt(spark, d, _VERIFIED).select("iid", k.udf(answers.verified, "double")(F.col("text"), F.col("gold")).alias("score"))
+
+
+@query("case_codec", "SELECT p_partkey AS iid, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE '{\"inputs\":[\"' || p_name || '\"],\"outputs\":[' || p_size || ']}' END AS cases FROM part")
+def case_codec(spark, d):
+    """Packed and plain test cases, and some that are neither."""
+    ship(spark)
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.to_json(F.struct(F.array("p_name").alias("inputs"), F.array("p_size").alias("outputs"))).alias("t"))
+    code = F.when(F.col("iid") % 4 == 3, F.concat(F.lit("x"), "t")).when(F.col("iid") % 4 == 0, F.col("t")).otherwise(k.udf(k.packed_cases, "string")(F.col("t")))
+    return t.select("iid", code.alias("code")).select("iid", k.udf(k.case_text, "string")(F.col("code")).alias("cases"))
+
+
+_SANDBOX = (  # error, api, compile status and code, run status, code and output; expected output; code
+    ("x", "Success", None, None, "Finished", 0, "1", "1", -1),
+    (None, "Success", "Finished", 0, "Finished", 0, "1\n", "1", 1),
+    (None, "Success", "Finished", 0, "Finished", 0, "2", "1", 0),
+    (None, "Success", None, None, "TimeLimitExceeded", None, None, "1", -1),
+    (None, "SandboxError", None, None, None, None, None, "1", -1),
+    (None, "Failed", "Error", 1, None, None, None, "1", -4),
+    (None, "Failed", "TimeLimitExceeded", None, None, None, None, "1", -4),
+    (None, "Failed", "Finished", 1, "Finished", 0, "1", "1", -4),
+    (None, "Failed", "Finished", 0, "TimeLimitExceeded", None, None, "1", -3),
+    (None, "Failed", None, None, "Error", None, None, "1", -2),
+    (None, "Failed", None, None, "Finished", 2, None, "1", -2),
+    (None, "Failed", None, None, "Finished", 0, "1", "1", -1),
+    (None, "Other", None, None, None, None, None, "1", -1),
+)
+
+
+@query("sandbox_codes", "SELECT p_partkey AS iid, CASE p_partkey % 13 " + " ".join(f"WHEN {i} THEN {r[-1]}" for i, r in enumerate(_SANDBOX)) + " END AS code FROM part")
+def sandbox_codes(spark, d):
+    kinds = "error string, api string, cs string, cc int, rs string, rc int, out string, expected string, code int, i int"
+    answers_of = F.broadcast(spark.createDataFrame([(*r, i) for i, r in enumerate(_SANDBOX)], kinds))  # as many as there are above
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("iid"), (F.col("p_partkey") % len(_SANDBOX)).cast("int").alias("i")).join(answers_of, "i")
+    compiled = F.when(F.col("cs").isNotNull(), F.struct(F.col("cs").alias("status"), F.col("cc").alias("return_code"), F.lit(None).cast("string").alias("stdout")))
+    run = F.when(F.col("rs").isNotNull(), F.struct(F.col("rs").alias("status"), F.col("rc").alias("return_code"), F.col("out").alias("stdout")))
+    return x.select("iid", sandbox(F.col("error"), F.col("api"), compiled, run, F.col("expected")).alias("code"))
+
+
+@query("server_choice")
+def server_choice(spark, d):
+    """Requests of a user stay with a server; each type has servers of its own."""
+    e = table(spark, d, "events").select("event_type", "event_id", F.col("user_id").alias("key"))
+    return k.partitioned(e, "event_type", "event_id", "key", k.chosen_servers, servers=4, remembered=50)
+
+
 _COUNT = (("\\boxed{@N}", "@N", "1.0"), ("\\boxed{@N}", "@M", "0.0"), ("\\boxed{@N.0}", "@N", "0.0"), ("@N", "@N", "0.0"), ("\\fbox{@N}", "@N", "0.0"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import functools
+import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +70,46 @@ def dump_generations(df: DataFrame, path: str, step: str = "step", extras: dict[
     out.write.mode("append").partitionBy(step).json(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Also if it is there already."""
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+
+
+def cached_copy(spark: SparkSession, path: str, cache: str, always: bool = False) -> str:
+    """Copy a file or folder of any store below ``cache``, into a folder named by
+    the MD5 of its path, and return where it is.  A copy that is there already is
+    kept, unless ``always``; one is only there once it is whole."""
+    key = hashlib.md5(path.encode()).hexdigest()
+    to = f"{cache.rstrip('/')}/{key}/{path.rstrip('/').rsplit('/', 1)[-1]}"
+    target, at = _hadoop(spark, to)
+    if target.exists(at):
+        if not always:
+            return to
+        target.delete(at, True)
+    source, start = _hadoop(spark, path)
+    if not source.exists(start):
+        raise FileNotFoundError(path)
+    part = _hadoop(spark, f"{to}.part-{uuid.uuid4().hex}")[1]
+    target.mkdirs(at.getParent())
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source, start, target, part, False, spark.sparkContext._jsc.hadoopConfiguration())
+    if not target.rename(part, at):  # another one was first
+        target.delete(part, True)
+    return to
+
+
 def sink(df: DataFrame, path: str, kind: str = "both") -> None:
     """Snappy Parquet, JSON lines, or both in folders of their own."""
     if kind in ("parquet", "both"):
