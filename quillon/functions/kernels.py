@@ -86,6 +86,8 @@ def evaluate(expression: str | None) -> float | None:
         at += 1
         if t == "(":
             x = total()
+            if marks[at] != ")":
+                raise ValueError("no closing bracket")
             at += 1
             return x
         return -atom() if t == "-" else float(t)
@@ -110,7 +112,8 @@ def evaluate(expression: str | None) -> float | None:
         return x
 
     try:
-        return total()
+        x = total()
+        return x if at == len(marks) else None
     except (IndexError, ValueError, ZeroDivisionError):
         return None
 
@@ -207,17 +210,40 @@ def case_text(code: str | None) -> str | None:
         return None
 
 
-def segments(text: str | None) -> list[dict]:
-    """Trace to messages: code blocks by the assistant, interpreter output by the
-    tool, the answer last; text between is the assistant's."""
-    out = []
-    for piece in re.split(r"(<code>.*?</code>|<interpreter>.*?</interpreter>|<answer>.*?</answer>)", text or "", flags=re.S):
-        if not piece.strip():
-            continue
-        m = re.fullmatch(r"<(code|interpreter|answer)>(.*?)</\1>", piece, flags=re.S)
-        kind = m[1] if m else "text"
-        body = (m[2] if m else piece).strip()
-        out.append({"role": "tool" if kind == "interpreter" else "assistant", "kind": kind, "content": body})
+_ASKED = "*user question:*"
+_TURNS = {kind: re.compile(rf"(.*?)<{kind}>(.*?)</{kind}>", re.S) for kind in ("code", "answer", "interpreter")}
+_FENCED = re.compile(r"```python(.*?)```", re.S)
+
+
+def trace_messages(prompt: str | None, trace: str | None) -> list[dict] | None:
+    """A tool-use trace as messages: the question; then by turns what the assistant
+    says with the code that it calls, or its answer, and what the interpreter gave.
+    A trace in which a turn is missing is none."""
+
+    def take(kind: str, rest: str):
+        m = _TURNS[kind].match(rest)
+        return (m[1], m[2], rest[m.end() :]) if m and f"</{kind}>" not in m[1] else None
+
+    rest = trace or ""
+    if prompt is None or _ASKED not in prompt:
+        return None
+    question = re.sub("</?answer>", "", prompt.split(_ASKED, 1)[1]).strip()
+    out, tool = [{"role": "user", "content": question, "code": None}], False
+    while rest:
+        if tool:
+            found = take("interpreter", rest)
+            message = found and {"role": "tool", "content": found[1].strip(), "code": None}
+        elif "<code>" in rest:
+            found = take("code", rest)
+            fenced = found and _FENCED.search(found[1])
+            message = found and {"role": "assistant", "content": found[0].strip(), "code": fenced[1].strip() if fenced else found[1]}
+        else:
+            found = take("answer", rest)
+            message = found and {"role": "assistant", "content": (found[0] + found[1]).strip(), "code": None}
+        if not found:
+            return None
+        out.append(message)
+        rest, tool = found[2], not tool
     return out
 
 

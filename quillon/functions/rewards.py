@@ -180,6 +180,19 @@ def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, 2, 1 << 30)))
 
 
+def printed(code: Column, spaces: str) -> Column:
+    """The first fenced block, or all of it, with its last line that is not empty
+    printed, unless that line prints."""
+    fenced = F.regexp_extract_all(code, F.lit(r"(?s)```python(.*?)```"), 1)
+    lines = F.split(F.when(F.size(fenced) > 0, F.btrim(F.get(fenced, 0), F.lit(spaces))).otherwise(code), "\n", -1)
+
+    def shown(ls: Column) -> Column:
+        last = F.aggregate(F.transform(ls, lambda x, i: F.when(x != "", i)), F.lit(-1), lambda a, i: F.coalesce(i, a))
+        return bound(lambda all_lines, at: F.array_join(F.transform(all_lines, lambda x, i: F.when((i == at) & ~x.startswith("print"), F.concat(F.lit("print("), x, F.lit(")"))).otherwise(x)), "\n"), ls, last)
+
+    return shown(lines)
+
+
 def sandbox_code(error: Column, api: Column, compiled: Column, run: Column, expected: Column) -> Column:
     """Result of one test case from a sandbox's answer: 1 right, 0 wrong, -1 no
     usable answer, -2 failed at run time, -3 out of time, -4 not compiled.

@@ -425,17 +425,43 @@ def repeatness(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), k.udf(k.repeatness, "boolean")(F.concat("p_name", "p_name")).alias("repeats"))
 
 
-@query("infix", "SELECT p_partkey AS iid, (3 * p_size - 2 * 4 + 6.0 / 3)::DOUBLE AS value FROM part")
+_INFIX = (
+    ("(@N @ 4) + 6/3", "", "3 * p_size - 2 * 4 + 6.0 / 3"),
+    ("@N*2-3*@M", "", "p_size * 2 - 3 * (p_size + 1)"),
+    ("-(@N+1)*2", "", "-(p_size + 1) * 2"),
+    ("@N/4/2", "", "p_size / 4 / 2"),
+    ("1+2@@N", "", "1 + 6 - 2 * p_size"),
+    ("(@N", "", "NULL"),
+    ("@N/0", "", "NULL"),
+)
+
+
+@query("infix", f"SELECT p_partkey AS iid, ({_case(*_INFIX)})::DOUBLE AS value FROM part")
 def infix(spark, d):
     ship(spark)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), k.udf(k.evaluate, "double")(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(" @ 4) + 6/3"))).alias("value"))
+    return _spelt(spark, d, _INFIX).select("iid", k.udf(k.evaluate, "double")(F.col("text")).alias("value"))
+
+
+_TRACE = "CASE doc_id % 4 WHEN 0 THEN {} WHEN 1 THEN {} WHEN 2 THEN {} END"
+_ONE, _TWO = "'x = ' || doc_id", "'y = ' || doc_id"
 
 
-@query("trace_to_messages", "SELECT doc_id, ['assistant', 'assistant', 'tool', 'assistant'] AS roles FROM documents")
+@query("trace_to_messages", f"""SELECT doc_id, {_TRACE.format("['user', 'assistant', 'tool', 'assistant']", "['user', 'assistant', 'tool', 'assistant', 'tool', 'assistant']", "['user', 'assistant']")} AS roles,
+  {_TRACE.format("['q ' || doc_id, 'I think', doc_id::VARCHAR, 'so ' || doc_id]", "['q ' || doc_id, 'First', 'one', 'then', 'two', 'done']", "['q ' || doc_id, 'It is ' || doc_id]")} AS contents,
+  {_TRACE.format(f"[NULL, {_ONE}, NULL, NULL]", f"[NULL, {_ONE}, NULL, {_TWO}, NULL, NULL]", "[NULL::VARCHAR, NULL]")} AS codes FROM documents""")
 def trace_to_messages(spark, d):
+    """Traces of one call, of two, of none, and one that ends within a turn."""
     ship(spark)
-    f = k.udf(k.segments, "array<struct<role string, kind string, content string>>")
-    return table(spark, d, "documents").select("doc_id", f(F.lit("I think <code>x=1</code>\n<interpreter>1</interpreter> <answer>1</answer>"))["role"].alias("roles"))
+    n = F.col("doc_id").cast("string")
+    kinds = (
+        F.concat(F.lit("I think <code>```python\nx = "), n, F.lit("\n```</code>\n<interpreter>"), n, F.lit("</interpreter> so <answer>"), n, F.lit("</answer>")),
+        F.concat(F.lit("First <code>x = "), n, F.lit("</code><interpreter>one</interpreter>then<code>y = "), n, F.lit("</code> <interpreter> two</interpreter><answer>done</answer>")),
+        F.concat(F.lit("It is <answer>"), n, F.lit("</answer>")),
+        F.lit("and <code>x</code> is all"),
+    )
+    f = k.udf(k.trace_messages, "array<struct<role string, content string, code string>>")
+    x = table(spark, d, "documents").select("doc_id", f(F.concat(F.lit("*user question:* q "), n), F.get(F.array(*kinds), F.col("doc_id") % 4)).alias("m"))
+    return x.select("doc_id", F.col("m.role").alias("roles"), F.col("m.content").alias("contents"), F.col("m.code").alias("codes"))
 
 
 def _batches(spark, d):

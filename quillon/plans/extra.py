@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from quillon.functions import answers
 from quillon.functions import kernels as k
 from quillon.functions import plugins
+from quillon.functions import rewards as r
 from quillon.operators import advantages as a
 from quillon.operators import catalogue as c
 from quillon.operators.batch import drawn, first_or_drawn, seeded
 from quillon.plans import proxies as p
+from quillon.plans.datasets import _case, _spelt
 from quillon.plans.recommend import SIMS, _sims
 from quillon.registry import query
 from quillon.session import scratch, ship, table
@@ -112,28 +114,38 @@ def val_sample(spark, d):
     return first_or_drawn(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 20, seed=42)
 
 
-@query("gold_answer", "SELECT p_partkey AS iid, p_size::VARCHAR AS answer FROM part")
+_GOLD = (("steps\n#### @N\n#### 9", "", "p_size::VARCHAR"), ("#### -@N,000.5", "", "'-' || p_size || '000.5'"), ("#### x\n#### @M is it", "", "(p_size + 1)::VARCHAR"))
+
+
+@query("gold_answer", f"SELECT p_partkey AS iid, {_case(*_GOLD)} AS answer FROM part")
 def gold_answer(spark, d):
-    text = F.concat(F.lit("steps\n#### "), F.col("p_size").cast("string"), F.lit("\n#### 9"))
-    found = F.regexp_extract(text, r"#### (-?[0-9.,]+)", 1)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.when(found == "", F.raise_error(F.lit("no answer")).cast("string")).otherwise(F.replace(found, F.lit(","))).alias("answer"))
+    found = F.regexp_extract("text", r"#### (-?[0-9.,]+)", 1)
+    return _spelt(spark, d, _GOLD).select("iid", F.when(found == "", F.raise_error(F.lit("no answer")).cast("string")).otherwise(F.replace(found, F.lit(","))).alias("answer"))
+
+
+_GEO = (
+    ("<think>\nx</think> \\boxed{@N}", "@N", "1.0"),
+    ("<think>\nx</think> \\boxed{@N}", "@M", "0.1"),
+    ("no thought \\boxed{@N}", "@N", "0.9"),
+    ("no thought \\boxed{@N}", "@M", "0.0"),
+    ("<think>x</think> @N", "@N", "0.0"),
+)
 
 
-@query("s_geo3k", "SELECT p_partkey AS iid, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.1 END AS score FROM part")
+@query("s_geo3k", f"SELECT p_partkey AS iid, ({_case(*_GEO)})::DOUBLE AS score FROM part")
 def s_geo3k(spark, d):
     ship(spark)
-    text = F.concat(F.lit("<think>\nx</think> \\boxed{"), F.col("p_size").cast("string"), F.lit("}"))
-    gold = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("0")
-    right = answers.boxed_score(text, gold)
-    form = text.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$").cast("double")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.round(0.9 * right + 0.1 * form, 6).alias("score"))
+    form = F.col("text").rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$").cast("double")
+    return _spelt(spark, d, _GEO).select("iid", F.round(0.9 * answers.boxed_score(F.col("text"), F.col("gold")) + 0.1 * form, 6).alias("score"))
 
 
-@query("s_judge", "SELECT p_partkey AS iid, (p_size % 2)::DOUBLE AS score FROM part")
+_JUDGED = (("So \\boxed{True}", "", "1.0"), ("So \\boxed{False}", "", "0.0"), ("@N", "", "0.0"), ("\\boxed{False} no, \\boxed{True}", "", "1.0"), ("\\boxed{true}", "", "0.0"), ("\\boxed{True", "", "0.0"))
+
+
+@query("s_judge", f"SELECT p_partkey AS iid, ({_case(*_JUDGED)})::DOUBLE AS score FROM part")
 def s_judge(spark, d):
     ship(spark)
-    said = F.concat(F.lit("So \\boxed{"), F.when(F.col("p_size") % 2 == 1, "True").otherwise("False"), F.lit("}"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.coalesce((k.udf(k.last_boxed, "string")(said) == "True").cast("double"), F.lit(0.0)).alias("score"))
+    return _spelt(spark, d, _JUDGED).select("iid", F.coalesce((k.udf(k.last_boxed, "string")(F.col("text")) == "True").cast("double"), F.lit(0.0)).alias("score"))
 
 
 @query("prime_ce", f"WITH {p.RESP}, {p.TOK}, s AS (SELECT uid, sample, sum(reward * mask) * 5 AS z FROM tok GROUP BY ALL) SELECT round(avg(-(r.acc * ln(1 / (1 + exp(-z))) + (1 - r.acc) * ln(1 - 1 / (1 + exp(-z))))), 6) AS loss FROM s JOIN resp r USING (uid, sample)")
@@ -172,14 +184,17 @@ def rm_pairs(spark, d):
     return rows.select("id", F.filter("chosen.input_ids", lambda x: x != 0).alias("chosen"), F.aggregate("chosen.attention_mask", F.lit(0), lambda s, x: s + x).cast("long").alias("n"))
 
 
-@query("code_block", "SELECT p_partkey AS iid, 'x = ' || p_size || chr(10) || 'print(x + 1)' AS code FROM part")
+_CODE = (
+    ("run ```python\nx = @N\nx + 1\n``` ok", "", "'x = ' || p_size || chr(10) || 'print(x + 1)'"),
+    ("x = @N\nprint(x)\n", "", "'x = ' || p_size || chr(10) || 'print(x)' || chr(10)"),
+    ("f(@N)\n\n", "", "'print(f(' || p_size || '))' || chr(10) || chr(10)"),
+    ("```python @N ``` and ```python 2 ```", "", "'print(' || p_size || ')'"),
+)
+
+
+@query("code_block", f"SELECT p_partkey AS iid, {_case(*_CODE)} AS code FROM part")
 def code_block(spark, d):
-    text = F.concat(F.lit("run ```python\nx = "), F.col("p_size").cast("string"), F.lit("\nx + 1\n``` ok"))
-    code = F.trim(F.regexp_extract(text, r"(?s)```python(.*?)```", 1), F.lit(" \n"))
-    lines = F.split(code, "\n")
-    last = F.element_at(lines, -1)
-    shown = F.when(last.startswith("print"), last).otherwise(F.concat(F.lit("print("), last, F.lit(")")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("iid"), F.array_join(F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(shown)), "\n").alias("code"))
+    return _spelt(spark, d, _CODE).select("iid", r.printed(F.col("text"), answers.SPACES).alias("code"))
 
 
 @query("md5_path", "SELECT p_partkey AS iid, md5(p_name) AS md5 FROM part")

@@ -212,8 +212,19 @@ def test_python_rounding():
 
 
 def test_traces():
-    got = k.segments("I <code>x</code>\n<interpreter>1</interpreter>done<answer>1</answer>")
-    assert [(x["role"], x["kind"]) for x in got] == [("assistant", "text"), ("assistant", "code"), ("tool", "interpreter"), ("assistant", "text"), ("assistant", "answer")]
+    ask = "intro *user question:* What <answer>is</answer> it? "
+    got = k.trace_messages(ask, "I think <code>\n```python\nx=1\n```\n</code>\nout: <interpreter> 1 </interpreter>so <answer>one</answer>")
+    assert [(m["role"], m["content"], m["code"]) for m in got] == [("user", "What is it?", None), ("assistant", "I think", "x=1"), ("tool", "1", None), ("assistant", "so one", None)]
+    assert k.trace_messages(ask, "<code> y </code>")[1]["code"] == " y "
+    assert len(k.trace_messages(ask, "")) == 1
+    for bad in ("no turn", "<code>x</code>then", "</code><code>x</code>", "<answer>1</answer> more", "<code>x"):
+        assert k.trace_messages(ask, bad) is None, bad
+    assert k.trace_messages("no question", "<answer>1</answer>") is None and k.trace_messages(None, None) is None
+
+
+def test_printed_code(spark):
+    for code, want in (("a\nb\n\n", "a\nprint(b)\n\n"), ("say ```python\nx = 1\nx\n``` and ```python\ny\n```", "x = 1\nprint(x)"), ("print(1)", "print(1)"), ("", ""), ("\n\n", "\n\n"), ("  ", "print(  )")):
+        assert one(spark, r.printed(F.col("c"), x.SPACES), c=code) == want, code
 
 
 def test_islands(spark):
