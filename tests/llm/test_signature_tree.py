@@ -202,3 +202,17 @@ def test_one_id_with_several_texts(spark):
 
 def test_empty_table(spark):
     assert s.joined(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(31)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    near = list(words)
+    for i in range(0, len(near), 100):
+        near[i] = "changed"
+    far = list(words)
+    for i in range(0, len(far), 15):
+        far[i] = f"c{i}"
+    rows = [(5, " ".join(words)), (2, " ".join(near)), (9, " ".join(far)), (4, "y" * 3_000_000), (3, "Y" * 3_000_000), (None, " ".join(near) + " end")]
+    got = {(r.doc_id, r.component_id) for r in s.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 2), (2, 2), (9, 9), (4, 3), (3, 3), (None, 2)}
