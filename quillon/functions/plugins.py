@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -33,6 +34,48 @@ class Names:
 REWARDS, DATASETS, TOOL_PARSERS = Names("reward"), Names("dataset"), Names("tool parser")
 
 
+#: Tools: (arguments as a dict) to (what the model reads, a reward).  Interactions:
+#: (messages as dicts) to (whether it is over, the reply, a score).
+TOOLS, INTERACTIONS = Names("tool"), Names("interaction")
+RESULT = "array<struct<name string, response string, reward double>>"
+REPLY = "struct<done boolean, reply string, score double>"
+
+
+def called(calls: Column, names: Iterable[str], limit: int | None = None) -> Column:
+    """Results of tool calls (``name``, ``arguments`` as JSON text), in order, by
+    registered tools; at most ``limit`` of them.  A call of an unknown tool, one with
+    arguments that are no object, and one that fails give an error as the response
+    and no reward."""
+    tools = {n: TOOLS.get(n) for n in names}
+
+    def one(call) -> dict:
+        name, text = call["name"], call["arguments"]
+        try:
+            arguments = json.loads(text)
+            if not isinstance(arguments, dict):
+                raise TypeError("the arguments are no object")
+            response, reward = tools[name](arguments)
+            return {"name": name, "response": str(response), "reward": float(reward)}
+        except Exception as e:  # noqa: BLE001  a tool may fail in any way; the model reads that it did
+            return {"name": name, "response": f"Error: {type(e).__name__}", "reward": 0.0}
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda row: [] if row is None else [one(c) for c in list(row)[:limit]])
+
+    return F.pandas_udf(run, RESULT)(calls)
+
+
+def replied(messages: Column, name: str) -> Column:
+    """What a registered interaction says to messages (``role``, ``content``)."""
+    act = INTERACTIONS.get(name)
+
+    def run(column: pd.Series) -> pd.DataFrame:
+        said = [act([dict(m) for m in row]) for row in column]
+        return pd.DataFrame({"done": [bool(x[0]) for x in said], "reply": [x[1] for x in said], "score": [float(x[2]) for x in said]})
+
+    return F.pandas_udf(run, REPLY)(messages)
+
+
 def python_reward(f: Callable[[str, str, str], float], on_error: float = 0.0) -> Callable[..., Column]:
     """A Python scorer of (source, text, gold) as an Arrow-batched UDF.  A row for
     which it fails scores ``on_error``."""

@@ -24,6 +24,27 @@ def estimator(name: str):
     return add
 
 
+#: Policy losses by name: (logp, old logp, advantages, mask) to the loss of each token.
+POLICY_LOSSES: dict[str, Callable[[Column, Column, Column, Column], Column]] = {}
+
+
+def policy_loss(name: str):
+    """Register a policy loss; another function under the same name is an error."""
+
+    def add(f):
+        if POLICY_LOSSES.setdefault(name, f) is not f:
+            raise ValueError(f"policy loss {name} is registered already")
+        return f
+
+    return add
+
+
+def policy_loss_of(name: str) -> Callable[[Column, Column, Column, Column], Column]:
+    if name not in POLICY_LOSSES:
+        raise ValueError(f"no policy loss is called {name}: {sorted(POLICY_LOSSES)}")
+    return POLICY_LOSSES[name]
+
+
 def _over(uid: str) -> W:
     return W.partitionBy(uid)
 
@@ -179,6 +200,26 @@ def ppo_loss(logp: Column, old: Column, adv: Column, low: float = 0.2, high: flo
     return F.transform(F.arrays_zip(logp.alias("a"), old.alias("b"), adv.alias("adv")), one)
 
 
+@policy_loss("vanilla")
+def vanilla_loss(logp: Column, old: Column, adv: Column, mask: Column) -> Column:
+    return ppo_loss(logp, old, adv)
+
+
+@policy_loss("gpg")
+def gpg_loss(logp: Column, old: Column, adv: Column, mask: Column) -> Column:
+    return F.zip_with(logp, adv, lambda x, v: -x * v)
+
+
+@policy_loss("gspo")
+def gspo_loss(logp: Column, old: Column, adv: Column, mask: Column, low: float = 3e-4, high: float = 4e-4) -> Column:
+    """Clipped by the ratio of the whole sequence, the mean of its tokens' ratios."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    mean = total(masked(kl(logp, old, "k1"), mask)) / F.greatest(total(mask), F.lit(1.0))
+    held = F.array(F.struct(F.exp(F.least(mean, F.lit(10.0))).alias("ratio")))
+    token = lambda v, r: F.greatest(-v * r, -v * F.greatest(F.least(r, F.lit(1 + high)), F.lit(1 - low)))
+    return F.get(F.transform(held, lambda h: F.transform(adv, lambda v: token(v, h["ratio"]))), 0)
+
+
 def value_loss(values: Column, old: Column, returns: Column, clip: float) -> Column:
     def one(x: Column) -> Column:
         c = F.greatest(F.least(x["v"], x["o"] + clip), x["o"] - clip)

@@ -14,7 +14,7 @@ from quillon.operators import advantages as a
 from quillon.operators import catalogue as c
 from quillon.operators.batch import drawn, first_or_drawn, seeded
 from quillon.plans import proxies as p
-from quillon.plans.datasets import _case, _spelt
+from quillon.plans.datasets import CHATS, _case, _spelt
 from quillon.plans.recommend import SIMS, _sims
 from quillon.registry import query
 from quillon.session import scratch, ship, table
@@ -237,6 +237,38 @@ def policy_loss_clip_cov(spark, d):
     return both.agg(R6(F.avg(F.when(F.col("out").isNull(), F.col("l")).otherwise(0.0))).alias("loss"), F.count("out").alias("clipped"))
 
 
+@plugins.TOOLS.add("add")
+def _add(arguments: dict) -> tuple[str, float]:
+    return str(arguments["a"] + arguments["b"]), 0.5
+
+
+@plugins.TOOLS.add("same")
+def _same(arguments: dict) -> tuple[str, float]:
+    return arguments["text"], 0.0
+
+
+@query("tool_results", """SELECT p_partkey AS iid, unnest(['add', 'same', 'none', 'add']) AS name, unnest([(p_size + p_partkey)::VARCHAR, p_name, 'Error: KeyError', 'Error: TypeError']) AS response, unnest([0.5::DOUBLE, 0, 0, 0]) AS reward FROM part""")
+def tool_results(spark, d):
+    """Calls of two tools, of one that there is not, and one with wrong arguments;
+    a fifth is over the limit."""
+    call = lambda name, *x: F.struct(F.lit(name).alias("name"), F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x)).alias("arguments"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    calls = F.array(call("add", '{"a": ', size, ', "b": ', key, "}"), call("same", '{"text": "', F.col("p_name"), '"}'), call("none", "{}"), call("add", "[1]"), call("same", "{}"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("iid"), plugins.called(calls, ("add", "same"), 4).alias("x"))
+    return t.select("iid", F.inline("x"))
+
+
+@plugins.INTERACTIONS.add("until_short")
+def _until_short(messages: list[dict]) -> tuple[bool, str, float]:
+    last = messages[-1]["content"]
+    return (True, "thanks", 1.0) if len(last) <= 100 else (False, f"too long: {len(last)}", 0.0)
+
+
+@query("interaction", f"WITH {CHATS} SELECT conv_id, length(messages[-1].content) <= 100 AS done, CASE WHEN length(messages[-1].content) <= 100 THEN 'thanks' ELSE 'too long: ' || length(messages[-1].content) END AS reply, (length(messages[-1].content) <= 100)::INT::DOUBLE AS score FROM chats")
+def interaction(spark, d):
+    return p.chats(spark, d).select("conv_id", plugins.replied(F.col("messages"), "until_short").alias("x")).select("conv_id", "x.*")
+
+
 @query("reward_manager", f"WITH {p.RESP} SELECT uid, sample, round(CASE WHEN sample % 5 = 0 THEN 7 ELSE CASE WHEN source = 'R' THEN 1 ELSE 0 END + least(-(len - 30) / 10 * 0.5, 0) END, 6) AS reward FROM resp")
 def reward_manager(spark, d):
     def scorer(source: str, text: str, gold: str) -> float:

@@ -294,24 +294,24 @@ _RATIO = "exp(greatest(least(logp - ref, 20), -20))"
 @query("policy_loss", f"""WITH {p.RESP}, {p.TOK}, x AS (SELECT uid, sample, mask, value - 0.5 AS adv, {_RATIO} AS ratio FROM tok), c AS (SELECT *, greatest(-adv * ratio, -adv * greatest(least(ratio, 1.2), 0.8)) AS c FROM x),
   l AS (SELECT mask, CASE WHEN adv < 0 THEN least(-adv * 3, c) ELSE c END AS l FROM c) SELECT round(sum(l * mask) / (sum(mask) + 1e-8::DOUBLE), 6) AS loss FROM l""")
 def policy_loss(spark, d):
-    t = p.tokens(spark, d).withColumn("l", a.ppo_loss(F.col("logp"), F.col("ref"), F.transform("values", lambda v: v - 0.5)))
-    return a.agg_loss(t, "l", "mask", "token-mean").select(R6("loss").alias("loss"))
+    return _policy_loss(spark, d, "vanilla", "token-mean")
+
+
+def _policy_loss(spark, d, name: str, mode: str):
+    t = p.tokens(spark, d).withColumn("adv", F.transform("values", lambda v: v - 0.5))
+    t = t.withColumn("l", a.policy_loss_of(name)(F.col("logp"), F.col("ref"), F.col("adv"), F.col("mask")))
+    return a.agg_loss(t, "l", "mask", mode).select(R6("loss").alias("loss"))
 
 
 @query("policy_loss_gspo", f"""WITH {p.RESP}, {p.TOK}, s AS (SELECT uid, sample, sum((logp - ref) * mask) / greatest(sum(mask), 1) AS k FROM tok GROUP BY ALL), x AS (SELECT uid, sample, mask, value - 0.5 AS adv, exp(least(k, 10)) AS ratio FROM tok JOIN s USING (uid, sample)),
   l AS (SELECT uid, sample, mask, greatest(-adv * ratio, -adv * greatest(least(ratio, 1.0004), 0.9997)) AS l FROM x) SELECT round(avg(t), 6) AS loss FROM (SELECT sum(l * mask) / sum(mask) AS t FROM l GROUP BY uid, sample)""")
 def policy_loss_gspo(spark, d):
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    t = p.tokens(spark, d).withColumn("k", total(a.masked(a.kl(F.col("logp"), F.col("ref"), "k1"), F.col("mask"))) / F.greatest(total(F.col("mask")), F.lit(1.0)))
-    t = t.withColumn("ratio", F.exp(F.least("k", F.lit(10.0))))
-    loss = F.transform("values", lambda v: F.greatest(-(v - 0.5) * F.col("ratio"), -(v - 0.5) * F.greatest(F.least(F.col("ratio"), F.lit(1.0004)), F.lit(0.9997))))
-    return a.agg_loss(t.withColumn("l", loss), "l", "mask", "seq-mean-token-mean").select(R6("loss").alias("loss"))
+    return _policy_loss(spark, d, "gspo", "seq-mean-token-mean")
 
 
 @query("policy_loss_gpg", f"WITH {p.RESP}, {p.TOK} SELECT round(sum(-logp * (value - 0.5) * mask) / (sum(mask) + 1e-8::DOUBLE), 6) AS loss FROM tok")
 def policy_loss_gpg(spark, d):
-    t = p.tokens(spark, d).withColumn("l", F.zip_with("logp", "values", lambda x, v: -x * (v - 0.5)))
-    return a.agg_loss(t, "l", "mask", "token-mean").select(R6("loss").alias("loss"))
+    return _policy_loss(spark, d, "gpg", "token-mean")
 
 
 @query("value_loss", f"""WITH {p.RESP}, {p.TOK}, x AS (SELECT mask, value AS v, -ref AS o, -logp AS r FROM tok), c AS (SELECT *, greatest(least(v, o + 0.1), o - 0.1) AS c FROM x),

@@ -7,6 +7,7 @@ import pytest
 
 from quillon.functions import kernels as k
 from quillon import plans  # noqa: F401  registers the queries
+from quillon.plans import proxies
 from quillon.registry import QUERIES
 from quillon.sources import files
 
@@ -78,3 +79,78 @@ def test_copies(spark, tmp_path):
         files.cached_copy(spark, f"{path}/none", cache)
     files.make_folder(spark, f"{cache}/x/y")
     assert files.exists(spark, f"{cache}/x/y") and not files.exists(spark, f"{cache}/z")
+
+
+def plain_greedy(lengths, k):
+    load, out = [0] * k, []
+    for n in lengths:
+        i = min(range(k), key=lambda j: (load[j], j))
+        load[i] += n
+        out.append(i)
+    return out
+
+
+def plain_differencing(lengths, k):
+    """The two states of the widest spread become one, largest sums with smallest."""
+    states = [[(lengths[i], [i])] + [(0, []) for _ in range(k - 1)] for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i))]
+    while len(states) > 1:
+        spread = lambda s: s[0][0] - s[-1][0]
+        a = max(states, key=spread)
+        states.remove(a)
+        b = max(states, key=spread)
+        states.remove(b)
+        both = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)]
+        states.append(sorted(both, key=lambda s: (-s[0], s[1])))
+    return sorted((n, len(m)) for n, m in states[0])
+
+
+def test_balancing_over_the_table(spark):
+    rows = {}
+    for r in sorted(proxies.responses(spark, D).select("uid", "sample", "len").collect()):
+        rows.setdefault(r.uid // 1024, []).append(r.len)
+    for name, f in (("balance_greedy", lambda x: plain_greedy(x, 4)), ("balance_kk", None)):
+        got = {}
+        for r in QUERIES[name](spark, D).collect():
+            got.setdefault(r.batch, []).append((r.tokens, r.n))
+        assert set(got) == set(rows)
+        for batch, x in rows.items():
+            if f:
+                part = f(x)
+                want = sorted((sum(n for n, p in zip(x, part, strict=True) if p == i), part.count(i)) for i in set(part))
+            elif len(x) > 1500:
+                continue  # the plain form takes too long
+            else:
+                want = [w for w in plain_differencing(x, 4) if w[1]]
+            assert sorted(got[batch]) == want
+    for lengths in ([5, 5, 4, 3, 3], [1], [7] * 9, list(range(1, 40))):
+        for k_parts in (2, 3):
+            part = k.karmarkar_karp(lengths, k_parts)
+            assert sorted((sum(n for n, q in zip(lengths, part, strict=True) if q == i), part.count(i)) for i in range(k_parts)) == plain_differencing(lengths, k_parts)
+
+
+def test_micro_batches_over_the_table(spark):
+    rows = {}
+    for r in proxies.responses(spark, D).select("uid", "len").collect():
+        rows.setdefault(r.uid // 1024, []).append(r.len)
+    got = {}
+    for r in QUERIES["microbatch"](spark, D).collect():
+        got.setdefault(r.batch, []).append(r)
+    for batch, x in rows.items():
+        parts = got[batch]
+        assert len(parts) == min(len(x), -(-sum(x) // 2000)) and sum(r.n for r in parts) == len(x)
+        assert sum(r.tokens for r in parts) == sum(x) and max(r.tokens for r in parts) - min(r.tokens for r in parts) <= max(x)
+
+
+def test_registries():
+    from quillon.functions import plugins
+    from quillon.operators import advantages
+
+    assert set(advantages.POLICY_LOSSES) >= {"vanilla", "gpg", "gspo"}
+    with pytest.raises(ValueError):
+        advantages.policy_loss("gpg")(lambda *_: None)
+    with pytest.raises(ValueError):
+        advantages.policy_loss_of("GPG")
+    with pytest.raises(ValueError):
+        plugins.TOOLS.get("unknown")
+    with pytest.raises(ValueError):
+        plugins.INTERACTIONS.add("until_short")(lambda m: None)
