@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,11 +115,24 @@ def _cuts(df: DataFrame, by: str, parts: int) -> list[float]:
     return sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
 
 
+#: Cuts that are compared one by one; of more, first every such one.
+STRIDE = 64
+
+
+def _passed(cuts: list[float], holds: Callable[[Column], Column]) -> Column:
+    """How many cuts a value has passed; ``holds`` is true for the first ones only."""
+    at = F.array(*(F.lit(float(c)) for c in cuts))
+    if len(cuts) <= STRIDE:
+        return F.size(F.filter(at, holds))
+    whole = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts[STRIDE - 1 :: STRIDE])), holds)) * STRIDE
+    return whole + F.size(F.filter(F.slice(at, whole + 1, F.lit(STRIDE)), holds))
+
+
 def _place(by: str, cuts: list[float]) -> Column:
     """2 i between the cuts, 2 i + 1 at a cut; -1 for null."""
-    at = F.array(*(F.lit(float(c)) for c in cuts))
-    below = F.size(F.filter(at, lambda c: c < F.col(by))) + F.size(F.filter(at, lambda c: c <= F.col(by))) if cuts else F.lit(0)
-    return F.when(F.col(by).isNull(), -1).otherwise(below)
+    x = F.col(by)
+    below = _passed(cuts, lambda c: c < x) + _passed(cuts, lambda c: c <= x) if cuts else F.lit(0)
+    return F.when(x.isNull(), -1).otherwise(below)
 
 
 def numbered(df: DataFrame, by: str, *ties: str, name: str = "ord", part_rows: int = PART_ROWS) -> DataFrame:

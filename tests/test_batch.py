@@ -19,6 +19,13 @@ def test_places(spark, part_rows):
     assert b.numbered(df.limit(0), "v", "k").collect() == []
 
 
+def test_many_cuts(spark):
+    rng = random.Random(9)
+    cuts = sorted({float(rng.randrange(1000)) for _ in range(300)})
+    got = spark.range(-1, 1001).select("id", b._place("id", cuts).alias("p")).collect()
+    assert all(r.p == sum(c < r.id for c in cuts) + sum(c <= r.id for c in cuts) for r in got)
+
+
 def test_no_task_sorts_a_shared_value_whole(spark):
     df = spark.range(4000).select(F.lit(1).alias("v"), F.col("id").alias("k"))
     out = b.numbered(df, "v", "k", part_rows=50)
