@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,8 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Paths of the scopes that are open, innermost last.
-_SCOPES: list[list[str]] = []
+#: Paths of the scopes that are open in this thread, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -88,8 +89,9 @@ def scratch(spark: SparkSession, what: str, outer: bool = False) -> str:
     with ``outer`` with the one around it; without a scope it stays until
     ``clear_scratch``."""
     to = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if len(_SCOPES) > outer:
-        _SCOPES[-1 - outer].append(to)
+    scopes = _SCOPES.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(to)
     return to
 
 
@@ -98,11 +100,11 @@ def scope(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables that are made inside are deleted at the end: what still
     reads them must have been written by then."""
     made: list[str] = []
-    _SCOPES.append(made)
+    mark = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield
     finally:
-        _SCOPES.pop()
+        _SCOPES.reset(mark)
         for path in made:
             removed(spark, path)
 

@@ -34,6 +34,18 @@ def test_a_scope_that_fails_deletes_too(spark):
     assert not os.path.exists(local(path))
 
 
+def test_threads_have_scopes_of_their_own(spark):
+    import threading
+
+    made = []
+    with session.scope(spark):
+        t = threading.Thread(target=lambda: made.append(session.scratch(spark, "other")))
+        t.start()
+        t.join()
+        spark.range(1).write.parquet(made[0])
+    assert os.path.exists(local(made[0]))
+
+
 def test_a_cluster_needs_a_shared_folder():
     unset = SimpleNamespace(get=lambda key, default=None: default)
     for master, fails in (("spark://host:7077", True), ("yarn", True), ("local-cluster[2,1,1024]", True)):
