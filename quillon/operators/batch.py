@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -161,6 +162,31 @@ def numbered(df: DataFrame, by: str, *ties: str, name: str = "ord", part_rows: i
     return placed.withColumn(name, F.col("_at") - 1 + F.col("_base")).drop("_part", "_sub", "_at", "_base")
 
 
+#: How far an approximate quantile may be off, as a share of the rows.
+QUANTILE_ERROR = 0.001
+
+
+def marked_first(df: DataFrame, by: str, *ties: str, n: int, name: str = "first") -> DataFrame:
+    """``name``: whether a row is among the first ``n`` by a numeric column, then
+    ``ties``; null comes last.  Two quantiles around the ``n``-th row tell nearly all
+    rows apart, and only those between them are numbered, so no task sorts ``n`` rows
+    however many that are."""
+    total = df.filter(F.col(by).isNotNull()).count()
+    if n >= total or n <= 0:
+        return df.withColumn(name, F.col(by).isNotNull() & F.lit(n > 0))
+    share = [max(0.0, n / total - 2 * QUANTILE_ERROR), min(1.0, n / total + 2 * QUANTILE_ERROR)]
+    low, high = df.approxQuantile(by, share, QUANTILE_ERROR)
+    below, upto = df.agg(F.count_if(F.col(by) < low), F.count_if(F.col(by) <= high)).first()
+    if below > n:
+        low, below = -math.inf, 0
+    if upto < n:
+        high = math.inf
+    between = numbered(df.filter((F.col(by) >= low) & (F.col(by) <= high)), by, *ties, name=name)
+    out = between.withColumn(name, F.col(name) < n - below)
+    rest = df.filter(~F.coalesce((F.col(by) >= low) & (F.col(by) <= high), F.lit(False)))
+    return out.unionByName(rest.withColumn(name, F.coalesce(F.col(by) < low, F.lit(False))))
+
+
 def seeded(seed: int, *keys: str | Column) -> Column:
     """A number below 2**52 that hangs on the seed and the keys only: an order that
     it gives is a shuffle that can be repeated anywhere."""

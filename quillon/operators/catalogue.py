@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators.batch import marked_first, seeded
 from quillon.session import materialised
 
 
@@ -177,10 +178,10 @@ def described(item: Column) -> Column:
 
 
 def random_split(df: DataFrame, key: str, n_test: int, seed: int = 42) -> DataFrame:
-    """``split``: the ``n_test`` rows that come first in a seeded hash order are
-    test, the others train; all are test if there are no more."""
-    test = df.select(key).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n_test).withColumn("split", F.lit("test"))
-    return df.join(test, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    """``split``: the ``n_test`` rows that come first in a seeded order are test, the
+    others train; all are test if there are no more."""
+    drawn = marked_first(df.withColumn("_draw", seeded(seed, key)), "_draw", key, n=n_test, name="_test")
+    return drawn.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_draw", "_test")
 
 
 def summary_parts(title: Column, description: Column, near: Column, score: Callable[[Column], Column], cut: int = 150) -> Column:

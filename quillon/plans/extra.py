@@ -12,12 +12,12 @@ from quillon.functions import plugins
 from quillon.functions import rewards as r
 from quillon.operators import advantages as a
 from quillon.operators import catalogue as c
-from quillon.operators.batch import drawn, first_or_drawn, seeded
+from quillon.operators.batch import drawn, first_or_drawn, marked_first, seeded
 from quillon.plans import proxies as p
 from quillon.plans.datasets import CHATS, _case, _spelt
 from quillon.plans.recommend import SIMS, _sims
 from quillon.registry import query
-from quillon.session import scratch, ship, table
+from quillon.session import materialised, scratch, ship, table
 from quillon.sources import files
 
 R6 = lambda x: F.round(x, 6)
@@ -215,11 +215,10 @@ def _flat(spark, d) -> DataFrame:
 @query("policy_loss_kl_cov", f"WITH {p.RESP}, {p.TOK}, {_COV}, r AS (SELECT *, row_number() OVER (ORDER BY round(cov, 9) DESC, uid, sample, i) AS k FROM c) SELECT round(avg(-adv * ratio + CASE WHEN k <= greatest(1, floor(n * 0.01)) THEN abs(logp - ref) ELSE 0 END), 6) AS loss FROM r")
 def policy_loss_kl_cov(spark, d):
     """Tokens of the largest covariance, a share of all, pay for divergence."""
-    t = _flat(spark, d)
+    t = materialised(spark, _flat(spark, d).withColumn("by", -F.round("cov", 9)), "tokens")
     n = t.select(F.greatest(F.lit(1), F.floor(F.col("n") * 0.01)).cast("int")).first()[0]  # one number
-    top = t.orderBy(F.desc(F.round("cov", 9)), "uid", "sample", "i").limit(n).select("uid", "sample", "i", F.lit(1.0).alias("pays"))
-    both = t.join(top, ["uid", "sample", "i"], "left")
-    return both.agg(R6(F.avg(-F.col("adv") * F.col("ratio") + F.coalesce("pays", F.lit(0.0)) * F.abs("gap"))).alias("loss"))
+    top = marked_first(t, "by", "uid", "sample", "i", n=n, name="pays")
+    return top.agg(R6(F.avg(-F.col("adv") * F.col("ratio") + F.when(F.col("pays"), F.abs("gap")).otherwise(0.0))).alias("loss"))
 
 
 @query("policy_loss_clip_cov", f"""WITH {p.RESP}, {p.TOK}, {_COV}, l AS (SELECT *, -adv * ratio AS l1, -adv * greatest(least(ratio, 1.2), 0.8) AS l2 FROM c),
@@ -230,11 +229,11 @@ def policy_loss_clip_cov(spark, d):
     gradient: its loss counts as zero."""
     l1 = -F.col("adv") * F.col("ratio")
     l2 = -F.col("adv") * F.greatest(F.least("ratio", F.lit(1.2)), F.lit(0.8))
-    t = _flat(spark, d).withColumns({"l": F.greatest(l1, l2), "band": (F.col("cov") > 0.01) & (F.col("cov") < 5) & ~(l2 > l1)})
+    band = (F.col("cov") > 0.01) & (F.col("cov") < 5) & ~(l2 > l1)
+    t = materialised(spark, _flat(spark, d).withColumns({"l": F.greatest(l1, l2), "by": F.when(band, seeded(42, "uid", "sample", "i"))}), "tokens")
     n = t.select(F.greatest(F.lit(1), F.floor(F.col("n") * 0.0002)).cast("int")).first()[0]  # one number
-    out = t.filter("band").orderBy(seeded(42, "uid", "sample", "i"), "uid", "sample", "i").limit(n).select("uid", "sample", "i", F.lit(1).alias("out"))
-    both = t.join(out, ["uid", "sample", "i"], "left")
-    return both.agg(R6(F.avg(F.when(F.col("out").isNull(), F.col("l")).otherwise(0.0))).alias("loss"), F.count("out").alias("clipped"))
+    out = marked_first(t, "by", "uid", "sample", "i", n=n, name="out")
+    return out.agg(R6(F.avg(F.when(F.col("out"), 0.0).otherwise(F.col("l")))).alias("loss"), F.count_if("out").alias("clipped"))
 
 
 @plugins.TOOLS.add("add")

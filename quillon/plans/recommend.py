@@ -317,16 +317,19 @@ def jaccard(spark, d):
     return a.join(b, "iid").select("iid", F.round(F.try_divide(F.size(F.array_intersect("words", "other")), F.size(F.array_union("words", "other"))), 6).alias("jaccard"))
 
 
-@query("split_random", "SELECT 'test' AS split, least(100, count(*)) AS n FROM part UNION ALL SELECT 'train', count(*) - least(100, count(*)) FROM part")
+_SPLIT = f"SELECT p_partkey AS iid, CASE WHEN row_number() OVER (ORDER BY {p.seeded_sql(42, 'p_partkey')}, p_partkey) <= {{}} THEN 'test' ELSE 'train' END AS split FROM part"
+
+
+@query("split_random", _SPLIT.format("100"))
 def split_random(spark, d):
-    return c.random_split(p.items(spark, d), "iid", 100).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return c.random_split(p.items(spark, d).select("iid"), "iid", 100)
 
 
-@query("split_ratio", "SELECT 'test' AS split, count(*) - floor(0.9 * count(*))::BIGINT AS n FROM part UNION ALL SELECT 'train', floor(0.9 * count(*))::BIGINT FROM part")
+@query("split_ratio", _SPLIT.format("(SELECT count(*) - floor(0.9 * count(*)) FROM part)"))
 def split_ratio(spark, d):
-    items = p.items(spark, d)
-    total = items.agg((F.count("*") - F.floor(0.9 * F.count("*"))).alias("k")).first()[0]  # one number
-    return c.random_split(items, "iid", total).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    items = p.items(spark, d).select("iid")
+    n = items.count()
+    return c.random_split(items, "iid", n - int(0.9 * n))
 
 
 @query("anti_split", "SELECT p_partkey AS iid FROM part WHERE p_partkey % 5 <> 0")

@@ -32,6 +32,18 @@ def test_no_task_sorts_a_shared_value_whole(spark):
     assert {r.k: r.ord for r in out.collect()} == {i: i for i in range(4000)}
 
 
+@pytest.mark.parametrize("values", [10**6, 7, 1])
+def test_first_rows(spark, values):
+    rng = random.Random(values)
+    rows = [(rng.choice([None, *[rng.randrange(values)] * 20]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "v long, k long").repartition(4)
+    order = sorted((v, i) for v, i in rows if v is not None)
+    for n in (0, 1, 30, 1500, len(order) - 1, len(order), 5000):
+        got = {r.k for r in b.marked_first(df, "v", "k", n=n).collect() if r.first}
+        assert got == {i for _, i in order[:n]}
+    assert b.marked_first(df, "v", "k", n=30).count() == 3000
+
+
 def test_orders(spark):
     df = spark.createDataFrame([(i, (i * 7) % 5) for i in range(50)], "id long, hard int")
     order = lambda *a, **k: [r.id for r in sorted(b.sampled_order(df, "id", *a, **k).collect(), key=lambda r: r.place)]
