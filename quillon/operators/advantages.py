@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.session import ship
+
 EPS = 1e-6
 ESTIMATORS: dict[str, Callable] = {}
 
@@ -106,10 +110,63 @@ def soft_mean(df: DataFrame, score: str, beta: float) -> DataFrame:
     return df.crossJoin(F.broadcast(top)).agg(((F.first("top") + F.log(F.avg(F.exp(beta * x - F.col("top"))))) / beta).alias("baseline"))  # one row
 
 
+#: Numbers of a block of rows that are scanned together.
+SCANNED = 1 << 20
+
+
+def _right_aligned(lists: list, width: int) -> np.ndarray:
+    out = np.zeros((len(lists), width))
+    for i, x in enumerate(lists):
+        out[i, width - len(x) :] = x
+    return out
+
+
+def _scan(f: Callable[..., np.ndarray], columns: tuple) -> list:
+    """``f`` of matrices of rows of like lengths, whose last places are in the last
+    column; a row of which an array is null has none."""
+    rows = list(zip(*columns, strict=True))
+    out: list = [None] * len(rows)
+    there = sorted((i for i, r in enumerate(rows) if all(x is not None for x in r)), key=lambda i: len(rows[i][0]))
+    at = 0
+    while at < len(there):
+        to = at + 1
+        while to < len(there) and (to - at + 1) * max(1, len(rows[there[to]][0])) <= SCANNED:
+            to += 1
+        block = there[at:to]
+        width = len(rows[block[-1]][0])
+        made = f(*(_right_aligned([rows[i][k] for i in block], width) for k in range(len(columns))))
+        for i, x in zip(block, made, strict=True):
+            out[i] = x[width - len(rows[i][0]) :]
+        at = to
+    return out
+
+
+def scanned(f: Callable[..., np.ndarray], *columns: Column) -> Column:
+    """An array of numbers for each row by a recurrence from its right end, in time
+    linear in its length: rows of a batch are scanned together, place by place.  All
+    arrays of a row are of one length and hold no null."""
+    spark = SparkSession.getActiveSession()
+    if spark:
+        ship(spark)
+
+    def run(*parts: pd.Series) -> pd.Series:
+        return pd.Series(_scan(f, parts), dtype=object)
+
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return run(a, b, c)
+
+    return F.pandas_udf((one, two, three)[len(columns) - 1], "array<double>")(*columns)
+
+
 def reverse_cumsum(c: Column) -> Column:
     """Sum from each position to the end."""
-    step = F.aggregate(F.reverse(c), F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out")), lambda a, x: F.struct((a["run"] + x).alias("run"), F.array_append(a["out"], a["run"] + x).alias("out")))
-    return F.reverse(step["out"])
+    return scanned(lambda x: np.cumsum(x[:, ::-1], axis=1)[:, ::-1], c)
 
 
 def masked(c: Column, mask: Column) -> Column:
@@ -118,26 +175,30 @@ def masked(c: Column, mask: Column) -> Column:
 
 def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
     """Return scanned from the right, reset after a masked token."""
-    step = F.aggregate(
-        F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m"))),
-        F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out")),
-        lambda a, x: F.struct(((x["r"] + gamma * a["run"]) * x["m"]).alias("run"), F.array_append(a["out"], x["r"] + gamma * a["run"]).alias("out")),
-    )
-    return F.reverse(step["out"])
+
+    def scan(r: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out, run = np.empty_like(r), np.zeros(len(r))
+        for j in range(r.shape[1] - 1, -1, -1):
+            out[:, j] = r[:, j] + gamma * run
+            run = out[:, j] * m[:, j]
+        return out
+
+    return scanned(scan, rewards, mask)
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages that skip masked tokens."""
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        delta = x["r"] + gamma * a["next"] - x["v"]
-        last = delta + gamma * lam * a["last"]
-        value = F.when(x["m"] == 1, x["v"]).otherwise(a["next"])
-        kept = F.when(x["m"] == 1, last).otherwise(a["last"])
-        return F.struct(value.alias("next"), kept.alias("last"), F.array_append(a["out"], kept).alias("out"))
+    def scan(r: np.ndarray, v: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out, after, last = np.empty_like(r), np.zeros(len(r)), np.zeros(len(r))
+        for j in range(r.shape[1] - 1, -1, -1):
+            on = m[:, j] == 1
+            last = np.where(on, r[:, j] + gamma * after - v[:, j] + gamma * lam * last, last)
+            after = np.where(on, v[:, j], after)
+            out[:, j] = last
+        return out
 
-    return F.reverse(F.aggregate(F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m"))), start, step)["out"])
+    return scanned(scan, rewards, values, mask)
 
 
 def whitened(df: DataFrame, column: str, mask: str) -> DataFrame:

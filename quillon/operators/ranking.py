@@ -32,32 +32,35 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vector-blocks") -> DataFrame:
-    """``block``, ``ids``, ``flat`` (their vectors, one after the other), ``center``
-    and ``radius`` (the greatest distance from it): a row for each block of about
-    ``rows`` vectors that are near each other.  Vectors go to the nearest of at most
+def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vector-blocks") -> tuple[DataFrame, bool]:
+    """(the blocks, whether there is one at most): ``block``, ``ids``, ``flat`` (their vectors, one after the other), ``center``
+    and ``radius`` (the greatest distance from it; neither if there is one block): a
+    row for each block of about ``rows`` vectors that are near each other.  Vectors go to the nearest of at most
     ``MOST_PIVOTS`` drawn ones, and a pivot with many is cut by hash."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     x = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("v")).filter("v IS NOT NULL AND size(v) > 0")
     parts = max(1, -(-x.count() // rows))
-    drawn = x.orderBy(F.xxhash64("id"), "id").limit(min(parts, MOST_PIVOTS)).select("v").toArrow().column("v").combine_chunks() if parts > 1 else None
-    held = spark.sparkContext.broadcast(None if drawn is None else _vectors(drawn))  # at most MOST_PIVOTS vectors
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        made = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("x"))
+        return made.select("block", F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"))
+
+    if parts == 1:
+        return grouped(x.withColumn("block", F.lit(0).cast("long"))), True
+    drawn = x.orderBy(F.xxhash64("id"), "id").limit(min(parts, MOST_PIVOTS)).select("v").toArrow().column("v").combine_chunks()
+    held = spark.sparkContext.broadcast(_vectors(drawn))  # at most MOST_PIVOTS vectors
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = held.value
-            near = np.zeros(b.num_rows, np.int64) if p is None else np.argmax(_vectors(b.column(1)) @ p.T - (p * p).sum(1) / 2, 1)
+            near = np.argmax(_vectors(b.column(1)) @ p.T - (p * p).sum(1) / 2, 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near)], ["id", "v", "pivot"])
 
     near = x.mapInArrow(assigned, f"id {kind}, v array<double>, pivot long")
-    if parts > 1:
-        sizes = dict(near.groupBy("pivot").count().collect())  # at most MOST_PIVOTS numbers
-        cut = F.get(F.array(*(F.lit(-(-sizes.get(i, 1) // rows)) for i in range(max(sizes) + 1))), F.col("pivot").cast("int"))
-        near = near.withColumn("block", F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id"), cut))
-    else:
-        near = near.withColumn("block", F.lit(0).cast("long"))
-    grouped = near.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("x")).select("block", F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"))
+    sizes = dict(near.groupBy("pivot").count().collect())  # at most MOST_PIVOTS numbers
+    cut = F.get(F.array(*(F.lit(-(-sizes.get(i, 1) // rows)) for i in range(max(sizes) + 1))), F.col("pivot").cast("int"))
+    near = near.withColumn("block", F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id"), cut))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,7 +71,7 @@ def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vec
                 radii.append(float(np.sqrt(((m - centers[-1]) ** 2).sum(1).max())))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tolist() for c in centers], pa.list_(pa.float64())), pa.array(radii, pa.float64())], ["block", "ids", "flat", "center", "radius"])
 
-    return materialised(spark, grouped.mapInArrow(described, BLOCK.format(kind=kind)), what)
+    return materialised(spark, grouped(near).mapInArrow(described, BLOCK.format(kind=kind)), what), False
 
 
 def bounds(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -113,27 +116,36 @@ def inner_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vec_c
                 row, col = np.nonzero(real)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b.column(0)[at].as_py())), pa.array(own[row]), pa.array(ids[top[row, col]]), pa.array(best[real])], ["q", id_col, "item_id", "similarity"])
 
-    left = blocks(queries, id_col, vec_col, block_rows)
-    right = left if queries is corpus else blocks(corpus, id_col, vec_col, block_rows)
+    left, one = blocks(queries, id_col, vec_col, block_rows)
+    right, only = (left, one) if queries is corpus else blocks(corpus, id_col, vec_col, block_rows)
+
+    own = left.select(F.col("block").alias("q"), F.col("ids").alias("own"), F.col("flat").alias("x"))
+    other = right.select(F.col("block").alias("c"), "ids", "flat")
+
+    def met(both: DataFrame) -> DataFrame:
+        return both.select("q", "own", "x", "ids", "flat").mapInArrow(run, f"q long, `{id_col}` {kind}, item_id {kind}, similarity double")
 
-    def met(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("q", "c").join(left.select(F.col("block").alias("q"), F.col("ids").alias("own"), F.col("flat").alias("x")), "q").join(right.select(F.col("block").alias("c"), "ids", "flat"), "c")
-        return both.select("q", "own", "x", "ids", "flat").repartition("q", "ids").mapInArrow(run, f"q long, `{id_col}` {kind}, item_id {kind}, similarity double")
+    def meeting(pairs: DataFrame) -> DataFrame:
+        return pairs.select("q", "c").join(own, "q").join(other, "c").repartition("q", "ids")
 
+    at = W.partitionBy(id_col).orderBy(F.desc("similarity"), "item_id")
+
+    def ranked(parts: DataFrame) -> DataFrame:
+        kept = parts.withColumn("rank", F.row_number().over(at)).filter(F.col("rank").between(first, keep))
+        return kept.select(id_col, (F.col("rank") - (first - 1)).alias("rank"), "item_id", "similarity")
+
+    if one and only:  # a single block each: there is nothing to choose
+        return ranked(met(own.crossJoin(other)))
     pairs = materialised(spark, bounds(left, right), "vector-bounds")
     best = pairs.groupBy("q").agg(F.max_by("c", F.struct("bound", "c")).alias("c"))
-    parts = met(best)
-    if pairs.count() > best.count():
-        parts = materialised(spark, parts, "vector-parts")
-        reached = parts.groupBy("q", id_col).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
-        asked = left.select(F.col("block").alias("q"), F.size("ids").alias("asked"))
-        least = reached.groupBy("q").agg(F.count_if(F.col("n") >= keep).alias("full"), F.min("least").alias("least")).join(asked, "q", "right")
-        least = least.select("q", F.when(F.coalesce("full", F.lit(0)) == F.col("asked"), F.col("least")).alias("least"))
-        open_pairs = pairs.join(best, ["q", "c"], "left_anti").join(least, "q").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
-        parts = parts.unionByName(met(open_pairs))
-    at = W.partitionBy(id_col).orderBy(F.desc("similarity"), "item_id")
-    ranked = parts.withColumn("rank", F.row_number().over(at)).filter(F.col("rank").between(first, keep))
-    return ranked.select(id_col, (F.col("rank") - (first - 1)).alias("rank"), "item_id", "similarity")
+    parts = met(meeting(best))
+    parts = materialised(spark, parts, "vector-parts")
+    reached = parts.groupBy("q", id_col).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
+    asked = left.select(F.col("block").alias("q"), F.size("ids").alias("asked"))
+    least = reached.groupBy("q").agg(F.count_if(F.col("n") >= keep).alias("full"), F.min("least").alias("least")).join(asked, "q", "right")
+    least = least.select("q", F.when(F.coalesce("full", F.lit(0)) == F.col("asked"), F.col("least")).alias("least"))
+    open_pairs = pairs.join(best, ["q", "c"], "left_anti").join(least, "q").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
+    return ranked(parts.unionByName(met(meeting(open_pairs))))
 
 
 def cosine_topk(df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", skip_best: bool = True) -> DataFrame:

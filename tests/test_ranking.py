@@ -36,7 +36,7 @@ def test_blocks_give_what_all_pairs_give(spark, rows, kind):
 
 def test_bounds_hold_and_leave_blocks_out(spark):
     x = clusters(np.random.default_rng(1), 300)
-    left = r.blocks(frame(spark, x), "id", "v", 25)
+    left = r.blocks(frame(spark, x), "id", "v", 25)[0]
     held = {b.block: (np.array(b.flat).reshape(len(b.ids), -1), b.ids) for b in left.collect()}
     assert sorted(i for _, ids in held.values() for i in ids) == list(range(300))
     pairs = r.bounds(left, left).collect()
