@@ -32,11 +32,12 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vector-blocks") -> tuple[DataFrame, bool]:
-    """(the blocks, whether there is one at most): ``block``, ``ids``, ``flat`` (their vectors, one after the other), ``center``
-    and ``radius`` (the greatest distance from it; neither if there is one block): a
-    row for each block of about ``rows`` vectors that are near each other.  Vectors go to the nearest of at most
-    ``MOST_PIVOTS`` drawn ones, and a pivot with many is cut by hash."""
+def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vector-blocks", bounded: bool = True) -> tuple[DataFrame, bool]:
+    """(the blocks, whether there is one at most): ``block``, ``ids``, ``flat`` (their
+    vectors, one after the other), ``center`` and ``radius`` (the greatest distance
+    from it; a single block has neither unless ``bounded``), a row for each block of
+    about ``rows`` vectors that are near each other.  Vectors go to the nearest of at
+    most ``MOST_PIVOTS`` drawn ones, and a pivot with many is cut by hash."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     x = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("v")).filter("v IS NOT NULL AND size(v) > 0")
@@ -46,8 +47,18 @@ def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vec
         made = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("x"))
         return made.select("block", F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"))
 
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            centers, radii = [], []
+            for i in range(b.num_rows):
+                m = b.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(b.column(1)[i]), -1)
+                centers.append(m.mean(0))
+                radii.append(float(np.sqrt(((m - centers[-1]) ** 2).sum(1).max())))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tolist() for c in centers], pa.list_(pa.float64())), pa.array(radii, pa.float64())], ["block", "ids", "flat", "center", "radius"])
+
     if parts == 1:
-        return grouped(x.withColumn("block", F.lit(0).cast("long"))), True
+        whole = grouped(x.withColumn("block", F.lit(0).cast("long")))
+        return (materialised(spark, whole.mapInArrow(described, BLOCK.format(kind=kind)), what) if bounded else whole), True
     drawn = x.orderBy(F.xxhash64("id"), "id").limit(min(parts, MOST_PIVOTS)).select("v").toArrow().column("v").combine_chunks()
     held = spark.sparkContext.broadcast(_vectors(drawn))  # at most MOST_PIVOTS vectors
 
@@ -62,15 +73,6 @@ def blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, what: str = "vec
     cut = F.get(F.array(*(F.lit(-(-sizes.get(i, 1) // rows)) for i in range(max(sizes) + 1))), F.col("pivot").cast("int"))
     near = near.withColumn("block", F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id"), cut))
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            centers, radii = [], []
-            for i in range(b.num_rows):
-                m = b.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(b.column(1)[i]), -1)
-                centers.append(m.mean(0))
-                radii.append(float(np.sqrt(((m - centers[-1]) ** 2).sum(1).max())))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tolist() for c in centers], pa.list_(pa.float64())), pa.array(radii, pa.float64())], ["block", "ids", "flat", "center", "radius"])
-
     return materialised(spark, grouped(near).mapInArrow(described, BLOCK.format(kind=kind)), what), False
 
 
@@ -116,8 +118,10 @@ def inner_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vec_c
                 row, col = np.nonzero(real)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b.column(0)[at].as_py())), pa.array(own[row]), pa.array(ids[top[row, col]]), pa.array(best[real])], ["q", id_col, "item_id", "similarity"])
 
-    left, one = blocks(queries, id_col, vec_col, block_rows)
-    right, only = (left, one) if queries is corpus else blocks(corpus, id_col, vec_col, block_rows)
+    right, only = blocks(corpus, id_col, vec_col, block_rows, bounded=False)
+    left, one = (right, only) if queries is corpus else blocks(queries, id_col, vec_col, block_rows, bounded=not only)
+    if only and not one:
+        right, _ = blocks(corpus, id_col, vec_col, block_rows)
 
     own = left.select(F.col("block").alias("q"), F.col("ids").alias("own"), F.col("flat").alias("x"))
     other = right.select(F.col("block").alias("c"), "ids", "flat")
