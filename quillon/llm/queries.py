@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, compression, decontamination, licenses, line_dedup, link_graph, quality, signature_tree, token_counts, warc
+from quillon.llm import bpe, compression, cross_align, decontamination, licenses, line_dedup, link_graph, quality, signature_tree, token_counts, warc
 from quillon.session import scratch, table
 
 
@@ -50,6 +50,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op13_cross_align": op13_cross_align,
 }
 
 SQL_1 = """
