@@ -13,12 +13,13 @@ are linked.
    of its segments.
 2. Blocks.  Texts that follow each other in a task are a block of bounded size with
    its own list of distinct segments, and are kept as places in that list.
-3. The distinct segments of all blocks are encoded and aligned once, and the links
-   of each are weighted by how often it occurs.  Two tokens that end together are
-   such that one's bytes end with the other's, so the vocabularies bound the number
-   of pairs of ids; their counts, and nothing else, go through the driver.
-4. Alignments are joined back to the blocks' lists by segment, then lists and texts
-   meet by block and documents are put together from their segments.
+3. Lists meet by segment.  Each distinct segment is encoded and aligned there once,
+   and what is found goes to all its rows; its links are weighted by how often it
+   occurs.  Of two tokens that end together one's bytes end with the other's, so the
+   vocabularies bound the number of pairs of ids; their counts, and nothing else, go
+   through the driver.
+4. Lists with alignments and texts meet by block, and documents are put together
+   from their segments.
 """
 
 from __future__ import annotations
@@ -208,25 +209,33 @@ def coded(docs: DataFrame, block_bytes: int) -> DataFrame:
     return map_batches(docs, run, f"block long, id {kind.simpleString()}, seq binary, first long, keys array<string>, times array<long>")
 
 
-def aligned_segments(segments: DataFrame, held, codes) -> DataFrame:
-    """``key``, ``times`` with ``ok``, ``n_a``, ``n_b``, ``groups`` and ``links``
-    (32-bit places of the pairs) of distinct segments."""
+def aligned_lists(lists: DataFrame, held, codes) -> DataFrame:
+    """Lists (``block``, ``k``, ``key``, ``times``) met by segment: ``block``, ``k``,
+    ``ok``, ``n_a``, ``n_b``, ``groups``, ``links`` (32-bit places of the pairs), and
+    ``times``, how often the segment occurs in all of them, once for each batch that
+    has it and else null.  A segment is encoded where its rows meet, once."""
 
     def run(batches):
         own = aligner(held)
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
                 b = whole.slice(at, AT_ONCE)
-                ok, n_a, n_b, groups, links = zip(*own.aligned(b.column(0).to_pylist(), codes.value), strict=True)
-                cols = [pa.array(ok), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(groups), pa.array(links, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*b.columns, *cols], ["key", "times", "ok", "n_a", "n_b", "groups", "links"])
+                coding = b.column(2).dictionary_encode()
+                where = coding.indices.to_numpy()
+                cols = [pa.array(x, k) for x, k in zip(zip(*own.aligned(coding.dictionary.to_pylist(), codes.value), strict=True), (pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)]
+                total = np.bincount(where, b.column(3).to_numpy()).astype(np.int64)
+                _, first = np.unique(where, return_index=True)
+                other = np.ones(len(where), bool)
+                other[first] = False
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(c.take(coding.indices) for c in cols), pa.array(total[where], mask=other)], ["block", "k", "ok", "n_a", "n_b", "groups", "links", "times"])
 
-    return map_batches(segments, run, "key string, times long, ok boolean, n_a int, n_b int, groups string, links binary")
+    met = lists.select("block", "k", "key", "times").repartition("key").sortWithinPartitions("key")
+    return map_batches(met, run, "block long, k long, ok boolean, n_a int, n_b int, groups string, links binary, times long")
 
 
-def pair_counts(segments: DataFrame, pairs: int) -> DataFrame:
-    """``pair``, ``n``: how many links of the corpus have it; a row for each task
-    and pair at most before the sum."""
+def pair_counts(rows: DataFrame, pairs: int) -> DataFrame:
+    """``pair``, ``n``: how many links of ``rows`` (``times``, ``links``) have it; a
+    row for each task and pair at most before the sum."""
 
     def run(batches):
         total = np.zeros(pairs, np.int64)
@@ -237,28 +246,30 @@ def pair_counts(segments: DataFrame, pairs: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    return map_batches(segments.select("times", "links"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return map_batches(rows.select("times", "links"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def scored(segments: DataFrame, counts) -> DataFrame:
-    """Segments with ``n_groups``, ``n_best``, ``count_sum`` of one occurrence."""
+def scored(lists: DataFrame, counts) -> DataFrame:
+    """Aligned lists with ``n_groups``, ``n_best``, ``count_sum`` of one occurrence."""
 
     def run(batches):
         count, best = counts.value
         for b in batches:
-            links = b.column(5).to_pylist()
+            links = b.column(6).to_pylist()
             flat, n = np.frombuffer(b"".join(links), np.uint32), np.array([len(x) // 4 for x in links])
-            sums = [np.diff(np.concatenate(([0], np.cumsum(x)))[np.concatenate(([0], np.cumsum(n)))]) for x in (best[flat].astype(np.int64), count[flat])]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            sums = [np.diff(np.concatenate(([0], np.cumsum(x)))[ends]) for x in (best[flat].astype(np.int64), count[flat])]
             cols = [pa.array(x, k) for x, k in ((n, pa.int32()), (sums[0], pa.int32()), (sums[1], pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], *cols], ["key", "ok", "n_a", "n_b", "groups", "n_groups", "n_best", "count_sum"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *cols], ["block", "k", "ok", "n_a", "n_b", "groups", "n_groups", "n_best", "count_sum"])
 
-    return map_batches(segments.select("key", "ok", "n_a", "n_b", "groups", "links"), run, "key string, ok boolean, n_a int, n_b int, groups string, n_groups int, n_best int, count_sum long")
+    columns = ["block", "k", "ok", "n_a", "n_b", "groups", "links"]
+    return map_batches(lists.select(columns), run, "block long, k long, ok boolean, n_a int, n_b int, groups string, n_groups int, n_best int, count_sum long")
 
 
-def failing(rows: DataFrame, lists: DataFrame, bad: DataFrame) -> DataFrame:
-    """``key``, ``less``: how often each segment occurs in texts that have one of the
-    segments ``bad`` too: those texts have no tokens, so their links count nowhere."""
-    marked = lists.join(bad, "key").select("block", "k")
+def failing(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """``block``, ``k``, ``less``: how often each segment occurs in texts that have one
+    of the segments ``bad`` (``block``, ``k``) too: those texts have no tokens, so their
+    links count nowhere."""
 
     def run(key, texts: pa.Table, places: pa.Table) -> pa.Table:
         seqs = [np.frombuffer(x, np.uint32) for x in texts.column("seq").to_pylist()]
@@ -267,16 +278,13 @@ def failing(rows: DataFrame, lists: DataFrame, bad: DataFrame) -> DataFrame:
         k, n = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pa.table({"block": pa.array(np.full(len(k), key[0].as_py())), "k": pa.array(k.astype(np.int64)), "less": pa.array(n.astype(np.int64))})
 
-    near = rows.filter("seq IS NOT NULL").select("block", "seq").join(marked.select("block").distinct(), "block", "left_semi")
-    found = near.toDF("of", "seq").groupBy("of").cogroup(marked.groupBy("block")).applyInArrow(run, "block long, k long, less long")
-    return found.join(lists.select("block", "k", "key"), ["block", "k"]).groupBy("key").agg(F.sum("less").alias("less"))
+    near = rows.filter("seq IS NOT NULL").select("block", "seq").join(bad.select("block").distinct(), "block", "left_semi")
+    return near.toDF("of", "seq").groupBy("of").cogroup(bad.groupBy("block")).applyInArrow(run, "block long, k long, less long")
 
 
-def composed(rows: DataFrame, lists: DataFrame, segments: DataFrame, id_col: str) -> DataFrame:
-    """Documents from their segments: alignments meet the lists by segment, lists
-    and texts meet by block."""
+def composed(rows: DataFrame, lists: DataFrame, id_col: str) -> DataFrame:
+    """Documents from their segments: lists and texts meet by block."""
     names = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
-    known = lists.select("block", "k", "key").join(segments, "key").select("block", "k", "ok", *names, "groups")
 
     def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
         place = words.column("k").to_numpy()
@@ -299,11 +307,11 @@ def composed(rows: DataFrame, lists: DataFrame, segments: DataFrame, id_col: str
             for at in range(0, len(seq), 100_000):
                 h.update((";" * bool(at) + ";".join([text[k] for k in seq[at : at + 100_000].tolist()])).encode())
             digests.append(h.hexdigest())
-        own = {n: pa.array(out[:, i]) for i, n in enumerate(names)}
-        return pa.table({id_col: texts.column("id")} | {"n_a": own["n_a"], "n_b": own["n_b"], "n_groups": own["n_groups"], "n_links": own["n_groups"], "n_best": own["n_best"], "count_sum": own["count_sum"], "groups_sha256": pa.array(digests, pa.string())})
+        n_a, n_b, n_groups, n_best, count_sum = (pa.array(out[:, i]) for i in range(len(names)))
+        return pa.table([texts.column("id"), n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(digests, pa.string())], [id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     schema = f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return rows.toDF("of", "id", "seq").groupBy("of").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+    return rows.toDF("of", "id", "seq").groupBy("of").cogroup(lists.groupBy("block")).applyInArrow(run, schema)
 
 
 def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -328,18 +336,17 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     rows = both.filter("keys IS NULL").select("block", "id", "seq")
     pieces = both.filter("keys IS NOT NULL").select("block", "first", F.posexplode(F.arrays_zip(F.col("keys").alias("key"), F.col("times").alias("times"))).alias("at", "x"))
     lists = pieces.select("block", (F.col("first") + F.col("at")).alias("k"), "x.key", "x.times")
-    distinct = lists.groupBy("key").agg(F.sum("times").alias("times"))
-    segments = materialised(spark, aligned_segments(distinct, held, spark.sparkContext.broadcast(codes)), "align-segments")
-    bad = segments.filter(~F.col("ok")).select("key")
-    counted = segments
+    known = materialised(spark, aligned_lists(lists, held, spark.sparkContext.broadcast(codes)), "align-lists")
+    counts = pair_counts(known.filter("ok AND times IS NOT NULL"), len(codes))
+    bad = known.filter("NOT ok").select("block", "k")
     if not bad.isEmpty():
-        less = failing(rows, lists, bad)
-        counted = segments.join(less, "key", "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0)))
-    found = pair_counts(counted.filter("ok"), len(codes)).toArrow()  # no more rows than codes
+        less = failing(rows, bad).join(known.filter("ok").select("block", "k", "links"), ["block", "k"])
+        taken = pair_counts(less.select((-F.col("less")).alias("times"), "links"), len(codes))
+        counts = counts.unionByName(taken).groupBy("pair").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # no more rows than codes
     count, of = np.zeros(len(codes), np.int64), codes % (1 << 20)
     count[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     most = np.zeros(of.max() + 1, np.int64)
     np.maximum.at(most, of, count)
     best = (count > 0) & (count == most[of])
-    known = materialised(spark, scored(segments, spark.sparkContext.broadcast((count, best))), "align-scored")
-    return composed(rows, lists, known, id_col)
+    return composed(rows, scored(known, spark.sparkContext.broadcast((count, best))), id_col)
