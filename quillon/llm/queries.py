@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, compression, cross_align, decontamination, licenses, line_dedup, link_graph, quality, signature_tree, token_counts, warc
+from quillon.llm import bpe, compression, cross_align, decontamination, licenses, line_dedup, link_graph, quality, signature_tree, tandem_runs, token_counts, warc
 from quillon.session import scratch, table
 
 
@@ -50,6 +52,21 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def planted_run(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The words of every tenth document (by CRC of its id) with a part of them
+    repeated to the end.  A row without an id keeps its own."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem_runs.digests(table(spark, sf_dir, "documents"), changed=planted_run)
+
+
 def op13_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -65,6 +82,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op12_tandem_runs": op12_tandem_runs,
     "op13_cross_align": op13_cross_align,
 }
 
