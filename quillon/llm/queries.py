@@ -7,7 +7,7 @@ import zlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, compression, cross_align, decontamination, licenses, line_dedup, link_graph, quality, signature_tree, tandem_runs, token_counts, warc
+from quillon.llm import bpe, compression, cross_align, decontamination, licenses, line_dedup, link_graph, quality, run_index, signature_tree, tandem_runs, token_counts, warc
 from quillon.session import scratch, table
 
 
@@ -52,6 +52,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.marked(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def planted_run(words: list[bytes], doc_id: int | None) -> list[bytes]:
     """The words of every tenth document (by CRC of its id) with a part of them
     repeated to the end.  A row without an id keeps its own."""
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_run_index": op11_run_index,
     "op12_tandem_runs": op12_tandem_runs,
     "op13_cross_align": op13_cross_align,
 }
