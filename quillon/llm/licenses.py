@@ -8,19 +8,26 @@ no segment is empty: a known sentence may thus be wrapped over the lines of a
 paragraph in any way, hold an abbreviation or a colon, or be one line of it, but
 it never reaches over a blank line.
 
-Known sentences are found from the left, the longest first where several begin,
-and mapped to identifiers.  The identifiers of a document, in order, are then
-matched against licence rules, which are ordered sequences of identifiers: other
-sentences between them do not matter, other identifiers do.  A sequence with which
-a longer one of another licence begins counts only where that one is not.
+Where a run of segments begins as a known sentence does, the runs from there on, up
+to the length of the longest known one, are looked up in a map from sentences to
+identifiers.  The map is cut by checksum into parts of a few sentences, so a look-up
+does not hang on how many are known.  Sentences are taken from the left, the longest
+where several begin.  The identifiers of a document, in order, are then matched
+against licence rules, which are ordered sequences of identifiers: other sentences
+between them do not matter, other identifiers do.  A sequence with which a longer
+one of another licence begins counts only where that one is not.
 
 All of it is narrow: a row never leaves its task, so a frequent licence line
 costs no shuffle.  Texts without any word that each known sentence has one of
-are told apart first, with one search.
+are told apart first.  No pattern goes over a stretch of a text twice, so time is
+in proportion to a text's length, whatever is in it.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +111,21 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4",
     "this is free and unencumbered software released into the public domain": "unlicense-free",
     "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-anyone",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "boost-distributed",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1-terms",
+    "the contents of this file are subject to the terms of the common development and distribution license the license": "cddl-subject",
+    "the contents of this file are subject to the terms of the common development and distribution license": "cddl-subject",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedicated",
+    "licensed under cc0 1 0": "cc0-licensed",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "licensed under the artistic license 2 0": "artistic2-licensed",
+    "this library is free software you can redistribute it and or modify it under the same terms as perl itself": "perl-terms",
+    "this program is free software you can redistribute it and or modify it under the same terms as perl itself": "perl-terms",
     "all rights reserved": "all-rights-reserved",
 }
 #: Fixed values: (licence, identifiers in order).
@@ -141,24 +163,83 @@ RULES = (
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4",)),
     ("CC-BY-ND-4.0", ("cc-by-nd-4",)),
     ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-distributed",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("EPL-1.0", ("epl1-terms",)),
+    ("CDDL", ("cddl-subject",)),
+    ("CC0-1.0", ("cc0-dedicated",)),
+    ("CC0-1.0", ("cc0-licensed",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Artistic-2.0", ("artistic2-licensed",)),
+    ("Artistic-1.0-Perl", ("perl-terms",)),
     ("Proprietary", ("all-rights-reserved",)),
 )
 #: Each known sentence has one of these words (checked below).
-ANCHORS = ("licen", "copyright", "permission", "rights", "redistribution", "software", "liable", "advertising", "hope", "mpl")
+ANCHORS = ("licen", "copyright", "permission", "rights", "redistribution", "software", "liable", "advertising", " hope ", " mpl ")
 assert all(any(a in s for a in ANCHORS) for s in SENTENCES)
-#: A line's end with the white space before it, and what begins the next line before its first word.
-_LINE = r"[ \t\x0b\x0c\r]*\n[^A-Za-z0-9\n]*"
+#: White space within a line; a line's end, and what begins the next line before its first word.
+_BLANKS, _LINE = r"[ \t\x0b\x0c\r]+", r" ?\n[^A-Za-z0-9\n]*"
 #: A segment ends at a line's end, or after one of these marks and white space.
-_END = r"([.!?;:])[ \t\x0b\x0c\r]+"
-#: The known sentences, longest first, as one pattern over segments in ``<>``.
-_KNOWN = "<(?:" + "|".join(s.replace(" ", "(?: |><)") for s in sorted(SENTENCES, key=lambda s: (-len(s), s))) + ")>"
+_END = r"([.!?;:]) "
+#: Words that begin lines as comment marks.
+_MARK = r"(^|\n) ?(?:rem|dnl) "
+#: Words of the longest known sentence, and first two words of each.
+MOST_WORDS = max(len(s.split()) for s in SENTENCES)
+OPENINGS = sorted({" ".join(s.split()[:2]) for s in SENTENCES})
+#: Parts of the map, a few sentences each.
+PARTS = 1 << (len(SENTENCES) // 4).bit_length()
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, also where ``f`` uses it in lambdas."""
+    return F.get(F.transform(F.array(x), f), 0)
 
 
 def segments(text: Column) -> Column:
-    """The normalised segments of a text, each in ``<>``, in one string."""
-    cut = F.regexp_replace(F.regexp_replace(text, _LINE, "\n"), _END, "$1\n")
-    words = F.regexp_replace(ascii_lower(cut), "[^a-z0-9\n]+", " ")
-    return F.concat(F.lit("<"), F.btrim(F.regexp_replace(words, " ?\n ?", "><"), F.lit(" ")), F.lit(">"))
+    """The normalised segments of a text, in order."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _BLANKS, " "), _LINE, "\n"), _END, "$1\n")
+    words = F.regexp_replace(F.regexp_replace(ascii_lower(cut), "[^a-z0-9\n]+", " "), _MARK, "$1")
+    return F.transform(F.split(words, "\n", -1), lambda s: F.btrim(s, F.lit(" ")))
+
+
+def known(sentence: Column) -> Column:
+    """The identifier of a normalised sentence, or null."""
+    parts: list[list[Column]] = [[] for _ in range(PARTS)]
+    for s, i in SENTENCES.items():
+        parts[zlib.crc32(s.encode()) % PARTS] += [F.lit(s), F.lit(i)]
+    maps = F.array(*(F.create_map(*p) if p else F.create_map().cast("map<string,string>") for p in parts))
+    return F.try_element_at(F.get(maps, (F.crc32(sentence) % PARTS).cast("int")), sentence)
+
+
+def _longest(segs: Column, at: Column) -> Column:
+    """``at``, ``to`` and ``sid`` of the longest known sentence that begins with a
+    segment, ``sid`` null if there is none."""
+
+    def runs(near: Column) -> Column:
+        """Of the segments up to the end of the paragraph."""
+        end = F.array_position(near, F.lit(""))
+        count = F.when(end > 0, end - 1).otherwise(F.size(near)).cast("int")
+        tried = F.transform(F.sequence(F.lit(1), count), lambda n: F.struct((at + n - 1).alias("to"), known(F.array_join(F.slice(near, F.lit(1), n), " ")).alias("sid")))
+        return F.element_at(F.concat(F.array(F.struct(at.alias("to"), F.lit(None).cast("string").alias("sid"))), F.filter(tried, lambda x: x["sid"].isNotNull())), -1)
+
+    return let(let(F.slice(segs, at + 1, F.lit(MOST_WORDS)), runs), lambda x: F.struct(at.alias("at"), x["to"].alias("to"), x["sid"].alias("sid")))
+
+
+def sentences(segs: Column) -> Column:
+    """The known sentences of a text, from the left and not overlapping: ``at``,
+    ``to`` (segments) and ``sid``."""
+
+    def found(segs: Column) -> Column:
+        opens = lambda i: F.substring_index(F.array_join(F.slice(segs, i + 1, F.lit(2)), " "), " ", 2).isin(OPENINGS)
+        starts = F.filter(F.sequence(F.lit(0), F.size(segs) - 1), opens)
+        hits = F.filter(F.transform(starts, lambda i: _longest(segs, i)), lambda x: x["sid"].isNotNull())
+        none = F.filter(hits, lambda _: F.lit(False))
+        free = lambda kept, x: (F.size(kept) == 0) | (x["at"] > F.element_at(F.concat(F.array(x), kept), -1)["to"])
+        return F.aggregate(hits, none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+    return let(segs, found)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,58 +252,61 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Rows with a null or empty text or without a known sentence have no result;
     repeated rows have one each; further columns are left out."""
     text = F.col("text")
-    docs = plain(df, id_col, text_col).toDF("id", "text").filter(text.rlike("(?i)" + "|".join(ANCHORS)))
-    cut = docs.select("id", segments(text).alias("cut")).select("id", "cut", F.regexp_extract_all("cut", F.lit(_KNOWN), 0).alias("found"))
-    known = F.create_map(*(F.lit(x) for s, i in SENTENCES.items() for x in (f"<{s}>", i)))
-    hits = cut.filter(F.size("found") > 0).select(
-        "id",
-        F.transform("found", lambda s: F.try_element_at(known, F.replace(s, F.lit("><"), F.lit(" ")))).alias("sids"),
-        F.expr("substring_index(cut, found[0], 1) AS before"),
-    )
-    ids = F.array_join("sids", ",")
+    anchored = let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), lambda x: F.rlike(x, F.lit("|".join(a.replace(" ", "\\b") for a in ANCHORS))))
+    docs = plain(df, id_col, text_col).toDF("id", "text").filter(text.isNotNull() & anchored)
+    hits = docs.select("id", sentences(segments(text)).alias("found")).filter(F.size("found") > 0).select("id", F.col("found.sid").alias("sids"), F.get("found", 0)["at"].alias("first"))
     return hits.select(
         F.col("id").alias(id_col),
         F.size("sids").cast("long").alias("n_sentences"),
-        ids.alias("sentence_ids"),
-        (F.length("before") - F.length(F.replace(F.col("before"), F.lit("<")))).cast("long").alias("first_sentence"),
-        _licenses(ids).alias("licenses"),
+        F.array_join("sids", ",").alias("sentence_ids"),
+        F.col("first").cast("long").alias("first_sentence"),
+        _licenses(F.col("sids")).alias("licenses"),
     )
 
 
+def _marked(sequence: tuple[str, ...]) -> str:
+    """A sequence as text in which no two identifiers share a mark."""
+    return "".join(f",{i}," for i in sequence)
+
+
 def _longer(name: str, sequence: tuple[str, ...]) -> list[str]:
     """Sequences of other licences that begin with this one: where they are, this
     one does not count.  A name that goes on (``MIT-text``) is no other licence."""
-    return [f",{','.join(q)}," for n, q in RULES if not n.startswith(name) and len(q) > len(sequence) and q[: len(sequence)] == sequence]
+    return [_marked(q) for n, q in RULES if not n.startswith(name) and len(q) > len(sequence) and q[: len(sequence)] == sequence]
 
 
-def _licenses(ids: Column) -> Column:
+def _licenses(sids: Column) -> Column:
     by_name: dict[str, Column] = {}
+    whole = F.concat(F.lit(","), F.array_join(sids, ",,"), F.lit(","))
     for name, sequence in sorted(RULES):
-        left = F.concat(F.lit(","), ids, F.lit(","))
+        left = whole
         for q in _longer(name, sequence):
-            left = F.replace(left, F.lit(q), F.lit(","))
-        fits = left.contains("," + ",".join(sequence) + ",")
+            left = F.replace(left, F.lit(q), F.lit(",-,"))
+        fits = left.contains(_marked(sequence))
         by_name[name] = by_name[name] | fits if name in by_name else fits
     return F.concat_ws(",", *(F.when(fits, F.lit(name)) for name, fits in by_name.items()))
 
 
 def sql() -> str:
-    known = ", ".join(f"('<{s}>', '{i}')" for s, i in SENTENCES.items())
     names: dict[str, list[str]] = {}
     for name, sequence in sorted(RULES):
-        left = "',' || sentence_ids || ','"
+        left = "ids"
         for q in _longer(name, sequence):
-            left = f"replace({left}, '{q}', ',')"
-        names.setdefault(name, []).append(f"contains({left}, ',{','.join(sequence)},')")
+            left = f"replace({left}, '{q}', ',-,')"
+        names.setdefault(name, []).append(f"contains({left}, '{_marked(sequence)}')")
     licenses = ", ".join(f"CASE WHEN {' OR '.join(fits)} THEN '{name}' END" for name, fits in names.items())
-    low = f"translate(regexp_replace(regexp_replace(text, '{_LINE}', chr(10), 'g'), '{_END}', '\\1' || chr(10), 'g'), '{UPPER}', '{LOWER}')"
-    cut = f"'<' || trim(regexp_replace(regexp_replace({low}, '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?', '><', 'g'), ' ') || '>'"
+    low = f"translate(regexp_replace(regexp_replace(regexp_replace(text, '{_BLANKS}', ' ', 'g'), '{_LINE}', chr(10), 'g'), '{_END}', '\\1' || chr(10), 'g'), '{UPPER}', '{LOWER}')"
+    words = f"regexp_replace(regexp_replace({low}, '[^a-z0-9\n]+', ' ', 'g'), '{_MARK}', '\\1', 'g')"
     return f"""
-WITH k(s, sid) AS (VALUES {known}),
-c AS (SELECT row_number() OVER () AS r, doc_id, {cut} AS cut FROM documents),
-f AS (SELECT r, doc_id, cut, regexp_extract_all(cut, '{_KNOWN}') AS found FROM c),
-u AS (SELECT r, unnest(found) AS s, generate_subscripts(found, 1) AS pos FROM f),
-g AS (SELECT r, count(*) AS n_sentences, string_agg(sid, ',' ORDER BY pos) AS sentence_ids FROM u JOIN k ON k.s = replace(u.s, '><', ' ') GROUP BY r),
-h AS (SELECT doc_id, n_sentences, sentence_ids, string_split(cut, found[1])[1] AS before FROM g JOIN f USING (r))
-SELECT doc_id, n_sentences, sentence_ids, length(before) - length(replace(before, '<', '')) AS first_sentence, concat_ws(',', {licenses}) AS licenses FROM h
+WITH RECURSIVE k(s, sid) AS (VALUES {", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())}),
+c AS (SELECT row_number() OVER () AS r, doc_id, list_transform(string_split({words}, chr(10)), lambda x: trim(x, ' ')) AS segs FROM documents WHERE text IS NOT NULL),
+i AS (SELECT r, segs, unnest(generate_series(1, len(segs))) AS pos FROM c),
+o AS (SELECT * FROM i WHERE array_to_string(string_split(array_to_string(segs[pos:pos + 1], ' '), ' ')[1:2], ' ') IN ({", ".join(f"'{x}'" for x in OPENINGS)})),
+n AS (SELECT r, pos, segs[pos:pos + {MOST_WORDS} - 1] AS near, unnest(generate_series(1, {MOST_WORDS})) AS n FROM o),
+h AS (SELECT r, pos, pos + n - 1 AS upto, sid FROM n JOIN k ON k.s = array_to_string(near[1:n], ' ') WHERE n <= len(near) AND NOT list_contains(near[1:n], '')),
+b AS (SELECT r, pos, max(upto) AS upto, arg_max(sid, upto) AS sid FROM h GROUP BY r, pos),
+x AS (SELECT b.*, t.pos AS next FROM b ASOF LEFT JOIN b t ON b.r = t.r AND b.upto < t.pos),
+g(r, pos, sid, next) AS (SELECT r, pos, sid, next FROM x WHERE (r, pos) IN (SELECT (r, min(pos)) FROM x GROUP BY r) UNION ALL SELECT x.r, x.pos, x.sid, x.next FROM g JOIN x ON x.r = g.r AND x.pos = g.next),
+f AS (SELECT r, count(*) AS n_sentences, string_agg(sid, ',' ORDER BY pos) AS sentence_ids, string_agg(',' || sid || ',', '' ORDER BY pos) AS ids, min(pos) - 1 AS first_sentence FROM g GROUP BY r)
+SELECT doc_id, n_sentences, sentence_ids, first_sentence, concat_ws(',', {licenses}) AS licenses FROM f JOIN c USING (r)
 """

@@ -1,5 +1,6 @@
 import random
 import textwrap
+import time
 
 import duckdb
 import pytest
@@ -93,6 +94,34 @@ def test_sequences(spark):
     rows = [(1, "\n".join(one)), (2, "\n".join([*one, "Other words.", names])), (3, "\n".join([grant, binary, source])), (4, "\n".join([grant, source, "All rights reserved.", binary])), (5, "\n".join([*one, names, "x", *one])), (6, names)]
     got = {r[0]: r[4] for r in both(spark, rows)}
     assert got == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "", 4: "Proprietary", 5: "BSD-2-Clause,BSD-3-Clause", 6: ""}
+    twice = "\n".join([*one, names] * 2)
+    assert both(spark, [(1, twice)])[0][4] == "BSD-3-Clause"
+
+
+def test_comment_words(spark):
+    rows = [(1, "REM Licensed under the MIT License"), (2, "dnl Redistribution and use in source and binary forms, with or without\ndnl modification, are permitted provided that the following conditions are met:"), (3, "remedy licensed under the MIT license")]
+    assert [(r[0], r[2]) for r in both(spark, rows)] == [(1, "mit-released"), (2, "bsd-grant")]
+
+
+def test_time_is_linear(spark):
+    """Megabytes of white space, marks, line ends, openings."""
+    long = ["license " + x * (4_000_000 // len(x)) + "\nReleased under the MIT license." for x in (" ", "\t \r", "*", "\n", "\n ", ". ", "a b c ", "all\n")]
+    start = time.time()
+    got = licenses.scan(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()
+    assert [r.licenses for r in sorted(got)] == ["MIT"] * len(long)
+    assert time.time() - start < 60
+
+
+def test_other_licences(spark):
+    rows = [
+        (1, "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"),
+        (2, "// Distributed under the Boost Software License, Version 1.0."),
+        (3, "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"),
+        (4, "The contents of this file are subject to the terms of the\nCommon Development and Distribution License (the \"License\")."),
+        (5, "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+        (6, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ]
+    assert [r[4] for r in both(spark, rows)] == ["Zlib", "BSL-1.0", "EPL-2.0", "CDDL", "CC0-1.0", "0BSD"]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
