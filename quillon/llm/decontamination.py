@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bytes_of, map_batches, plain, slices
 
 K1, B, BLOCK = 1.2, 0.75, 4
-#: Block maxima that are added up at once, for bounded memory.
-ADD_AT_ONCE = 1 << 19
+#: Block maxima that are added up at once, and sums that are held for that, for bounded memory.
+ADD_AT_ONCE, SUMS_AT_ONCE = 1 << 19, 1 << 22
 INDEX_ITEMS, INDEX_BYTES, SCAN_BUNDLES = 20_000, 16 << 20, 4
 LEAST_STRIDE = 64
 #: Fixed value: A-Z lower-cased, ASCII punctuation and white space as spaces.
@@ -199,11 +199,11 @@ def matches(index: Index, texts: list[bytes], threshold: float, question_share:
     lo = 0
     while lo < len(distinct):
         hi = int(np.searchsorted(added, added[lo] + ADD_AT_ONCE))
-        hi = int(np.searchsorted(passage_of, passage_of[max(lo, hi - 1)], "left"))  # whole passages
+        hi = min(hi, int(np.searchsorted(passage_of, passage_of[lo] + max(1, SUMS_AT_ONCE // n_blocks), "left")))
+        if hi < len(distinct):  # whole passages
+            hi = int(np.searchsorted(passage_of, passage_of[hi], "left"))
         if hi <= lo:
             hi = int(np.searchsorted(passage_of, passage_of[lo], "right"))
-        if len(distinct) - hi < 1 or passage_of[hi - 1] == passage_of[-1]:
-            hi = len(distinct)
         own, count, where = term[lo:hi], size[term[lo:hi]], passage_of[lo:hi] - passage_of[lo]
         at = np.repeat(start[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         n = int(where[-1]) + 1

@@ -538,9 +538,11 @@ def linked_classes(spark: SparkSession, sets: DataFrame, bits: DataFrame, docs:
     return roots(tested.unionByName(rest))
 
 
-def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, named: bool = False) -> DataFrame:
     """For each row: ``id_col``, ``n_shingles`` (long; the size of its set),
-    ``component_id`` (the smallest id reachable by links, its own included).
+    ``component_id`` (the smallest id reachable by links, its own included); with
+    ``named`` also ``text_hash`` (xxhash64) and ``component`` (the component's name,
+    whatever its ids; null without words).
 
     Null, empty and blank texts have the empty set and link with nothing.  Equal
     sets link, so repeated rows are in one component, and rows of one id with
@@ -559,13 +561,14 @@ def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot), percent, group), "near-groups")
         bits = full.dropDuplicates(["key", "n"]).select("key", "n", "bits")
         found = materialised(spark, linked_classes(spark, sets.select("key", "n", "rep"), bits, docs, groups, words, percent, group), "near-components", outer=True)
-    named = sets.join(found, ["key", "n"], "left").withColumn("root", F.coalesce("root", F.struct("key", "n")))
-    least = named.groupBy("root").agg(F.min("rep.id").alias("component_id"))
-    shared = named.withColumn("alone", (F.col("copies") == 1) & (F.col("root") == F.struct("key", "n")))
+    rooted = sets.join(found, ["key", "n"], "left").withColumn("root", F.coalesce("root", F.struct("key", "n")))
+    least = rooted.groupBy("root").agg(F.min("rep.id").alias("component_id"))
+    shared = rooted.withColumn("alone", (F.col("copies") == 1) & (F.col("root") == F.struct("key", "n")))
     sizes = shared.groupBy("root").agg(F.count(F.lit(1)).alias("classes"))
     # only classes that are not alone are looked up, by key and salt: one may have any share of the rows
-    lookup = shared.join(least, "root").join(sizes, "root").filter("copies > 1 OR classes > 1").select("key", "n", "component_id")
+    lookup = shared.join(least, "root").join(sizes, "root").filter("copies > 1 OR classes > 1").select("key", "n", "component_id", "root")
     lookup = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    salted = rows.select("id", "n", "key").withColumn("salt", F.when(F.col("n") == 0, -1 - F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS))))
+    salted = rows.select("id", "n", "key", "th").withColumn("salt", F.when(F.col("n") == 0, -1 - F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS))))
     out = salted.join(lookup, ["key", "n", "salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    more = (F.col("th").alias("text_hash"), F.when(F.col("n") > 0, F.coalesce("root", F.struct("key", "n"))).alias("component")) if named else ()
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *more)

@@ -132,3 +132,22 @@ def test_all_indexes_in_one_scan(spark):
         plan = d.contaminated(docs, items, index_items=index_items)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == n and "Join" not in plan
     assert "Join" not in d.clean(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_memory_is_bounded_with_many_items_and_foreign_passages():
+    """Passages with one known word each: no array of all passages and blocks."""
+    import tracemalloc
+
+    items = [(i, f"w{i} common q{i % 97} x{i % 89}. answer a{i}") for i in range(20_000)]
+    index = index_of(items, 64)
+    foreign = [b" ".join([b"common", *(b"z%d" % ((k * 131 + j) % 9973) for j in range(60))]) for k in range(20_000)]
+    known = b"w77 common q77 x77. answer a77"
+    tracemalloc.start()
+    start = tracemalloc.get_traced_memory()[0]
+    found = []
+    for at in range(0, len(foreign), 8000):
+        found += [(at + t, i) for t, i, *_ in d.matches(index, [*foreign[at : at + 8000], known], 0.6, 0.6, 0.6)]
+    peak = tracemalloc.get_traced_memory()[1] - start
+    tracemalloc.stop()
+    assert {i for _, i in found} == {77} and len(found) == 3
+    assert peak < 150 << 20, peak

@@ -80,3 +80,16 @@ def test_odd_rows(spark, tmp_path):
     left = cp.near_duplicates(spark, docs, D).collect()
     assert sorted((r.doc_id for r in left), key=repr) == sorted([1, 2, None, 3], key=repr)
     assert len(cp.token_ids(spark, docs, D).collect()) == len(odd)
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Ids that repeat with other texts, near copies of one id, no ids."""
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    near = a + " more"
+    rows = [(3, a), (5, b), (5, a), (3, near), (3, a), (None, c), (None, c), (None, c + " x"), (None, a), (9, e), (9, e + " y"), (1, ""), (1, ""), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, D).collect()]
+    for i, texts in ((3, (a, near)), (5, (b,)), (None, (c, c + " x")), (9, (e, e + " y")), (1, ("",)), (2, (None,))):
+        own = [t for k, t in left if k == i]
+        assert len(own) == 1 and own[0] in texts, (i, own)
+    assert len(left) == 6
