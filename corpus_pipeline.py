@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontamination, line_dedup, quality, signature_tree
-from quillon.session import removed, scope, scratch, table
+from quillon.session import materialised, removed, scope, scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +29,16 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, once.  Rows
-    without an id stay if no row with an id is linked to them."""
-    joined = signature_tree.joined(docs)
-    first = joined.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    again = docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])  # texts are only moved again if a row may repeat
+    """Of each component one row stays, that with the smallest id; of several of that
+    id, the one whose text has the smallest hash.  Rows without an id stay only where
+    no row of their component has one.  Texts without words stay, equal rows once."""
+    joined = materialised(spark, signature_tree.joined(docs, named=True), "joined")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")
+    kept = joined.filter("component IS NOT NULL").groupBy("component").agg(best).select("x.doc_id", "x.text_hash")
+    kept = kept.unionByName(joined.filter("component IS NULL").select("doc_id", "text_hash").distinct()).toDF("kept_id", "kept_hash")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_hash")), "left_semi")
+    again = joined.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])  # texts are only moved again if a row may repeat
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
