@@ -12,7 +12,7 @@ reaches a threshold; the result is the components of the links.  It is exact
    broadcast.  Any order gives the same links; this one keeps passages that many
    documents share from bringing those documents together.
 3. Prefixes.  Of two linked sets, the first ``n - ceil(t n) + 1`` tokens have
-   one in common.  These tokens are dealt by bucket as packed arrays; classes
+   one in common.  Of the classes of the most copies one row each deals them out.  These tokens are dealt by bucket as packed arrays; classes
    that share one are a group, cut by size as linked sets are of like sizes.
    Equal groups are one.  A group of more than ``GROUP`` members is kept in
    blocks of half as many, and a task has two of them.
@@ -47,9 +47,11 @@ from quillon.llm.components import components
 from quillon.session import materialised, scope
 
 HOT_TOKENS, HOT_COUNT, GROUP, BUCKET_ROWS = 1 << 19, 24, 1024, 60_000
+#: Classes of the most copies, of which only one row each deals out prefixes: no other one has more than that part of all rows.
+HOT_CLASSES, HOT_COPIES = 1 << 17, 64
 #: Bits of a bitmap at most; longer sets have fewer bits a token, and so more candidates.
 MOST_BITS = 1 << 17
-SALTS = 16
+SALTS, SEEN = 16, 100_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("key", "<i8")])
 
@@ -201,18 +203,30 @@ def ordered_prefix(t: np.ndarray, percent: int, hot: np.ndarray, buckets: int) -
     return t[np.argsort(hot[at] == code, kind="stable")[:p]]
 
 
-def prefix_rows(df: DataFrame, words: int, percent: int, buckets: int, hot: np.ndarray | None) -> DataFrame:
-    """``bucket``, ``rows``: the prefix tokens of all texts, packed; a set that
-    occurs again within a slice is not repeated.  Without ``hot`` only tokens."""
+def hot_classes(sets: DataFrame) -> dict[tuple[int, int], int]:
+    """By key and size of the classes of the most copies, at most ``HOT_CLASSES``: a
+    hash of the row that stands for the class."""
+    top = sets.filter(F.col("copies") > HOT_COPIES).orderBy(F.desc("copies"), "key", "n").limit(HOT_CLASSES)
+    return {(r.key, r.n): r.row for r in top.select("key", "n", F.xxhash64("rep.id", "rep.th").alias("row")).collect()}
+
+
+def prefix_rows(df: DataFrame, words: int, percent: int, buckets: int, hot: np.ndarray | None, classes) -> DataFrame:
+    """``bucket``, ``rows``: the prefix tokens of all texts, packed.  A set that occurs
+    again within a task is not repeated (but after ``SEEN`` others), and of ``classes``
+    (a broadcast of ``hot_classes``) only the row that stands for the class counts.
+    Without ``hot`` only tokens."""
     held = df.sparkSession.sparkContext.broadcast(hot if hot is not None else np.zeros(0, np.uint64))  # at most HOT_TOKENS
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for b in slices(whole, 1):
-                parts, seen = [], set()
-                for t in token_sets(bytes_of(b.column(1)), words):
+                parts = []
+                if len(seen) > SEEN:
+                    seen.clear()
+                for t, row in zip(token_sets(bytes_of(b.column(1)), words), b.column(2).to_pylist(), strict=True):
                     key = set_key(t)
-                    if not len(t) or (key, len(t)) in seen:
+                    if not len(t) or (key, len(t)) in seen or classes.value.get((key, len(t)), row) != row:
                         continue
                     seen.add((key, len(t)))
                     parts.append((ordered_prefix(t, percent, held.value, buckets), len(t), key))
@@ -230,7 +244,7 @@ def prefix_rows(df: DataFrame, words: int, percent: int, buckets: int, hot: np.n
                 out = np.split(rows, ends[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["bucket", "rows"])
 
-    return map_batches(df.select("id", "text"), run, "bucket long, rows binary")
+    return map_batches(df.select("id", "text", F.xxhash64("id", "th").alias("row")), run, "bucket long, rows binary")
 
 
 def _by_bucket(batches, kind):
@@ -557,8 +571,9 @@ def joined(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(64, 1 << (int(total) // BUCKET_ROWS).bit_length())
     with scope(spark):  # only the components stay
-        hot = hot_tokens(prefix_rows(docs, words, percent, buckets, None), buckets)
-        groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot), percent, group), "near-groups")
+        classes = spark.sparkContext.broadcast(hot_classes(sets))  # at most HOT_CLASSES
+        hot = hot_tokens(prefix_rows(docs, words, percent, buckets, None, classes), buckets)
+        groups = materialised(spark, shared_groups(prefix_rows(docs, words, percent, buckets, hot, classes), percent, group), "near-groups")
         bits = full.dropDuplicates(["key", "n"]).select("key", "n", "bits")
         found = materialised(spark, linked_classes(spark, sets.select("key", "n", "rep"), bits, docs, groups, words, percent, group), "near-components", outer=True)
     rooted = sets.join(found, ["key", "n"], "left").withColumn("root", F.coalesce("root", F.struct("key", "n")))
