@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.kernels import balanced_end, udf
+from quillon.functions.kernels import balanced_end, last_boxed, udf
 
 Rule = tuple[str, str, bool]  # old, new (groups as \1), whether old is a pattern
 
@@ -350,183 +350,118 @@ def same_value(a: str, b: str, tolerance: float = 1e-9, pi: float = math.pi) ->
         return False
 
 
-# Answers in free text
+# Answers in free text: what is said is found by rules, then compared by its shape
 
-#: An answer stands after the first, before the second, and after the last of the third kind.
-AFTER = ("answer:", "answer is", "answers are")
-BEFORE = ("is answer", "is the answer", "are answers", "are the answers")
-LEAD = ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n")
-#: Units that do not count, and words for powers of ten.
-UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
-SPOKEN = (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12"))
-_UNIT = re.compile("(?:" + "|".join(UNITS) + r")(?:es)?s? *(?:\^[0-9]+)?")
-_WRAPPED = re.compile(r"\\text\{(.+?)\}$")
-_THOUSANDS = re.compile(r"(?<=\d),(?=\d\d\d(?:$|\D))")
-
-
-def marked_answer(text: str) -> tuple[bool, str]:
-    """(whether there is one, the answer) of a response: by marks, by a box, by the
-    word before it; it must have a digit."""
-    found = False
-    for sides, take in ((AFTER, 1), (BEFORE, 0)):
-        for mark in sides:
-            at = text.lower().rfind(mark)
-            if at >= 0:
-                found, text = True, (text[at + len(mark) :] if take else text[:at]).strip()
-    at = text.rfind("\\boxed")
-    at = at if at >= 0 else text.rfind("\\fbox")
-    start = text.find("{", at) if at >= 0 else -1
-    end = balanced_end(text, start) if start >= 0 else -1
-    if end >= 0 and text[start + 1 : end].strip():
-        found, text = True, text[start + 1 : end].strip()
-    if ". " in text:
-        text = text[: text.rfind(". ")].strip()
-    for mark in LEAD:
-        at = text.lower().rfind(mark)
-        if at >= 0:
-            found, text = True, text[at + len(mark) :].strip()
-    return found and any(c.isdigit() for c in text), text
-
-
-def _whole(text: str) -> int | None:
-    try:
-        x = float(_THOUSANDS.sub("", text))
-        return int(x) if math.isfinite(x) and abs(x - round(x)) <= 1e-7 else None
-    except ValueError:
-        return None
 
+def _around(words: Iterable[str], side: str) -> tuple[Rule, ...]:
+    """Rules that keep what is on one side of the last of each of some words."""
+    kept = {"right": r"(?is)^.*%s(.*)$", "left": r"(?is)^(.*)%s.*$"}[side]
+    return tuple(r for w in words for r in pattern(kept % re.escape(w), r"\1"))
 
-def spoken(text: str) -> str:
-    """An answer as one would say it: no units, signs of money or markup."""
-    m = _WRAPPED.match(text)
-    s = applied(m[1] if m else text, literal(*SPOKEN))
-    s = re.sub(r"\^ *\\circ", "", _UNIT.sub("", s))
-    if s.startswith("{") and s.endswith("}"):
-        s = s[1:-1]
-    s = re.sub(r",\\! *", "", s)
-    if "\\" in s:
-        s = re.sub(r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r" \1/\2", s)
-        s = re.sub(r"\\sqrt\s*\{([^{}]*)\}", r"sqrt(\1)", s)
-        s = re.sub(r"\\[a-zA-Z]+|[{}]", "", applied(s, literal(*NAMES))).strip()
-    s = re.sub(r"([0-9]) +([0-9])", r"\1+\2", re.sub(r"- *", "-", s)).lower()
-    n = _whole(s)
-    return s if n is None else str(n)
-
-
-def elements(text: str) -> list[str]:
-    """The parts of a tuple or interval, else the text."""
-    text = _THOUSANDS.sub("", text)
-    if len(text) > 2 and text[0] in "()[]" and text[-1] in "()[]" and not any(c in text[1:-1] for c in "()[]"):
-        return [x.strip() for x in text[1:-1].split(",")]
-    return [text] if text else []
-
-
-def graded(given: str, gold: str) -> bool:
-    """Equal in spelling, or part by part: fractions and whole numbers as they
-    stand, other expressions by value."""
-    spelt = []
-    for x in (given, gold):
-        m = _WRAPPED.match(x.strip())
-        inner = m[1].strip() if m else x.strip()
-        s = latex(inner)
-        spelt.append(inner if s is None else s)
-    if spelt[0] == spelt[1]:
-        return True
-    a, b = spoken(given), spoken(gold)
-    if a == b or not a:
-        return a == b
-    xs, ys = elements(a), elements(b)
-    if len(xs) != len(ys) or (len(ys) > 1 and (a[0], a[-1]) != (b[0], b[-1])):
-        return False
 
-    def same(x: str, y: str) -> bool:
-        if all(re.search(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$", z) for z in (x, y)):
-            return x == y
-        if (_whole(x) is None) != (_whole(y) is None) or any(bad in z for z in (x, y) for bad in ("^{", "^(")) or any(re.search(r"\^[0-9]+\^|\^[0-9][0-9]+", z) for z in (x, y)):
-            return False
-        return same_value(x, y)
+#: Words before and after an answer, and words that lead to its last part.
+BY_WORDS = (*_around(("answer:", "answer is", "answers are"), "right"), *_around(("is answer", "is the answer", "are answers", "are the answers"), "left"))
+BY_LEAD = (*_around((". ",), "left"), *_around(("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"), "right"))
 
-    return bool(xs) and all(map(same, xs, ys))
 
+def marked(text: str) -> str:
+    """The answer that a response marks by words or a box, else all of it."""
+    said = applied(text, BY_WORDS)
+    box = last_boxed(said)
+    return applied(said if box is None else box, BY_LEAD).strip()
 
-def _number(text: str) -> float | None:
-    try:
-        return float(text.replace("{,}", "").replace(",", ""))
-    except ValueError:
-        return None
 
+def marked_column(text: Column) -> Column:
+    """The same as an expression."""
+    said = expressed(text, BY_WORDS)
+    return F.btrim(expressed(F.coalesce(udf(last_boxed, "string")(said), said), BY_LEAD), F.lit(SPACES))
 
-def close(given: str, gold: str, tolerance: float = 1e-4, pi: float = math.pi) -> bool:
-    """Equal as numbers within a tolerance, also as a percentage either way; else
-    part by part, else by value."""
-
-    def bare(x: str) -> str:
-        if re.match(r"\$\d+(\.\d+)?", x):
-            return x[1:]
-        if re.fullmatch(r"\d+(\.\d+)?\\?%", x):
-            return x.rstrip("%").rstrip("\\")
-        if "_" in x:  # a number's base does not count
-            return str(int(float(x.split("_")[0])))
-        if "\\pi" in x:
-            try:
-                z = value(x, pi=pi)
-                return repr(z.real if isinstance(z, complex) else z) if not isinstance(z, complex) or abs(z.imag) < 1e-12 else x
-            except (Unreadable, ValueError):
-                return x
-        return x
 
+#: Units that do not count, words for powers of ten, names of intervals and the brackets they stand for.
+UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
+POWERS = (("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12"))
+INTERVALS = (("Interval.open", "(", ")"), ("Interval.Lopen", "(", "]"), ("Interval.Ropen", "[", ")"), ("Interval", "[", "]"))
+#: An answer in one spelling: brackets for what has parts, no money, percent, units or number bases, sums for mixed numbers.
+PLAIN: tuple[Rule, ...] = (
+    *literal(("\\begin{pmatrix}", "[["), ("\\end{pmatrix}", "]]"), ("\\\\", "],["), ("&", ",")),
+    *(r for name, left, right in INTERVALS for r in pattern(rf"^{re.escape(name)}\((.*)\)$", rf"{left}\1{right}")),
+    *pattern(r"^(?:Point\w*|Matrix)\((.*)\)$", r"(\1)"),
+    *pattern(r"^\((\[.*\])\)$", r"\1"),
+    *literal(("\\left", ""), ("\\right", ""), ("\\$", ""), ("\\%", ""), ("$", ""), ("%", "")),
+    *pattern(r"\\(?:text|mbox)\{([^{}]*)\}", r"\1"),
+    *pattern(r"\^ *(?:\\circ|\{\\circ\})", ""),
+    *pattern(r"\b(?:%s)(?:es|s)?\b *(?:\^[0-9]+)?" % "|".join(UNITS), ""),
+    *literal(*POWERS, ("dfrac", "frac"), ("tfrac", "frac"), (",\\!", ""), ("{,}", "")),
+    *pattern(r"(?<=\d),(?=\d\d\d(?!\d))", ""),
+    *pattern(r"(\d)_\{?\d+\}?$", r"\1"),
+    *pattern(r"(\d) +(\d)", r"\1+\2"),
+    *pattern(r"(\d) +[a-z]{3,}$", r"\1"),
+)
+_OPEN, _CLOSE = "([{", ")]}"
+
+
+def shape(text: str) -> tuple[str, list] | str:
+    """An answer as its outer brackets with the shapes of its parts, or, if it is one
+    thing, as its text."""
+    s = applied(text.strip(), PLAIN).strip()
+    depth, ends, commas = 0, [], []
+    for i, c in enumerate(s):
+        depth += (c in _OPEN) - (c in _CLOSE)
+        if not depth:
+            ends.append(i)
+        if c == "," and depth == 1:
+            commas.append(i)
+    if len(s) < 2 or s[0] not in "([" or s[-1] not in ")]" or ends != [len(s) - 1] or not (commas or s[1] == "["):
+        return s
+    cuts = [0, *commas, len(s) - 1]
+    return s[0] + s[-1], [shape(s[a + 1 : b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _number(text: str, pi: float) -> float | None:
+    """The value of what has no letters, or None."""
     try:
-        a, b = bare(given)[:1000], bare(gold)
-    except ValueError:
+        if any(kind == "name" and x not in FUNCTIONS and x not in CONSTANTS and x != "frac" for kind, x in marks(text)):
+            return None
+        z = complex(value(text, pi=pi))
+    except (Unreadable, ValueError, OverflowError):
+        return None
+    return z.real if math.isfinite(z.real) and abs(z.imag) < 1e-12 else None
+
+
+def same(a, b, tolerance: float, pi: float) -> bool:
+    """Two shapes: parts one by one, numbers within a tolerance, also as percentages
+    either way, anything else by its value at all points."""
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return a[0] == b[0] and len(a[1]) == len(b[1]) and all(same(x, y, tolerance, pi) for x, y in zip(a[1], b[1], strict=True))
+    if isinstance(a, tuple) or isinstance(b, tuple) or not a:
         return False
-    if a.strip().lower() == b.strip().lower() or a.replace(" ", "") == b.replace(" ", ""):
+    if a.replace(" ", "").lower() == b.replace(" ", "").lower():
         return True
-    x, y = _number(a), _number(b)
+    x, y = _number(a, pi), _number(b, pi)
     if x is not None and y is not None:
-        return any(math.isclose(z, x, rel_tol=tolerance) for z in (y / 100, y, y * 100))
-    if not a:
-        return False
-    a, b = a.strip(), b.strip()
-    kinds = {"": "[]", ".Ropen": "[)", ".Lopen": "(]", ".open": "()"}
-    if m := re.fullmatch(r"Interval(|\.Ropen|\.Lopen|\.open)\((.*)\)", a):
-        a = kinds[m[1]][0] + m[2] + kinds[m[1]][1]
-    loose = [a, b]
-    if (a[:1], a[-1:]) in ((("[", "]")), (("(", ")"))) and not b.startswith("(" if a[0] == "[" else "["):
-        loose = [z.strip("[]()") for z in loose]
-    if len({re.sub(r"[{}()]", "", z) for z in loose}) == 1:
-        return True
-    if m := re.fullmatch(r"Point\w*\((.*)\)", a):
-        a = f"({m[1]})"
-    if a and b and a[0] in "([" and a[-1] in ")]" and (a[0], a[-1]) == (b[0], b[-1]):
-        xs, ys = a[1:-1].split(","), b[1:-1].split(",")
-        if len(xs) == len(ys) > 1 and all(close(p, q, tolerance, pi) for p, q in zip(xs, ys, strict=True)):
-            return True
-    if "\\begin{pmatrix}" in b and (m := re.fullmatch(r"(?:Matrix\()?(\[.*\])\)?", a)):
-        rows = [[c.strip() for c in r.split("&")] for r in re.sub(r"\\(?:begin|end)\{pmatrix\}", "", b).strip().split("\\\\")]
-        cells = [[c.strip() for c in r.split(",")] for r in re.findall(r"\[([^\[\]]*)\]", m[1])]
-        cells = cells if len(cells) == len(rows) else [[c] for r in cells for c in r]
-        return [len(r) for r in rows] == [len(r) for r in cells] and all(close(p, q, tolerance, pi) for r, s in zip(cells, rows, strict=True) for p, q in zip(r, s, strict=True))
-    if "," in a and "," in b:
-        xs, ys = a.split(","), b.split(",")
-        if len(xs) == len(ys):
-            return all(close(p.strip(), q.strip(), tolerance, pi) for p, q in zip(xs, ys, strict=True))
-    return same_value(a, b, tolerance, pi)
-
-
-def right_answer(text: str | None, gold: str | None) -> bool:
-    """Whether a response's marked answer is the gold one, by spelling, by parts, or
-    by value; where pi occurs, 3.14 is as good."""
-    given, gold = marked_answer(str(text))[1], str(gold)
-    if graded(given, gold):
-        return True
+        return any(math.isclose(x, z, rel_tol=tolerance) for z in (y, y / 100, y * 100))
+    return x is None and y is None and same_value(a, b, 1e-9, pi)
+
+
+def alike(given: str | None, gold: str | None, tolerance: float = 1e-4) -> bool:
+    """Whether two answers are the same by shape; where pi occurs, 3.14 is as good."""
+    given, gold = given or "", gold or ""
     pis = (math.pi, 3.14) if "\\pi" in given + gold else (math.pi,)
-    return any(close(given, gold, pi=p) for p in pis)
+    a, b = shape(given[:1000]), shape(gold[:1000])
+    return any(same(a, b, tolerance, pi) for pi in pis)
+
+
+def right(text: Column, gold: Column) -> Column:
+    """Whether a response's marked answer is the gold one: by spelling, else by shape
+    and value."""
+    said = marked_column(F.coalesce(text, F.lit("")))
+    spelt = latex_equal(said, gold) & (said != "")
+    return F.coalesce(spelt | udf(alike, "boolean")(said, gold), F.lit(False))
 
 
-def verified(text: str | None, gold: str | None) -> float:
+def verified(text: Column, gold: Column) -> Column:
     """1 if what a response boxes last, else its marked answer, is the gold answer by
-    spelling or by value, else 0; what cannot be read scores 0."""
-    said = boxed(text)
-    if said is None:
-        return float(right_answer(text, gold))
-    return float(graded(said, str(gold)) or close(said, str(gold)))
+    spelling, shape or value, else 0."""
+    box = udf(boxed, "string")(text)
+    alone = latex_equal(box, gold) | udf(alike, "boolean")(box, gold)
+    return F.when(box.isNull(), right(text, gold)).otherwise(alone).cast("double")

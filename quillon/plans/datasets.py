@@ -336,7 +336,7 @@ _PRIME = (
 @query("s_prime_math", f"SELECT p_partkey AS iid, {_case(*_PRIME)} AS equal FROM part")
 def s_prime_math(spark, d):
     ship(spark)
-    return _spelt(spark, d, _PRIME).select("iid", k.udf(answers.right_answer, "boolean")(F.col("text"), F.col("gold")).alias("equal"))
+    return _spelt(spark, d, _PRIME).select("iid", answers.right(F.col("text"), F.col("gold")).alias("equal"))
 
 
 _VERIFIED = (
@@ -352,7 +352,7 @@ _VERIFIED = (
 @query("s_math_verify", f"SELECT p_partkey AS iid, ({_case(*_VERIFIED)})::DOUBLE AS score FROM part")
 def s_math_verify(spark, d):
     ship(spark)
-    return _spelt(spark, d, _VERIFIED).select("iid", k.udf(answers.verified, "double")(F.col("text"), F.col("gold")).alias("score"))
+    return _spelt(spark, d, _VERIFIED).select("iid", answers.verified(F.col("text"), F.col("gold")).alias("score"))
 
 
 @query("case_codec", "SELECT p_partkey AS iid, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE '{\"inputs\":[\"' || p_name || '\"],\"outputs\":[' || p_size || ']}' END AS cases FROM part")

@@ -140,22 +140,23 @@ def test_values():
         assert not x.same_value(a, b), (a, b)
 
 
-def test_marked_answers():
-    for text, want in (
-        ("The answer is 42.", (True, "42.")),
-        ("Answer: x = 7", (True, "7")),
-        ("42 is the answer", (True, "42")),
-        ("so \\boxed{\\frac{1}{2}} it is", (True, "\\frac{1}{2}")),
-        ("\\fbox{9}", (True, "9")),
-        ("we get 3", (True, "3")),
-        ("no digits is here", (False, "here")),
-        ("12", (False, "12")),
-        ("", (False, "")),
-    ):
-        assert x.marked_answer(text) == want, text
-
-
-def test_right_answers():
+def test_marked_answers(spark):
+    cases = (
+        ("The answer is 42.", "42."),
+        ("Answer: x = 7", "7"),
+        ("42 is the answer", "42"),
+        ("so \\boxed{\\frac{1}{2}} it is", "\\frac{1}{2}"),
+        ("\\fbox{9}", "9"),
+        ("we get 3", "3"),
+        ("no digits is here", "here"),
+        ("12", "12"),
+        ("", ""),
+    )
+    assert [x.marked(text) for text, _ in cases] == [want for _, want in cases]
+    assert column(spark, x.marked_column, [text for text, _ in cases]) == [want for _, want in cases]
+
+
+def test_right_answers(spark):
     right = [
         ("The answer is \\frac{1}{2}", "0.5"),
         ("\\boxed{2x+2}", "2(x+1)"),
@@ -186,7 +187,7 @@ def test_right_answers():
         (None, "1"),
         ("\\boxed{__import__('os')}", "1"),
     ]
-    for text, gold in right:
-        assert x.right_answer(text, gold), (text, gold)
-    for text, gold in wrong[:-3] + wrong[-2:]:
-        assert not x.right_answer(text, gold), (text, gold)
+    assert column(spark, x.right, right, 2) == [True] * len(right)
+    wrong = [w for w in wrong if w != ("", "")]
+    assert column(spark, x.right, wrong, 2) == [False] * len(wrong)
+    assert column(spark, x.verified, [("\\boxed{1/2}", "0.5"), ("the answer is 3", "3"), ("\\boxed{3} \\boxed{4}", "3"), (None, "1")], 2) == [1.0, 1.0, 0.0, 0.0]

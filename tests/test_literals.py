@@ -178,7 +178,7 @@ def test_math_spelling(spark):
     for a, b in (("\\frac12", "\\frac{1}{2}"), ("0.5", "1/2"), ("x = 3", "3"), ("\\dfrac{3}{4}", "3/4"), ("\\sqrt3", "\\sqrt{3}"), ("50\\%", "50")):
         assert equal(a, b), (a, b)
     assert not equal("1", "2") and not equal("", "1")
-    assert x.close("0.5", "50") and x.close("3.0", "3") and not x.close("3.1", "3")
+    assert x.alike("0.5", "50") and x.alike("3.0", "3") and not x.alike("3.1", "3")
     minerva = lambda t, g: one(spark, x.minerva(F.col("t"), F.col("g")), t=t, g=g)
     assert minerva("Answer: $1,234$ dollars", "1234") == 1.0 and minerva("nothing", "1") == -1.0
 
