@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.session import ship
-
-#: Queries of one scan of the corpus, and scores that are held at once.
-SCAN_QUERIES, HELD = 20_000, 1 << 21
-_SPACE = r"[ \t\n\r]+"
-
-
-def words(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(F.filter(F.split(F.lower(text), _SPACE), lambda w: w != "")).alias("w"))
+from quillon.operators import inverted_index
+from quillon.session import scratch
 
 
 def merged_passages(queries: DataFrame, found: DataFrame, key: str, rank: str, passage: str, failed: Column) -> DataFrame:
@@ -49,89 +34,9 @@ def pooled(kind: str, tokens: Column, mask: Column, pooler: Column) -> Column:
     return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
 
 
-class Postings:
-    """Queries by word: a query's words count once each."""
-
-    def __init__(self, queries: list[tuple[object, list[str]]], idf: dict[str, float], mean: float, k1: float, b: float) -> None:
-        self.ids = [i for i, _ in queries]
-        at: dict[str, list[int]] = {}
-        for k, (_, own) in enumerate(queries):
-            for w in own:
-                if w in idf:
-                    at.setdefault(w, []).append(k)
-        self.vocab = {w: j for j, w in enumerate(at)}
-        self.lists = [np.array(x, np.int64) for x in at.values()]
-        self.idf = np.array([idf[w] for w in at])
-        self.mean, self.k1, self.b = mean, k1, b
-
-    def scores(self, text: str) -> np.ndarray:
-        """Of one document for every query."""
-        tokens = [w for w in re.split(_SPACE, text.lower()) if w]
-        counts = Counter(j for w in tokens if (j := self.vocab.get(w)) is not None)
-        if not counts:
-            return np.zeros(len(self.ids))
-        terms = np.fromiter(sorted(counts), np.int64, len(counts))
-        tf = np.array([counts[j] for j in terms.tolist()], np.float64)
-        x = self.idf[terms] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * len(tokens) / self.mean))
-        lists = [self.lists[j] for j in terms.tolist()]
-        return np.bincount(np.concatenate(lists), np.repeat(x, [len(p) for p in lists]), len(self.ids))
-
-
-def _best(scores: np.ndarray, docs: list, k: int) -> np.ndarray:
-    """The ``k`` best of each column, by score and then by id."""
-    rank = np.argsort(np.array(sorted(range(len(docs)), key=docs.__getitem__), np.int64))
-    return np.stack([np.lexsort((rank, -scores[:, q]))[:k] for q in range(scores.shape[1])])
-
-
 def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, text: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """``query_id``, ``doc_id``, ``score``: the best ``k`` documents of each query,
-    ties by id.  Rows without an id or text match nothing.
-
-    Two narrow scans of the corpus: one counts documents, words and the documents
-    of each query word; the other scores each document where it is read and keeps
-    the best ``k`` of its task, so postings are never shuffled, however frequent a
-    word is.  Queries are broadcast, ``SCAN_QUERIES`` of them at most for a scan."""
-    spark = corpus.sparkSession
-    ship(spark)
-    docs = corpus.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    asked = queries.filter(F.col(query_id).isNotNull() & F.col(text).isNotNull())
-    cut = F.filter(F.split(F.lower("text"), _SPACE), lambda w: w != "")
-    size = docs.select(F.size(cut).alias("n")).filter("n > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
-    wanted = words(asked, query_id, text).select("w").distinct()
-    freq = docs.select(F.explode(F.array_distinct(cut)).alias("w")).join(wanted, "w").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    kinds = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{doc_id}` {corpus.schema[doc_id].dataType.simpleString()}, score double"
-    out = spark.createDataFrame([], kinds)
-    if not size.n:
-        return out
-    own = asked.groupBy(F.col(query_id).alias("query")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split(F.lower(text), _SPACE), lambda w: w != ""))))).alias("words"))
-    rows = ((r.query, r.words) for r in own.sort("query").toLocalIterator())
-    while part := list(islice(rows, SCAN_QUERIES)):
-        vocab = spark.createDataFrame([(w,) for w in sorted({w for _, ws in part for w in ws})], "w string")
-        idf = {r.w: float(np.log(1 + (size.n - r.df + 0.5) / (r.df + 0.5))) for r in freq.join(vocab, "w").collect()}  # as many as the queries have
-        held = spark.sparkContext.broadcast(Postings(part, idf, size.mean, k1, b))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            step = max(1, HELD // max(1, len(index.ids)))
-            best, ids = np.zeros((0, len(index.ids))), []
-            kind = None
-
-            def trimmed(block: np.ndarray, names: list):
-                keep = _best(block, names, k)
-                rows = np.unique(keep)
-                mask = np.zeros(block.shape, bool)
-                mask[keep, np.arange(block.shape[1])[:, None]] = True
-                return np.where(mask, block, 0.0)[rows], [names[i] for i in rows.tolist()]
-
-            for batch in batches:
-                kind = batch.column(0).type
-                for at in range(0, batch.num_rows, step):
-                    piece = batch.slice(at, step)
-                    block = np.stack([np.round(index.scores(t), 6) for t in piece.column(1).to_pylist()])
-                    best, ids = trimmed(np.concatenate([best, block]), ids + piece.column(0).to_pylist())
-            at, q = np.nonzero(best)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([index.ids[j] for j in q.tolist()]), pa.array([ids[i] for i in at.tolist()], kind), pa.array(best[at, q])], [query_id, doc_id, "score"])
-
-        out = out.unionByName(docs.mapInArrow(run, kinds))
-    return out.withColumn("r", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), doc_id))).filter(F.col("r") <= k).drop("r")
+    """``query_id``, ``doc_id``, ``score``: the best ``k`` documents of each query, ties
+    by id, by an index that is built for this one search."""
+    path = scratch(corpus.sparkSession, "bm25")
+    inverted_index.build(corpus, doc_id, text, path)
+    return inverted_index.search(corpus.sparkSession, path, queries, query_id, doc_id, text, k, k1, b)

@@ -491,16 +491,30 @@ def retrieve_dense(spark, d):
     return ranking.inner_topk(e.filter("vec_id % 10 = 0"), e, 3, "vec_id", "embedding", False).withColumn("similarity", R6("similarity"))
 
 
-@query("retrieve_bm25", """WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+_BM25 = """WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
   st AS (SELECT count(*) AS n, avg(n) AS mean FROM dl), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS w FROM benchmark),
-  s AS (SELECT item_id, doc_id, round(sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl.n / mean))), 6) AS score FROM q JOIN tf USING (w) JOIN df USING (w) JOIN dl USING (doc_id), st GROUP BY ALL)
-  SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3""")
+  s AS (SELECT item_id, doc_id, round(sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl.n / mean))), 6) AS score FROM q JOIN tf USING (w) JOIN df USING (w) JOIN dl USING (doc_id), st GROUP BY ALL)
+  SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {k}"""
+
+
+@query("retrieve_bm25", _BM25.format(k=3, k1=0.9, b=0.4))
 def retrieve_bm25(spark, d):
     from quillon.operators.retrieval import bm25
 
     return bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", "text", 3, k1=0.9, b=0.4)
 
 
+@query("retrieve_indexed", f"SELECT 'long' AS ask, * FROM ({_BM25.format(k=10, k1=0.9, b=0.4)}) UNION ALL SELECT 'short', * FROM ({_BM25.format(k=1, k1=1.2, b=0.75)})")
+def retrieve_indexed(spark, d):
+    """One stored index, asked twice with other parameters."""
+    from quillon.operators import inverted_index
+
+    path = scratch(spark, "index")
+    inverted_index.build(table(spark, d, "documents"), "doc_id", "text", path)
+    ask = lambda name, *options: inverted_index.search(spark, path, table(spark, d, "benchmark"), "item_id", "doc_id", "text", *options).select(F.lit(name).alias("ask"), "*")
+    return ask("long", 10, 0.9, 0.4).unionByName(ask("short", 1, 1.2, 0.75))
+
+
 @query("retrieve_merged", """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT q.vec_id, c.vec_id AS item_id, list_inner_product(q.v, c.embedding::DOUBLE[]) AS s FROM q, embeddings c),
   t AS (SELECT vec_id, item_id, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, item_id) AS r FROM s QUALIFY r <= 3), m AS (SELECT vec_id, string_agg('Doc ' || r || ' (Title: item ' || item_id || ')' || chr(10) || 'text ' || item_id, chr(10) || '---' || chr(10) ORDER BY r) AS text FROM t WHERE vec_id % 70 <> 0 GROUP BY vec_id)
   SELECT q.vec_id, CASE WHEN q.vec_id % 110 = 0 THEN 'api_error' WHEN m.text IS NULL THEN 'no_results' ELSE 'success' END AS status, CASE WHEN q.vec_id % 110 <> 0 THEN m.text END AS text FROM q LEFT JOIN m USING (vec_id)""")
