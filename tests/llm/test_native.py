@@ -97,7 +97,7 @@ def test_url_rules(spark):
     assert got[0] == got[1] == ("", "", None, "allow")
     assert got[2] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[3][2:] == ("net/", "block")
-    assert got[4] == ("net", "", None, "block") or got[4][2] is None
+    assert got[4][:3] == ("net", "", None)
     assert got[5][2:] == (None, "allow")
     assert got[6][2:] == ("net/", "block")
     assert got[7][2:] == ("example.com/de/", "block")

@@ -216,3 +216,12 @@ def test_very_long_texts(spark):
     rows = [(5, " ".join(words)), (2, " ".join(near)), (9, " ".join(far)), (4, "y" * 3_000_000), (3, "Y" * 3_000_000), (None, " ".join(near) + " end")]
     got = {(r.doc_id, r.component_id) for r in s.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(5, 2), (2, 2), (9, 9), (4, 3), (3, 3), (None, 2)}
+
+
+def test_classes_of_many_copies_deal_out_once(spark, monkeypatch):
+    """One row stands for each hot class; near copies of it are linked all the same."""
+    monkeypatch.setattr(s, "HOT_COPIES", 1)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text) for i in range(30)] + [(None, text)] * 5 + [(100 + i, f"{text} x{i}") for i in range(6)] + [(200, "other words " * 9)]
+    got = sorted((r.doc_id, r.component_id) for r in s.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect() if r.doc_id is not None)
+    assert got == sorted((i, 200 if i == 200 else 0) for i, _ in rows if i is not None)
