@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import answers
 from quillon.functions import kernels as k
+from quillon.functions import tokens as tk
 from quillon.functions.rewards import sandbox_code as sandbox
 from quillon.operators import advantages as a
 from quillon.operators import ranking
@@ -15,7 +16,7 @@ from quillon.operators.retrieval import merged_passages, pooled
 from quillon.operators.batch import first_or_drawn, numbered, sampled_order
 from quillon.plans import proxies as p
 from quillon.registry import query
-from quillon.session import scratch, ship, table
+from quillon.session import materialised, scratch, ship, table
 from quillon.sources import files
 
 R6 = lambda c: F.round(c, 6)
@@ -71,6 +72,19 @@ def filter_overlong(spark, d):
     return table(spark, d, "documents").filter(n <= 200 - 10).select("doc_id")
 
 
+def _byte_bpe(spark):
+    from public_tokenizers import path
+
+    return tk.Tokens(spark, str(path("byte_bpe_50k.json")))
+
+
+@query("filter_overlong_tokens")
+def filter_overlong_tokens(spark, d):
+    """By tokens instead of words: the counts are a column of a table."""
+    docs = tk.with_length(table(spark, d, "documents").select("doc_id", "text"), F.col("text"), _byte_bpe(spark)).select("doc_id", "token_len")
+    return materialised(spark, docs, "lengths").filter("token_len <= 256 - 10")
+
+
 @query("max_samples", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 64")
 def max_samples(spark, d):
     return first_or_drawn(table(spark, d, "documents").select("doc_id"), "doc_id", 64)
@@ -125,6 +139,11 @@ def mt_loss_mask(spark, d):
     return p.chats(spark, d).select("conv_id", F.flatten(F.transform("messages", lambda m: F.array_repeat((m["role"] == "assistant").cast("int"), n(m)))).alias("mask"))
 
 
+@query("mt_loss_mask_tokens")
+def mt_loss_mask_tokens(spark, d):
+    return tk.multi_turn(p.chats(spark, d), "messages", _byte_bpe(spark)).select("conv_id", "input_ids", "loss_mask")
+
+
 @query("stop_reason", "SELECT conv_id, CASE WHEN sum(length(text)) > 4000 THEN 'length' WHEN count(*) FILTER (role = 'assistant') >= 3 THEN 'turns' ELSE 'no tool call' END AS reason FROM conversations GROUP BY conv_id")
 def stop_reason(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.when(F.sum(F.length("text")) > 4000, "length").when(F.count_if(F.col("role") == "assistant") >= 3, "turns").otherwise("no tool call").alias("reason"))
