@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.session import ship
+
 
 class Names:
     """A registry.  Another object under a name that is taken is an error, names
@@ -92,6 +94,26 @@ def python_reward(f: Callable[[str, str, str], float], on_error: float = 0.0) ->
     return F.pandas_udf(run, "double")
 
 
+def timed_reward(f: Callable[[str, str, str], float], seconds: float, processes: int = 2, on_error: float = 0.0) -> Callable[..., Column]:
+    """A Python scorer of (source, text, gold) with a time limit for each row, in
+    ``processes`` children of the task's worker.  A row that takes longer has its
+    child killed and scores ``on_error``, as does one for which the scorer fails or
+    ends its process; the other rows keep their scores."""
+    spark = SparkSession.getActiveSession()
+    if spark:
+        ship(spark)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from quillon.functions.timed import Children
+
+        with Children(f, processes) as children:
+            for columns in batches:
+                yield pd.Series(children.scores(list(zip(*columns, strict=True)), seconds, on_error), dtype="float64")
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")
+
+
 def rewarded(df: DataFrame, score: Column, length: str, max_len: int | None = None, buffer: int = 0, factor: float = 1.0) -> DataFrame:
     """``reward``: scores that are there already (column ``rm_scores``) as they
     are, else the scorer's, null as 0; with ``max_len`` less a penalty that grows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import answers
 from quillon.functions import kernels as k
+from quillon.functions import plugins
 from quillon.functions import tokens as tk
 from quillon.functions.rewards import sandbox_code as sandbox
 from quillon.operators import advantages as a
@@ -253,6 +254,19 @@ def interleave(spark, d):
 # Kernels
 
 
+def _variety(source, text, gold) -> float:
+    words = text.split(" ")
+    return len(set(words)) / len(words)
+
+
+@query("s_timed", "SELECT doc_id, round(len(list_distinct(string_split(text, ' ')))::DOUBLE / len(string_split(text, ' ')), 9) AS score FROM documents")
+def s_timed(spark, d):
+    """A Python scorer with a limit of a minute for each row."""
+    score = plugins.timed_reward(_variety, 60.0)("source", "text", "lang")
+    ship(spark)
+    return table(spark, d, "documents").select("doc_id", F.round(score, 9).alias("score"))
+
+
 def _case(*rows: tuple[str, str, str]) -> str:
     """SQL for ``iid`` and the value of the spelling that a part has."""
     whens = " ".join(f"WHEN {i} THEN {want}" for i, (_, _, want) in enumerate(rows))

@@ -8,6 +8,7 @@ from quillon import streaming as s
 from quillon.plans import proxies as p
 from quillon.registry import query
 from quillon.session import scratch, table
+from quillon.sources import backends
 
 _HOUR = "date_trunc('hour', ts)"
 
@@ -69,6 +70,24 @@ def stream_metrics(spark, d):
     return spark.read.schema("n long, hi double, step int").json(to).agg(F.sum("n").alias("n"), F.max("hi").alias("max_score"))
 
 
+@query("stream_backends", f"WITH {p.RESP}, s AS (SELECT uid % 3 AS step, count(*) AS n, sum(len)::BIGINT AS tokens FROM resp GROUP BY 1) SELECT step, n, tokens, 'step:' || step || ' - n:' || n || ' - tokens:' || tokens AS line FROM s")
+def stream_backends(spark, d):
+    """Each step's metrics in two backends, both read back."""
+    to = scratch(spark, "backends")
+    sink = backends.Logged(to, ["jsonl", "console"], lambda b: b.agg(F.count("*").alias("n"), F.sum("len").alias("tokens")))
+    s.drained(_stream(spark, p.responses(spark, d)), sink, scratch(spark, "checkpoint"))
+    lines = spark.read.text(f"{to}/console").select(F.col("step").cast("long").alias("step"), F.col("value").alias("line"))
+    return spark.read.schema("n long, tokens long, step long").json(f"{to}/jsonl").join(lines, "step")
+
+
+@query("stream_to_backend", f"WITH {p.RESP} SELECT source, count(*) AS n, sum(len)::BIGINT AS tokens FROM resp GROUP BY source")
+def stream_to_backend(spark, d):
+    """Rows of a stream by the backend's own stream writer."""
+    to = scratch(spark, "backend")
+    backends.drained(_stream(spark, p.responses(spark, d)).select("source", "len"), "jsonl", to, scratch(spark, "checkpoint"))
+    return spark.read.schema("source string, len long, step long").json(to).groupBy("source").agg(F.count("*").alias("n"), F.sum("len").alias("tokens"))
+
+
 _KL = "(1 + greatest(least({x}.m / 0.1 - 1, 0.2), -0.2) * {x}.n / 1000000)"
 
 

@@ -1,5 +1,7 @@
 """Token lengths and loss masks against the libraries."""
 
+from functools import cache
+
 import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
@@ -16,8 +18,11 @@ TEXTS = [None, "", " ", "one two", "naïve 北京 🙂", "x" * 5000, "<|endoftex
 CHAT = "array<struct<role string, content string>>"
 
 
+LOADED = cache(Tokenizer.from_file)
+
+
 def library(text):
-    return Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
+    return LOADED(BYTES).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
