@@ -12,7 +12,7 @@ from quillon.functions import plugins
 from quillon.functions import tokens as tk
 from quillon.functions.rewards import sandbox_code as sandbox
 from quillon.operators import advantages as a
-from quillon.operators import ranking
+from quillon.operators import dispatch, ranking
 from quillon.operators.retrieval import merged_passages, pooled
 from quillon.operators.batch import first_or_drawn, numbered, sampled_order
 from quillon.plans import proxies as p
@@ -251,6 +251,36 @@ def interleave(spark, d):
     return files.interleaved(parts, [0.7, 0.3], "c_custkey")
 
 
+@query("join_bucketed", "SELECT o_custkey AS user_id, o_orderkey AS okey, count(l_orderkey) AS n, count(DISTINCT l_partkey) AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def join_bucketed(spark, d):
+    """Purchases by order from two registered tables in the same buckets: neither the
+    join nor the groups move rows."""
+    orders, lines = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    n, known = files.buckets_for(lines), files.Registry({})
+    known.store(orders, "orders", scratch(spark, "orders"), ["o_orderkey"], n, {"o_orderkey": "okey", "o_custkey": "user_id"})
+    known.store(lines, "lines", scratch(spark, "lines"), ["l_orderkey"], n, {"l_orderkey": "key", "l_partkey": "iid"})
+    both = known.read(spark, "orders").hint("merge").join(known.read(spark, "lines"), F.col("okey") == F.col("key"), "left")
+    return both.groupBy("okey", "user_id").agg(F.count("key").alias("n"), F.size(F.collect_set("iid")).cast("long").alias("items"))
+
+
+@query("scan_pruned", "SELECT event_id, event_type FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY event_type LIMIT 2)")
+def scan_pruned(spark, d):
+    """A dataset of two of the folders that a table is kept in."""
+    events = table(spark, d, "events").select("event_id", "event_type")
+    first = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(2).collect()]  # two names
+    known = files.Registry({})
+    known.store_partitioned(events, "some", scratch(spark, "events"), "event_type", first)
+    return known.read(spark, "some")
+
+
+@query("dispatch_parallel", "WITH o AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS place, (SELECT count(*) FROM customer) AS n FROM customer) SELECT c_custkey, place, (place // ((n + 6) // 7))::INT AS worker, c_acctbal < 0 AS owes FROM o")
+def dispatch_parallel(spark, d):
+    """Rows dealt to seven workers with padding, and their results in order."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    done = dispatch.run(rows, "c_custkey", 7, lambda worker, batch: batch.assign(owes=batch["c_acctbal"] < 0), "owes boolean")
+    return done.select("c_custkey", F.col("_ord").alias("place"), F.col("_worker").alias("worker"), "owes")
+
+
 # Kernels
 
 

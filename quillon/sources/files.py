@@ -171,8 +171,25 @@ def nested(names: list[str]) -> Column:
     return F.to_json(build(tree))
 
 
+MOST_BUCKETS = 65_536
+#: Spark's estimate of rows that it knows nothing of is at least this.
+UNKNOWN = 1 << 62
+
+
+def buckets_for(rows: DataFrame, bytes_each: int = 256 << 20, least: int = 8) -> int:
+    """Buckets of about so many bytes by Spark's own estimate: a power of two, so that
+    tables of different sizes still meet bucket by bucket.  Where Spark has no
+    estimate, as many as a shuffle has; at most ``MOST_BUCKETS``, as Spark allows no
+    more than 100,000."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN:
+        size = bytes_each * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKETS, 1 << max(least - 1, -(-size // bytes_each) - 1).bit_length())
+
+
 class Registry:
-    """Logical names of datasets: path, format, columns to rename."""
+    """Logical names of datasets: path and format or a table of the catalog, columns
+    to rename, and for partitioned ones the values that belong to the dataset."""
 
     def __init__(self, entries: dict[str, dict]) -> None:
         self.entries = entries
@@ -181,5 +198,24 @@ class Registry:
         if name not in self.entries:
             raise KeyError(f"no dataset is called {name}")
         e = self.entries[name]
-        df = spark.read.format(e.get("format", "parquet")).load(e["path"])
+        df = spark.table(e["table"]) if "table" in e else spark.read.format(e.get("format", "parquet")).load(e["path"])
+        for column, values in e.get("partitions", {}).items():
+            df = df.filter(F.col(column).isin(*values))
         return df.select(*(F.col(c).alias(to) for c, to in e["columns"].items())) if e.get("columns") else df
+
+    def store(self, df: DataFrame, name: str, path: str, keys: list[str], buckets: int, columns: dict[str, str] | None = None) -> None:
+        """Keep rows as a table below ``path`` in ``buckets`` by ``keys``, sorted by
+        them, one file a bucket, and register it.  Joins and groups by the keys of
+        tables with as many buckets move no rows.  All rows of a key are one bucket's:
+        not for keys of which one holds a large share."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        self.entries[name] = {"table": table} | ({"columns": columns} if columns else {})
+
+    def store_partitioned(self, df: DataFrame, name: str, path: str, by: str, values: list | None = None) -> None:
+        """Keep rows as folders by a column, and register those of ``values`` (or all):
+        a scan lists no other folder.  A value's rows are dealt to as many tasks as
+        the table's size asks for, so a frequent one is not one task's."""
+        slices = buckets_for(df)
+        df.repartition(slices, by, F.xxhash64(*(c for c in df.columns if c != by)) % slices).write.partitionBy(by).parquet(path)
+        self.entries[name] = {"path": path} | ({"partitions": {by: values}} if values is not None else {})
