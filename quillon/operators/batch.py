@@ -226,14 +226,26 @@ def drawn(df: DataFrame, weight: str, key: str, seed: int = 42, buckets: int = 6
     """As many draws as rows, with replacement and by weight: ``times``, how often
     each row is drawn.  One seeded number for each row falls on the share of one
     row.  Shares lie one after the other by bucket of ``key`` and by ``key``; a draw
-    is looked up in its bucket only.  ``key``: a unique long."""
+    is looked up in its bucket only.  ``key``: a unique long.
+
+    Where a share begins is a sum of all weights before it.  They are added as whole
+    numbers of a small unit, and what is less than one beside them, so no sum is
+    rounded before the end, whatever the order of rows."""
     x = df.withColumn("_b", F.pmod(F.col(key), F.lit(buckets)))
-    share = x.groupBy("_b").agg(F.sum(weight).alias("bw"))
-    share = share.withColumn("before", F.coalesce(F.sum("bw").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))  # one row a bucket
-    total = share.agg(F.sum("bw").alias("total"))
-    spans = x.join(F.broadcast(share), "_b").withColumn("_lo", F.col("before") + F.sum(weight).over(W.partitionBy("_b").orderBy(key)) - F.col(weight))
+    # a power of two, by which the sum of all weights is below 2**62
+    unit = df.agg(F.pow(F.lit(2.0), 60 - F.ceil(F.log2(F.sum(weight)))).alias("_unit"))
+    x = x.crossJoin(F.broadcast(unit)).withColumn("_n", F.floor(F.col(weight) * F.col("_unit")).cast("long")).withColumn("_r", F.col(weight) - F.col("_n") / F.col("_unit"))  # one row
+    share = x.groupBy("_b").agg(F.sum("_n").alias("_bn"), F.sum("_r").alias("_br"), F.first("_unit").alias("_unit"))
+    upto = W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row a bucket
+    share = share.withColumns({"_bn": F.sum("_bn").over(upto) - F.col("_bn"), "_br": F.sum("_br").over(upto) - F.col("_br"), "_end": F.sum("_bn").over(upto) / F.col("_unit") + F.sum("_br").over(upto)})
+    share = share.withColumn("before", F.col("_bn") / F.col("_unit") + F.col("_br"))
+    share = share.withColumn("after", F.lead("before").over(W.orderBy("_b")))
+    total = share.agg(F.max("_end").alias("total"))
+    inside = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    low = (F.col("_bn") + F.sum("_n").over(inside) - F.col("_n")) / F.col("_unit") + (F.col("_br") + (F.sum("_r").over(inside) - F.col("_r")))
+    spans = x.join(F.broadcast(share.select("_b", "_bn", "_br")), "_b").withColumn("_lo", low)
     u = df.select(uniform(seed, key).alias("u")).crossJoin(F.broadcast(total)).select((F.col("u") * F.col("total")).alias("_at"))  # one row
-    dealt = u.join(F.broadcast(share), (F.col("_at") >= F.col("before")) & (F.col("_at") < F.col("before") + F.col("bw"))).select("_b", "_at")
+    dealt = u.join(F.broadcast(share.select("_b", "before", "after")), (F.col("_at") >= F.col("before")) & (F.col("after").isNull() | (F.col("_at") < F.col("after")))).select("_b", "_at")
     # both sides of a bucket in one order: a draw belongs to the share that began last
     none = F.lit(None).cast(df.schema[key].dataType)
     mixed = dealt.select("_b", "_at", F.lit(1).alias("_draw"), none.alias(key)).unionByName(spans.select("_b", F.col("_lo").alias("_at"), F.lit(0).alias("_draw"), key))

@@ -1,8 +1,10 @@
 """Work that has to grow no faster than its input."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from quillon import plans  # noqa: F401  registers the queries
+from quillon.operators import batch
 from quillon.plans import proxies
 from quillon.registry import ORACLES, QUERIES
 
@@ -26,3 +28,13 @@ def test_tagged_texts_of_odd_words(spark, tmp_path):
     assert sorted(map(tuple, proxies.tagged(spark, str(tmp_path)).collect())) == sorted(want)
     got = {r.doc_id: r.groups for r in QUERIES["bracket_groups"](spark, str(tmp_path)).collect()}
     assert got == dict(con.sql(ORACLES["bracket_groups"]).fetchall())
+
+
+def test_shares_are_added_without_rounding(spark, monkeypatch):
+    """After a share of 2**53 a running sum of doubles takes no ones in."""
+    big, n = float(1 << 53), 1024
+    monkeypatch.setattr(batch, "uniform", lambda seed, key: (F.col(key) / 64 + big) / (big + n))
+    rows = spark.range(n + 1).select((F.col("id") * 64).alias("row"), F.when(F.col("id") == 0, big).otherwise(1.0).alias("w"))
+    times = {r.row // 64: r.times for r in batch.drawn(rows, "w", "row").collect()}
+    assert sum(times.values()) == n + 1
+    assert max(times.values()) <= 8 and sum(t > 0 for t in times.values()) >= n // 4
