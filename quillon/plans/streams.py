@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 from quillon import streaming as s
 from quillon.plans import proxies as p
 from quillon.registry import query
-from quillon.session import scratch, table
+from quillon.session import moved, scratch, table
 from quillon.sources import backends
 
 _HOUR = "date_trunc('hour', ts)"
 
 
-def _stream(spark, df, parts=3, by="uid"):
-    """The rows as a stream of a few steps."""
-    to = scratch(spark, "stream")
+def _stepped(spark, df, drain, parts=3, by="uid"):
+    """The rows as a stream of a few steps, each of as many files as its rows fill.
+    ``drain`` runs the stream to the end of what is there, and does so after each
+    step that comes in: one checkpoint makes it go on."""
+    rows, to = scratch(spark, "steps"), scratch(spark, "stream")
+    step = F.coalesce(F.pmod(F.col(by), F.lit(parts)), F.lit(0)).cast("int")
+    df.withColumn("_step", step).write.partitionBy("_step").parquet(rows)
     for i in range(parts):
-        df.filter(F.col(by) % parts == i).coalesce(1).write.mode("append").parquet(to)
-    return s.table_stream(spark, to, df.schema)
+        if not moved(spark, f"{rows}/_step={i}", f"{to}/{i}"):  # a step without rows
+            df.limit(0).write.parquet(f"{to}/{i}")
+        drain(s.table_stream(spark, f"{to}/*", df.schema, None))
+
+
+def _drained(spark, d, sink):
+    at = scratch(spark, "checkpoint")
+    _stepped(spark, p.responses(spark, d), lambda rows: s.drained(rows, sink, at))
 
 
 def _events(spark, d):
@@ -58,7 +68,7 @@ def stream_session(spark, d):
   SELECT uid, sample FROM resp JOIN o USING (uid) WHERE k <= 100""")
 def stream_kept_groups(spark, d):
     keep = s.KeptGroups(scratch(spark, "kept"), "uid", "acc", 100, 10)
-    s.drained(_stream(spark, p.responses(spark, d)), keep, scratch(spark, "checkpoint"))
+    _drained(spark, d, keep)
     return keep.rows(spark).select("uid", "sample")
 
 
@@ -66,7 +76,7 @@ def stream_kept_groups(spark, d):
 def stream_metrics(spark, d):
     to = scratch(spark, "metrics")
     sink = s.Metrics(to, lambda b: b.agg(F.count("*").alias("n"), F.max("score").alias("hi")))
-    s.drained(_stream(spark, p.responses(spark, d)), sink, scratch(spark, "checkpoint"))
+    _drained(spark, d, sink)
     return spark.read.schema("n long, hi double, step int").json(to).agg(F.sum("n").alias("n"), F.max("hi").alias("max_score"))
 
 
@@ -75,7 +85,7 @@ def stream_backends(spark, d):
     """Each step's metrics in two backends, both read back."""
     to = scratch(spark, "backends")
     sink = backends.Logged(to, ["jsonl", "console"], lambda b: b.agg(F.count("*").alias("n"), F.sum("len").alias("tokens")))
-    s.drained(_stream(spark, p.responses(spark, d)), sink, scratch(spark, "checkpoint"))
+    _drained(spark, d, sink)
     lines = spark.read.text(f"{to}/console").select(F.col("step").cast("long").alias("step"), F.col("value").alias("line"))
     return spark.read.schema("n long, tokens long, step long").json(f"{to}/jsonl").join(lines, "step")
 
@@ -84,7 +94,8 @@ def stream_backends(spark, d):
 def stream_to_backend(spark, d):
     """Rows of a stream by the backend's own stream writer."""
     to = scratch(spark, "backend")
-    backends.drained(_stream(spark, p.responses(spark, d)).select("source", "len"), "jsonl", to, scratch(spark, "checkpoint"))
+    at = scratch(spark, "checkpoint")
+    _stepped(spark, p.responses(spark, d), lambda rows: backends.drained(rows.select("source", "len"), "jsonl", to, at))
     return spark.read.schema("source string, len long, step long").json(to).groupBy("source").agg(F.count("*").alias("n"), F.sum("len").alias("tokens"))
 
 
@@ -95,7 +106,7 @@ _KL = "(1 + greatest(least({x}.m / 0.1 - 1, 0.2), -0.2) * {x}.n / 1000000)"
   SELECT 0::BIGINT AS step, round(0.2 * {_KL.format(x='a')}, 9) AS coefficient FROM a UNION ALL SELECT 1, round(0.2 * {_KL.format(x='a')} * {_KL.format(x='b')}, 9) FROM a, b UNION ALL SELECT 2, round(0.2 * {_KL.format(x='a')} * {_KL.format(x='b')} * {_KL.format(x='c')}, 9) FROM a, b, c""")
 def stream_kl(spark, d):
     control = s.KlSteps(scratch(spark, "kl"), 0.2, 0.1, 1_000_000, F.col("score"))
-    s.drained(_stream(spark, p.responses(spark, d)), control, scratch(spark, "checkpoint"))
+    _drained(spark, d, control)
     return control.values(spark).withColumn("coefficient", F.round("coefficient", 9))
 
 
@@ -119,12 +130,12 @@ def loader_resume(spark, d):
 @query("stream_curriculum", f"WITH {p.RESP} SELECT source, round(avg(score), 8) AS difficulty FROM resp GROUP BY source")
 def stream_curriculum(spark, d):
     c = s.Curriculum(scratch(spark, "curriculum"), "source", "score")
-    s.drained(_stream(spark, p.responses(spark, d)), c, scratch(spark, "checkpoint"))
+    _drained(spark, d, c)
     return c.order(spark).withColumn("difficulty", F.round("difficulty", 8))
 
 
 @query("stream_growing", f"WITH {p.RESP} SELECT count(*) FILTER (score > 0.05) AS grown FROM resp")
 def stream_growing(spark, d):
     g = s.Growing(scratch(spark, "growing"), lambda b: b.filter("score > 0.05").select("uid", "sample"))
-    s.drained(_stream(spark, p.responses(spark, d)), g, scratch(spark, "checkpoint"))
+    _drained(spark, d, g)
     return spark.read.parquet(g.path).agg(F.count("*").alias("grown"))

@@ -8,6 +8,7 @@ are of any store that ``pyarrow`` knows and driver and executors share."""
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import uuid
@@ -25,6 +26,10 @@ from quillon.session import materialised, scope, ship
 BACKENDS = Names("metric backend")
 
 
+#: Lines that are written at once.
+WRITTEN = 1024
+
+
 def _finite(x):
     if isinstance(x, dict):
         return {k: _finite(v) for k, v in x.items()}
@@ -33,9 +38,12 @@ def _finite(x):
     return None if isinstance(x, float) and not math.isfinite(x) else x
 
 
+_ENCODE = json.JSONEncoder(ensure_ascii=False, default=str).encode
+
+
 def json_line(row: dict, step: int | None) -> str:
     """The row as JSON; what is not finite is null."""
-    return json.dumps(_finite(row), ensure_ascii=False, default=str)
+    return _ENCODE(_finite(row))
 
 
 def text_line(row: dict, step: int | None) -> str:
@@ -75,8 +83,9 @@ class _Lines:
         store.create_dir(at, recursive=True)
         try:
             with store.open_output_stream(f"{at}/{name}") as out:
-                for row in rows:
-                    out.write((self.line(row.asDict(recursive=True), self.step) + "\n").encode())
+                lines = (self.line(row.asDict(recursive=True), self.step) + "\n" for row in rows)
+                while some := "".join(itertools.islice(lines, WRITTEN)):
+                    out.write(some.encode())
         except BaseException:
             store.delete_file(f"{at}/{name}")
             raise

@@ -16,9 +16,11 @@ from quillon.operators.batch import sampled_order
 from quillon.session import materialised
 
 
-def table_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, so many files a step."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def table_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, so many files a step, or with None all
+    that are new."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def drained(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:

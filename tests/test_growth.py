@@ -4,8 +4,10 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillon import plans  # noqa: F401  registers the queries
+from quillon import streaming as s
 from quillon.operators import batch
 from quillon.plans import proxies
+from quillon.plans.streams import _stepped
 from quillon.registry import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -38,3 +40,20 @@ def test_shares_are_added_without_rounding(spark, monkeypatch):
     times = {r.row // 64: r.times for r in batch.drawn(rows, "w", "row").collect()}
     assert sum(times.values()) == n + 1
     assert max(times.values()) <= 8 and sum(t > 0 for t in times.values()) >= n // 4
+
+
+def test_steps_of_a_stream_are_whole_and_spread(spark, tmp_path):
+    """Three batches in order, none of them one file of one task; a step without
+    rows is a batch, and rows with a null or negative key are in some step."""
+    seen, files = {}, {}
+
+    def step(b, i):
+        found = b.select("uid", F.input_file_name().alias("file")).collect()
+        seen[i], files[i] = [r.uid for r in found], len({r.file for r in found})
+
+    rows = spark.range(-30, 300).filter("id % 3 <> 1 AND id % 3 <> -2").selectExpr("id AS uid").union(spark.sql("SELECT CAST(NULL AS long)"))
+    _stepped(spark, rows.repartition(4), lambda stream: s.drained(stream, step, f"{tmp_path}/checkpoint"))
+    assert sorted(seen) == [0, 1, 2] and seen[1] == []
+    assert sorted(x for x in seen[0] if x is not None) == list(range(-30, 300, 3)) and seen[0].count(None) == 1
+    assert sorted(seen[2]) == list(range(-28, 300, 3))
+    assert files[0] > 1 and files[2] > 1
