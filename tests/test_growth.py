@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillon import plans  # noqa: F401  registers the queries
 from quillon import streaming as s
-from quillon.operators import batch
+from quillon.operators import batch, catalogue
 from quillon.plans import proxies
 from quillon.plans.streams import _stepped
 from quillon.registry import ORACLES, QUERIES
@@ -57,3 +57,20 @@ def test_steps_of_a_stream_are_whole_and_spread(spark, tmp_path):
     assert sorted(x for x in seen[0] if x is not None) == list(range(-30, 300, 3)) and seen[0].count(None) == 1
     assert sorted(seen[2]) == list(range(-28, 300, 3))
     assert files[0] > 1 and files[2] > 1
+
+
+def test_queries_that_weigh_words_alike_are_looked_up_once(spark, monkeypatch):
+    """Of forty queries that differ in a word that meets none, one is looked up; all have its answer."""
+    made = {}
+
+    def kept(spark, df, what):
+        made[what] = df.localCheckpoint()
+        return made[what]
+
+    monkeypatch.setattr(catalogue, "materialised", kept)
+    tids = [("red,ring,s",), ("red,bolt,s",), ("small,ring,m",), ("blue,bolt,m",), ("s,s,s",)]
+    index = catalogue.word_index(spark.createDataFrame(tids, "words string"), F.col("words"))
+    queries = spark.createDataFrame([(f"X{i},{w}",) for i in range(40) for w in ("red,rin", "bolt,s")] + [("none,of,it",)], "query string")
+    got = {r.query: (r.tid, r.score) for r in catalogue.fuzzy_lookup(queries, index).collect()}
+    assert made["fuzzy-weights"].select("query").distinct().count() == 2
+    assert got == {f"X{i},red,rin": ("red,ring,s", round(0.5 + 0.8 / 3, 9)) for i in range(40)} | {f"X{i},bolt,s": ("s,s,s", 1.0) for i in range(40)}
