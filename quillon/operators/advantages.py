@@ -214,39 +214,51 @@ def whitened(df: DataFrame, column: str, mask: str) -> DataFrame:
     return out.withColumn(column, F.transform(column, lambda x: (x - F.col("mean")) * F.col("scale"))).drop("mean", "scale")
 
 
+def kl_token(a: Column, b: Column, kind: str) -> Column:
+    """Divergence estimate of one token."""
+    if kind in ("kl", "k1"):
+        return a - b
+    if kind == "abs":
+        return F.abs(a - b)
+    if kind in ("mse", "k2"):
+        return 0.5 * (a - b) * (a - b)
+    if kind in ("low_var_kl", "k3"):
+        d = F.greatest(F.least(b - a, F.lit(20.0)), F.lit(-20.0))
+        return F.greatest(F.least(F.exp(d) - d - 1, F.lit(10.0)), F.lit(-10.0))
+    raise NotImplementedError(kind)
+
+
 def kl(logp: Column, ref: Column, kind: str) -> Column:
     """Per-token divergence estimate of two arrays."""
+    return F.zip_with(logp, ref, lambda a, b: kl_token(a, b, kind))
 
-    def one(a: Column, b: Column) -> Column:
-        if kind in ("kl", "k1"):
-            return a - b
-        if kind == "abs":
-            return F.abs(a - b)
-        if kind in ("mse", "k2"):
-            return 0.5 * (a - b) * (a - b)
-        if kind in ("low_var_kl", "k3"):
-            d = F.greatest(F.least(b - a, F.lit(20.0)), F.lit(-20.0))
-            return F.greatest(F.least(F.exp(d) - d - 1, F.lit(10.0)), F.lit(-10.0))
-        raise NotImplementedError(kind)
 
-    return F.zip_with(logp, ref, one)
+def _loss(mode: str) -> Column:
+    """The loss of rows ``t`` (sum of a sequence), ``n`` (its tokens), ``width``."""
+    if mode == "token-mean":
+        return F.sum("t") / (F.sum("n") + 1e-8)
+    if mode == "seq-mean-token-sum":
+        return F.try_divide(F.sum("t"), F.count(F.lit(1)))
+    if mode == "seq-mean-token-mean":
+        return F.avg(F.try_divide("t", "n"))
+    if mode == "seq-mean-token-sum-norm":
+        return F.sum("t") / F.max("width")
+    raise ValueError(mode)
 
 
 def agg_loss(df: DataFrame, loss: str, mask: str, mode: str) -> DataFrame:
     """``loss`` over all rows in one of four ways."""
     total, n = F.aggregate(masked(F.col(loss), F.col(mask)), F.lit(0.0), lambda a, x: a + x), F.aggregate(mask, F.lit(0.0), lambda a, x: a + x)
     rows = df.select(total.alias("t"), n.alias("n"), F.size(loss).alias("width"))
-    if mode == "token-mean":
-        out = F.sum("t") / (F.sum("n") + 1e-8)
-    elif mode == "seq-mean-token-sum":
-        out = F.avg("t")
-    elif mode == "seq-mean-token-mean":
-        out = F.avg(F.try_divide("t", "n"))
-    elif mode == "seq-mean-token-sum-norm":
-        out = F.sum("t") / F.max("width")
-    else:
-        raise ValueError(mode)
-    return rows.agg(out.alias("loss"))
+    return rows.agg(_loss(mode).alias("loss"))
+
+
+def agg_token_loss(tokens: DataFrame, sequence: list[str], loss: str, mask: str, modes: list[str], width: int) -> DataFrame:
+    """``mode``, ``loss``: what ``agg_loss`` gives in each of the ways, from rows of
+    tokens and in one pass; ``width`` is the length of the arrays."""
+    rows = tokens.groupBy(*sequence).agg(F.sum(F.col(loss) * F.col(mask)).alias("t"), F.sum(mask).cast("double").alias("n")).withColumn("width", F.lit(width))
+    made = rows.agg(*(_loss(m).alias(m) for m in modes))
+    return made.select(F.inline(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"`{m}`").alias("loss")) for m in modes))))
 
 
 def ppo_loss(logp: Column, old: Column, adv: Column, low: float = 0.2, high: float = 0.2, dual: float = 3.0) -> Column:
@@ -281,12 +293,19 @@ def gspo_loss(logp: Column, old: Column, adv: Column, mask: Column, low: float =
     return F.get(F.transform(held, lambda h: F.transform(adv, lambda v: token(v, h["ratio"]))), 0)
 
 
+def value_loss_token(v: Column, o: Column, r: Column, clip: float) -> Column:
+    c = F.greatest(F.least(v, o + clip), o - clip)
+    return 0.5 * F.greatest((v - r) * (v - r), (c - r) * (c - r))
+
+
 def value_loss(values: Column, old: Column, returns: Column, clip: float) -> Column:
-    def one(x: Column) -> Column:
-        c = F.greatest(F.least(x["v"], x["o"] + clip), x["o"] - clip)
-        return 0.5 * F.greatest((x["v"] - x["r"]) * (x["v"] - x["r"]), (c - x["r"]) * (c - x["r"]))
+    return F.transform(F.arrays_zip(values.alias("v"), old.alias("o"), returns.alias("r")), lambda x: value_loss_token(x["v"], x["o"], x["r"], clip))
+
 
-    return F.transform(F.arrays_zip(values.alias("v"), old.alias("o"), returns.alias("r")), one)
+def token_means(tokens: DataFrame, mask: str, **losses: Column) -> DataFrame:
+    """Of each loss the mean over all tokens that are not masked, in one pass."""
+    n = F.sum(mask) + 1e-8
+    return tokens.agg(*((F.sum(x * F.col(mask)) / n).alias(k) for k, x in losses.items()))
 
 
 def filter_groups(df: DataFrame, uid: str, value: str) -> DataFrame:

@@ -74,3 +74,16 @@ def test_queries_that_weigh_words_alike_are_looked_up_once(spark, monkeypatch):
     got = {r.query: (r.tid, r.score) for r in catalogue.fuzzy_lookup(queries, index).collect()}
     assert made["fuzzy-weights"].select("query").distinct().count() == 2
     assert got == {f"X{i},red,rin": ("red,ring,s", round(0.5 + 0.8 / 3, 9)) for i in range(40)} | {f"X{i},bolt,s": ("s,s,s", 1.0) for i in range(40)}
+
+
+def test_losses_read_the_tokens_once(spark, tmp_path):
+    """One pass for all ways of a loss and no arrays; rows without a length or a key count as in the SQL."""
+    rows = [(i // 4, i % 4, i, i, [50.0, 1.0, 17.0][i % 3], 0.05, "ARN"[i % 3], "O") for i in range(40)] + [(None, 1, 1, 1, 9.0, 0.1, "R", "O"), (99, 1, 1, 1, None, 0.1, "R", "F")]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("agg_loss", "value_loss"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert plan(df).count("FileScan") == 1 and "transform(" not in plan(df)
+        assert sorted(map(tuple, df.collect())) == sorted(con.sql(ORACLES[name]).fetchall())
