@@ -51,3 +51,12 @@ def test_rows_without_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [])], "id long, v array<float>")
     assert sorted((g.id, g.item_id) for g in r.inner_topk(df, df, 5, "id", "v", True).collect()) == [(1, 3), (3, 1)]
     assert r.inner_topk(df.limit(0), df.limit(0), 5, "id", "v", True).collect() == []
+
+
+def test_blocks_are_read_and_not_shuffled_to_meet(spark):
+    """Tasks with blocks of queries read the blocks of the corpus where they are stored."""
+    x = np.random.default_rng(2).normal(size=(120, 8)).astype(np.float32)
+    df = frame(spark, x)
+    found = r.inner_topk(df, df, 4, "id", "v", True, 1, 8)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((g.id, g.rank, g.item_id) for g in found.collect()) == brute(x, x, 4, 1, True)
