@@ -253,11 +253,26 @@ def agg_loss(df: DataFrame, loss: str, mask: str, mode: str) -> DataFrame:
     return rows.agg(_loss(mode).alias("loss"))
 
 
-def agg_token_loss(tokens: DataFrame, sequence: list[str], loss: str, mask: str, modes: list[str], width: int) -> DataFrame:
+#: Parts that the sequences of a loss are summed in.
+PARTS = 4096
+
+
+def agg_token_loss(tokens: DataFrame, sequence: list[str], place: str, length: str, loss: str, mask: str, modes: list[str], width: int) -> DataFrame:
     """``mode``, ``loss``: what ``agg_loss`` gives in each of the ways, from rows of
-    tokens and in one pass; ``width`` is the length of the arrays."""
-    rows = tokens.groupBy(*sequence).agg(F.sum(F.col(loss) * F.col(mask)).alias("t"), F.sum(mask).cast("double").alias("n")).withColumn("width", F.lit(width))
-    made = rows.agg(*(_loss(m).alias(m) for m in modes))
+    tokens, in one pass and without a group for each sequence.  ``place`` is a token's
+    in its sequence, from 0, ``length`` the sum of its sequence's mask, ``width`` the
+    length of the arrays; the tokens of a sequence have a loss all or none."""
+    t, first = F.col(loss) * F.col(mask), F.col(place) == 0
+    share = F.try_divide(t, F.col(length))
+    # sums of parts, as a running sum of all tokens would lose digits
+    parts = tokens.groupBy(F.pmod(F.xxhash64(*sequence), F.lit(PARTS))).agg(F.sum(t).alias("t"), F.sum(mask).alias("n"), F.sum(share).alias("share"), F.count_if(first).alias("rows"), F.count_if(first & share.isNotNull()).alias("shared"))
+    ways = {
+        "token-mean": F.sum("t") / (F.sum("n") + 1e-8),
+        "seq-mean-token-sum": F.try_divide(F.sum("t"), F.sum("rows")),
+        "seq-mean-token-mean": F.try_divide(F.sum("share"), F.sum("shared")),
+        "seq-mean-token-sum-norm": F.sum("t") / width,
+    }
+    made = parts.agg(*(ways[m].alias(m) for m in modes))
     return made.select(F.inline(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"`{m}`").alias("loss")) for m in modes))))
 
 
