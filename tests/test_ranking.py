@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import ranking as r
 
@@ -60,3 +61,33 @@ def test_blocks_are_read_and_not_shuffled_to_meet(spark):
     found = r.inner_topk(df, df, 4, "id", "v", True, 1, 8)
     assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((g.id, g.rank, g.item_id) for g in found.collect()) == brute(x, x, 4, 1, True)
+
+
+def test_what_meetings_give_grows_with_the_vectors_alone(spark, monkeypatch):
+    """A query has its best rows once, however many blocks the corpus has; it had them
+    once for each 64 of these."""
+    x = np.random.default_rng(3).normal(size=(150, 8)).astype(np.float32)
+    df = frame(spark, x)
+    met, real = [], type(df).mapInArrow
+
+    def seen(self, f, schema, *more, **named):
+        met.append(real(self, f, schema, *more, **named))
+        return met[-1]
+
+    monkeypatch.setattr(type(df), "mapInArrow", seen)
+    found = r.inner_topk(df, df, 4, "id", "v", True, 1, 1)
+    assert met[-1].columns == ["q", "id", "item_id", "similarity"]
+    assert max(g["count"] for g in met[-1].groupBy("id").count().collect()) == 4
+    assert sorted((g.id, g.rank, g.item_id) for g in found.collect()) == brute(x, x, 4, 1, True)
+
+
+def test_blocks_of_queries_that_share_a_task(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(120, 8)).astype(np.float32)
+    df = frame(spark, x)
+    monkeypatch.setattr(r, "TASKS", 1)
+    assert sorted((g.id, g.rank, g.item_id) for g in r.inner_topk(df, df, 4, "id", "v", True, 2, 8).collect()) == brute(x, x, 4, 2, True)
+
+
+def test_norms_are_those_of_whole_vectors(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None), (5, [1.0, None])], "id long, v array<float>")
+    assert [tuple(g) for g in df.select("id", r.unit(F.col("v"))).orderBy("id").collect()] == [(1, [0.6, 0.8]), (2, [None, None]), (3, []), (4, None), (5, [None, None])]
